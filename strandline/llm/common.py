@@ -73,3 +73,17 @@ def batches_of(texts: list, size: int):
         total += len(x)
     if start < len(texts):
         yield start, len(texts)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text and label of at most per_class documents of each label, the first by a hash of the id.
+
+    usable: a condition on the id. Null labels are left out; of several labels of one id the highest counts; of several documents
+    of one id, all. The bound makes the broadcast of the chosen ids safe at every size.
+    """
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("y")).filter("doc_id is not null and y in (0, 1)").filter(usable)
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    order = F.xxhash64("doc_id")
+    chosen = known.filter("y = 0").orderBy(order, "doc_id").limit(per_class).unionByName(known.filter("y = 1").orderBy(order, "doc_id").limit(per_class))
+    return rows.join(F.broadcast(chosen), "doc_id")
