@@ -1,8 +1,9 @@
 """The registered queries of the training-data operators."""
 
 from strandline.llm.quality import op6_line_field
+from strandline.llm.secrets import op4_tag_field
 from strandline.llm.token_store import op7_token_planes
 from strandline.llm.toxicity import op3_factorization
 
-QUERIES = {f.__name__: f for f in (op3_factorization, op6_line_field, op7_token_planes)}
+QUERIES = {f.__name__: f for f in (op3_factorization, op4_tag_field, op6_line_field, op7_token_planes)}
 ORACLE: dict[str, str] = {}
