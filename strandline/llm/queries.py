@@ -2,8 +2,9 @@
 
 from strandline.llm.quality import op6_line_field
 from strandline.llm.secrets import op4_tag_field
+from strandline.llm.substrings import OP9_SQL, op9_seed_extend
 from strandline.llm.token_store import op7_token_planes
 from strandline.llm.toxicity import op3_factorization
 
-QUERIES = {f.__name__: f for f in (op3_factorization, op4_tag_field, op6_line_field, op7_token_planes)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_factorization, op4_tag_field, op6_line_field, op7_token_planes, op9_seed_extend)}
+ORACLE = {"op9_seed_extend": OP9_SQL}
