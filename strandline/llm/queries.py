@@ -1,11 +1,12 @@
 """The registered queries of the training-data operators."""
 
 from strandline.llm.media import op5_progressive_jpeg
+from strandline.llm.near_dedup import OP2_SQL, op2_lsh_forest
 from strandline.llm.quality import op6_line_field
 from strandline.llm.secrets import op4_tag_field
 from strandline.llm.substrings import OP9_SQL, op9_seed_extend
 from strandline.llm.token_store import op7_token_planes
 from strandline.llm.toxicity import op3_factorization
 
-QUERIES = {f.__name__: f for f in (op3_factorization, op4_tag_field, op5_progressive_jpeg, op6_line_field, op7_token_planes, op9_seed_extend)}
-ORACLE = {"op9_seed_extend": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op2_lsh_forest, op3_factorization, op4_tag_field, op5_progressive_jpeg, op6_line_field, op7_token_planes, op9_seed_extend)}
+ORACLE = {"op2_lsh_forest": OP2_SQL, "op9_seed_extend": OP9_SQL}
