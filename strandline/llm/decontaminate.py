@@ -136,6 +136,8 @@ def leaks(block: Block, texts: list[str | None]) -> list[list[dict]]:
     if not found:
         return out
     d, item, begin = (np.concatenate(x) for x in zip(*found, strict=True))
+    if not len(d):
+        return out
     order = np.lexsort((begin, item, d))
     d, item, begin = d[order], item[order], begin[order]
     # seeds of one item whose passages would overlap are one passage
