@@ -10,10 +10,13 @@ from strandline.plans.catalog_queries import q
 from strandline.plans.inputs import load
 from strandline.plans.registry import query
 
-EPISODE_JSON = F.to_json(F.struct(F.when(F.col("id") % 4 != 0, F.col("id")).alias("id"), F.when(F.col("id") % 6 != 0, F.col("title")).alias("title"), F.when(F.col("id") % 5 != 0, F.col("audio_url")).alias("enclosureUrl"), F.when(F.col("id") % 3 != 0, F.unix_timestamp("published_at")).otherwise(0).alias("datePublished"), "description"))
+def episode_json():
+    return F.to_json(F.struct(F.when(F.col("id") % 4 != 0, F.col("id")).alias("id"), F.when(F.col("id") % 6 != 0, F.col("title")).alias("title"), F.when(F.col("id") % 5 != 0, F.col("audio_url")).alias("enclosureUrl"), F.when(F.col("id") % 3 != 0, F.unix_timestamp("published_at")).otherwise(0).alias("datePublished"), "description"))
+
+
 q("S7_read_feed", """SELECT CASE WHEN id % 4 <> 0 THEN id ELSE 0 END AS episode_id, feed_id, CASE WHEN id % 6 <> 0 THEN title ELSE 'Unknown' END AS title, CASE WHEN id % 5 <> 0 THEN audio_url ELSE '' END AS audio_url,
     CASE WHEN id % 3 <> 0 THEN date_trunc('second', published_at) END AS published_at, description FROM feed""", "feed")(
-    lambda f: transcripts.parse_episodes(f.select("feed_id", EPISODE_JSON.alias("item"))).select("episode_id", "feed_id", "title", "audio_url", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "description"))
+    lambda f: transcripts.parse_episodes(f.select("feed_id", episode_json().alias("item"))).select("episode_id", "feed_id", "title", "audio_url", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "description"))
 q("S7_read_podcasts", """SELECT id AS feed_id, coalesce(CASE WHEN id % 6 <> 0 THEN title END, 'Unknown') AS title, CASE WHEN id % 2 = 0 THEN 'a' || CAST(id AS STRING) || '|b' ELSE '' END AS categories FROM feed""", "feed")(
     lambda f: transcripts.parse_podcasts(f.select(F.to_json(F.struct("id", F.when(F.col("id") % 6 != 0, F.col("title")).alias("title"), F.when(F.col("id") % 2 == 0, F.create_map(F.lit("1"), F.concat(F.lit("a"), F.col("id").cast("string")), F.lit("2"), F.lit("b"))).alias("categories"))).alias("item")))
     .select("feed_id", "title", F.array_join("categories", "|").alias("categories")))
@@ -26,15 +29,12 @@ def collected(s, *fields):
     return s.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("idx", *fields))).alias("a"), F.min("idx").alias("n"))
 
 
-SHAPE = F.crc32("source") % 6
-
-
 def shaped(s):
     """Transcripts of six shapes from the turns of a conversation."""
-    a = collected(s, "text")
+    a, shape = collected(s, "text"), F.crc32("source") % 6
     texts, objects = F.transform("a", lambda x: x["text"]), F.transform("a", lambda x: F.struct(x["text"].alias("text")))
-    as_json = (F.when(SHAPE == 0, F.to_json(texts)).when(SHAPE == 1, F.to_json(objects)).when(SHAPE == 2, F.to_json(F.struct(objects.alias("segments"))))
-               .when(SHAPE == 3, F.to_json(F.struct(F.array_join(texts, " ").alias("transcript"), objects.alias("segments")))).when(SHAPE == 4, F.to_json(F.struct(F.transform("a", lambda x: F.struct(x["text"].alias("transcript"))).alias("results"))))
+    as_json = (F.when(shape == 0, F.to_json(texts)).when(shape == 1, F.to_json(objects)).when(shape == 2, F.to_json(F.struct(objects.alias("segments"))))
+               .when(shape == 3, F.to_json(F.struct(F.array_join(texts, " ").alias("transcript"), objects.alias("segments")))).when(shape == 4, F.to_json(F.struct(F.transform("a", lambda x: F.struct(x["text"].alias("transcript"))).alias("results"))))
                .otherwise(F.array_join(texts, " ")))
     return a.select("source", as_json.alias("json"))
 
@@ -69,17 +69,22 @@ q("P22_parse_dimension_reply", """SELECT id, CASE WHEN id % 4 <> 0 THEN 'progres
 LONG = rf"""(SELECT source, idx, t, lag(t) OVER (PARTITION BY source ORDER BY idx) AS b FROM (SELECT source, idx, {TURN} AS t FROM segments) WHERE t <> '')"""
 CHUNKS = rf"""SELECT source || '_chunk_' || CASE WHEN idx < 10000 THEN lpad(CAST(idx AS STRING), 4, '0') ELSE CAST(idx AS STRING) END AS chunk_id, t AS text, CAST(idx AS DOUBLE) AS start, coalesce(list_last(string_split(regexp_replace(b, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))), '') AS overlap_text,
     len(regexp_split_to_array(t, '\s+')) AS word_count, length(t) AS char_count FROM {LONG}"""
-SEEN = ("chunk_id", "text", "start", "overlap_text", F.col("word_count").cast("long").alias("word_count"), F.col("char_count").cast("long").alias("char_count"))
-q("C1_chunk_podcast", CHUNKS, "segments")(lambda s: chunking.chunk_podcast(s.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("idx", "text", F.col("idx").cast("double").alias("start"), F.lit(None).cast("double").alias("end")))).alias("segments"))).select(*SEEN))
-q("W1_overlap_lag", CHUNKS, "segments")(lambda s: chunking.chunk_segments_long(s.withColumns({"start": F.col("idx").cast("double"), "end": F.lit(None).cast("double")})).select(*SEEN))
+SEEN = ("chunk_id", "text", "start", "overlap_text", "CAST(word_count AS BIGINT) AS word_count", "CAST(char_count AS BIGINT) AS char_count")
+q("C1_chunk_podcast", CHUNKS, "segments")(lambda s: chunking.chunk_podcast(s.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("idx", "text", F.col("idx").cast("double").alias("start"), F.lit(None).cast("double").alias("end")))).alias("segments"))).selectExpr(*SEEN))
+q("W1_overlap_lag", CHUNKS, "segments")(lambda s: chunking.chunk_segments_long(s.withColumns({"start": F.col("idx").cast("double"), "end": F.lit(None).cast("double")})).selectExpr(*SEEN))
 q("C3_is_heading", r"""SELECT doc_id, p <> '' AND length(p) <= 200 AND (regexp_matches(p, '\A(?m:^#+\s+.+$)') OR regexp_matches(p, '\A(?m:^[A-Z][A-Z\s]{3,50}$)') OR regexp_matches(p, '\A(?m:^\d+\.\s+[A-Z].+$)') OR regexp_matches(p, '\A(?m:^[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,5}:)') OR regexp_matches(p, '\A(?m:^(?:Chapter|Section|Part)\s+\d+)')) AS is_heading
     FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN trim(regexp_extract(text, '^\w+')) || ': rest' WHEN 1 THEN upper(trim(left(text, 30))) WHEN 2 THEN 'Part ' || CAST(doc_id AS STRING) ELSE trim(left(text, 150)) END AS p FROM texts)""", "texts")(
     lambda d: d.withColumn("p", F.expr(r"CASE doc_id % 4 WHEN 0 THEN concat(trim(regexp_extract(text, '^\\w+', 0)), ': rest') WHEN 1 THEN upper(trim(left(text, 30))) WHEN 2 THEN concat('Part ', CAST(doc_id AS STRING)) ELSE trim(left(text, 150)) END")).select("doc_id", T.is_heading("p").alias("is_heading")))
 
-PARAGRAPHS = F.replace("text", F.lit("\n"), F.lit("\n\n"))
-query("C2_split_blocks")(lambda spark, d: load(spark, d, "texts").select("doc_id", F.posexplode(chunking.split_blocks(PARAGRAPHS)).alias("place", "b")).select("doc_id", "place", "b.text", "b.type", "b.page", "b.section"))
+
+
+def paragraphs():
+    return F.replace("text", F.lit("\n"), F.lit("\n\n"))
+
+
+query("C2_split_blocks")(lambda spark, d: load(spark, d, "texts").select("doc_id", F.posexplode(chunking.split_blocks(paragraphs())).alias("place", "b")).select("doc_id", "place", "b.text", "b.type", "b.page", "b.section"))
 query("C4_chunk_segments")(lambda spark, d: chunking.segment_chunks(load(spark, d, "segments").groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda s: F.struct(s["text"].alias("text"), F.when(s["idx"] % 3 != 0, s["idx"]).alias("page"))).alias("segments"))))
-query("C5_C6_document_chunks")(lambda spark, d: chunking.document_chunks(load(spark, d, "texts").select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("source"), PARAGRAPHS.alias("text"))))
+query("C5_C6_document_chunks")(lambda spark, d: chunking.document_chunks(load(spark, d, "texts").select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("source"), paragraphs().alias("text"))))
 q("C7_chunk_windows", """WITH RECURSIVE w AS (SELECT doc_id, text, 0 AS k, 1 AS s FROM texts UNION ALL SELECT doc_id, text, k + 1, s + 4500 FROM w WHERE s + 5000 <= length(text))
     SELECT doc_id, CAST(k AS BIGINT) AS "window", substr(text, s, 5000) AS text FROM w""", "texts")(
     lambda d: chunking.chunk_windows(d, "doc_id", "text", 5000, 500, 0).select("doc_id", F.col("window").cast("long").alias("window"), "text"))
