@@ -76,7 +76,7 @@ def search_one(chunks: DataFrame, vector: list[float], k: int = K.TOP_K, source:
     if source is not None:
         chunks = chunks.filter(F.col("source") == source)
     scored = chunks.withColumn("score", cosine("embedding", F.array(*(F.lit(float(x)) for x in vector)))).filter("score is not null")
-    return scored.orderBy(F.desc("score"), "kind", "chunk_id") .limit(k)
+    return scored.orderBy(F.desc("score"), F.desc("kind"), "chunk_id").limit(k)
 
 
 def search_many(queries: DataFrame, chunks: DataFrame, k: int = K.TOP_K, by_source: bool = False) -> DataFrame:

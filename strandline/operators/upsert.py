@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.lineage import settled
+
 
 def match_episodes(batch: DataFrame, episodes: DataFrame) -> DataFrame:
     """existing_id of each row of a batch: by audio URL, else by podcast and title; the smallest of several."""
@@ -19,7 +21,8 @@ def match_episodes(batch: DataFrame, episodes: DataFrame) -> DataFrame:
 def numbered_after(df: DataFrame, table: DataFrame, order: str) -> DataFrame:
     """Ids that go on after the table's largest, in the order given: places within ranges, then the ranges' offsets."""
     spread = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    placed = spread.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
+    # read twice below, so the ranges must not be dealt anew
+    placed = settled(spread.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(order))))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     top = table.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_top"))

@@ -43,7 +43,7 @@ def retrieved(v: DataFrame, by_source: bool = False) -> DataFrame:
     return found.select("query_id", "chunk_id", "kind", "source", r6("score").alias("score"), "rank")
 
 
-q("V1_search_chunks", f"WITH {CHUNK_SQL} SELECT b.chunk_id, round({COS}, 6) AS score FROM (SELECT * FROM c WHERE id = 3) a, c b WHERE b.source = 's4' ORDER BY {COS} DESC, b.kind, b.chunk_id LIMIT 3", "vectors")(
+q("V1_search_chunks", f"WITH {CHUNK_SQL} SELECT b.chunk_id, round({COS}, 6) AS score FROM (SELECT * FROM c WHERE id = 3) a, c b WHERE b.source = 's4' ORDER BY {COS} DESC, b.kind DESC, b.chunk_id LIMIT 3", "vectors")(
     lambda v: search.search_one(as_chunks(v), v.filter("id = 3").head().embedding, 3, "s4").select("chunk_id", r6("score").alias("score")))
 q("V2_search_all", TOP % ("", ""), "vectors")(retrieved)
 q("V3_batch_retrieve", TOP % ("AND a.source = b.source", ""), "vectors")(lambda v: retrieved(v, True))
