@@ -27,6 +27,7 @@ def words(text: str | None) -> list[bytes]:
 
 SEED = 3
 RARE = 1e-7  # chance of a seed at a given place
+RARE_HITS = 0.01  # or chance hits in the whole corpus, which a small one allows more of at a place
 AT_LEAST = 5  # seeds of each item, the rarest, where fewer are rare
 BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, 1, 1
@@ -87,7 +88,7 @@ def block_of(rows: list[tuple[int, str]], counts: dict[int, int], total: int) ->
         share = np.log10([(counts.get(int(w), 0) + 1) / (total + 1) for w in h])
         chance = sum(share[i : len(h) - n + 1 + i] for i in range(n))
         order = np.argsort(chance, kind="stable")
-        use = order[: max(AT_LEAST, int((chance < np.log10(RARE)).sum()))]
+        use = order[: max(AT_LEAST, int((chance < np.log10(max(RARE, RARE_HITS / (total + 1)))).sum()))]
         seeds.setdefault(n, []).append((ngrams(h, n)[use], np.full(len(use), k), use))
     done = {}
     for n, parts in seeds.items():
