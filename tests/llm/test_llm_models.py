@@ -83,7 +83,7 @@ def test_secret_spans(spark, odd_docs, no_docs):
         assert [x for x in secrets.joined(base).split(",") if x] == want and base == every
     df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)] + [(98, None)], "doc_id long, text string")
     clean = [r.c for r in df.orderBy("doc_id").select(secrets.redacted(blank, F.col("text")).alias("c")).collect()]
-    assert clean[0] == '[SECRET]" x' and clean[1] == "Token: secret: abcdefghijklmnop" and clean[2] == "[SECRET]" and clean[-1] is None
+    assert clean[0] == '[SECRET]" x' and clean[1] == "Token: secret: abcdefghijklmnop" and clean[2] == "[SECRET]'" and clean[-1] is None
     model = secrets.train_secrets(odd_docs)
     assert secrets.find_secrets(odd_docs, model).count() == odd_docs.count() and secrets.find_secrets(no_docs, secrets.train_secrets(no_docs)).count() == 0
 
