@@ -169,8 +169,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).filter("d is not null")
     signed = written(signed_sets(rows), "signatures")
     sets = signed.filter("node is not null").groupBy("node").agg(F.min("d").alias("d"), F.min("n").alias("n"), F.min("sig").alias("sig"))
-    # below this size sets can only be equal or too far apart
-    large = sets.filter(100 * (F.col("n") - 1) >= LEAST * F.col("n")).select("node", "n", "sig")
+    # a smaller set is too far even from one that holds it and one shingle more
+    large = sets.filter(100 * F.col("n") >= LEAST * (F.col("n") + 1)).select("node", "n", "sig")
     pairs = written(best_partners(large.withColumn("root", F.col("node"))), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = sets.join(nodes, "node", "left_semi").select(F.col("d").alias("c")).distinct()

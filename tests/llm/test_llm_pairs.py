@@ -60,6 +60,19 @@ def test_near_copies(spark, seed):
     assert by_spark(near_dedup.near_components(df)) == sql_on(rows, near_dedup.OP2_SQL)
 
 
+def test_near_copies_of_few_words(spark):
+    """Sets of six shingles link with sets of seven that hold them; smaller ones with equal sets alone."""
+    rows = []
+    for k in range(20):
+        w = [f"k{k}_{i}" for i in range(11)]
+        for part in (w[:10], w, w[1:], w[:9], w[1:9], w[1:9]):
+            rows.append((len(rows), " ".join(part)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_spark(near_dedup.near_components(df))
+    assert got == sql_on(rows, near_dedup.OP2_SQL)
+    assert len({r.component_id for r in near_dedup.near_components(df.filter("doc_id < 3")).collect()}) == 1
+
+
 @pytest.mark.parametrize("seed", [0, 1, 2])
 def test_repeats_in_many_places(spark, seed):
     """Passages of a small stock in random order and surroundings, over many partitions."""
