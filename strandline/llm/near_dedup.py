@@ -5,6 +5,8 @@ share the longest prefixes; a region is a run that shares the first DEPTH of the
 larger ones the order itself goes deeper, and each set meets the REACH before and behind it. In a first pass each tree names
 the best partner of each set; those are confirmed on the full sets, the best of all trees first, until the sets of a crowded region are
 one component. A second pass names every pair in reach that would still join two components, and confirms them all.
+Regions that exceed the reach and still hold several components are joined at last on the rarest shingles of the full sets (a prefix
+filter, which loses no pair).
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from strandline.llm.components import components
 
 SHINGLE, FUNCTIONS, TREES, DEPTH, REACH = 5, 64, 12, 3, 16
 LEAST = 85  # percent of the union that must be shared
+HOT = 2000  # sets of one shingle that meet in one place; more are dealt to pairs of blocks
 AGREE = 42  # of the 64 functions; pairs at the threshold agree in 54 on average, with a deviation of 2.9
 ROUNDS = 2  # in which each set tries its best partner, before all the others
 
@@ -142,6 +145,53 @@ def open_pairs_of(sets: DataFrame) -> DataFrame:
     return sorted_orders(sets).mapInPandas(run, PAIRS).distinct()
 
 
+def crowded_sets(sets: DataFrame) -> DataFrame:
+    """node, root of the sets (node, sig, root) in a region of some tree that exceeds the reach and holds several roots."""
+
+    def plant(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            if len(pdf):
+                sig = np.frombuffer(b"".join(pdf.sig), ">u2").reshape(len(pdf), FUNCTIONS)
+                for t in range(TREES):
+                    region = np.full(len(pdf), t, np.int64)
+                    for k in ORDERS[t, :DEPTH]:
+                        region = region << 16 | sig[:, k].astype(np.int64)
+                    yield pd.DataFrame({"region": region, "node": pdf.node, "root": pdf.root})
+
+    rows = sets.select("node", "sig", "root").mapInPandas(plant, "region long, node long, root long")
+    runs = rows.groupBy("region").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return rows.join(runs.filter((F.col("k") > REACH + 1) & (F.col("low") < F.col("high"))).select("region"), "region", "left_semi").select("node", "root").distinct()
+
+
+def crowded_pairs(full: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of full sets (node, members) that can share enough and have different roots (node, root): all of those that do share enough.
+
+    In any order of all shingles, two such sets have one in common among the first n - 0.85 n + 1 of each. Here the order is rarest first.
+    """
+
+    def shingles(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for i in range(0, len(pdf), 1000):
+                sets = [np.frombuffer(m, np.uint64) for m in pdf.members[i : i + 1000]]
+                n = np.array([len(x) for x in sets], np.int64)
+                yield pd.DataFrame({"node": np.repeat(pdf.node[i : i + 1000].to_numpy(), n), "n": np.repeat(n, n), "s": np.concatenate(sets).view(np.int64)})
+
+    each = full.mapInPandas(shingles, "node long, n long, s long").join(roots, "node")
+    # shingles of one root alone come first in the order and lead to no pair
+    counts = each.groupBy("s").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("s", "k")
+    ranked = each.join(counts, "s").groupBy("node", "n", "root").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("x"))
+    ranked = ranked.withColumn("alone", F.col("n") - F.size("x")).withColumn("room", F.expr(f"n - ({LEAST} * n + 99) div 100 + 1 - alone"))
+    heads = ranked.filter("room > 0").select("node", "n", "root", "alone", F.posexplode(F.slice("x", 1, F.col("room").cast("int"))).alias("place", "x"))
+    # left: how many shingles of the set are not before this one
+    heads = heads.select("node", "n", "root", "x.s", (F.col("n") - F.col("alone") - F.col("place")).alias("left"), F.ceil(F.col("x.k") / HOT).alias("blocks"))
+    heads = written(heads.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")), "heads")
+    dealt = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    x = heads.withColumn("over", dealt).select("s", F.col("block").alias("p"), F.col("over").alias("q"), *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "root", "left")))
+    y = heads.withColumn("over", dealt).select("s", F.col("over").alias("p"), F.col("block").alias("q"), *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "root", "left")))
+    near = x.join(y, ["s", "p", "q"]).filter("a_node < b_node and a_root <> b_root").filter(f"{100 + LEAST} * least(a_left, b_left) >= {LEAST} * (a_n + b_n)").filter(f"100 * least(a_n, b_n) >= {LEAST} * greatest(a_n, b_n)")
+    return near.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+
+
 def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets (node, members) share enough."""
 
@@ -173,7 +223,6 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = sets.filter(100 * F.col("n") >= LEAST * (F.col("n") + 1)).select("node", "n", "sig")
     pairs = written(best_partners(large.withColumn("root", F.col("node"))), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = sets.join(nodes, "node", "left_semi").select(F.col("d").alias("c")).distinct()
 
     def unfold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -181,7 +230,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 s = [shingle_set(t) for t in pdf.t[i : i + 1000]]
                 yield pd.DataFrame({"node": pd.array([set_key(x) for x in s], "Int64"), "members": [x.tobytes() for x in s]})
 
-    full = written(rows.join(chosen, F.col("d") == F.col("c"), "left_semi").select("t").mapInPandas(unfold, "node long, members binary").dropDuplicates(["node"]), "sets")
+    def full_sets(nodes: DataFrame) -> DataFrame:
+        chosen = sets.join(nodes, "node", "left_semi").select(F.col("d").alias("c")).distinct()
+        unfolded = rows.join(chosen, F.col("d") == F.col("c"), "left_semi").select("t").mapInPandas(unfold, "node long, members binary")
+        return written(unfolded.dropDuplicates(["node"]), "sets")
+
+    full = full_sets(nodes)
     links, roots = None, None
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     for turn in range(ROUNDS + 2):
@@ -204,6 +258,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = written(open_pairs_of(named), "pairs")
             if pairs.isEmpty():
                 break
+    placed = large.join(root("node"), "node", "left").select("node", "sig", F.coalesce("node_root", "node").alias("root"))
+    crowd = written(crowded_sets(placed), "crowd")
+    if not crowd.isEmpty():
+        full = full_sets(crowd.select("node")).join(crowd.select("node"), "node", "left_semi")  # rows of one id may bring sets of others
+        pairs = written(crowded_pairs(full, crowd), "pairs")
+        links = links.unionByName(written(confirmed(pairs, full), "links"))
+        roots = components(links)
     owners = sets.select("node", "d").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = owners.groupBy("root").agg(F.min("d").alias("smallest"))
     # joined on the root, a group of near copies is as hot as it is large; both sides are exchanged as they are, so that Spark can split it

@@ -73,6 +73,20 @@ def test_near_copies_of_few_words(spark):
     assert len({r.component_id for r in near_dedup.near_components(df.filter("doc_id < 3")).collect()}) == 1
 
 
+def test_near_copies_in_a_crowd(spark):
+    """Texts that share four fifths with each other but are not linked, and copies of some at the threshold."""
+    rng = random.Random(7)
+    common = [f"c{i}" for i in range(164)]
+    own = [[f"o{k}_{i}" for i in range(20)] for k in range(1500)]
+    rows = [(k, " ".join(common + w)) for k, w in enumerate(own)] + [(5000 + k, " ".join(common + own[k][:9] + [f"e{k}_{i}" for i in range(11)])) for k in range(0, 1500, 10)]
+    rng.shuffle(rows)
+    got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - 5000 if i >= 5000 else i for i, _ in rows}
+    x, y, z = (near_dedup.shingle_set(" ".join(common + w)) for w in (own[0], own[0][:9] + [f"e0_{i}" for i in range(11)], own[1]))
+    share = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    assert share(x, y) >= 0.85 > share(x, z)
+
+
 @pytest.mark.parametrize("seed", [0, 1, 2])
 def test_repeats_in_many_places(spark, seed):
     """Passages of a small stock in random order and surroundings, over many partitions."""
