@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds lead to test items, Smith-Waterman alignment scores the passages around them.
 
-A seed is a run of SEED words of an item that is unlikely to come together by chance: the product of its words' shares of
-the corpus is small. The shares are counted over all documents. How often a passage is copied doesn't make its seeds common.
+A seed is a run of SEED words of an item. One that is unlikely to come together by chance, as the product of its words' shares of
+the corpus is small, leads to an alignment alone; any others do where two that share no word meet in one passage. The shares are counted over all documents. How often a passage is copied doesn't make its seeds common.
 Items go to the executors in blocks of a checked size, each block against all documents.
 """
 
@@ -28,7 +28,7 @@ def words(text: str | None) -> list[bytes]:
 SEED = 3
 RARE = 1e-7  # chance of a seed at a given place
 RARE_HITS = 0.01  # or chance hits in the whole corpus, which a small one allows more of at a place
-AT_LEAST = 5  # seeds of each item, the rarest, where fewer are rare
+AT_LEAST = 5  # seeds of each item that lead alone, the rarest, where fewer are rare
 BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, 1, 1
 LEAK = 0.5  # of the score of the item aligned with itself
@@ -37,12 +37,12 @@ SLOTS = 22
 
 @dataclass
 class Block:
-    """Items of a block: ids, words, and seeds sorted by hash with the item and place of each."""
+    """Items of a block: ids, words, and seeds sorted by hash with the item and place of each, and whether it leads alone."""
 
     ids: np.ndarray
     items: list[np.ndarray]
     sizes: list[int]
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
 def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[list[tuple[int, str]]]:
@@ -88,13 +88,14 @@ def block_of(rows: list[tuple[int, str]], counts: dict[int, int], total: int) ->
         share = np.log10([(counts.get(int(w), 0) + 1) / (total + 1) for w in h])
         chance = sum(share[i : len(h) - n + 1 + i] for i in range(n))
         order = np.argsort(chance, kind="stable")
-        use = order[: max(AT_LEAST, int((chance < np.log10(max(RARE, RARE_HITS / (total + 1)))).sum()))]
-        seeds.setdefault(n, []).append((ngrams(h, n)[use], np.full(len(use), k), use))
+        alone = np.zeros(len(chance), bool)
+        alone[order[: max(AT_LEAST, int((chance < np.log10(max(RARE, RARE_HITS / (total + 1)))).sum()))]] = True
+        seeds.setdefault(n, []).append((ngrams(h, n), np.full(len(chance), k), np.arange(len(chance)), alone))
     done = {}
     for n, parts in seeds.items():
-        key, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, item, place, alone = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(key, kind="stable")
-        done[n] = key[order], item[order], place[order]
+        done[n] = key[order], item[order], place[order], alone[order]
     return Block(np.array([i for i, _ in rows]), items, [len(h) for h in items], done)
 
 
@@ -123,7 +124,7 @@ def leaks(block: Block, texts: list[str | None]) -> list[list[dict]]:
     starts = np.cumsum(sizes) - sizes
     doc = np.repeat(np.arange(len(texts)), sizes)
     found = []
-    for n, (key, item, place) in block.seeds.items():
+    for n, (key, item, place, alone) in block.seeds.items():
         slots = np.zeros(1 << SLOTS, bool)
         slots[key >> np.uint64(64 - SLOTS)] = True
         g = ngrams(h, n)
@@ -133,21 +134,23 @@ def leaks(block: Block, texts: list[str | None]) -> list[list[dict]]:
         k = hi - lo
         j = np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(k.sum())
         pos = np.repeat(at, k)
-        found.append((doc[pos], item[j], pos - place[j]))
+        found.append((doc[pos], item[j], pos - place[j], place[j], alone[j]))
     if not found:
         return out
-    d, item, begin = (np.concatenate(x) for x in zip(*found, strict=True))
+    d, item, begin, place, alone = (np.concatenate(x) for x in zip(*found, strict=True))
     if not len(d):
         return out
     order = np.lexsort((begin, item, d))
-    d, item, begin = d[order], item[order], begin[order]
+    d, item, begin, place, alone = d[order], item[order], begin[order], place[order], alone[order]
     # seeds of one item whose passages would overlap are one passage
     length = np.array(block.sizes)[item]
     new = np.ones(len(d), bool)
     new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (begin[1:] > begin[:-1] + length[:-1])
     first = np.flatnonzero(new)
+    apart = np.maximum.reduceat(place, first) - np.minimum.reduceat(place, first) >= SEED
+    led = np.logical_or.reduceat(alone, first) | apart
     best: dict[tuple[int, int], tuple] = {}
-    for a, b in zip(first.tolist(), np.append(first[1:], len(d)).tolist(), strict=True):
+    for a, b in zip(first[led].tolist(), np.append(first[1:], len(d))[led].tolist(), strict=True):
         i, k, pad = int(d[a]), int(item[a]), block.sizes[int(item[a])] // 2 + 2
         lo = max(int(begin[a]) - pad, int(starts[i]))
         hi = min(int(begin[b - 1]) + block.sizes[k] + pad, int(starts[i] + sizes[i]))

@@ -142,3 +142,17 @@ def test_leaks(spark):
     for _ in range(50):
         a, b = [rng.randint(0, 3) for _ in range(rng.randint(1, 12))], [rng.randint(0, 3) for _ in range(rng.randint(0, 15))]
         assert align(np.array(a), np.array(b))[0] == plain(a, b)
+
+
+def test_leaks_without_rare_words():
+    """All rare words of an item are edited, and what stays is frequent in a large corpus."""
+    from strandline.llm.common import word_hashes
+    from strandline.llm.decontaminate import block_of, leaks, words
+
+    item = "the of and to in is zyx it that for on was qwv with as be by at this from".split()
+    counts = {int(h): 20_000_000 for h in word_hashes(words(" ".join(item)))} | {int(h): 3 for h in word_hashes([b"zyx", b"qwv"])}
+    block = block_of([(7, " ".join(item))], counts, 1_000_000_000)
+    edited = " ".join("changed" if w in ("zyx", "qwv") else w for w in item)
+    noise = " ".join(f"n{i}" for i in range(50))
+    got = leaks(block, [f"{noise} {edited} {noise}", f"{noise} this from {noise}", f"{noise} the of and {noise}"])
+    assert [[x["item_id"] for x in r] for r in got] == [[7], [], []] and got[0][0]["score"] > 0.8
