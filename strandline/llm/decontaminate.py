@@ -1,8 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds lead to test items, Smith-Waterman alignment scores the passages around them.
 
 A seed is a run of SEED words of an item. One that is unlikely to come together by chance, as the product of its words' shares of
-the corpus is small, leads to an alignment alone; any others do where two that share no word meet in one passage. The shares are counted over all documents. How often a passage is copied doesn't make its seeds common.
-Items go to the executors in blocks of a checked size, each block against all documents.
+the corpus is small, leads to an alignment alone; any others do where two that share no word meet in one passage. The shares are counted
+over all documents, as if PRIOR words more had been read that no item has; the same rule holds at every size. How often a passage is
+copied doesn't make its seeds common. The window that is aligned around a seed holds every alignment that could score enough.
+Items go to the executors in blocks of a checked size, each block against all documents; words are counted once for all blocks.
 """
 
 from __future__ import annotations
@@ -19,16 +21,14 @@ from strandline.llm.common import batches_of, ngrams, table, word_hashes
 from strandline.llm.common import words as split
 
 
-
 def words(text: str | None) -> list[bytes]:
     """Words in lower case, of every alphabet."""
     return split(text.lower() if text else text)
 
 
 SEED = 3
-RARE = 1e-7  # chance of a seed at a given place
-RARE_HITS = 0.01  # or chance hits in the whole corpus, which a small one allows more of at a place
-AT_LEAST = 5  # seeds of each item that lead alone, the rarest, where fewer are rare
+RARE = 1e-6  # chance of a seed at a given place
+PRIOR = 1_000_000
 BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, 1, 1
 LEAK = 0.5  # of the score of the item aligned with itself
@@ -85,12 +85,10 @@ def block_of(rows: list[tuple[int, str]], counts: dict[int, int], total: int) ->
     seeds: dict[int, list] = {}
     for k, h in enumerate(items):
         n = min(SEED, len(h))
-        share = np.log10([(counts.get(int(w), 0) + 1) / (total + 1) for w in h])
+        share = np.log10([(counts.get(int(w), 0) + 1) / (total + PRIOR) for w in h])
         chance = sum(share[i : len(h) - n + 1 + i] for i in range(n))
-        order = np.argsort(chance, kind="stable")
-        alone = np.zeros(len(chance), bool)
-        alone[order[: max(AT_LEAST, int((chance < np.log10(max(RARE, RARE_HITS / (total + 1)))).sum()))]] = True
-        seeds.setdefault(n, []).append((ngrams(h, n), np.full(len(chance), k), np.arange(len(chance)), alone))
+        # an item of one seed has nothing else to be found by
+        seeds.setdefault(n, []).append((ngrams(h, n), np.full(len(chance), k), np.arange(len(chance)), (chance < np.log10(RARE)) | (len(h) < 2 * SEED)))
     done = {}
     for n, parts in seeds.items():
         key, item, place, alone = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -99,8 +97,8 @@ def block_of(rows: list[tuple[int, str]], counts: dict[int, int], total: int) ->
     return Block(np.array([i for i, _ in rows]), items, [len(h) for h in items], done)
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """Best local alignment of words: score, and the span of text it ends in (start by the item's length before the end)."""
+def best_end(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
+    """Score of the best local alignment of words, and where in the text it ends."""
     row = np.zeros(len(text) + 1, np.int64)
     ramp = np.arange(len(text) + 1) * GAP
     best, end = 0, 0
@@ -112,7 +110,18 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
         top = int(row.argmax())
         if row[top] > best:
             best, end = int(row[top]), top
-    return best, max(0, end - len(item)), end
+    return best, end
+
+
+def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+    """Best local alignment of words: score, and start and end of the text's part in it."""
+    best, end = best_end(item, text)
+    return best, end - best_end(item[::-1], text[:end][::-1])[1] if best else end, end
+
+
+def reach(size: int) -> int:
+    """Words that the text of an alignment with LEAK of the best score can have more than the item of this size: each costs a gap."""
+    return int(MATCH * (1 - LEAK) * size / GAP) + 1
 
 
 def leaks(block: Block, texts: list[str | None]) -> list[list[dict]]:
@@ -143,7 +152,7 @@ def leaks(block: Block, texts: list[str | None]) -> list[list[dict]]:
     order = np.lexsort((begin, item, d))
     d, item, begin, place, alone = d[order], item[order], begin[order], place[order], alone[order]
     # seeds of one item whose passages would overlap are one passage
-    length = np.array(block.sizes)[item]
+    length = np.array([n + reach(n) for n in block.sizes])[item]
     new = np.ones(len(d), bool)
     new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (begin[1:] > begin[:-1] + length[:-1])
     first = np.flatnonzero(new)
@@ -151,10 +160,13 @@ def leaks(block: Block, texts: list[str | None]) -> list[list[dict]]:
     led = np.logical_or.reduceat(alone, first) | apart
     best: dict[tuple[int, int], tuple] = {}
     for a, b in zip(first[led].tolist(), np.append(first[1:], len(d))[led].tolist(), strict=True):
-        i, k, pad = int(d[a]), int(item[a]), block.sizes[int(item[a])] // 2 + 2
-        lo = max(int(begin[a]) - pad, int(starts[i]))
-        hi = min(int(begin[b - 1]) + block.sizes[k] + pad, int(starts[i] + sizes[i]))
-        score, s, e = align(block.items[k], h[lo:hi])
+        i, k = int(d[a]), int(item[a])
+        n, own = block.sizes[k], block.items[k]
+        lo = max(int(begin[a]) - reach(n), int(starts[i]))
+        window = h[lo : min(int(begin[b - 1]) + n + reach(n), int(starts[i] + sizes[i]))]
+        if np.isin(window, own).sum() < LEAK * n:
+            continue  # too few words of the item for the score
+        score, s, e = align(own, window)
         if score > best.get((i, k), (0,))[0]:
             best[i, k] = score, lo - int(starts[i]) + s, lo - int(starts[i]) + e
     for (i, k), (score, s, e) in sorted(best.items()):
@@ -188,12 +200,13 @@ def leak_finder(docs: DataFrame, items: DataFrame, text_col: str = "text", item_
     An item is held if the best local alignment has LEAK of the score of an exact copy. Null and empty texts hold nothing; without items
     no text does. Of several items of one id each counts.
     """
-    rows = item_blocks(items, item_id_col, item_text_col)
-    columns = []
-    for block in rows:
-        vocabulary = np.unique(np.concatenate([word_hashes(words(t)) for _, t in block]))
-        columns.append(finder(block_of(block, *word_shares(docs, vocabulary, text_col)))(F.col(text_col)))
-    return F.concat(*columns) if columns else F.array().cast(FOUND)
+    blocks = item_blocks(items, item_id_col, item_text_col)
+    if not blocks:
+        return F.array().cast(FOUND)
+    vocabulary = np.unique(np.concatenate([word_hashes(words(t)) for block in blocks for _, t in block]))
+    counts, total = word_shares(docs, vocabulary, text_col)
+    columns = [finder(block_of(block, counts, total))(F.col(text_col)) for block in blocks]
+    return F.concat(*columns)
 
 
 def op10_seed_align(spark, sf_dir: str) -> DataFrame:

@@ -156,3 +156,51 @@ def test_leaks_without_rare_words():
     noise = " ".join(f"n{i}" for i in range(50))
     got = leaks(block, [f"{noise} {edited} {noise}", f"{noise} this from {noise}", f"{noise} the of and {noise}"])
     assert [[x["item_id"] for x in r] for r in got] == [[7], [], []] and got[0][0]["score"] > 0.8
+
+
+def edited_copy(rng, item, share):
+    """Words of an item, some of them replaced, left out or preceded by others."""
+    out = []
+    for w in item:
+        if rng.random() >= share:
+            out.append(w)
+        else:
+            out += rng.choice(([], [f"e{rng.randint(0, 99)}"], [f"e{rng.randint(0, 99)}", w]))
+    return out
+
+
+@pytest.mark.parametrize("total", [2_000, 1_000_000_000])
+def test_leaks_against_whole_texts(total):
+    """Random edits and long insertions, at both ends of corpus size: what alignment with the whole text finds, the seeds find too."""
+    from strandline.llm.common import word_hashes
+    from strandline.llm.decontaminate import LEAK, MATCH, align, block_of, leaks
+
+    rng = random.Random(12)
+    items = [[f"w{int(rng.paretovariate(0.4)) % 3000}" for _ in range(rng.randint(12, 50))] for _ in range(40)]
+    texts = []
+    for k in range(400):
+        item = items[k % 40]
+        if k % 2:
+            at = len(item) // 3
+            copy = item[:at] + [f"i{rng.randint(0, 99)}" for _ in range(rng.randint(1, len(item) - 2))] + item[at:]
+        else:
+            copy = edited_copy(rng, item, rng.choice([0.1, 0.2, 0.3]))
+        around = [[f"w{int(rng.paretovariate(0.4)) % 3000}" for _ in range(60)] for _ in range(2)]
+        texts.append(around[0] + copy + around[1])
+    counts = {int(h): max(1, int(total * 0.4 / r)) for r, h in enumerate(word_hashes([f"w{i}".encode() for i in range(3000)]), 1)}
+    block = block_of([(i, " ".join(x)) for i, x in enumerate(items)], counts, total)
+    got = [{x["item_id"]: x for x in r} for r in leaks(block, [" ".join(t) for t in texts])]
+    held, found = 0, 0
+    for k, t in enumerate(texts):
+        score, start, end = align(block.items[k % 40], word_hashes([w.encode() for w in t]))
+        if score >= LEAK * MATCH * len(items[k % 40]):
+            held += 1
+            found += k % 40 in got[k]
+            if k % 40 in got[k]:
+                x = got[k][k % 40]
+                assert x["score"] * MATCH * len(items[k % 40]) == pytest.approx(score)
+                assert align(block.items[k % 40], word_hashes([w.encode() for w in t[x["start"] : x["end"]]]))[0] == score
+    assert held > 300 and found >= 0.99 * held, (held, found)
+    for k, g in enumerate(got):  # others that are found are held as well
+        for i, x in g.items():
+            assert x["score"] * MATCH * len(items[i]) <= align(block.items[i], word_hashes([w.encode() for w in texts[k]]))[0] + 1e-9
