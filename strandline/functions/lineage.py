@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a local one only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster shares (spark.checkpoint.dir). Only a local session, which is one machine, may have none: it gets a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
