@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a local one only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/strandline/{name}-{uuid.uuid4().hex}"
+from strandline.functions.lineage import work_path
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -75,15 +65,19 @@ def batches_of(texts: list, size: int):
         yield start, len(texts)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and label of at most per_class documents of each label, the first by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int, most: int, size: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text and label of at most per_class ids of each label, the first by a hash of the id, and of those the first whose sizes sum up to no more than most.
 
-    usable: a condition on the id. Null labels are left out; of several labels of one id the highest counts; of several documents
-    of one id, all. The bound makes the broadcast of the chosen ids safe at every size.
+    usable: a condition on the id; size: of a document, as an expression of docs (its bytes, its lines). Null labels are left out; of
+    several labels of one id the highest counts; of several documents of one id, all, and their sizes add up. Ids whose documents alone
+    exceed a sixteenth of the bound are left out. Both bounds together make the sample safe to collect at every size.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("y")).filter("doc_id is not null and y in (0, 1)").filter(usable)
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(size, F.lit(0)).alias("size")).groupBy("doc_id").agg(F.sum("size").alias("size"))
+    ready = known.join(sizes.filter(F.col("size") <= most // 16), "doc_id").withColumn("order", F.xxhash64("doc_id"))
+    first = ready.filter("y = 0").orderBy("order", "doc_id").limit(per_class).unionByName(ready.filter("y = 1").orderBy("order", "doc_id").limit(per_class))
+    upto = F.sum("size").over(Window.partitionBy("y").orderBy("order", "doc_id"))
+    chosen = first.withColumn("upto", upto).filter(F.col("upto") <= most).select("doc_id", "y")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    order = F.xxhash64("doc_id")
-    chosen = known.filter("y = 0").orderBy(order, "doc_id").limit(per_class).unionByName(known.filter("y = 1").orderBy(order, "doc_id").limit(per_class))
     return rows.join(F.broadcast(chosen), "doc_id")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import batches_of, mix, table
+from strandline.llm.common import batches_of, labelled_sample, mix, table
 
 # The patterns of the base kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -201,7 +202,7 @@ WINDOW = 25
 
 
 def windows(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Feature numbers and tags of windows of tokens: around each base span, and one in each text without."""
+    """Feature numbers and tags of windows of tokens: around each base span, and one in each text without. Short texts are filled up with their break."""
     texts = [t or "" for t in texts]
     if not texts:
         return
@@ -209,8 +210,6 @@ def windows(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     bounds = np.searchsorted(t["doc"], np.arange(len(texts) + 1))
     for d, text in enumerate(texts):
         lo, hi = int(bounds[d]), int(bounds[d + 1]) - 1
-        if hi - lo < WINDOW:
-            continue
         tag = np.zeros(hi - lo, np.int8)
         starts, ends = t["start"][lo:hi], t["end"][lo:hi]
         centres = []
@@ -220,9 +219,12 @@ def windows(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 tag[i : max(j, i + 1)] = 2
                 tag[i] = 1
                 centres.append(i)
+        rows = t["features"][:, lo:hi]
+        if (less := WINDOW - (hi - lo)) > 0:
+            rows, tag = np.hstack([rows, np.repeat(t["features"][:, hi : hi + 1], less, 1)]), np.append(tag, np.zeros(less, np.int8))
         for i in centres or [(hi - lo) * 7 // 13]:
-            a = min(max(i - WINDOW // 2, 0), hi - lo - WINDOW)
-            yield t["features"][:, lo + a : lo + a + WINDOW], tag[a : a + WINDOW]
+            a = min(max(i - WINDOW // 2, 0), len(tag) - WINDOW)
+            yield rows[:, a : a + WINDOW], tag[a : a + WINDOW]
 
 
 def fit(features: np.ndarray, tags: np.ndarray, rounds: int = 60, rate: float = 0.2, l2: float = 1e-4) -> TagField:
@@ -265,8 +267,19 @@ def fit(features: np.ndarray, tags: np.ndarray, rounds: int = 60, rate: float =
     return TagField(w.astype(np.float32), step.astype(np.float32))
 
 
-def train_secrets(docs: DataFrame, most_docs: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> TagField:
-    """Fits the field on the windows of at most most_docs documents, the first by a hash of the id. Executors make the features."""
+def examples(text: Column) -> Column:
+    """Whether a text has a match of a base kind, by built-in functions."""
+    long = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]{12,}"
+    return F.coalesce(text.rlike(f"{long}|AKIA[A-Z0-9]{{14,}}|[0-9a-f]{{16,}}"), F.lit(False))
+
+
+def train_secrets(docs: DataFrame, most_docs: int = 8000, most_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> TagField:
+    """Fits the field on the windows of at most most_docs documents and most_bytes of text, half of them from those with base spans, half from those without.
+
+    All documents are looked through for base spans first, so that the examples don't get fewer as other documents get more; within each half
+    the first by a hash of the id are taken (see labelled_sample), of any length. Executors make the features. Rows without an id are never in
+    the sample. Without an example the field tags nothing, and a warning says so.
+    """
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -275,11 +288,14 @@ def train_secrets(docs: DataFrame, most_docs: int = 8000, id_col: str = "doc_id"
                 found = list(windows(texts[a:b]))
                 yield pd.DataFrame({"x": [np.ascontiguousarray(x, np.int32).tobytes() for x, _ in found], "y": [y.tobytes() for _, y in found]})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    chosen = rows.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    got = sorted((bytes(r.x), bytes(r.y)) for r in rows.join(F.broadcast(chosen), "doc_id").mapInPandas(run, "x binary, y binary").collect())
+    held = docs.select(F.col(id_col).alias(id_col), examples(F.col(text_col)).cast("int").alias("y"))
+    chosen = labelled_sample(docs, held, "y", F.lit(True), most_docs // 2, most_bytes // 2, F.octet_length(F.col(text_col)), id_col, text_col)
+    got = sorted((bytes(r.x), bytes(r.y)) for r in chosen.select("text").mapInPandas(run, "x binary, y binary").collect())
     x = np.frombuffer(b"".join(a for a, _ in got), np.int32).reshape(-1, len(COLUMNS), WINDOW)
-    return fit(x, np.frombuffer(b"".join(b for _, b in got), np.int8).reshape(-1, WINDOW))
+    y = np.frombuffer(b"".join(b for _, b in got), np.int8).reshape(-1, WINDOW)
+    if not y.any():
+        warnings.warn("no document has a secret to learn from: the field tags nothing", stacklevel=2)
+    return fit(x, y)
 
 
 FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"

@@ -50,45 +50,67 @@ class Machine:
         return self.w0 + by_doc(self.w[term]) + 0.5 * (by_doc(v) ** 2 - by_doc(v * v)).sum(1)
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = 8, least_docs: int = 5, least_z: float = 4.0, rounds: int = 150, rate: float = 0.05, l2: float = 1e-4, seed: int = 11) -> Machine:
-    """Fits by Adam on the logistic loss. docs: distinct buckets of each document.
+def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = 8, least_docs: int = 5, epochs: int = 15, batch: int = 400, rate: float = 0.03, z_weight: float = 4.0, z_factor: float = 4.0, rounds: int = 150, l2: float = 1e-4, seed: int = 11) -> Machine:
+    """Fits by Adam on the logistic loss, in batches of documents. docs: distinct buckets of each document.
 
-    Terms of fewer than least_docs documents, or whose share differs between the classes by less than least_z standard errors, get no
-    weight. Without both labels the machine says 0.5.
+    Every term of least_docs documents or more starts with factors, whether its share differs between the labels or not: pairs may tell
+    what single terms don't. A weight, or the factors of a term as a group, shrink by so many standard errors of their gradient, so that
+    terms which tell nothing, alone and in pairs, end at zero and leave the machine. The others are then fitted without shrinking, in
+    rounds over all documents. Without both labels the machine says 0.5.
     """
     y = np.asarray(y, float)
     none = Machine(np.empty(0, np.int32), 0.0, np.empty(0), np.empty((0, rank)))
     if not len(y) or y.min() == y.max():
         return none
     buckets, back = np.unique(np.concatenate(docs), return_inverse=True)
-    row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    n1, n0 = y.sum(), (1 - y).sum()
-    in1, in_all = np.bincount(back, y[row], len(buckets)), np.bincount(back, minlength=len(buckets))
-    share = in_all / len(y)
-    z = (in1 / n1 - (in_all - in1) / n0) / np.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-9)
-    keep = (in_all >= least_docs) & (np.abs(z) >= least_z)
-    place = np.cumsum(keep) - 1
-    hit = keep[back]
-    row, term, m = row[hit], place[back[hit]], int(keep.sum())
+    keep = np.bincount(back, minlength=len(buckets)) >= least_docs
+    place, m = np.cumsum(keep) - 1, int(keep.sum())
+    row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])[keep[back]]
+    term = place[back[keep[back]]]
     bounds = np.searchsorted(row, np.arange(len(docs) + 1))
+    spread = np.sqrt(np.bincount(term, minlength=m)) / len(docs)  # of a term's gradient, for an error of 1
     rng = np.random.default_rng(seed)
-    base = float(np.log(n1 / n0))
-    model = Machine(buckets[keep], base, np.zeros(m), rng.normal(0, 0.01, (m, rank)))
-    state = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in (("w", model.w), ("v", model.v), ("w0", np.zeros(1)))}
-    for t in range(1, rounds + 1):
+    theta = np.hstack([np.zeros((m, 1)), rng.normal(0, 0.05, (m, rank))])  # a weight and the factors of each term
+    w0 = float(np.log(y.sum() / (1 - y).sum()))
+    first, second, turn = np.zeros_like(theta), np.zeros_like(theta), 0
+    for _ in range(epochs):
+        order = rng.permutation(len(docs))
+        for part in np.array_split(order, max(1, len(docs) // batch)):
+            turn += 1
+            size = bounds[part + 1] - bounds[part]
+            own = np.repeat(np.arange(len(part)), size)
+            at = term[np.repeat(bounds[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            x = theta[at]
+            total = np.stack([np.bincount(own, x[:, k], len(part)) for k in range(rank + 1)], 1)
+            square = np.bincount(own, (x[:, 1:] ** 2).sum(1), len(part))
+            margin = w0 + total[:, 0] + 0.5 * ((total[:, 1:] ** 2).sum(1) - square)
+            err = y[part] - 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
+            push = err[own, None] / len(part) * np.hstack([np.ones((len(own), 1)), total[own, 1:] - x[:, 1:]])
+            grad = np.stack([np.bincount(at, push[:, k], m) for k in range(rank + 1)], 1)
+            first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
+            step = rate / (np.sqrt(second / (1 - 0.99**turn)) + 1e-6)
+            theta = theta + step * (first / (1 - 0.9**turn))
+            off = spread * np.sqrt((err**2).mean())
+            theta[:, 0] = np.sign(theta[:, 0]) * np.maximum(np.abs(theta[:, 0]) - step[:, 0] * z_weight * off, 0)
+            length = np.sqrt((theta[:, 1:] ** 2).sum(1))
+            less = step[:, 1:].mean(1) * z_factor * off * np.sqrt((total[:, 1:] ** 2).sum(1).mean())
+            theta[:, 1:] *= np.maximum(1 - less / np.maximum(length, 1e-12), 0)[:, None]
+            w0 += rate * err.mean()
+    live = theta.any(1)
+    place, some, m = np.cumsum(live) - 1, live[term], int(live.sum())
+    row, term, theta = row[some], place[term[some]], theta[live]
+    model = Machine(buckets[keep][live], w0, theta[:, 0], theta[:, 1:])
+    bounds = np.searchsorted(row, np.arange(len(docs) + 1))
+    first, second = np.zeros_like(theta), np.zeros_like(theta)
+    for turn in range(1, rounds + 1):
         err = (y - 1 / (1 + np.exp(-np.clip(model.margin(term, bounds), -40, 40)))) / len(y)
-        vt = model.v[term]
-        total = np.stack([np.bincount(row, vt[:, f], len(docs)) for f in range(rank)], 1)
-        gv = np.stack([np.bincount(term, err[row] * (total[row, f] - vt[:, f]), m) for f in range(rank)], 1)
-        grads = {"w": np.bincount(term, err[row], m) - l2 * model.w, "v": gv - l2 * model.v, "w0": np.array([err.sum()])}
-        for k, g in grads.items():
-            a, b = state[k]
-            a[:], b[:] = 0.9 * a + 0.1 * g, 0.99 * b + 0.01 * g * g
-            move = rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)
-            if k == "w0":
-                model.w0 += float(move[0])
-            else:
-                setattr(model, k, getattr(model, k) + move)
+        x = theta[term]
+        total = np.stack([np.bincount(row, x[:, k], len(docs)) for k in range(1, rank + 1)], 1)
+        push = err[row, None] * np.hstack([np.ones((len(row), 1)), total[row] - x[:, 1:]])
+        grad = np.stack([np.bincount(term, push[:, k], m) for k in range(rank + 1)], 1) - l2 * theta
+        first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
+        theta = theta + rate * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.99**turn)) + 1e-6)
+        model = Machine(model.buckets, model.w0 + rate * float(err.sum()) * 10, theta[:, 0], theta[:, 1:])
     return model
 
 
@@ -105,14 +127,17 @@ def score_texts(model: Machine, texts: list[str | None], place: np.ndarray) -> n
     return 1 / (1 + np.exp(-np.clip(np.concatenate(out), -40, 40))) if out else np.empty(0)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 4000, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Machine:
-    """Fits the machine on a bounded sample: at most per_class documents of each label (see labelled_sample). Executors make the terms."""
+def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 4000, most_bytes: int = 32 << 20, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Machine:
+    """Fits the machine on a bounded sample: at most per_class documents and most_bytes of text of each label (see labelled_sample).
+
+    Executors make the terms. Null and empty texts are documents without terms; rows without an id are never in the sample.
+    """
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             yield pd.DataFrame({"y": pdf.y.to_numpy(), "terms": [np.unique(hashed_terms(t)).tobytes() for t in pdf.text]})
 
-    rows = labelled_sample(docs, labels, label, usable, per_class, id_col, text_col).mapInPandas(run, "y int, terms binary").collect()
+    rows = labelled_sample(docs, labels, label, usable, per_class, most_bytes, F.octet_length(F.col(text_col)), id_col, text_col).mapInPandas(run, "y int, terms binary").collect()
     rows.sort(key=lambda r: (r.y, bytes(r.terms)))
     return fit([np.frombuffer(r.terms, np.int32) for r in rows], np.array([r.y for r in rows]))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import language_model as lm
 from strandline.llm import quality, secrets, toxicity
-from strandline.llm.common import table, words
+from strandline.llm.common import labelled_sample, table, words
 from strandline.llm.queries import QUERIES
 
 
@@ -61,15 +61,57 @@ def test_pairs_of_terms():
     assert np.allclose(m.margin(np.array(sum(docs, []), int), np.cumsum([0, *map(len, docs)])), want)
 
 
-def test_learns_interactions():
-    """Neither term tells anything alone; both together do."""
-    rng = np.random.default_rng(2)
-    x = rng.random((800, 2)) < 0.5
-    docs = [np.array([i for i in (0, 1) if row[i]] + [2], np.int32) for row in x]
-    y = (x[:, 0] == x[:, 1]).astype(float)
-    model = toxicity.fit(docs, y, least_z=0, rounds=400)
-    p = model.margin(np.concatenate(docs), np.cumsum([0, *map(len, docs)])) > 0
-    assert (p == y).mean() > 0.7
+def test_hidden_line_tags():
+    """Labels are of documents alone; a bad block in a good document, and a good one in a bad document, are tagged by what they are."""
+    rng = random.Random(3)
+    good = lambda: " ".join(rng.choice(["the", "house", "stands", "near", "rivers", "and", "Hills"]) for _ in range(rng.randint(6, 14))).capitalize() + "."
+    bad = lambda: " ".join(rng.choice(["$$$", "BUY!!!", "click>>", "###", "100%", "WIN"]) for _ in range(rng.randint(6, 14)))
+
+    def document(y):
+        lines = [(good() if y else bad()) for _ in range(rng.randint(6, 20))]
+        if rng.random() < 0.5:  # a block of the other kind
+            at, k = rng.randint(0, len(lines)), rng.randint(1, 3)
+            lines[at : at] = [(bad() if y else good()) for _ in range(k)]
+        return "\n".join(lines)
+
+    y = [k % 2 for k in range(300)]
+    parts = [quality.line_features(document(v)) for v in y]
+    model = quality.fit(np.vstack([f for f, _ in parts]), np.array(y, float), np.concatenate([n for _, n in parts]), np.array([len(n) for _, n in parts]))
+    assert np.isfinite(model.step).all() and model.step.any()
+    for _ in range(20):
+        tags = quality.line_tags(model, "\n".join([good() for _ in range(9)] + [bad() for _ in range(3)] + [good() for _ in range(6)])) > 0.5
+        assert tags.tolist() == [True] * 9 + [False] * 3 + [True] * 6
+        tags = quality.line_tags(model, "\n".join([bad() for _ in range(9)] + [good() for _ in range(3)] + [bad() for _ in range(6)])) > 0.5
+        assert tags.tolist() == [False] * 9 + [True] * 3 + [False] * 6
+    score = quality.score_texts(model, [document(v) for v in y])
+    assert ((score >= 0.5) == np.array(y, bool)).mean() > 0.98
+
+
+def test_samples_are_bounded(spark):
+    """By rows, by the sum of sizes, and by the size of one id's documents."""
+    docs = spark.createDataFrame([(i, "x" * 10) for i in range(50)] + [(60, "y" * 500), (61, None), (None, "z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(62)], "doc_id long, toxic int")
+    taken = lambda per_class, most: labelled_sample(docs, labels, "toxic", F.lit(True), per_class, most, F.octet_length("text")).groupBy("y").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).collect()
+    assert all(r.n <= 5 for r in taken(5, 10_000)) and all(r["size"] <= 160 for r in taken(50, 160)) and sum(r.n for r in taken(50, 4000)) == 51
+
+
+@pytest.mark.parametrize("noise", [0, 30])
+def test_learns_interactions(noise):
+    """Two terms of which neither tells anything alone, among others that tell nothing at all; held out, with the settings of production."""
+
+    def sample(seed):
+        rng = np.random.default_rng(seed)
+        x = rng.random((4000, 2)) < 0.5
+        docs = [np.unique(np.array([*np.flatnonzero(row), 2, *np.minimum(rng.pareto(0.8, noise), 3000).astype(int) + 10], np.int32)) for row in x]
+        return docs, (x[:, 0] == x[:, 1]).astype(float)
+
+    model = toxicity.fit(*sample(1))
+    place = np.full(4000, -1)
+    place[model.buckets] = np.arange(len(model.buckets))
+    docs, y = sample(2)
+    known = [place[d][place[d] >= 0] for d in docs]
+    p = model.margin(np.concatenate(known), np.cumsum([0, *map(len, known)])) > 0
+    assert (p == y).mean() > 0.98 and len(model.buckets) < 200
 
 
 def test_secret_spans(spark, odd_docs, no_docs):
