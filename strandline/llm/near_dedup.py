@@ -1,12 +1,12 @@
 """Near-duplicates by MinHash: an LSH forest of several sorted signature orders.
 
 Each tree orders the distinct shingle sets by the same signature with its functions in another sequence. Neighbours in that order
-share the longest prefixes; a region is a run that shares the first DEPTH of them. Small regions are compared whole; in
-larger ones the order itself goes deeper, and each set meets the REACH before and behind it. In a first pass each tree names
-the best partner of each set; those are confirmed on the full sets, the best of all trees first, until the sets of a crowded region are
-one component. A second pass names every pair in reach that would still join two components, and confirms them all.
-Regions that exceed the reach and still hold several components are joined at last on the rarest shingles of the full sets (a prefix
-filter, which loses no pair).
+share the longest prefixes, and each set meets the REACH before and behind it that share the first DEPTH functions. The depth adapts to the
+region: where more sets share a prefix than the reach holds, a set meets all those that share a longer one with it. The depth from which on
+a tree loses nothing is noted for each set, and with it how much of a tree is lost to it; range borders count as lost. In a first pass each tree names
+the best partner of each set; those are confirmed on the full sets, the best of all trees first. A second pass names every pair in reach that would still join two components, and confirms them all. Sets to which more than
+WEAK tree is lost, and that share a region with another such set of another component, are joined at last on the rarest shingles of
+their full sets (a prefix filter, which loses no pair).
 """
 
 from __future__ import annotations
@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import mix, ngrams, table, word_hashes, words, written
-from strandline.llm.components import components
+from strandline.llm.components import merged
 
 SHINGLE, FUNCTIONS, TREES, DEPTH, REACH = 5, 64, 12, 3, 16
 LEAST = 85  # percent of the union that must be shared
 HOT = 2000  # sets of one shingle that meet in one place; more are dealt to pairs of blocks
 AGREE = 42  # of the 64 functions; pairs at the threshold agree in 54 on average, with a deviation of 2.9
 ROUNDS = 2  # in which each set tries its best partner, before all the others
+WEAK = 1  # tree; the others are enough even where copies differ in just what sets them apart from a crowd
+RANGE_ROWS = 20_000  # of an order, in a task
 
 _rng = np.random.default_rng(20)
 MULTIPLY = _rng.integers(1, 2**63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,7 +85,27 @@ def sorted_orders(sets: DataFrame) -> DataFrame:
                     yield pd.DataFrame({"tree": t, "sequence": [x.tobytes() for x in sig[:, ORDERS[t]]], "node": pdf.node, "n": pdf.n, "root": pdf.root})
 
     planted = sets.select("node", "n", "sig", "root").mapInPandas(plant, "tree int, sequence binary, node long, n long, root long")
-    return planted.repartitionByRange("tree", "sequence").sortWithinPartitions("tree", "sequence", "node")
+    ranges = max(1, -(-sets.count() * TREES // RANGE_ROWS))
+    return planted.repartitionByRange(ranges, "tree", "sequence").sortWithinPartitions("tree", "sequence", "node")
+
+
+def covered(pdf: pd.DataFrame) -> np.ndarray:
+    """For each row of an order with a row of context on either side: how many functions a set must share with it to be in its reach for sure.
+
+    That is one more than it shares with the first set beyond the reach; rows without one before or behind them in the range are lost (FUNCTIONS).
+    """
+    sig = np.frombuffer(b"".join(pdf.sequence), ">u2").reshape(len(pdf), FUNCTIONS)
+    tree = pdf.tree.to_numpy()
+    k = REACH + 1
+    beyond = np.full(len(pdf), FUNCTIONS)
+    if len(pdf) > k:
+        same = (sig[k:] == sig[:-k]) & (tree[k:] == tree[:-k])[:, None]
+        shared = np.where(same.all(1), FUNCTIONS, same.argmin(1))
+        beyond[:] = 0
+        beyond[k:] = shared
+        beyond[:-k] = np.maximum(beyond[:-k], shared)
+        beyond[:k] = beyond[-k:] = FUNCTIONS
+    return np.minimum(beyond + 1, FUNCTIONS)
 
 
 def candidates(pdf: pd.DataFrame, fresh: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -104,13 +126,23 @@ def ordered_pairs(a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pd.DataFra
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "agree": agree.astype(np.int32)})
 
 
-def best_partners(sets: DataFrame) -> DataFrame:
-    """The pair (a, b, agree) of each set and its best partner in each tree."""
+FOREST = "a long, b long, agree int, loss double"
+
+
+def first_pass(sets: DataFrame) -> DataFrame:
+    """The pair (a, b, agree) of each set and its best partner in each tree, and the lost part of each tree that covers a set a at more than DEPTH only."""
+
+    def rows(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        some = pdf[pdf.best > 0]
+        yield ordered_pairs(some.node.to_numpy(), some.partner.to_numpy(), some.best.to_numpy()).assign(loss=np.nan)
+        deep = pdf[pdf.cover > DEPTH]
+        loss = 1 - np.log1p(-((LEAST / 100) ** deep.cover.to_numpy())) / np.log1p(-((LEAST / 100) ** DEPTH))
+        yield pd.DataFrame({"a": deep.node, "b": pd.array([None] * len(deep), "Int64"), "agree": pd.array([None] * len(deep), "Int32"), "loss": loss})
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for pdf in it:
-            pdf = pdf.assign(best=0, partner=pdf.node)
+            pdf = pdf.assign(best=0, partner=pdf.node, cover=0)
             fresh = len(rest) if rest is not None else 0
             pdf = pd.concat([rest, pdf], ignore_index=True) if rest is not None else pdf
             node, best, partner = pdf.node.to_numpy(), pdf.best.to_numpy().copy(), pdf.partner.to_numpy().copy()
@@ -118,15 +150,18 @@ def best_partners(sets: DataFrame) -> DataFrame:
                 for x, y in ((i, j), (j, i)):  # each x is there once at most
                     up = agree > best[x]
                     best[x[up]], partner[x[up]] = agree[up], node[y[up]]
-            pdf = pdf.assign(best=best, partner=partner)
-            done, rest = pdf.iloc[:-REACH], pdf.iloc[-REACH:]
-            done = done[done.best > 0]
-            yield ordered_pairs(done.node.to_numpy(), done.partner.to_numpy(), done.best.to_numpy())
+            # rows of the batch before have their cover but for the last ones, which were at an end then
+            cover = covered(pdf)
+            old = pdf.cover.to_numpy()
+            known = np.arange(len(pdf)) < fresh - REACH - 1
+            pdf = pdf.assign(best=best, partner=partner, cover=np.where(known, old, cover))
+            cut = max(0, len(pdf) - 2 * REACH - 2)
+            yield from rows(pdf.iloc[:cut])
+            rest = pdf.iloc[cut:]
         if rest is not None:
-            rest = rest[rest.best > 0]
-            yield ordered_pairs(rest.node.to_numpy(), rest.partner.to_numpy(), rest.best.to_numpy())
+            yield from rows(rest)
 
-    return sorted_orders(sets).mapInPandas(run, PAIRS).distinct()
+    return sorted_orders(sets).mapInPandas(run, FOREST)
 
 
 def open_pairs_of(sets: DataFrame) -> DataFrame:
@@ -145,8 +180,11 @@ def open_pairs_of(sets: DataFrame) -> DataFrame:
     return sorted_orders(sets).mapInPandas(run, PAIRS).distinct()
 
 
-def crowded_sets(sets: DataFrame) -> DataFrame:
-    """node, root of the sets (node, sig, root) in a region of some tree that exceeds the reach and holds several roots."""
+def crowded_sets(thin: DataFrame) -> DataFrame:
+    """node, root of those sets (node, sig, root), all thinly covered, that share a region of some tree with another of a different root.
+
+    A pair of which one is well covered meets in the reach of that one, so the others need not be looked at.
+    """
 
     def plant(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -158,9 +196,9 @@ def crowded_sets(sets: DataFrame) -> DataFrame:
                         region = region << 16 | sig[:, k].astype(np.int64)
                     yield pd.DataFrame({"region": region, "node": pdf.node, "root": pdf.root})
 
-    rows = sets.select("node", "sig", "root").mapInPandas(plant, "region long, node long, root long")
-    runs = rows.groupBy("region").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high"))
-    return rows.join(runs.filter((F.col("k") > REACH + 1) & (F.col("low") < F.col("high"))).select("region"), "region", "left_semi").select("node", "root").distinct()
+    rows = thin.select("node", "sig", "root").mapInPandas(plant, "region long, node long, root long")
+    runs = rows.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return rows.join(runs.filter("low < high").select("region"), "region", "left_semi").select("node", "root").distinct()
 
 
 def crowded_pairs(full: DataFrame, roots: DataFrame) -> DataFrame:
@@ -210,18 +248,16 @@ def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(run, "a long, b long")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each document: linked if 100 * shared >= 85 * union of their shingle sets.
-
-    Null and empty texts have no shingles and are linked with nothing. Rows of one id count each for itself; rows without an id
-    are left out. Of each component the smallest id is kept.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).filter("d is not null")
-    signed = written(signed_sets(rows), "signatures")
-    sets = signed.filter("node is not null").groupBy("node").agg(F.min("d").alias("d"), F.min("n").alias("n"), F.min("sig").alias("sig"))
+def owners_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """d, n, node of documents (d, t), and key, smallest: of each set the smallest d of its component."""
+    signed = written(signed_sets(docs), "signatures")
+    sets = written(signed.filter("node is not null").groupBy("node").agg(F.min("d").alias("d"), F.min("n").alias("n"), F.min("sig").alias("sig")), "sets")
     # a smaller set is too far even from one that holds it and one shingle more
-    large = sets.filter(100 * F.col("n") >= LEAST * (F.col("n") + 1)).select("node", "n", "sig")
-    pairs = written(best_partners(large.withColumn("root", F.col("node"))), "pairs")
+    large = sets.filter(100 * F.col("n") >= LEAST * (F.col("n") + 1))
+    forest = written(first_pass(large.withColumn("root", F.col("node"))), "forest")
+    pairs = forest.filter("b is not null").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    pairs = written(pairs, "pairs")
+    thin = forest.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("loss").alias("loss")).filter(F.col("loss") > WEAK).select("node")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def unfold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,48 +268,58 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def full_sets(nodes: DataFrame) -> DataFrame:
         chosen = sets.join(nodes, "node", "left_semi").select(F.col("d").alias("c")).distinct()
-        unfolded = rows.join(chosen, F.col("d") == F.col("c"), "left_semi").select("t").mapInPandas(unfold, "node long, members binary")
-        return written(unfolded.dropDuplicates(["node"]), "sets")
+        unfolded = docs.join(chosen, F.col("d") == F.col("c"), "left_semi").select("t").mapInPandas(unfold, "node long, members binary")
+        return written(unfolded.dropDuplicates(["node"]), "members")
 
     full = full_sets(nodes)
-    links, roots = None, None
+    roots = large.select("node", F.col("node").alias("root"))
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    for turn in range(ROUNDS + 2):
+    for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
             both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
             best = both.groupBy("a").agg(F.max(F.struct("agree", F.col("b"))).alias("best")).select("a", F.col("best.b").alias("b"))
             tried = written(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
         else:
-            tried = pairs.select("a", "b")
-        found = written(confirmed(tried, full), "links")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        if turn < ROUNDS:
-            left = pairs.join(tried, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
-            left = left.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
-            pairs = written(left.select("a", "b", "agree"), "pairs")
-        elif turn == ROUNDS:
             # sets without a partner in the first pass have none in reach
-            named = large.join(nodes, "node", "left_semi").join(root("node"), "node", "left").select("node", "n", "sig", F.coalesce("node_root", "node").alias("root"))
-            pairs = written(open_pairs_of(named), "pairs")
-            if pairs.isEmpty():
-                break
-    placed = large.join(root("node"), "node", "left").select("node", "sig", F.coalesce("node_root", "node").alias("root"))
-    crowd = written(crowded_sets(placed), "crowd")
-    if not crowd.isEmpty():
+            tried = written(open_pairs_of(large.join(nodes, "node", "left_semi").join(roots, "node").select("node", "n", "sig", "root")), "pairs")
+        if tried.isEmpty():
+            continue
+        roots = merged(roots, written(confirmed(tried, full), "links"))
+        if turn < ROUNDS - 1:
+            left = pairs.join(tried, ["a", "b"], "left_anti").join(root("a"), "a").join(root("b"), "b")
+            pairs = written(left.filter("a_root <> b_root").select("a", "b", "agree"), "pairs")
+    if not thin.isEmpty():
+        crowd = written(crowded_sets(large.join(thin, "node", "left_semi").join(roots, "node").select("node", "sig", "root")), "crowd")
         full = full_sets(crowd.select("node")).join(crowd.select("node"), "node", "left_semi")  # rows of one id may bring sets of others
-        pairs = written(crowded_pairs(full, crowd), "pairs")
-        links = links.unionByName(written(confirmed(pairs, full), "links"))
-        roots = components(links)
+        roots = merged(roots, written(confirmed(written(crowded_pairs(full, crowd), "pairs"), full), "links"))
     owners = sets.select("node", "d").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = owners.groupBy("root").agg(F.min("d").alias("smallest"))
     # joined on the root, a group of near copies is as hot as it is large; both sides are exchanged as they are, so that Spark can split it
-    owners = owners.join(smallest, "root").select(F.col("node").alias("key"), "smallest")
+    return signed.select("d", "n", "node"), written(owners.join(smallest, "root").select(F.col("node").alias("key"), "smallest"), "owners")
+
+
+def with_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).filter("d is not null")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each document: linked if 100 * shared >= 85 * union of their shingle sets.
+
+    Null and empty texts have no shingles and are linked with nothing. Rows of one id count each for itself; rows without an id
+    are left out. Of each component the smallest id is kept.
+    """
+    signed, owners = owners_of(with_id(docs, id_col, text_col))
     named = signed.join(owners, F.col("node") == F.col("key"), "left")
     component = F.coalesce("smallest", "d")
     return named.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("d") == component).alias("kept"))
 
 
+def kept_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, once each, of the documents that near_components keeps; documents don't meet their group for it."""
+    signed, owners = owners_of(with_id(docs, id_col, text_col))
+    return owners.select(F.col("smallest").alias("doc_id")).unionByName(signed.filter("node is null").select(F.col("d").alias("doc_id"))).distinct()
+
+
 def op2_lsh_forest(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return near_components(table(spark, sf_dir, "documents"))

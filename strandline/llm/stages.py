@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.decontaminate import leak_finder
-from strandline.llm.near_dedup import near_components
+from strandline.llm.near_dedup import kept_ids
 from strandline.llm.quality import quality_score, train_quality
 from strandline.llm.secrets import redacted, train_secrets
 
@@ -18,11 +18,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, usable: Column | None = None,
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
-    """One document, that of the smallest id, of each component of near-duplicates; of rows of one id, one. Rows without an id are left out."""
-    found = near_components(docs)
-    kept = found.filter("kept").select("doc_id").distinct()
+    """One document, that of the smallest id, of each component of near-duplicates; of rows of one id, that of the smallest text. Rows without an id are left out."""
+    kept = kept_ids(docs)
     if not docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
-        docs = docs.dropDuplicates(["doc_id"])
+        first = F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns)))
+        docs = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(first.alias("_x")).select("_x.*")
     return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
 
 
