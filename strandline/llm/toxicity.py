@@ -50,7 +50,7 @@ class Machine:
         return self.w0 + by_doc(self.w[term]) + 0.5 * (by_doc(v) ** 2 - by_doc(v * v)).sum(1)
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = 8, least_docs: int = 5, epochs: int = 15, batch: int = 400, rate: float = 0.03, z_weight: float = 4.0, z_factor: float = 4.0, rounds: int = 150, l2: float = 1e-4, seed: int = 11) -> Machine:
+def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = 8, least_docs: int = 5, epochs: int = 15, batch: int = 400, rate: float = 0.03, z_weight: float = 3.0, z_factor: float = 4.0, rounds: int = 200, l2: float = 3e-5, seed: int = 11) -> Machine:
     """Fits by Adam on the logistic loss, in batches of documents. docs: distinct buckets of each document.
 
     Every term of least_docs documents or more starts with factors, whether its share differs between the labels or not: pairs may tell
@@ -62,13 +62,13 @@ def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = 8, least_docs: int =
     none = Machine(np.empty(0, np.int32), 0.0, np.empty(0), np.empty((0, rank)))
     if not len(y) or y.min() == y.max():
         return none
-    buckets, back = np.unique(np.concatenate(docs), return_inverse=True)
-    keep = np.bincount(back, minlength=len(buckets)) >= least_docs
-    place, m = np.cumsum(keep) - 1, int(keep.sum())
-    row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])[keep[back]]
-    term = place[back[keep[back]]]
-    bounds = np.searchsorted(row, np.arange(len(docs) + 1))
-    spread = np.sqrt(np.bincount(term, minlength=m)) / len(docs)  # of a term's gradient, for an error of 1
+    sizes = np.array([len(d) for d in docs])
+    every = np.concatenate(docs)
+    held = np.bincount(every, minlength=1 << BITS)
+    buckets = np.flatnonzero(held >= least_docs)
+    spread = np.sqrt(held[buckets]) / len(docs)  # of a term's gradient, for an error of 1
+    term, bounds = placed(every, np.append(0, np.cumsum(sizes)), buckets, 1 << BITS)
+    m = len(buckets)
     rng = np.random.default_rng(seed)
     theta = np.hstack([np.zeros((m, 1)), rng.normal(0, 0.05, (m, rank))])  # a weight and the factors of each term
     w0 = float(np.log(y.sum() / (1 - y).sum()))
@@ -77,16 +77,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = 8, least_docs: int =
         order = rng.permutation(len(docs))
         for part in np.array_split(order, max(1, len(docs) // batch)):
             turn += 1
-            size = bounds[part + 1] - bounds[part]
-            own = np.repeat(np.arange(len(part)), size)
-            at = term[np.repeat(bounds[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-            x = theta[at]
-            total = np.stack([np.bincount(own, x[:, k], len(part)) for k in range(rank + 1)], 1)
-            square = np.bincount(own, (x[:, 1:] ** 2).sum(1), len(part))
-            margin = w0 + total[:, 0] + 0.5 * ((total[:, 1:] ** 2).sum(1) - square)
-            err = y[part] - 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
-            push = err[own, None] / len(part) * np.hstack([np.ones((len(own), 1)), total[own, 1:] - x[:, 1:]])
-            grad = np.stack([np.bincount(at, push[:, k], m) for k in range(rank + 1)], 1)
+            err, grad, total = slope(theta, w0, y, term, bounds, part)
             first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
             step = rate / (np.sqrt(second / (1 - 0.99**turn)) + 1e-6)
             theta = theta + step * (first / (1 - 0.9**turn))
@@ -95,23 +86,46 @@ def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = 8, least_docs: int =
             length = np.sqrt((theta[:, 1:] ** 2).sum(1))
             less = step[:, 1:].mean(1) * z_factor * off * np.sqrt((total[:, 1:] ** 2).sum(1).mean())
             theta[:, 1:] *= np.maximum(1 - less / np.maximum(length, 1e-12), 0)[:, None]
-            w0 += rate * err.mean()
-    live = theta.any(1)
-    place, some, m = np.cumsum(live) - 1, live[term], int(live.sum())
-    row, term, theta = row[some], place[term[some]], theta[live]
-    model = Machine(buckets[keep][live], w0, theta[:, 0], theta[:, 1:])
-    bounds = np.searchsorted(row, np.arange(len(docs) + 1))
+            w0 += rate * float(err.mean())
+    live = np.flatnonzero(theta.any(1))
+    term, bounds = placed(term, bounds, live, m)
+    theta, m = theta[live], len(live)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
+    parts = np.array_split(np.arange(len(docs)), max(1, len(docs) // batch))
     for turn in range(1, rounds + 1):
-        err = (y - 1 / (1 + np.exp(-np.clip(model.margin(term, bounds), -40, 40)))) / len(y)
-        x = theta[term]
-        total = np.stack([np.bincount(row, x[:, k], len(docs)) for k in range(1, rank + 1)], 1)
-        push = err[row, None] * np.hstack([np.ones((len(row), 1)), total[row] - x[:, 1:]])
-        grad = np.stack([np.bincount(term, push[:, k], m) for k in range(rank + 1)], 1) - l2 * theta
+        found = [slope(theta, w0, y, term, bounds, part) for part in parts]
+        grad = sum(g * len(part) for (_, g, _), part in zip(found, parts, strict=True)) / len(docs) - l2 * theta
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
         theta = theta + rate * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.99**turn)) + 1e-6)
-        model = Machine(model.buckets, model.w0 + rate * float(err.sum()) * 10, theta[:, 0], theta[:, 1:])
-    return model
+        w0 += 10 * rate * float(sum(err.sum() for err, _, _ in found)) / len(docs)
+    return Machine(buckets[live], w0, theta[:, 0].copy(), theta[:, 1:].copy())
+
+
+def placed(term: np.ndarray, bounds: np.ndarray, kept: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of documents, one after the other, as their places in kept, others left out; and where documents start then, and the end."""
+    place = np.full(width, -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    term = place[term]
+    return term[term >= 0], np.append(0, np.cumsum(term >= 0))[bounds]
+
+
+def slope(theta: np.ndarray, w0: float, y: np.ndarray, term: np.ndarray, bounds: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some documents: errors, mean gradient of the log likelihood, and sums of weights and factors."""
+    size = bounds[part + 1] - bounds[part]
+    own = np.repeat(np.arange(len(part)), size)
+    at = term[np.repeat(bounds[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    x = theta[at]
+    width = theta.shape[1]
+    total = np.stack([np.bincount(own, x[:, k], len(part)) for k in range(width)], 1)
+    square = np.bincount(own, (x[:, 1:] ** 2).sum(1), len(part))
+    margin = w0 + total[:, 0] + 0.5 * ((total[:, 1:] ** 2).sum(1) - square)
+    err = y[part] - 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
+    each = err[own] / len(part)
+    grad = np.empty_like(theta)
+    grad[:, 0] = np.bincount(at, each, len(theta))
+    for k in range(1, width):
+        grad[:, k] = np.bincount(at, each * (total[own, k] - x[:, k]), len(theta))
+    return err, grad, total
 
 
 def score_texts(model: Machine, texts: list[str | None], place: np.ndarray) -> np.ndarray:
