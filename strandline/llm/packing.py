@@ -1,15 +1,17 @@
 """Best-fit packing into sequences of several permitted lengths.
 
 Documents are dealt to shards by hash; a shard has about the same number of pieces at every size of the corpus, and packs its own. Pieces
-go, the longest first, into the open bin that they fill best. A new bin has the length that costs least: whole
-packings with each permitted length as the smallest to be opened are compared. At last each bin shrinks to the smallest length
-that holds its contents.
+go, the longest first, into the open bin that they fill best. Where none has room, a bin of the length that costs least is opened: for
+each permitted length the pieces to come are laid into it, and the length of least cost for each token in it is taken. Whole packings
+made that way, for all lengths or for those from a smallest one on, are compared by cost. At last each bin shrinks to the
+smallest length that holds its contents.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Sequence
+from operator import neg
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,8 +28,23 @@ def cost(length: int) -> float:
     return length + length * length / 65536
 
 
+def opened(sizes: Sequence[int], at: int, lengths: Sequence[int]) -> int:
+    """The length of least cost for each token, of a bin opened for the piece at this place and filled with the largest of the pieces behind it that fit. sizes fall."""
+    best, chosen = None, lengths[-1]
+    for length in lengths[bisect_left(lengths, sizes[at]) :]:
+        room, i, end = length - sizes[at], at + 1, len(sizes)
+        while room > 0 and (i := bisect_left(sizes, -room, i, end, key=neg)) < end:
+            room -= sizes[i]
+            i += 1
+        each = cost(lengths[bisect_left(lengths, length - room)]) / (length - room)
+        if best is None or each < best - 1e-12:
+            best, chosen = each, length
+    return chosen
+
+
 def fill(sizes: Sequence[int], lengths: Sequence[int], least: int) -> list[tuple[int, list[int]]]:
-    """Best fit in the given order: (length opened, positions of the pieces) of each bin. No bin under the length least is opened."""
+    """Best fit in the given order, from large to small: (length opened, positions of the pieces) of each bin. No bin under the length least is opened."""
+    permitted = [n for n in lengths if n >= least]
     bins: list[tuple[int, list[int]]] = []
     rooms: list[int] = []  # distinct free room of open bins, in order
     held: dict[int, list[int]] = {}
@@ -40,7 +57,7 @@ def fill(sizes: Sequence[int], lengths: Sequence[int], least: int) -> list[tuple
                 del held[room]
                 rooms.pop(at)
         else:
-            room = max(least, lengths[bisect_left(lengths, size)])
+            room = opened(sizes, i, permitted)
             b = len(bins)
             bins.append((room, []))
         bins[b][1].append(i)
@@ -54,7 +71,7 @@ def fill(sizes: Sequence[int], lengths: Sequence[int], least: int) -> list[tuple
 
 
 def pack(sizes: Sequence[int], lengths: Sequence[int]) -> list[tuple[int, list[int]]]:
-    """The packing of least cost: (length, positions) of each bin, shrunk. sizes run from large to small; none exceeds the longest length."""
+    """The packing of least cost of those compared: (length, positions) of each bin, shrunk. sizes run from large to small; none exceeds the longest length."""
 
     def shrunk(bins: list[tuple[int, list[int]]]) -> list[tuple[int, list[int]]]:
         return [(lengths[bisect_left(lengths, sum(sizes[i] for i in own))], own) for _, own in bins]

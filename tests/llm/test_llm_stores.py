@@ -1,5 +1,6 @@
 """Token store, media columns, packing and the pipeline: exact round trips and odd inputs."""
 
+import math
 import random
 import zlib
 
@@ -20,6 +21,17 @@ def library():
     return Tokenizer.from_file(PATH)
 
 
+def test_pieces_of_one_hash(library):
+    """Every hash collides: the ids are those of the library all the same."""
+    coder = ts.PlaneEncoder(PATH)
+    coder.noise[:] = 1
+    texts = [" one two three four", "", " six ten two one", "abc def"]
+    for _ in range(2):
+        ids, counts = coder.encode(texts)
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+
+
 def test_encoder_equals_the_library(library):
     rng, coder = random.Random(1), ts.PlaneEncoder(PATH, most=200)
     parts = ["'", "s", "t", "re", "ll", "d", "ve", "m", " ", "  ", "\n", "\t", "a", "B", "é", "1", "²", ".", "!", "<|endoftext|>", "日", "\x85", "\xa0", "_", "ª", "\x1c", "ß", "word", " longer"]
@@ -309,25 +321,54 @@ def test_packing(spark, odd_docs, odd_rows, no_docs):
 
 @pytest.mark.parametrize("seed", [0, 1, 2])
 def test_best_fit(seed):
+    """Against a plain best fit in which a new bin is tried at every length with the pieces behind it."""
     rng = random.Random(seed)
     sizes = sorted((rng.randint(1, 100) for _ in range(200)), reverse=True)
     for least in (20, 50, 100):
+        permitted = [n for n in (20, 50, 100) if n >= least]
         rooms, want = [], []
         for i, s in enumerate(sizes):
-            fits = [(room, k) for k, (room, _) in enumerate(rooms) if room >= s]
+            fits = [(room, k) for k, room in enumerate(rooms) if room >= s]
             if fits:
-                room = min(fits)[0]
-                rooms[next(k for r, k in fits if r == room)] = (room - s, None)
-            else:
-                c = max(least, min(x for x in (20, 50, 100) if x >= s))
-                rooms.append((c - s, None))
-                want.append(c)
+                rooms[min(fits)[1]] -= s
+                continue
+            tries = []
+            for c in (n for n in permitted if n >= s):
+                used = s
+                for later in sizes[i + 1 :]:
+                    used += later if used + later <= c else 0
+                tries.append((round(packing.cost(min(n for n in permitted if n >= used)) / used, 9), c))
+            want.append(min(tries)[1])
+            rooms.append(want[-1] - s)
         bins = packing.fill(sizes, (20, 50, 100), least)
         assert [c for c, _ in bins] == want and sorted(i for _, own in bins for i in own) == list(range(200))
     best = packing.pack(sizes, (20, 50, 100))
     assert all(sum(sizes[i] for i in own) <= c for c, own in best)
 
 
+def test_packings_cost_little():
+    """Against the least cost of all ways to group a few pieces."""
+
+    def least_cost(sizes, lengths):
+        if not sizes:
+            return 0.0
+        out, rest = math.inf, sizes[1:]
+        for mask in range(1 << len(rest)):
+            own = [sizes[0]] + [x for k, x in enumerate(rest) if mask >> k & 1]
+            if sum(own) <= lengths[-1]:
+                out = min(out, packing.cost(next(n for n in lengths if n >= sum(own))) + least_cost([x for k, x in enumerate(rest) if not mask >> k & 1], lengths))
+        return out
+
+    rng, ratios = random.Random(9), []
+    for _ in range(60):
+        sizes = sorted((rng.randint(100, 8192) if rng.random() < 0.3 else rng.randint(100, 3000) for _ in range(rng.randint(1, 8))), reverse=True)
+        found = sum(packing.cost(c) for c, _ in packing.pack(sizes, packing.LENGTHS))
+        best = least_cost(sizes, packing.LENGTHS)
+        assert found >= best - 1e-9
+        ratios.append(found / best)
+    assert sum(r < 1 + 1e-9 for r in ratios) >= 30 and max(ratios) < 1.4 and sum(ratios) / len(ratios) < 1.05, (sum(ratios) / len(ratios), max(ratios), sum(r < 1 + 1e-9 for r in ratios))
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
 
