@@ -77,8 +77,9 @@ class PlaneEncoder:
     """Encodes texts with a byte-level BPE of the tokenizers library, each distinct piece once.
 
     Its pre-tokenizer cuts a text into pieces that are encoded each for itself. Here the cuts of plain Latin texts are found for
-    a whole batch at a time, and the library encodes the distinct pieces that were not met before. Texts with other characters,
-    or with a special token's string, go to the library whole.
+    a whole batch at a time, and the library encodes the distinct pieces that were not met before. Pieces are looked up by hash and then
+    compared character by character; if two differ, the batch goes to the library whole, as do texts with other characters or with a
+    special token's string.
     """
 
     def __init__(self, path: str, most: int = 3_000_000):
@@ -114,6 +115,9 @@ class PlaneEncoder:
         self.start = np.empty(0, np.int64)
         self.size = np.empty(0, np.int32)
         self.pool = np.empty(0, np.uint32)
+        self.first = np.empty(0, np.int64)  # where the piece's own characters are, and how many
+        self.length = np.empty(0, np.int32)
+        self.spelled = np.empty(0, np.uint16)
 
     def cuts(self, cp: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Where pieces start: the library's pattern, on all texts at once. first: marks where a text starts, one longer than cp."""
@@ -164,8 +168,12 @@ class PlaneEncoder:
         size = np.fromiter(map(len, ids), np.int32, len(ids))
         start = len(self.pool) + np.cumsum(size, dtype=np.int64) - size
         self.pool = np.concatenate([self.pool, *ids])
+        length = np.fromiter(map(len, pieces), np.int32, len(pieces))
+        first = len(self.spelled) + np.cumsum(length, dtype=np.int64) - length
+        self.spelled = np.concatenate([self.spelled, np.frombuffer("".join(pieces).encode("utf-16-le"), np.uint16)])
         order = np.argsort(known := np.concatenate([self.known, keys]), kind="stable")
         self.known, self.start, self.size = known[order], np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
+        self.first, self.length = np.concatenate([self.first, first])[order], np.concatenate([self.length, length])[order]
 
     def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of plain texts, and how many each text has."""
@@ -197,6 +205,10 @@ class PlaneEncoder:
             w = where[new]
             self.learn(distinct[new], [text[s:e] for s, e in zip(at[w].tolist(), end[w].tolist(), strict=True)])
         i = np.searchsorted(self.known, distinct)
+        length = self.length[i][back].astype(np.int64)
+        if not (np.array_equal(length, end - at) and np.array_equal(self.spelled[np.repeat(self.first[i][back] - at, length) + np.arange(n)], cp)):
+            whole = [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate(whole), np.array([len(x) for x in whole], np.int64)
         start, size = self.start[i][back], self.size[i][back].astype(np.int64)
         upto = np.append(0, np.cumsum(size))
         ids = self.pool[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
@@ -230,19 +242,6 @@ class PlaneEncoder:
         return ord(max(text)) < LATIN_END and not any(c in text for c in "\x1c\x1d\x1e\x1f\x85")
 
 
-_encoders: dict[str, PlaneEncoder] = {}
-
-
-def encoder(path: str) -> PlaneEncoder:
-    """The encoder of this worker; Python workers are kept between tasks, and what they met before with them."""
-    import sys
-
-    kept = sys.__dict__.setdefault("_strandline_encoders", _encoders)
-    if path not in kept:
-        kept[path] = PlaneEncoder(path)
-    return kept[path]
-
-
 STORE = "shard int, file int, first long, n_docs int, n_ids long, content binary"
 
 
@@ -254,7 +253,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
     """
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, shard = encoder(tokenizer), TaskContext.get().partitionId()
+        coder, shard = PlaneEncoder(tokenizer), TaskContext.get().partitionId()
         state = {"file": 0, "first": 0}
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
