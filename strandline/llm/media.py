@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import batches_of, table
+from strandline.llm.common import batches_of, table, written
 
 
 def zigzag() -> np.ndarray:
@@ -60,13 +60,12 @@ def joined_intervals(rows: np.ndarray, per: int) -> bytes:
 
 
 def packed(values: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> list[bytes]:
-    """Bits of values (sizes[i] low bits each, 16 at most), each group padded with ones to whole bytes."""
-    bits = (values[:, None] >> np.arange(15, -1, -1)) & 1
-    use = np.arange(15, -1, -1) < sizes[:, None]
+    """Bits of values (sizes[i] low bits each, 16 at most), each group padded with ones to whole bytes. Groups run on without gaps."""
     out = []
-    for g in range(int(groups[-1]) + 1):
-        at = groups == g
-        x = bits[at][use[at]].astype(np.uint8)
+    bounds = np.searchsorted(groups, np.arange(int(groups[-1]) + 2))
+    for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        bits = (values[i:j, None] >> np.arange(15, -1, -1)) & 1
+        x = bits[np.arange(15, -1, -1) < sizes[i:j, None]].astype(np.uint8)
         out.append(np.packbits(np.append(x, np.ones(-len(x) % 8, np.uint8))).tobytes())
     return out
 
@@ -452,19 +451,40 @@ def read_payload(pic: Picture, coef: list[np.ndarray]) -> bytes:
     return mcu.tobytes()[: int(pic.comment.split()[1])]
 
 
+def decoded(files: list[bytes | None]) -> list[tuple[Picture | None, list[np.ndarray] | None, str | None]]:
+    """Picture, coefficients and error of each file: null has neither, what can't be read has an error. Files are read side by side."""
+    there = [m for m in files if m is not None]
+    try:
+        got = [(p, c, None) for p, c in zip(*coefficients(there), strict=True)] if there else []
+    except Exception:  # one of them can't be read: each is read for itself
+        got = []
+        for m in there:
+            try:
+                (p,), (c,) = coefficients([m])
+                got.append((p, c, None))
+            except Exception as e:
+                got.append((None, None, f"{type(e).__name__}: {e}"))
+    done = iter(got)
+    return [(None, None, None) if m is None else next(done) for m in files]
+
+
 def decode_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """doc_id, width, height, channels and the RGB tensor as row-major bytes. Null media give null tensors; a file that can't be read fails."""
+    """doc_id, width, height, channels, the RGB tensor as row-major bytes, and an error. Null media give null tensors; a file that can't be read gives a null tensor and an error."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             raw = [None if m is None else bytes(m) for m in pdf.m]
             for a, b in batches_of([m or b"" for m in raw], 2_000_000):
-                there = [m for m in raw[a:b] if m is not None]
-                done = iter([tensor(p, c) for p, c in zip(*coefficients(there), strict=True)] if there else [])
-                got = [None if m is None else next(done) for m in raw[a:b]]
-                yield pd.DataFrame({"doc_id": pdf.i[a:b], "width": [None if g is None else g.shape[1] for g in got], "height": [None if g is None else g.shape[0] for g in got], "channels": [None if g is None else g.shape[2] for g in got], "tensor": [None if g is None else g.tobytes() for g in got]}).astype({"width": "Int32", "height": "Int32", "channels": "Int32"})
+                rows = []
+                for p, c, error in decoded(raw[a:b]):
+                    try:
+                        rows.append((None, error) if p is None else (tensor(p, c), None))
+                    except Exception as e:
+                        rows.append((None, f"{type(e).__name__}: {e}"))
+                shape = lambda k: pd.array([None if x is None else x.shape[k] for x, _ in rows], "Int32")  # noqa: E731, B023
+                yield pd.DataFrame({"doc_id": pdf.i[a:b].to_numpy(), "width": shape(1), "height": shape(0), "channels": shape(2), "tensor": [None if x is None else x.tobytes() for x, _ in rows], "error": [e for _, e in rows]})
 
-    return media.select(F.col(id_col).cast("long").alias("i"), F.col(media_col).alias("m")).mapInPandas(run, "doc_id long, width int, height int, channels int, tensor binary")
+    return media.select(F.col(id_col).cast("long").alias("i"), F.col(media_col).alias("m")).mapInPandas(run, "doc_id long, width int, height int, channels int, tensor binary, error string")
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -484,25 +504,28 @@ FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """What is read back from the stored files: payload checks, and size, channel means and deviations of the RGB tensor."""
+    """What is read back from the stored files: payload checks, and size, channel means and deviations of the RGB tensor. Of a file that can't be read only size and sum are known, and the error is its feature."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             raw = [bytes(m) for m in pdf.media]
             for a, b in batches_of(raw, 1_000_000):
                 out = []
-                for i, n, m, p, c in zip(pdf.doc_id[a:b], pdf.n_bytes[a:b], raw[a:b], *coefficients(raw[a:b]), strict=True):
+                for i, n, m, (p, c, error) in zip(pdf.doc_id[a:b], pdf.n_bytes[a:b], raw[a:b], decoded(raw[a:b]), strict=True):
+                    if p is None:
+                        out.append((i, n, None, None, None, len(m), hashlib.sha256(m).hexdigest(), error))
+                        continue
                     payload, rgb = read_payload(p, c), tensor(p, c).reshape(-1, 3)
                     total, square = rgb.sum(0, dtype=np.int64), [int(np.dot(x, x)) for x in rgb.T.astype(np.float64)]
                     mean = total / len(rgb)
                     spread = [max(q / len(rgb) - m * m, 0) ** 0.5 for q, m in zip(square, mean, strict=True)]
                     feature = f"{p.width}x{p.height} " + " ".join(f"{x:.4f}/{y:.4f}" for x, y in zip(mean, spread, strict=True))
                     out.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature))
-                yield pd.DataFrame(out, columns=[x.split()[0] for x in FEATURES.split(", ")])
+                yield pd.DataFrame(out, columns=[x.split()[0] for x in FEATURES.split(", ")]).astype({"payload_bytes": "Int64", "tail_crc32": "Int64"})
 
     return media.mapInPandas(run, FEATURES)
 
 
 def op5_progressive_jpeg(spark, sf_dir: str) -> DataFrame:
-    """Every text as the coefficients of a progressive JPEG, read back and decoded."""
-    return media_features(store_texts(table(spark, sf_dir, "documents")))
+    """Every text as the coefficients of a progressive JPEG, written to a media table, read back and decoded."""
+    return media_features(written(store_texts(table(spark, sf_dir, "documents")), "media"))

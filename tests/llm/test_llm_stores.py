@@ -21,6 +21,17 @@ def library():
     return Tokenizer.from_file(PATH)
 
 
+def test_unreadable_media(spark):
+    """A file that can't be read costs its own row alone."""
+    good = media.store_payload(b"abc" * 192)
+    df = spark.createDataFrame([(1, b"no picture", 3), (2, None, 0), (3, good, 576), (4, good[: len(good) // 2], 576)], "doc_id long, media binary, n_bytes long").coalesce(1)
+    got = {r.doc_id: r for r in media.decode_media(df).collect()}
+    assert got[1].tensor is None and "JPEG" in got[1].error and got[2].tensor is None and got[2].error is None
+    assert len(got[3].tensor) == got[3].width * got[3].height * 3 and got[3].error is None and len(got) == 4
+    found = {r.doc_id: r for r in media.media_features(df.filter("doc_id in (1, 3)")).collect()}
+    assert found[1].payload_sha256 is None and found[1].media_bytes == 10 and found[3].payload_bytes == 576
+
+
 def test_pieces_of_one_hash(library):
     """Every hash collides: the ids are those of the library all the same."""
     coder = ts.PlaneEncoder(PATH)
