@@ -198,7 +198,9 @@ def crowded_sets(thin: DataFrame) -> DataFrame:
 
     rows = thin.select("node", "sig", "root").mapInPandas(plant, "region long, node long, root long")
     runs = rows.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    return rows.join(runs.filter("low < high").select("region"), "region", "left_semi").select("node", "root").distinct()
+    # written, so that a region as large as a third of all sets can be split in the join
+    open_runs = written(runs.filter("low < high").select("region"), "regions")
+    return rows.join(open_runs, "region", "left_semi").select("node", "root").distinct()
 
 
 def crowded_pairs(full: DataFrame, roots: DataFrame) -> DataFrame:
