@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline import constants as K
-from strandline.functions.vectors import dot, norm, normalize
+from strandline.operators.similarity import stacked
 
 MOST_PROTOTYPES = 1000
 
@@ -16,19 +18,26 @@ MOST_PROTOTYPES = 1000
 def assign_clusters(items: DataFrame, prototypes: list[tuple[str, list[float]]], threshold: float = K.STRATEGIC_THRESHOLD, vector: str = "embedding") -> DataFrame:
     """id, cluster_name, score, is_other: the nearest prototype, the first of equals, if near enough; else Other with the best score.
 
-    Null and zero vectors are left out. Without prototypes all go to Other with 0. Prototypes are a short list, part of the plan.
+    Null and zero vectors are left out. Without prototypes all go to Other with 0. Prototypes are a short list, which goes to every task.
     """
     if len(prototypes) > MOST_PROTOTYPES:
         raise ValueError("too many prototypes for a list; use match_to_macros")
-    rows = items.filter(F.col(vector).isNotNull() & (norm(vector) > 0)).withColumn("_u", normalize(vector))
-    if not prototypes:
-        return rows.select("id", F.lit(K.OTHER).alias("cluster_name"), F.lit(0.0).alias("score"), F.lit(True).alias("is_other"))
-    unit = lambda v: [x / (sum(y * y for y in v) ** 0.5 or 1.0) for x in v]
-    table = F.array(*(F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, unit(v))).alias("p")) for n, v in prototypes))
-    scored = rows.select("id", F.transform(table, lambda t: F.struct(t["name"].alias("name"), dot("_u", t["p"]).alias("score"))).alias("s"))
-    best = F.aggregate(F.slice("s", 2, len(prototypes)), F.col("s")[0], lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a))
-    near = F.col("b.score") >= threshold
-    return scored.select("id", best.alias("b")).select("id", F.when(near, F.col("b.name")).otherwise(K.OTHER).alias("cluster_name"), F.col("b.score").alias("score"), (~near).alias("is_other"))
+    rows = items.select("id", F.col(vector).cast("array<float>").alias("_v")).filter("_v is not null")
+    names = np.array([n for n, _ in prototypes] + [K.OTHER], object)
+    matrix = stacked(pd.Series([v for _, v in prototypes])) if prototypes else None
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            m = stacked(pdf._v)
+            pdf, m = pdf[m.any(1)], m[m.any(1)]
+            s = m @ matrix.T if matrix is not None else np.full((len(m), 1), 0.0)
+            at = np.round(s, 12).argmax(1) if len(m) else np.zeros(0, int)
+            score = s[np.arange(len(m)), at]
+            near = (score >= threshold) if matrix is not None else np.zeros(len(m), bool)
+            yield pd.DataFrame({"id": pdf.id, "cluster_name": names[np.where(near, at, len(prototypes))], "score": score, "is_other": ~near})
+
+    kind = items.schema["id"].dataType.simpleString()
+    return rows.mapInPandas(run, f"id {kind}, cluster_name string, score double, is_other boolean")
 
 
 def assign_unassigned(items: DataFrame, prototypes, threshold: float = K.STRATEGIC_THRESHOLD, ids: list[int] | None = None, vector: str = "embedding") -> DataFrame:
@@ -63,7 +72,3 @@ def prototype_list(rows: DataFrame, name: str = "name", vector: str = "embedding
     if len(got) > MOST_PROTOTYPES:
         raise ValueError("too many prototypes for a list")
     return [(r[0], [float(x) for x in r[1]]) for r in got]
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

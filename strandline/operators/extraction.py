@@ -25,9 +25,9 @@ def extract_insights(sources: DataFrame, model: Callable, embedder: Callable, pr
     found = parse_insights(asked.filter("error is null").select("source", "window", "reply"))
     found = embed(found.withColumn("_t", embedding_text()), embedder, "_t").drop("_t").filter("error is null").drop("error")
     several = asked.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_s")
-    long = found.join(several, F.col("source") == F.col("_s"), "left_semi").withColumn("_order", F.col("window") * 1000 + F.col("place"))
+    long = found.join(several, F.col("source") == F.col("_s"), "left_semi")
     short = found.join(several, F.col("source") == F.col("_s"), "left_anti")
-    insights = dedup_within(long, "source", "_order", threshold=threshold).drop("_order").unionByName(short)
+    insights = dedup_within(long, "source", ["window", "place"], threshold=threshold).unionByName(short)
     note = F.coalesce(F.from_json("reply", INSIGHTS)["extraction_notes"], F.col("error"))
     marked = asked.select("source", "window", F.concat(F.lit("[Chunk "), (F.col("window") + 1).cast("string"), F.lit("] "), note).alias("note")).filter("note is not null")
     notes = marked.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("window", "note"))), lambda x: x["note"]), " | ").alias("notes"))

@@ -151,14 +151,11 @@ def ranked(found: DataFrame, *fields: str) -> DataFrame:
 
 
 def drop_overlaps(chunks: Name, most: float = K.CHUNK_OVERLAP_LIMIT) -> Column:
-    """Of an array of structs with a text, in order, those whose words overlap less than this with every one kept before."""
+    """Of an array of structs with a text, in order, those whose words overlap less than this with every one kept before. Word sets are made once for each."""
     c = col(chunks)
-    sets = F.transform(c, lambda x: word_set(x["text"]))
-    none = F.array().cast("array<int>")
-    kept = F.aggregate(
-        F.sequence(F.lit(0), F.size(c) - 1), none,
-        lambda acc, i: F.when(F.exists(acc, lambda j: jaccard(F.get(sets, i), F.get(sets, j)) >= most), acc).otherwise(F.array_append(acc, i.cast("int"))))
-    return F.when(F.size(c) > 1, F.transform(kept, lambda i: F.get(c, i))).otherwise(c)
+    marked = F.transform(c, lambda x: F.struct(x.alias("c"), word_set(x["text"]).alias("words")))
+    kept = F.aggregate(marked, F.slice(marked, 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: jaccard(k["words"], x["words"]) >= most), acc).otherwise(F.array_append(acc, x)))
+    return F.when(F.size(c) > 1, F.transform(kept, lambda k: k["c"])).otherwise(c)
 
 
 def header(x: Column) -> Column:

@@ -84,14 +84,40 @@ def assign_back(table: DataFrame, assignments: DataFrame, column: str, only_chan
     return out.select(*(F.coalesce("_v", c).alias(c) if c == column else c for c in table.columns))
 
 
-def reset(stage: str, units: DataFrame, macros: DataFrame, clusters: DataFrame, dimensions: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Rows that a reset deletes, by table. dimensions: evidence and dimensions; clusters: macros and clusters, links nulled; units: units and what hangs on them."""
-    gone = {"dimensions": {"dimension_evidence": evidence, "insight_dimensions": dimensions}, "clusters": {"macro_insights": macros, "clusters": clusters}, "units": {"dimension_evidence": evidence, "insight_dimensions": dimensions, "unit_insights": units}}[stage]
-    counts = [df.agg(F.count("*").alias("deleted")).select(F.lit(name).alias("table_name"), "deleted") for name, df in gone.items()]
+#: What a reset empties, in order, and the links to it that it sets to null in what stays.
+RESETS = {
+    "dimensions": (("evidence", "dimensions"), ()),
+    "clusters": (("macros", "clusters"), (("units", "macro_insight_id"), ("units", "cluster_id"))),
+    "units": (("evidence", "dimensions", "units"), ()),
+}
+
+
+def reset(stages: Sequence[str], tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables (units, macros, clusters, dimensions, evidence) after a reset of some stages, and table_name, deleted of those it empties.
+
+    A table that two stages empty counts once.
+    """
+    gone = dict.fromkeys(t for s in stages for t in RESETS[s][0])
+    after = {name: df.limit(0) if name in gone else df for name, df in tables.items()}
+    for name, link in (x for s in stages for x in RESETS[s][1]):
+        after[name] = after[name].withColumn(link, F.lit(None).cast(tables[name].schema[link].dataType))
+    counts = [tables[name].agg(F.count("*").alias("deleted")).select(F.lit(name).alias("table_name"), "deleted") for name in gone]
     out = counts[0]
     for c in counts[1:]:
         out = out.unionByName(c)
-    return out
+    return after, out
+
+
+def apply_discovery(units: DataFrame, macros: DataFrame, assigned: DataFrame, centroids: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tables units (id, macro_id, ...) and macros (id, name, centroid_embedding) after a step of discovery.
+
+    Macros that gained members get their new centroid; new ones follow with ids after the largest, in the order of their leaders; units are
+    linked to what they matched or to the macro of their leader.
+    """
+    made = settled(numbered_after(new.select("leader", "name", F.col("centroid").alias("centroid_embedding")), macros, "leader"))
+    moved = update_given(macros, centroids.select(F.col("macro_id").alias("id"), F.col("centroid").alias("centroid_embedding")), ["centroid_embedding"])
+    link = assigned.join(made.select("leader", F.col("id").alias("made")), "leader", "left").select("id", F.coalesce("macro_id", "made").alias("value"))
+    return assign_back(units, link, "macro_id"), moved.unionByName(made.select(macros.columns))
 
 
 def without_insights(sources: DataFrame, units: DataFrame, owner: str, forced: bool = False) -> DataFrame:

@@ -186,8 +186,26 @@ q("G4_get_or_create_clusters", "SELECT id, name FROM clusters UNION ALL SELECT (
     lambda c, e: upsert.get_or_create_clusters(c, e.select(F.col("podcast_name").alias("name")).union(c.select("name"))))
 q("G5_assign_back", "SELECT id, CASE WHEN id % 3 = 0 THEN id % 4 ELSE cluster_id END AS cluster_id FROM units", "units")(
     lambda u: upsert.assign_back(u, u.filter("id % 3 = 0").select("id", (F.col("id") % 4).alias("value")), "cluster_id").select("id", "cluster_id"))
-q("G6_reset", "SELECT 'dimension_evidence' AS table_name, count(*) AS deleted FROM evidence UNION ALL SELECT 'insight_dimensions', count(*) FROM dimensions UNION ALL SELECT 'unit_insights', count(*) FROM units", "units", "macros", "clusters", "dimensions", "evidence")(
-    lambda u, m, c, d, v: upsert.reset("units", u, m, c, d, v))
+def resets(*tables):
+    """Deleted rows of every stage, and what stays of each table with how many links."""
+    given = dict(zip(("units", "macros", "clusters", "dimensions", "evidence"), tables, strict=True))
+    out = None
+    for stage in upsert.RESETS:
+        after, gone = upsert.reset([stage], given)
+        for name, df in after.items():
+            links = F.count("macro_insight_id") + F.count("cluster_id") if name == "units" else F.count("cluster_id") if name == "macros" else F.lit(0)
+            left = df.agg(F.count("*").alias("remaining"), links.cast("long").alias("links")).select(F.lit(stage).alias("stage"), F.lit(name).alias("table_name"), "remaining", "links")
+            row = left.join(gone, "table_name", "left").select("stage", "table_name", F.coalesce("deleted", F.lit(0)).alias("deleted"), "remaining", "links")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+RESET = """WITH n AS (SELECT 'units' AS t, count(*) AS n, count(macro_insight_id) + count(cluster_id) AS k FROM units UNION ALL SELECT 'macros', count(*), count(cluster_id) FROM macros
+    UNION ALL SELECT 'clusters', count(*), 0 FROM clusters UNION ALL SELECT 'dimensions', count(*), 0 FROM dimensions UNION ALL SELECT 'evidence', count(*), 0 FROM evidence),
+    g(stage, t) AS (VALUES ('dimensions', 'evidence'), ('dimensions', 'dimensions'), ('clusters', 'macros'), ('clusters', 'clusters'), ('units', 'evidence'), ('units', 'dimensions'), ('units', 'units'))
+    SELECT s.stage, n.t AS table_name, CASE WHEN g.t IS NULL THEN 0 ELSE n END AS deleted, CASE WHEN g.t IS NULL THEN n ELSE 0 END AS remaining, CASE WHEN g.t IS NOT NULL OR s.stage = 'clusters' AND n.t = 'units' THEN 0 ELSE k END AS links
+    FROM (SELECT DISTINCT stage FROM g) s CROSS JOIN n LEFT JOIN g ON g.stage = s.stage AND g.t = n.t"""
+q("G6_reset", RESET, "units", "macros", "clusters", "dimensions", "evidence")(resets)
 q("G7_skip_existing", "SELECT id FROM episodes WHERE id NOT IN (SELECT episode_id FROM units WHERE episode_id IS NOT NULL)", "episodes", "units")(lambda e, u: upsert.without_insights(e, u, "episode_id").select("id"))
 q("G8_index_if_missing", "SELECT id, title FROM sources WHERE title NOT IN (SELECT source FROM document_chunks)", "sources", "document_chunks")(lambda d, c: upsert.not_indexed(d, c, "title").select("id", "title"))
 q("S6_backfill_file_size", """SELECT e.id, coalesce(audio_file_size, CASE WHEN e.id % 8 <> 2 AND gcs_audio_uri <> '' THEN e.id * 7 END) AS audio_file_size FROM episodes e""", "episodes")(

@@ -26,15 +26,15 @@ INPUTS = {
         CASE WHEN c_custkey % 5 < 3 THEN c_custkey % 11 END AS macro_insight_id, CASE WHEN c_custkey % 7 < 4 THEN c_custkey % 6 END AS cluster_id, c_acctbal AS weight FROM {customer}""",
     "macros": """SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey % 6 END AS cluster_id FROM {supplier}""",
     "clusters": """SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS name FROM {region}""",
-    "dimensions": f"""SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey % 400 AS unit_insight_id,
+    "dimensions": f"""SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_orderkey % 5 = 4 THEN l_orderkey % 400 - 1 ELSE l_orderkey % 400 END AS unit_insight_id,
         CASE l_linenumber % 6 WHEN 0 THEN 'adoption' WHEN 1 THEN 'expectation' WHEN 2 THEN 'progress' WHEN 3 THEN 'criticality' WHEN 4 THEN 'urgency' ELSE 'actionability' END AS dimension_type,
-        CASE WHEN l_linenumber % 4 = 0 THEN 'Unknown' ELSE concat(l_returnflag, l_linestatus, CAST(l_partkey % 7 AS STRING)) END AS value, l_discount AS confidence FROM {LINES} WHERE l_orderkey % 3 = 0""",
+        CASE WHEN l_linenumber % 4 = 0 THEN 'Unknown' ELSE concat(l_returnflag, l_linestatus, CAST(l_partkey % 7 AS STRING)) END AS value, l_discount AS confidence FROM {LINES}""",
     "evidence": f"""SELECT l_orderkey * 100 + l_linenumber AS id, l_orderkey * 10 + l_linenumber AS dimension_id, concat(CASE WHEN l_suppkey % 2 = 0 THEN ' Lead' ELSE 'lead' END, CASE WHEN l_partkey % 3 = 0 THEN '\n\n' ELSE ' ' END, 'Text ', CAST(l_partkey % 9 AS STRING)) AS chunk_text,
         l_tax AS similarity_score, CASE WHEN l_linenumber % 2 = 0 THEN concat('Show ', CAST(l_suppkey % 40 AS STRING), ' - Episode ', CAST(l_orderkey AS STRING)) ELSE concat(' Report ', CAST(l_partkey % 170 AS STRING), ' ') END AS source_ref,
-        CASE WHEN l_partkey % 4 <> 0 THEN l_quantity END AS start_time, CASE WHEN l_partkey % 4 = 0 THEN CAST(l_suppkey % 30 AS INT) END AS page FROM {LINES} WHERE l_orderkey % 3 = 0""",
-    "podcast_chunks": f"""SELECT l_orderkey * 10 + l_linenumber AS id, concat('Show ', CAST(o_custkey % 40 AS STRING), ' - Episode ', CAST(o_orderkey AS STRING)) AS source, concat('Chunk ', CAST(l_linenumber AS STRING)) AS chunk_text
-        FROM {{orders}} JOIN {LINES} ON o_orderkey = l_orderkey WHERE o_orderkey % 7 < 4""",
-    "document_chunks": f"""SELECT l_orderkey * 10 + l_linenumber AS id, concat('Report ', CAST(l_partkey % 90 AS STRING)) AS source, concat('Passage ', CAST(l_linenumber AS STRING)) AS chunk_text FROM {LINES} WHERE l_partkey % 3 = 0""",
+        CASE WHEN l_partkey % 4 <> 0 THEN l_quantity END AS start_time, CASE WHEN l_partkey % 4 = 0 THEN CAST(l_suppkey % 30 AS INT) END AS page FROM {LINES}""",
+    "podcast_chunks": f"""SELECT l_orderkey * 10 + l_linenumber AS id, concat(CASE WHEN o_orderkey % 7 < 4 THEN 'Show ' ELSE 'Archive ' END, CAST(o_custkey % 40 AS STRING), ' - Episode ', CAST(o_orderkey AS STRING)) AS source, concat('Chunk ', CAST(l_linenumber AS STRING)) AS chunk_text
+        FROM {{orders}} JOIN {LINES} ON o_orderkey = l_orderkey""",
+    "document_chunks": f"""SELECT l_orderkey * 10 + l_linenumber AS id, concat('Report ', CAST(l_partkey % 90 AS STRING)) AS source, concat('Passage ', CAST(l_linenumber AS STRING)) AS chunk_text FROM {LINES}""",
     "feed": """SELECT event_id AS id, CAST(user_id AS BIGINT) AS feed_id, concat(event_type, CASE WHEN event_id % 5 = 0 THEN ' and mental health' WHEN event_id % 7 = 0 THEN ' Sleep' ELSE '' END) AS title,
         CASE WHEN event_id % 3 = 0 THEN 'Diet, gut and brain' WHEN event_id % 4 = 0 THEN NULL ELSE 'News' END AS description, concat('https://cdn.example/', CAST(event_id % 900 AS STRING)) AS audio_url, ts AS published_at FROM {events}""",
     "segments": """SELECT concat('talk ', CAST(conv_id AS STRING)) AS source, CAST(turn AS INT) AS idx, CASE WHEN turn % 5 = 3 THEN '  ' ELSE text END AS text, role FROM {conversations}""",

@@ -72,10 +72,9 @@ CHUNKS = rf"""SELECT source || '_chunk_' || CASE WHEN idx < 10000 THEN lpad(CAST
 SEEN = ("chunk_id", "text", "start", "overlap_text", "CAST(word_count AS BIGINT) AS word_count", "CAST(char_count AS BIGINT) AS char_count")
 q("C1_chunk_podcast", CHUNKS, "segments")(lambda s: chunking.chunk_podcast(s.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("idx", "text", F.col("idx").cast("double").alias("start"), F.lit(None).cast("double").alias("end")))).alias("segments"))).selectExpr(*SEEN))
 q("W1_overlap_lag", CHUNKS, "segments")(lambda s: chunking.chunk_segments_long(s.withColumns({"start": F.col("idx").cast("double"), "end": F.lit(None).cast("double")})).selectExpr(*SEEN))
-q("C3_is_heading", r"""SELECT doc_id, p <> '' AND length(p) <= 200 AND (regexp_matches(p, '\A(?m:^#+\s+.+$)') OR regexp_matches(p, '\A(?m:^[A-Z][A-Z\s]{3,50}$)') OR regexp_matches(p, '\A(?m:^\d+\.\s+[A-Z].+$)') OR regexp_matches(p, '\A(?m:^[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,5}:)') OR regexp_matches(p, '\A(?m:^(?:Chapter|Section|Part)\s+\d+)')) AS is_heading
-    FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN trim(regexp_extract(text, '^\w+')) || ': rest' WHEN 1 THEN upper(trim(left(text, 30))) WHEN 2 THEN 'Part ' || CAST(doc_id AS STRING) ELSE trim(left(text, 150)) END AS p FROM texts)""", "texts")(
-    lambda d: d.withColumn("p", F.expr(r"CASE doc_id % 4 WHEN 0 THEN concat(trim(regexp_extract(text, '^\\w+', 0)), ': rest') WHEN 1 THEN upper(trim(left(text, 30))) WHEN 2 THEN concat('Part ', CAST(doc_id AS STRING)) ELSE trim(left(text, 150)) END")).select("doc_id", T.is_heading("p").alias("is_heading")))
-
+q("C3_is_heading", r"""SELECT doc_id, place, p <> '' AND length(p) <= 200 AND (regexp_matches(p, '\A(?m:^#+\s+.+$)') OR regexp_matches(p, '\A(?m:^[A-Z][A-Z\s]{3,50}$)') OR regexp_matches(p, '\A(?m:^\d+\.\s+[A-Z].+$)') OR regexp_matches(p, '\A(?m:^[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,5}:)') OR regexp_matches(p, '\A(?m:^(?:Chapter|Section|Part)\s+\d+)')) AS is_heading
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS place FROM texts)""", "texts")(
+    lambda d: d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "p")).select("doc_id", "place", T.is_heading("p").alias("is_heading")))
 
 
 def paragraphs():

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from strandline import constants as K
 from strandline.functions.lineage import work_path
-from strandline.operators import clusters, extraction, replies, search, similarity, upsert, views
+from strandline.operators import chunking, clusters, extraction, replies, search, similarity, upsert, views
 from strandline.plans.catalog_queries import RESOLVED, q
 from strandline.plans.inputs import load
-from strandline.plans.registry import query
+from strandline.plans.registry import QUERIES, query
+from strandline.plans.text_queries import CHUNKS
 from strandline.sources import objects
-from strandline.streaming.status import index_batches, latest_status
+from strandline.streaming.status import discover_batches, discovered as discovered_state, index_batches, latest_status
 
 COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 UNIT = "[x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) FOR x IN CAST(embedding AS DOUBLE[])]"
@@ -56,14 +57,19 @@ HINTED = "CASE type " + " ".join(f"WHEN '{t}' THEN ' ' || '{K.DIMENSION_HINTS[d]
 q("V5_query_text", f"SELECT id, CASE WHEN coalesce(description, '') <> '' THEN name || '. ' || description ELSE name END || {HINTED} AS query_text FROM units", "units")(
     lambda u: u.select("id", search.query_text(dimension=F.when(F.col("type") == "trend", "adoption").when(F.col("type") == "health_stake", "urgency").otherwise("none")).alias("query_text")))
 query("V0_embed")(lambda spark, d: search.embed(load(spark, d, "texts").select("doc_id", "text"), search.hashing_embedder()).select("doc_id", F.size("embedding").alias("dim"), "error"))
-query("V6_jaccard_dedup")(lambda spark, d: load(spark, d, "evidence").withColumn("g", F.col("dimension_id") % 50).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("id", F.col("chunk_text").alias("text")))).alias("c")).select("g", F.transform(search.drop_overlaps("c"), lambda x: x["id"]).alias("kept")))
-
-PARTS = lambda e: e.filter("similarity_score < 0.05").select("dimension_id", F.struct(
+q("V6_jaccard_dedup", f"""WITH RECURSIVE e AS (SELECT dimension_id // 10 AS g, id, list_distinct([x FOR x IN regexp_split_to_array(lower(trim(chunk_text)), '\\s+') IF x <> '']) AS ws, row_number() OVER (PARTITION BY dimension_id // 10 ORDER BY id) AS r, count(*) OVER (PARTITION BY dimension_id // 10) AS n FROM evidence),
+    k AS (SELECT g, r, n, [id] AS kept, [ws] AS sets FROM e WHERE r = 1 UNION ALL SELECT g, r2, n, CASE WHEN near THEN kept ELSE list_append(kept, id) END, CASE WHEN near THEN sets ELSE list_append(sets, ws) END
+    FROM (SELECT k.*, e.id, e.ws, e.r AS r2, len([s FOR s IN sets IF len(list_intersect(s, e.ws)) >= {K.CHUNK_OVERLAP_LIMIT} * (len(s) + len(e.ws) - len(list_intersect(s, e.ws)))]) > 0 AS near FROM k JOIN e ON e.g = k.g AND e.r = k.r + 1) k)
+    SELECT g, array_to_string(kept, ',') AS kept FROM k WHERE r = n""", "evidence")(
+    lambda e: e.withColumn("g", F.expr("dimension_id div 10")).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("id", F.col("chunk_text").alias("text")))).alias("c"))
+    .select("g", F.array_join(F.transform(search.drop_overlaps("c"), lambda x: x["id"].cast("string")), ",").alias("kept")))
+
+PARTS = lambda e: e.select("dimension_id", F.struct(
     "id", F.trim("source_ref").alias("source"), F.col("chunk_text").alias("text"), F.lit(None).cast("string").alias("speaker"), "page", F.col("start_time").alias("start"), (F.col("start_time") + 1).alias("end"), F.lit("Intro").alias("section"), F.col("similarity_score").alias("score")).alias("c"))
-q("V7_format_context", """SELECT dimension_id, left(string_agg('[' || trim(source_ref) || CASE WHEN page IS NOT NULL THEN ' | Page ' || CAST(page AS STRING) ELSE '' END || ' | ' || CASE WHEN start_time IS NOT NULL THEN printf('%.1f', start_time) || '–' || printf('%.1f', start_time + 1) ELSE 'Intro' END || ']' || chr(10) || trim(chunk_text), chr(10) || chr(10) ORDER BY id), 120) AS text,
-    array_to_string(list_sort(list(DISTINCT trim(source_ref))), '|') AS sources FROM evidence WHERE similarity_score < 0.05 GROUP BY 1""", "evidence")(
-    lambda e: PARTS(e).groupBy("dimension_id").agg(search.format_context(F.array_sort(F.collect_list("c")), 120).alias("x")).select("dimension_id", F.col("x.text").alias("text"), F.array_join("x.sources", "|").alias("sources")))
-q("V8_persist_evidence", """SELECT dimension_id, row_number() OVER (PARTITION BY dimension_id ORDER BY id) - 1 AS place, chunk_text, similarity_score, trim(source_ref) AS source_ref, CASE WHEN page IS NULL THEN 0 ELSE 1 END + CASE WHEN start_time IS NULL THEN 0 ELSE 2 END + 1 AS n_metadata FROM evidence WHERE similarity_score < 0.05""", "evidence")(
+q("V7_format_context", """SELECT dimension_id, left(string_agg('[' || trim(source_ref) || CASE WHEN page IS NOT NULL THEN ' | Page ' || CAST(page AS STRING) ELSE '' END || ' | ' || CASE WHEN start_time IS NOT NULL THEN printf('%.1f', start_time) || '–' || printf('%.1f', start_time + 1) ELSE 'Intro' END || ']' || chr(10) || trim(chunk_text), chr(10) || chr(10) ORDER BY id), 200000) AS text,
+    array_to_string(list_sort(list(DISTINCT trim(source_ref))), '|') AS sources FROM evidence GROUP BY 1""", "evidence")(
+    lambda e: PARTS(e).groupBy("dimension_id").agg(search.format_context(F.array_sort(F.collect_list("c"))).alias("x")).select("dimension_id", F.col("x.text").alias("text"), F.array_join("x.sources", "|").alias("sources")))
+q("V8_persist_evidence", """SELECT dimension_id, row_number() OVER (PARTITION BY dimension_id ORDER BY id) - 1 AS place, chunk_text, similarity_score, trim(source_ref) AS source_ref, CASE WHEN page IS NULL THEN 0 ELSE 1 END + CASE WHEN start_time IS NULL THEN 0 ELSE 2 END + 1 AS n_metadata FROM evidence""", "evidence")(
     lambda e: search.evidence_rows(PARTS(e).groupBy("dimension_id").agg(F.array_sort(F.collect_list("c")).alias("chunks"))).select("dimension_id", F.col("place").cast("long").alias("place"), "chunk_text", "similarity_score", "source_ref", F.size("chunk_metadata").cast("long").alias("n_metadata")))
 
 ROWS = lambda v: v.filter("id % 5 <> 0")
@@ -77,19 +83,58 @@ q("M3_update_centroids", f"""WITH {MATCHED}, e AS (SELECT macro_id, unnest({UNIT
     lambda v: similarity.centroids(ROWS(v).join(similarity.match_to_macros(ROWS(v), MACROS(v), 0.25), "id"), "macro_id").select("macro_id", F.posexplode("centroid").alias("p", "x")).select("macro_id", (F.col("p") + 1).alias("place"), r6("x").alias("x")))
 q("M5_apply_updates", f"WITH {MATCHED} SELECT v.id, m.macro_id FROM vectors v LEFT JOIN m USING (id)", "vectors")(
     lambda v: upsert.assign_back(v.select("id", F.lit(None).cast("long").alias("macro_id")), similarity.match_to_macros(ROWS(v), MACROS(v), 0.25).select("id", F.col("macro_id").alias("value")), "macro_id"))
-query("M2_greedy_clusters")(lambda spark, d: similarity.greedy_clusters(load(spark, d, "vectors"), 0.3))
 
 
-def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = load(spark, sf_dir, "vectors").withColumn("name", F.concat(F.lit("Insight "), F.col("id").cast("string")))
+def greedy_sql(rows: str, threshold: float, name: str) -> str:
+    """CTEs of ordered greedy clusters of a table (id, embedding): {name} has node and leader. led holds the leader's place of each place, and each step decides one."""
+    return f"""{name}_v AS (SELECT id, embedding, row_number() OVER (ORDER BY id) AS p FROM {rows}),
+    {name}_e AS (SELECT a.p, list(b.p) AS near FROM {name}_v a JOIN {name}_v b ON a.p <> b.p WHERE {COS} >= {threshold} GROUP BY 1),
+    {name}_g AS (SELECT 0::BIGINT AS p, [0::BIGINT FOR x IN range((SELECT count(*) FROM {name}_v))] AS led UNION ALL
+        SELECT g.p + 1, CASE WHEN led[g.p + 1] = 0 AND len([x FOR x IN near IF led[x] = 0]) > 0 THEN [CASE WHEN led[x] = 0 AND (x = g.p + 1 OR list_contains(near, x)) THEN g.p + 1 ELSE led[x] END FOR x IN range(1, len(led) + 1)] ELSE led END
+        FROM {name}_g g LEFT JOIN {name}_e e ON e.p = g.p + 1 WHERE g.p < len(led)),
+    {name} AS (SELECT v.id AS node, w.id AS leader FROM (SELECT unnest(led) AS l, generate_subscripts(led, 1) AS p FROM {name}_g WHERE p = len(led)) x JOIN {name}_v v ON v.p = x.p LEFT JOIN {name}_v w ON w.p = x.l)"""
+
+
+q("M2_greedy_clusters", f"WITH RECURSIVE {greedy_sql('vectors', 0.3, 'c')} SELECT node, leader FROM c", "vectors")(lambda v: similarity.greedy_clusters(v, 0.3))
+
+
+def discovery(v: DataFrame):
+    """A step of discovery over named vectors, of which every 25th is a macro with itself as its member."""
+    v = v.withColumn("name", F.concat(F.lit("Insight "), F.col("id").cast("string")))
+    units, macros = v.filter("id % 25 <> 0").select("id", "name", "embedding"), v.filter("id % 25 = 0").select("id", "name", F.col("embedding").cast("array<double>").alias("centroid_embedding"))
     held = v.filter("id % 25 = 0").select("id", F.col("id").alias("macro_id"), "embedding")
-    assigned, _, new = similarity.discover_macros(v.filter("id % 25 <> 0"), v.filter("id % 25 = 0").select("id", F.col("embedding").alias("centroid_embedding")), held, 0.32)
+    return units, macros, similarity.discover_macros(units, macros, held, 0.32)
+
+
+def discovered(v: DataFrame) -> DataFrame:
+    _, _, (assigned, _, new) = discovery(v)
     return assigned.join(new.select("leader", "name"), "leader", "left").select("id", "macro_id", "leader", "name")
 
 
-query("M4_discover_macros")(discovered)
-query("D1_dedup_within")(lambda spark, d: similarity.dedup_within(load(spark, d, "vectors").withColumn("g", F.floor(F.col("id") / 25)), "g", "id", threshold=0.25).select("g", "id"))
-query("D2_dedup_across")(lambda spark, d: similarity.dedup_across(load(spark, d, "vectors").withColumn("source_order", F.floor(F.col("id") / 20)), threshold=0.3))
+def applied(v: DataFrame) -> DataFrame:
+    """Units with their macro and its name, after new macros got ids and rows; and macros with the number of values of their centroid."""
+    units, macros, (assigned, moved, new) = discovery(v)
+    units, macros = upsert.apply_discovery(units.withColumn("macro_id", F.lit(None).cast("long")), macros, assigned, moved, new)
+    linked = units.join(macros.select(F.col("id").alias("macro_id"), F.col("name").alias("macro_name")), "macro_id", "left")
+    return linked.select(F.lit("unit").alias("kind"), "id", "macro_id", "macro_name").unionByName(macros.select(F.lit("macro").alias("kind"), "id", F.size("centroid_embedding").cast("long").alias("macro_id"), F.col("name").alias("macro_name")))
+
+
+DISCOVERED = f"""m AS (SELECT id, macro_id FROM (SELECT a.id, b.id AS macro_id, row_number() OVER (PARTITION BY a.id ORDER BY {COS} DESC, b.id) AS r FROM vectors a JOIN vectors b ON a.id % 25 <> 0 AND b.id % 25 = 0 WHERE {COS} >= 0.32) WHERE r = 1),
+    rest AS (SELECT id, embedding FROM vectors WHERE id % 25 <> 0 AND id NOT IN (SELECT id FROM m)), {greedy_sql('rest', 0.32, 'c')},
+    d AS (SELECT id, macro_id, NULL::BIGINT AS leader, NULL::VARCHAR AS name FROM m UNION ALL SELECT node, NULL, leader, (SELECT min_by('Insight ' || CAST(x.node AS VARCHAR), x.node) FROM c x WHERE x.leader = c.leader) FROM c)"""
+q("M4_discover_macros", f"WITH RECURSIVE {DISCOVERED} SELECT id, macro_id, leader, name FROM d", "vectors")(discovered)
+q("M5_create_macros", f"""WITH RECURSIVE {DISCOVERED}, n AS (SELECT leader, any_value(name) AS name, (SELECT max(id) FROM vectors WHERE id % 25 = 0) + row_number() OVER (ORDER BY leader) AS id FROM d WHERE leader IS NOT NULL GROUP BY 1),
+    x AS (SELECT id, 'Insight ' || CAST(id AS VARCHAR) AS name FROM vectors WHERE id % 25 = 0 UNION ALL SELECT id, name FROM n)
+    SELECT 'unit' AS kind, d.id, coalesce(d.macro_id, n.id) AS macro_id, x.name AS macro_name FROM d LEFT JOIN n USING (leader) LEFT JOIN x ON x.id = coalesce(d.macro_id, n.id) UNION ALL SELECT 'macro', id, (SELECT max(len(embedding)) FROM vectors), name FROM x""", "vectors")(applied)
+q("D1_dedup_within", f"""WITH RECURSIVE e AS (SELECT id // 25 AS g, id, embedding, row_number() OVER (PARTITION BY id // 25 ORDER BY id) AS r, count(*) OVER (PARTITION BY id // 25) AS n FROM vectors),
+    k AS (SELECT g, r, n, [id] AS kept, [embedding] AS held FROM e WHERE r = 1 UNION ALL SELECT k.g, b.r, k.n, CASE WHEN near THEN kept ELSE list_append(kept, b.id) END, CASE WHEN near THEN held ELSE list_append(held, b.embedding) END
+    FROM (SELECT k.*, len([h FOR h IN held IF list_cosine_similarity(CAST(h AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.25]) > 0 AS near FROM k JOIN e b ON b.g = k.g AND b.r = k.r + 1) k JOIN e b ON b.g = k.g AND b.r = k.r + 1)
+    SELECT g, unnest(kept) AS id FROM k WHERE r = n""", "vectors")(lambda v: similarity.dedup_within(v.withColumn("g", F.floor(F.col("id") / 25)), "g", "id", threshold=0.25).select("g", "id"))
+q("D2_dedup_across", f"""WITH RECURSIVE v AS (SELECT id, embedding, row_number() OVER (ORDER BY id) AS p FROM vectors), n AS (SELECT b.p, list(a.id ORDER BY {COS} DESC, a.id // 20, a.id) AS near FROM v a JOIN v b ON a.id // 20 < b.id // 20 WHERE {COS} >= 0.3 GROUP BY 1),
+    k AS (SELECT 0::BIGINT AS p, []::BIGINT[] AS kept, NULL::BIGINT AS node, NULL::BIGINT AS target UNION ALL
+        SELECT v.p, CASE WHEN best IS NULL THEN list_append(kept, v.id) ELSE kept END, v.id, coalesce(best, v.id)
+        FROM (SELECT k.p, k.kept, [x FOR x IN coalesce(n.near, []) IF list_contains(k.kept, x)][1] AS best FROM k LEFT JOIN n ON n.p = k.p + 1) k JOIN v ON v.p = k.p + 1)
+    SELECT node, target FROM k WHERE p > 0""", "vectors")(lambda v: similarity.dedup_across(v.withColumn("source_order", F.floor(F.col("id") / 20)), threshold=0.3))
 q("D3_merge_sources", """SELECT node, string_agg(kind || CAST(sid AS STRING), ',' ORDER BY first) AS additional FROM (SELECT id % 20 AS node, CASE WHEN label % 2 = 0 THEN 'p' ELSE 'd' END AS kind, label % 7 AS sid, min(id) AS first FROM vectors WHERE id >= 20 GROUP BY ALL) t
     WHERE NOT EXISTS (SELECT 1 FROM vectors o WHERE o.id = t.node AND (CASE WHEN o.label % 2 = 0 THEN 'p' ELSE 'd' END) = t.kind AND o.label % 7 = t.sid) GROUP BY 1""", "vectors")(
     lambda v: similarity.merge_sources(v.select(F.col("id").alias("node"), F.when(F.col("id") < 20, F.col("id")).otherwise(F.col("id") % 20).alias("target")), v.select(F.col("id").alias("node"), F.when(F.col("label") % 2 == 0, "p").otherwise("d").alias("kind"), (F.col("label") % 7).alias("id")))
@@ -206,26 +251,39 @@ q("R1_latest_status", "SELECT CAST(feed_id AS STRING) AS entity_id, max_by(audio
     lambda f: latest_status(f.select(F.lit("episode").alias("type"), F.col("feed_id").cast("string").alias("entity_id"), F.col("audio_url").alias("status"), F.lit(None).cast("string").alias("error"), F.col("published_at").alias("timestamp"))).select("entity_id", "status", "timestamp"))
 
 
+def as_podcast(s: DataFrame) -> DataFrame:
+    """Chunks with vectors, of turns of conversations."""
+    whole = s.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("idx", "text", F.col("idx").cast("double").alias("start"), F.lit(None).cast("double").alias("end")))).alias("segments"))
+    return search.embed(chunking.chunk_podcast(whole), search.hashing_embedder(16), "full_text").drop("error")
+
+
+def arriving(spark: SparkSession, rows: DataFrame, inbox: str, parts: int, key: str) -> None:
+    rows.repartition(parts, key).write.mode("append").parquet(inbox)
+
+
 def streamed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations arrive as a stream of files and are indexed batch by batch into a table of versions."""
-    inbox, index, marks = work_path(spark, "inbox"), work_path(spark, "index"), work_path(spark, "marks")
-    rows = load(spark, sf_dir, "segments")
-    rows.filter("idx < 3").coalesce(1).write.parquet(inbox)
-    state = {"n": 0}
+    """Conversations arrive as a stream of files and are chunked, embedded and indexed batch by batch; first some turns, then all of them, which replace the chunks."""
+    inbox, index, marks = (work_path(spark, n) for n in ("inbox", "index", "marks"))
+    rows = load(spark, sf_dir, "segments").select("source", "idx", "text")
+    for part in (rows.filter("idx < 3"), rows):
+        arriving(spark, part, inbox, 4, "source")
+        index_batches(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(inbox), as_podcast, index, marks).awaitTermination()
+    return spark.read.parquet(index).select("chunk_id", "source", "text", "overlap_text", F.size("embedding").alias("dim"))
+
 
-    def read() -> DataFrame | None:
-        return spark.read.parquet(f"{index}/{state['n']}") if state["n"] else None
+q("R2_incremental_index", f"SELECT chunk_id, regexp_replace(chunk_id, '_chunk_[0-9]+$', '') AS source, text, overlap_text, 16 AS dim FROM ({CHUNKS})", "segments")(None)
+QUERIES["R2_incremental_index"] = streamed_index
 
-    def write(df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{index}/{state['n'] + 1}")
-        state["n"] += 1
 
-    for again in (False, True):
-        if again:  # more of the conversations: their chunks are replaced
-            rows.coalesce(1).write.mode("append").parquet(inbox)
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-        index_batches(stream, lambda b: b.select("source", "idx", "text"), read, write, marks).awaitTermination()
-    return read()
+def streamed_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors arrive in three batches; the macros found so far match the units of the next."""
+    inbox, state, marks = (work_path(spark, n) for n in ("inbox", "state", "marks"))
+    rows = load(spark, sf_dir, "vectors").select("id", F.concat(F.lit("Insight "), F.col("id").cast("string")).alias("name"), F.col("embedding").cast("array<float>").alias("embedding"))
+    for k in range(3):
+        arriving(spark, rows.filter(f"id % 3 = {k}"), inbox, 2, "id")
+        discover_batches(spark.readStream.schema(rows.schema).parquet(inbox), state, marks, 0.32).awaitTermination()
+    units, macros = discovered_state(spark, state, 3)
+    return units.join(macros.select(F.col("id").alias("macro_id"), F.col("name").alias("macro_name")), "macro_id", "left").select("id", "macro_id", "macro_name")
 
 
-query("R2_incremental_index", "SELECT concat('talk ', CAST(conv_id AS STRING)) AS source, CAST(turn AS INT) AS idx, CASE WHEN turn % 5 = 3 THEN '  ' ELSE text END AS text FROM conversations")(streamed_index)
+query("R3_incremental_matching")(streamed_discovery)

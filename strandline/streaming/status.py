@@ -7,6 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline import constants as K
+from strandline.functions.lineage import settled
+from strandline.operators.similarity import discover_macros
+from strandline.operators.upsert import apply_discovery, reindex_source
+from strandline.sources.objects import write_table
+
 
 def latest_status(events: DataFrame) -> DataFrame:
     """Current status of each (type, entity_id) of status events, batch or stream; events without a timestamp count as now. Update mode keeps one row for each entity."""
@@ -15,17 +21,69 @@ def latest_status(events: DataFrame) -> DataFrame:
     return events.groupBy("type", "entity_id").agg(last, F.max(at).alias("timestamp")).select("type", "entity_id", "s.status", "s.error", "timestamp")
 
 
-def index_batches(stream: DataFrame, chunk: Callable[[DataFrame], DataFrame], read: Callable[[], DataFrame | None], write: Callable[[DataFrame], None], checkpoint: str):
-    """Indexes arriving transcripts: each batch's chunks replace those of its sources. A batch that comes twice changes nothing more."""
+INDEX_BUCKETS = 64
+
+
+def index_batches(stream: DataFrame, chunk: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, buckets: int = INDEX_BUCKETS):
+    """Indexes arriving transcripts into the table at path: each batch's chunks replace those of its sources.
+
+    chunk makes chunks (source, embedding, ...) of a batch. The table is partitioned by a hash of the source, and a batch reads and writes only the
+    partitions of its sources. A batch that comes twice changes nothing more. Sources whose transcript has no chunk any more keep what they had.
+    """
 
     def each(batch: DataFrame, _: int) -> None:
-        new = chunk(batch)
-        old = read()
-        write(new if old is None else old.join(new.select("source").distinct(), "source", "left_anti").unionByName(new))
+        spark = batch.sparkSession
+        new = settled(chunk(batch).withColumn("bucket", F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int")))
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # buckets at most
+        if touched:
+            old = stored(spark, path, new.schema)
+            if old is not None:
+                new = settled(reindex_source(old.filter(F.col("bucket").isin(touched)), new)[0])  # read before its partitions are replaced
+            write_table(new, path, partition_by=("bucket",))
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored(spark, path: str, schema=None) -> DataFrame | None:
+    """The table at a path, or none if nothing was written yet."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    try:
+        return reader.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+
+
+UNITS = "id long, name string, embedding array<float>, macro_id long"
+MACROS = "id long, name string, centroid_embedding array<double>"
+
+
+def discover_batches(stream: DataFrame, path: str, checkpoint: str, threshold: float = K.MACRO_THRESHOLD):
+    """Macro discovery over a stream of units (id, name, embedding): each batch is matched to the centroids so far, the rest and earlier units that stayed alone are clustered.
+
+    The tables at path hold the state, a version of each for every batch (see discovered); a batch that comes again after a failure starts
+    from the version before it and changes nothing more. Units that are known already are left as they are.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        units, macros = discovered(batch.sparkSession, path, number)
+        fresh = batch.select("id", "name", F.col("embedding").cast("array<float>").alias("embedding"), F.lit(None).cast("long").alias("macro_id"))
+        fresh = fresh.dropDuplicates(["id"]).join(units.select("id"), "id", "left_anti")
+        units = settled(units.unionByName(fresh))
+        free = units.filter("macro_id is null").drop("macro_id")
+        assigned, moved, new = discover_macros(free, macros, units.filter("macro_id is not null"), threshold)
+        units, macros = apply_discovery(units, macros, assigned, moved, new)
+        write_table(macros, f"{path}/macros/{number}")
+        write_table(units, f"{path}/units/{number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def match_batches(stream: DataFrame, step: Callable[[DataFrame], None], checkpoint: str):
-    """Runs a step of macro discovery on each arriving batch; the macro table, not the stream, holds the state."""
-    return stream.writeStream.foreachBatch(lambda batch, _: step(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def discovered(spark, path: str, before: int) -> tuple[DataFrame, DataFrame]:
+    """units and macros as the last batch before this number left them; empty ones if there is none."""
+    for number in range(before - 1, -1, -1):
+        units = stored(spark, f"{path}/units/{number}", UNITS)
+        if units is not None:
+            return units, spark.read.schema(MACROS).parquet(f"{path}/macros/{number}")
+    return spark.createDataFrame([], UNITS), spark.createDataFrame([], MACROS)

@@ -72,7 +72,7 @@ def test_dedup_within_and_prototypes(spark, seed):
     for g in range(5):
         kept = []
         for i in range(10 * g, 10 * g + 10):
-            if all(float(v[i].astype(float) @ v[j].astype(float)) < 0.9 for j in kept):
+            if all(s[i, j] < 0.9 for j in kept):
                 kept.append(i)
         want += kept
     df = frame(spark, v, g=[i // 10 for i in range(50)])
@@ -89,9 +89,85 @@ def test_block_join_equals_broadcast(spark, monkeypatch):
     v = vectors(5, 60)
     df = frame(spark, v)
     want = sorted((r.a, r.b) for r in similarity.similarity_edges(df, 0.6).collect())
+    both = sorted((r.a, r.b) for r in similarity.cosine_join(df, df, 0.6).collect())
+    assert both == sorted(want + [(b, a) for a, b in want] + [(i, i) for i in range(60)])
     monkeypatch.setattr(similarity, "SMALL_SIDE_BYTES", 1)
-    got = sorted((r.a, r.b) for r in similarity.cosine_join(df, df, 0.6, blocks=4).filter("a < b").collect())
-    assert got == want and want
+    for blocks in (1, 4, 7):
+        assert sorted((r.a, r.b) for r in similarity.similarity_edges(df, 0.6, blocks=blocks).collect()) == want and want
+        assert sorted((r.a, r.b) for r in similarity.cosine_join(df, df, 0.6, blocks=blocks).collect()) == both
+
+
+def test_vectors_that_are_missing(spark):
+    """Null and zero vectors are near to nothing: dedup keeps them, clusters leave them out."""
+    df = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, None), (3, 0, [2.0, 0.0]), (4, 0, [0.0, 0.0]), (5, 0, None), (6, 0, [0.0, 3.0])], "id long, g int, embedding array<float>")
+    assert sorted(r.id for r in similarity.dedup_within(df, "g", ["g", "id"]).collect()) == [1, 2, 4, 5, 6]
+    assert {r.id: r.cluster_name for r in clusters.assign_clusters(df, [("a", [5.0, 0.0]), ("b", [5.0, 0.0]), ("c", [0.0, 1.0])]).collect()} == {1: "a", 3: "a", 6: "c"}
+    assert clusters.assign_clusters(df.limit(0), [("a", [5.0, 0.0])]).count() == 0 and clusters.assign_clusters(df, []).count() == 3
+
+
+def plain_step(units, macros, threshold):
+    """One step of discovery, in order, over dicts id -> vector and macro -> (name, centroid, member vectors): returns links and changes macros."""
+    unit = lambda x: x / np.linalg.norm(x)
+    links, gained = {}, set()
+    for i, v in sorted(units.items()):
+        scores = [(round(float(unit(v) @ unit(c)), 12), -m) for m, (_, c, _) in macros.items()]
+        if scores and max(scores)[0] >= threshold and max(scores)[0] > 0:
+            links[i] = -max(scores)[1]
+    for i, m in links.items():
+        macros[m][2].append(units[i])
+        gained.add(m)
+    free = [i for i in sorted(units) if i not in links]
+    new, taken = [], set()
+    for i in free:
+        if i not in taken:
+            own = [i] + [j for j in free if j != i and j not in taken and unit(units[i]) @ unit(units[j]) >= threshold]
+            if len(own) > 1:
+                taken |= set(own)
+                new.append(own)
+    for own in new:
+        m = max(macros, default=0) + 1
+        macros[m] = (f"n{min(own)}", None, [units[j] for j in own])
+        gained.add(m)
+        links |= dict.fromkeys(own, m)
+    for m in gained:
+        name, _, members = macros[m]
+        macros[m] = (name, unit(np.mean([unit(x) for x in members], 0)), members)
+    return links
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_discovery_over_batches(spark, seed, tmp_path):
+    """The stream's tables after three batches are those of three plain steps; a batch that comes again changes nothing."""
+    from strandline.streaming.status import discover_batches, discovered
+
+    v = vectors(seed, 45).astype(float)
+    df = frame(spark, v.astype(np.float32)).withColumn("name", F.concat(F.lit("n"), F.col("id").cast("string"))).select("id", "name", "embedding")
+    links, macros, free = {}, {}, {}
+    inbox, state = str(tmp_path / "inbox"), str(tmp_path / "state")
+    for k in range(3):
+        df.filter(f"id % 3 = {k}").coalesce(1).write.mode("append").parquet(inbox)
+        for _ in range(2):
+            discover_batches(spark.readStream.schema(df.schema).parquet(inbox), state, str(tmp_path / "marks"), 0.8).awaitTermination()
+        free |= {i: v[i] for i in range(k, 45, 3)}
+        links |= plain_step(free, macros, 0.8)
+        free = {i: x for i, x in free.items() if i not in links}
+    units, table = discovered(spark, state, 3)
+    assert {r.id: r.macro_id for r in units.collect()} == {i: links.get(i) for i in range(45)} and links
+    got = {r.id: (r.name, r.centroid_embedding) for r in table.collect()}
+    assert {m: n for m, (n, _) in got.items()} == {m: n for m, (n, _, _) in macros.items()}
+    assert all(np.allclose(got[m][1], c, atol=1e-5) for m, (_, c, _) in macros.items())
+
+
+def test_resets(spark):
+    from strandline.operators import upsert
+
+    t = {n: spark.range(3).selectExpr("id", "id AS macro_insight_id", "id AS cluster_id") for n in ("units", "macros", "clusters", "dimensions", "evidence")}
+    after, gone = upsert.reset(["dimensions", "clusters"], t)
+    assert {r.table_name: r.deleted for r in gone.collect()} == dict.fromkeys(["evidence", "dimensions", "macros", "clusters"], 3)
+    assert {n: df.count() for n, df in after.items()} == {"units": 3, "macros": 0, "clusters": 0, "dimensions": 0, "evidence": 0}
+    assert after["units"].filter("macro_insight_id is null and cluster_id is null").count() == 3
+    after, gone = upsert.reset(["units", "dimensions"], t)
+    assert sorted(r.table_name for r in gone.collect()) == ["dimensions", "evidence", "units"] and after["macros"].filter("cluster_id is not null").count() == 3
 
 
 def test_search_ties_and_blocks(spark, monkeypatch):
