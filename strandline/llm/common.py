@@ -75,7 +75,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("y")).filter("doc_id is not null and y in (0, 1)").filter(usable)
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(size, F.lit(0)).alias("size")).groupBy("doc_id").agg(F.sum("size").alias("size"))
-    ready = known.join(sizes.filter(F.col("size") <= most // 16), "doc_id").withColumn("order", F.xxhash64("doc_id"))
+    ready = written(known.join(sizes.filter(F.col("size") <= most // 16), "doc_id").withColumn("order", F.xxhash64("doc_id")), "labelled")
     first = ready.filter("y = 0").orderBy("order", "doc_id").limit(per_class).unionByName(ready.filter("y = 1").orderBy("order", "doc_id").limit(per_class))
     upto = F.sum("size").over(Window.partitionBy("y").orderBy("order", "doc_id"))
     chosen = first.withColumn("upto", upto).filter(F.col("upto") <= most).select("doc_id", "y")
