@@ -178,32 +178,89 @@ def test_language_model_beats_the_base_and_sums_to_one(spark):
     docs = table(spark, d, "documents")
     bits = [r for r in QUERIES["op8_pitman_yor"](spark, d).select("doc_id", "held_out").collect()]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1) for r in bits) and len(bits) == docs.count()
-    # all words and the unknown one share the whole of a context
+
+
+def small_tree(rng, words=40, most=5):
+    """A tree over six contexts of three last bytes, and its hall."""
+    count = rng.integers(0, most, (words, 6))
+    count[:, 0] += 1
+    own, ctx = np.repeat(np.arange(words), 6), np.tile(np.array([256 * k + k % 3 for k in range(6)]), words)
+    return own, ctx, count.ravel(), lm.Tree(own, ctx, count.ravel())
+
+
+def hall_of(tree, words, discounts=(0.6, 0.5, 0.4)):
+    sums = lambda at, x, n: np.bincount(at, x, n).astype(float)
+    return lm.Hall(sums(tree.ctx, tree.count, lm.CONTEXTS), sums(tree.ctx, tree.pairs.t, lm.CONTEXTS), sums(tree.byte, tree.groups.c, 256), sums(tree.byte, tree.groups.t, 256), tree.words.c.sum(), tree.words.t.sum(), words, discounts)
+
+
+def test_probabilities_sum_to_one():
+    """All words and the unknown one share the whole of a context; after moves the levels still add up."""
     rng = np.random.default_rng(3)
-    count = rng.integers(0, 5, (40, 6))
-    own, ctx = np.repeat(np.arange(40), 6), np.tile(np.arange(6), 40)
-    flat = count.ravel()
-    t = lm.tables_for(flat, np.full(240, 0.4), 0.5, rng)
-    up = np.bincount(own, t, 40).astype(int)
-    above = lm.tables_for(up, np.full(40, 0.1), 0.6, rng)
-    hall = lm.Hall(np.bincount(ctx, flat, 6), np.bincount(ctx, t, 6), up.sum(), above.sum(), 40, 0.5, 0.6)
-    parent = hall.parent(up, above)
-    unknown = hall.parent(np.zeros(1), np.zeros(1))
-    total = hall.pair(ctx, flat, t, parent[own]).reshape(40, 6).sum(0) + hall.pair(np.arange(6), np.zeros(6), np.zeros(6), np.repeat(unknown, 6))
-    assert np.allclose(parent.sum() + unknown, 1) and np.allclose(total, 1)
-
-
-def test_tables_follow_the_restaurant():
-    """Mean number of tables against the sequential process."""
-    rng = np.random.default_rng(4)
-
-    def plain(c, a, d):
-        t = 1
-        for n in range(1, c):
-            t += rng.random() < a / (a + n - d * t)
-        return t
-
-    for c, a, d in ((20, 2.0, 0.5), (400, 5.0, 0.7)):
-        want = np.mean([plain(c, a, d) for _ in range(400)])
-        got = lm.tables_for(np.full(400, c), np.full(400, a), d, rng).mean()
-        assert abs(got - want) < 0.06 * want + 0.2
+    own, ctx, count, tree = small_tree(rng)
+    for _ in range(30):
+        hall = hall_of(tree, 40)
+        root = hall.root(np.zeros(1), np.zeros(1))
+        k = np.arange(3)
+        byte = hall.byte(k, np.zeros(3), np.zeros(3), root)
+        six = np.array([256 * k + k % 3 for k in range(6)])
+        unknown = hall.pair(six, np.zeros(6), np.zeros(6), byte[six & 255])
+        assert np.allclose(tree.predict(hall).reshape(40, 6).sum(0) + unknown, 1)
+        tree = lm.Tree(own, ctx, count, tree.held())  # rooms are made anew
+        tree.move(hall, rng)
+        for level, total in ((tree.pairs, tree.count), (tree.groups, np.bincount(tree.group, tree.pairs.t)), (tree.words, np.bincount(tree.group_own, tree.groups.t))):
+            at, start = level.places(np.arange(len(level.t)))
+            assert (level.c == total).all() and (level.sizes[at] > 0).all() and (np.bincount(np.repeat(np.arange(len(level.t)), level.t), level.sizes[at], len(level.t)) == level.c).all()
+
+
+def test_moves_follow_the_posterior():
+    """Taking out and seating anew, at fixed weights: the number of tables has the distribution of the restaurant, by generalized Stirling numbers."""
+    rng, d = np.random.default_rng(4), 0.5
+    for c, a in ((3, 0.7), (8, 2.0), (12, 0.3)):
+        stirling = np.zeros((c + 1, c + 1))
+        stirling[0, 0] = 1
+        for n in range(1, c + 1):
+            for t in range(1, n + 1):
+                stirling[n, t] = stirling[n - 1, t - 1] + (n - 1 - t * d) * stirling[n - 1, t]
+        want = stirling[c] * a ** np.arange(c + 1)
+        want /= want.sum()
+        chains = 4000
+        r = lm.Restaurants(np.full(chains, c), np.ones(chains, int), np.full(chains, c), 400)
+        every = np.arange(chains)
+        for _ in range(12 * c):
+            r.leave(every, rng)
+            r.seat(every, np.full(chains, a), d, rng)
+        assert np.abs(np.bincount(r.t, minlength=c + 1) / chains - want).max() < 0.03
+
+
+def test_scores_of_a_tiny_corpus(spark):
+    """score against the chain of predictive probabilities made from the states of the sweeps, token by token, and against the mean over long plain chains."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["ba", "ab", "bb", "cab"]) for _ in range(rng.randint(1, 6))) for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.score for r in lm.score_documents(df, F.col("doc_id") < 9).collect()}
+    pairs = [[(b"  " if k == 0 else w[k - 1].encode()[-2:], w[k] if k < len(w) else None) for k in range(len(w) + 1)] for w in (t.split() for t in texts)]
+    code = lambda b, first: lm.START if first else b[0] << 8 | b[1]
+    flat = [[(code(b, k == 0), w) for k, (b, w) in enumerate(p)] for p in pairs]
+    train = Counter(x for p in flat[:9] for x in p)
+    vocabulary = sorted({w for p in flat for _, w in p}, key=str)
+    known = sorted({(vocabulary.index(w), c) for p in flat for c, w in p})
+    own, ctx = (np.array(x) for x in zip(*known, strict=True))
+    count = np.array([train[c, vocabulary[w]] for w, c in known])
+    once, twice = sum(v == 1 for v in train.values()), sum(v == 2 for v in train.values())
+    types = len({w for _, w in train})
+    means = []
+    for seed in range(40):
+        tree, r, p, n = lm.Tree(own, ctx, count), np.random.default_rng(seed), np.zeros(len(own)), 0
+        for number in range(lm.BURN_IN + lm.SAMPLES + 1):
+            g, w = tree.groups.c, tree.words.c
+            hall = hall_of(tree, types, (lm.discount_of(once, twice), lm.discount_of((g == 1).sum(), (g == 2).sum()), lm.discount_of((w == 1).sum(), (w == 2).sum())))
+            if number > lm.BURN_IN:
+                p += tree.predict(hall)
+                n += 1
+            tree = lm.Tree(own, ctx, count, tree.held())
+            for _ in range(lm.MOVES):
+                tree.move(hall, r)
+        at = {x: k for k, x in enumerate(known)}
+        means.append([sum(math.log10(p[at[vocabulary.index(w), c]] / n) for c, w in doc) for doc in flat])
+    mean, spread = np.mean(means, 0), np.std(means, 0)
+    assert all(abs(got[i] - mean[i]) < 4 * spread[i] + 0.15 for i in range(12)), (got, mean.tolist(), spread.tolist())
