@@ -73,7 +73,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = 8, least_docs: int =
     theta = np.hstack([np.zeros((m, 1)), rng.normal(0, 0.05, (m, rank))])  # a weight and the factors of each term
     w0 = float(np.log(y.sum() / (1 - y).sum()))
     first, second, turn = np.zeros_like(theta), np.zeros_like(theta), 0
-    for _ in range(epochs):
+    for epoch in range(epochs):
         order = rng.permutation(len(docs))
         for part in np.array_split(order, max(1, len(docs) // batch)):
             turn += 1
@@ -87,9 +87,10 @@ def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = 8, least_docs: int =
             less = step[:, 1:].mean(1) * z_factor * off * np.sqrt((total[:, 1:] ** 2).sum(1).mean())
             theta[:, 1:] *= np.maximum(1 - less / np.maximum(length, 1e-12), 0)[:, None]
             w0 += rate * float(err.mean())
-    live = np.flatnonzero(theta.any(1))
-    term, bounds = placed(term, bounds, live, m)
-    theta, m = theta[live], len(live)
+        if epoch >= 3 or epoch == epochs - 1:  # what is at zero by then stays there
+            live = np.flatnonzero(theta.any(1))
+            term, bounds = placed(term, bounds, live, len(theta))
+            theta, first, second, spread, buckets = theta[live], first[live], second[live], spread[live], buckets[live]
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     parts = np.array_split(np.arange(len(docs)), max(1, len(docs) // batch))
     for turn in range(1, rounds + 1):
@@ -98,7 +99,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = 8, least_docs: int =
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
         theta = theta + rate * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.99**turn)) + 1e-6)
         w0 += 10 * rate * float(sum(err.sum() for err, _, _ in found)) / len(docs)
-    return Machine(buckets[live], w0, theta[:, 0].copy(), theta[:, 1:].copy())
+    return Machine(buckets, w0, theta[:, 0].copy(), theta[:, 1:].copy())
 
 
 def placed(term: np.ndarray, bounds: np.ndarray, kept: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
