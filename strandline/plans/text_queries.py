@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandline import constants as K
 from strandline.functions import text as T
 from strandline.operators import chunking, replies, stats, transcripts
 from strandline.plans.catalog_queries import q
@@ -31,7 +32,7 @@ def collected(s, *fields):
 
 def shaped(s):
     """Transcripts of six shapes from the turns of a conversation."""
-    a, shape = collected(s, "text"), F.crc32("source") % 6
+    a, shape = collected(s, "text"), F.regexp_extract("source", r"\d+$", 0).cast("long") % 6
     texts, objects = F.transform("a", lambda x: x["text"]), F.transform("a", lambda x: F.struct(x["text"].alias("text")))
     as_json = (F.when(shape == 0, F.to_json(texts)).when(shape == 1, F.to_json(objects)).when(shape == 2, F.to_json(F.struct(objects.alias("segments"))))
                .when(shape == 3, F.to_json(F.struct(F.array_join(texts, " ").alias("transcript"), objects.alias("segments")))).when(shape == 4, F.to_json(F.struct(F.transform("a", lambda x: F.struct(x["text"].alias("transcript"))).alias("results"))))
@@ -39,11 +40,11 @@ def shaped(s):
     return a.select("source", as_json.alias("json"))
 
 
-
-# the shape depends on a checksum that SQL lacks, so the query with SQL has one shape, and tests take all
 q("P10_transcript_text", "SELECT source, array_to_string(list(text ORDER BY idx), chr(10)) AS text FROM segments GROUP BY 1", "segments")(
     lambda s: collected(s, "text").select("source", transcripts.transcript_text(F.to_json(F.struct(F.transform("a", lambda x: F.struct(x["text"].alias("text"))).alias("segments")))).alias("text")))
-query("P10_transcript_shapes")(lambda spark, sf_dir: shaped(load(spark, sf_dir, "segments")).select("source", transcripts.transcript_text("json").alias("text")))
+q("P10_transcript_shapes", """SELECT source, CASE WHEN k IN (0, 1) THEN array_to_string(list(text ORDER BY idx) FILTER (text <> ''), chr(10)) WHEN k = 2 THEN array_to_string(list(text ORDER BY idx) FILTER (text <> ''), chr(10)) WHEN k IN (3, 5) THEN array_to_string(list(text ORDER BY idx), ' ') ELSE array_to_string(list(text ORDER BY idx), chr(10)) END AS text
+    FROM (SELECT *, CAST(regexp_extract(source, '[0-9]+$') AS BIGINT) % 6 AS k FROM segments) GROUP BY source, k""", "segments")(
+    lambda s: shaped(s).select("source", transcripts.transcript_text("json").alias("text")))
 q("P11_normalize_transcript", """SELECT source, idx, text, CAST(idx AS DOUBLE) AS start, CAST(CASE WHEN idx % 2 = 0 THEN idx ELSE idx + 1 END AS DOUBLE) AS "end", 'fr' AS language FROM segments""", "segments")(
     lambda s: collected(s, "text").select("source", transcripts.normalize_transcript(F.to_json(F.struct(F.transform("a", lambda x: F.struct(x["text"].alias("text"), F.array(x["idx"].cast("double"), F.when(x["idx"] % 2 == 1, x["idx"] + 1.0)).alias("timestamp"))).alias("chunks"), F.lit("fr").alias("language")), {"ignoreNullFields": "false"})).alias("t"))
     .select("source", F.col("t.language").alias("language"), F.posexplode("t.segments").alias("p", "s"))
@@ -81,9 +82,46 @@ def paragraphs():
     return F.replace("text", F.lit("\n"), F.lit("\n\n"))
 
 
-query("C2_split_blocks")(lambda spark, d: load(spark, d, "texts").select("doc_id", F.posexplode(chunking.split_blocks(paragraphs())).alias("place", "b")).select("doc_id", "place", "b.text", "b.type", "b.page", "b.section"))
-query("C4_chunk_segments")(lambda spark, d: chunking.segment_chunks(load(spark, d, "segments").groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda s: F.struct(s["text"].alias("text"), F.when(s["idx"] % 3 != 0, s["idx"]).alias("page"))).alias("segments"))))
-query("C5_C6_document_chunks")(lambda spark, d: chunking.document_chunks(load(spark, d, "texts").select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("source"), paragraphs().alias("text"))))
+HEAD = " OR ".join(f"regexp_matches(t, '\\A(?m:{h})')" for h in T.HEADINGS)
+STRIP = "regexp_replace(%s, '^\\s+|\\s+$', '', 'g')"
+# pages that are not blank, each with the number it names or the one after the last page's; their paragraphs; and the last heading so far
+BLOCKS = rf"""g AS (SELECT doc_id, i, {STRIP % 'g'} AS t FROM (SELECT doc_id, unnest(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n{{3,}}|\x0c|(?:^|\n)---+(?:\n|$)')) AS g, generate_subscripts(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n{{3,}}|\x0c|(?:^|\n)---+(?:\n|$)'), 1) AS i FROM texts)),
+    n AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, coalesce(nullif(CAST(coalesce(nullif(regexp_extract(t, '(?i)Page\s+([0-9]+)', 1), ''), nullif(regexp_extract(t, '-\s*([0-9]+)\s*-', 1), ''), nullif(regexp_extract(t, '(?m)^\s*([0-9]{{1,3}})\s*$', 1), '')) AS BIGINT), 0), NULL) AS mark FROM g WHERE t <> ''),
+    m AS (SELECT doc_id, k, t, k + coalesce(last_value(mark - k IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k), 0) AS page FROM n),
+    p AS (SELECT doc_id, k, page, {STRIP % 'x'} AS t, j FROM (SELECT doc_id, k, page, unnest(regexp_split_to_array(t, '\n\s*\n')) AS x, generate_subscripts(regexp_split_to_array(t, '\n\s*\n'), 1) AS j FROM m)),
+    h AS (SELECT *, length(t) <= 200 AND ({HEAD}) AS heading FROM p WHERE t <> ''),
+    blocks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1 AS place, t AS text, heading, page, last_value(CASE WHEN heading THEN t END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k, j) AS section FROM h)"""
+q("C2_split_blocks", f"WITH {BLOCKS} SELECT doc_id, CAST(place AS INT) AS place, text, CASE WHEN heading THEN 'heading' ELSE 'paragraph' END AS type, CAST(page AS INT) AS page, section FROM blocks", "texts")(
+    lambda d: d.select("doc_id", F.posexplode(chunking.split_blocks(paragraphs())).alias("place", "b")).select("doc_id", "place", "b.text", "b.type", "b.page", "b.section"))
+# greedy groups of blocks; long blocks in runs of sentences; small groups join their left neighbour. Each recursion goes over the rows of every document at once
+GROUPS = rf"""b AS (SELECT *, length(text) AS n, length(text) > {K.CHUNK_MAX} AS long FROM blocks),
+    w AS (SELECT doc_id, place, 0 AS gid, CASE WHEN long THEN 0 ELSE n END AS held, long AS empty FROM b WHERE place = 0 UNION ALL
+        SELECT doc_id, place, gid + CASE WHEN fresh THEN 1 ELSE 0 END, CASE WHEN long THEN 0 WHEN fresh THEN n ELSE held + n END, long FROM (SELECT b.doc_id, b.place, b.n, b.long, w.gid, w.held, w.empty OR b.long OR b.heading OR w.held + b.n > {K.CHUNK_MAX} AS fresh FROM w JOIN b ON b.doc_id = w.doc_id AND b.place = w.place + 1)),
+    z AS (SELECT doc_id, place, row_number() OVER (PARTITION BY doc_id, place ORDER BY j) AS j, t FROM (SELECT doc_id, place, {STRIP % 'x'} AS t, j FROM (SELECT doc_id, place, unnest(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS x,
+        generate_subscripts(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), 1) AS j FROM b WHERE long)) WHERE t <> ''),
+    y AS (SELECT doc_id, place, j, 0 AS sub, length(t) AS held FROM z WHERE j = 1 UNION ALL
+        SELECT doc_id, place, j, sub + CASE WHEN fresh THEN 1 ELSE 0 END, CASE WHEN fresh THEN n ELSE held + 1 + n END FROM (SELECT z.doc_id, z.place, z.j, length(z.t) AS n, y.sub, y.held, y.held + length(z.t) + 1 > {K.CHUNK_MAX} AS fresh FROM y JOIN z ON z.doc_id = y.doc_id AND z.place = y.place AND z.j = y.j + 1)),
+    gs AS (SELECT w.doc_id, w.gid, 0 AS sub, string_agg(b.text, chr(10) || chr(10) ORDER BY b.place) AS text, max_by(b.page, b.place) AS page, max_by(struct_pack(s := b.section), b.place).s AS section FROM w JOIN b USING (doc_id, place) WHERE NOT b.long GROUP BY ALL UNION ALL
+        SELECT w.doc_id, w.gid, y.sub, string_agg(z.t, ' ' ORDER BY z.j), any_value(b.page), any_value(b.section) FROM y JOIN z USING (doc_id, place, j) JOIN w USING (doc_id, place) JOIN b USING (doc_id, place) GROUP BY w.doc_id, w.gid, y.sub),
+    gn AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY gid, sub) - 1 AS i, length(text) AS n, {STRIP % f"right(array_to_string(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[-{K.CHUNK_OVERLAP_SENTENCES}:], ' '), {K.CHUNK_MIN // 2})"} AS ends FROM gs),
+    c AS (SELECT doc_id, i, i AS number, n AS held FROM gn WHERE i = 0 UNION ALL
+        SELECT doc_id, i, CASE WHEN joins THEN number ELSE i END, CASE WHEN joins THEN held + 2 + n ELSE n END FROM (SELECT gn.doc_id, gn.i, gn.n, c.number, c.held, gn.n < {K.CHUNK_MIN} AND c.held + 2 + gn.n <= {K.CHUNK_MAX} AS joins FROM c JOIN gn ON gn.doc_id = c.doc_id AND gn.i = c.i + 1)),
+    k AS (SELECT doc_id, number, string_agg(text, chr(10) || chr(10) ORDER BY i) AS text, arg_min(page, i) AS page, arg_min(section, i) AS section FROM c JOIN gn USING (doc_id, i) GROUP BY ALL)
+    SELECT k.doc_id || '_chunk_' || CASE WHEN number < 10000 THEN lpad(CAST(number AS STRING), 4, '0') ELSE CAST(number AS STRING) END AS chunk_id, k.doc_id AS source, k.text, CAST(k.page AS INT) AS page, k.section, coalesce(g.ends, '') AS overlap_text,
+    CAST(len(regexp_split_to_array({STRIP % 'k.text'}, '\s+')) AS BIGINT) AS word_count, CAST(length(k.text) AS BIGINT) AS char_count, CASE WHEN coalesce(g.ends, '') <> '' THEN g.ends || chr(10) || chr(10) || k.text ELSE k.text END AS full_text FROM k LEFT JOIN gn g ON g.doc_id = k.doc_id AND g.i = k.number - 1"""
+SEGMENT_BLOCKS = rf"""p AS (SELECT source AS doc_id, idx AS k, CASE WHEN idx % 3 <> 0 THEN idx ELSE 1 END AS page, {STRIP % 'x'} AS t, j FROM (SELECT *, unnest(regexp_split_to_array(text, '\n\s*\n')) AS x, generate_subscripts(regexp_split_to_array(text, '\n\s*\n'), 1) AS j FROM segments)),
+    h AS (SELECT *, length(t) <= 200 AND ({HEAD}) AS heading FROM p WHERE t <> ''),
+    blocks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1 AS place, t AS text, heading, page, last_value(CASE WHEN heading THEN t END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k, j) AS section FROM h)"""
+WIDE = ("chunk_id", "source", "text", "page", "section", "overlap_text", "CAST(word_count AS BIGINT) AS word_count", "CAST(char_count AS BIGINT) AS char_count", "full_text")
+
+
+def as_segments(s):
+    return s.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: F.struct(x["text"].alias("text"), F.when(x["idx"] % 3 != 0, x["idx"]).alias("page"))).alias("segments"))
+
+
+q("C4_chunk_segments", f"WITH RECURSIVE {SEGMENT_BLOCKS}, {GROUPS}", "segments")(lambda s: chunking.segment_chunks(as_segments(s)).selectExpr(*WIDE))
+q("C5_C6_document_chunks", f"WITH RECURSIVE {BLOCKS}, {GROUPS}".replace("SELECT k.doc_id || '_chunk_'", "SELECT 'doc ' || CAST(k.doc_id AS STRING) || '_chunk_'").replace("k.doc_id AS source", "'doc ' || CAST(k.doc_id AS STRING) AS source"), "texts")(
+    lambda d: chunking.document_chunks(d.select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("source"), paragraphs().alias("text"))).selectExpr(*WIDE))
 q("C7_chunk_windows", """WITH RECURSIVE w AS (SELECT doc_id, text, 0 AS k, 1 AS s FROM texts UNION ALL SELECT doc_id, text, k + 1, s + 4500 FROM w WHERE s + 5000 <= length(text))
     SELECT doc_id, CAST(k AS BIGINT) AS "window", substr(text, s, 5000) AS text FROM w""", "texts")(
     lambda d: chunking.chunk_windows(d, "doc_id", "text", 5000, 500, 0).select("doc_id", F.col("window").cast("long").alias("window"), "text"))
