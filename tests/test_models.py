@@ -31,8 +31,9 @@ def cosines(v):
     return x @ x.T
 
 
-@pytest.mark.parametrize("seed,n", [(0, 1), (1, 12), (2, 40), (3, 60)])
-def test_greedy_clusters(spark, seed, n):
+@pytest.mark.parametrize("seed,n,few", [(0, 1, 0), (1, 12, 0), (2, 40, 0), (3, 60, 50_000), (3, 60, 20)])
+def test_greedy_clusters(spark, monkeypatch, seed, n, few):
+    monkeypatch.setattr(similarity, "FEW", few)  # rounds, one task, and both
     v = vectors(seed, n)
     s, free, want = cosines(v), set(range(n)), {i: None for i in range(n)}
     for base in range(n):
@@ -44,8 +45,9 @@ def test_greedy_clusters(spark, seed, n):
     assert {r.node: r.leader for r in similarity.greedy_clusters(frame(spark, v), 0.8).collect()} == want
 
 
-@pytest.mark.parametrize("seed", [0, 1, 2])
-def test_dedup_across(spark, seed):
+@pytest.mark.parametrize("seed,few", [(0, 0), (1, 50_000), (2, 5)])
+def test_dedup_across(spark, monkeypatch, seed, few):
+    monkeypatch.setattr(similarity, "FEW", few)
     v, n = vectors(seed, 40), 40
     s, source, kept, want = cosines(v), [i // 4 for i in range(n)], [], {}
     for g in range(n // 4):
