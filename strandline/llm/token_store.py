@@ -82,7 +82,7 @@ class PlaneEncoder:
     special token's string.
     """
 
-    def __init__(self, path: str, most: int = 3_000_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -218,7 +218,7 @@ class PlaneEncoder:
         """All ids of the texts, and how many each text has. Null is an empty text."""
         ids, counts = [], []
         texts = [t or "" for t in texts]
-        for a, b in batches_of(texts, 4_000_000):
+        for a, b in batches_of(texts, 1_500_000):
             part = texts[a:b]
             ok = [self.is_plain(t) for t in part]
             if all(ok):
@@ -267,7 +267,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
 
         for pdf in it:
             texts = pdf.t.tolist()
-            for a, b in batches_of([t or "" for t in texts], 4_000_000):
+            for a, b in batches_of([t or "" for t in texts], 1_500_000):
                 ids, counts = coder.encode(texts[a:b])
                 ids = np.insert(ids, np.cumsum(counts), end_id)
                 held.append((pdf.d.to_numpy(np.int64)[a:b], counts + 1, ids))
