@@ -16,7 +16,7 @@ from strandline.functions.vectors import cosine
 from strandline.operators.similarity import SMALL_SIDE_BYTES, stacked
 
 Embed = Callable[[list[str]], np.ndarray]
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 512
 
 
 def embed(df: DataFrame, loader: Callable[[], Embed], text: str = "text", out: str = "embedding", batch: int = 64) -> DataFrame:
@@ -90,7 +90,7 @@ def search_many(queries: DataFrame, chunks: DataFrame, k: int = K.TOP_K, by_sour
     for r in rows.toLocalIterator():
         held.append(r)
         used += 8 * len(r.embedding) + 64
-        if len(held) == QUERY_BLOCK or used >= SMALL_SIDE_BYTES:
+        if used >= SMALL_SIDE_BYTES:
             parts.append(partial_top(held, chunks, k, by_source))
             held, used = [], 0
     if held or not parts:
@@ -106,9 +106,22 @@ FOUND = "query_id long, chunk_id string, kind string, source string, score doubl
 
 
 def partial_top(queries: list, chunks: DataFrame, k: int, by_source: bool) -> DataFrame:
+    """The best k of each task for each of these queries, in one pass over the chunks; scores are made for QUERY_BLOCK queries at a time, of one source alone if by_source."""
     ids = np.array([r.query_id for r in queries], np.int64)
     matrix = stacked(pd.Series([r.embedding for r in queries])) if queries else np.zeros((0, 1))
-    sources = np.array([r.source for r in queries], object) if by_source else None
+    asked: dict[str | None, np.ndarray] = {None: np.arange(len(ids))}
+    if by_source:
+        asked = {source: at.to_numpy() for source, at in pd.Series(np.arange(len(ids))).groupby(pd.Series([r.source for r in queries], dtype=object))}
+
+    def top(pdf: pd.DataFrame, m: np.ndarray, own: np.ndarray) -> pd.DataFrame:
+        s = matrix[own] @ m.T
+        s[:, ~m.any(1)] = -np.inf
+        n = min(k, s.shape[1])
+        # all that tie with the n-th stay, so that the order of ties is decided by the keys
+        least = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+        i, j = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+        got = pd.DataFrame({"query_id": ids[own[i]], "chunk_id": pdf.chunk_id.to_numpy()[j], "kind": pdf.kind.to_numpy()[j], "source": pdf.source.to_numpy()[j], "score": s[i, j]})
+        return trimmed([got], k)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: list[pd.DataFrame] = []
@@ -117,16 +130,10 @@ def partial_top(queries: list, chunks: DataFrame, k: int, by_source: bool) -> Da
                 continue
             pdf = pdf.sort_values(["kind", "chunk_id"], ascending=[False, True], kind="stable", ignore_index=True)
             m = stacked(pdf.embedding)
-            s = matrix @ m.T
-            s[:, ~m.any(1)] = -np.inf
-            if by_source:
-                s = np.where(sources[:, None] == pdf.source.to_numpy()[None, :], s, -np.inf)
-            n = min(k, s.shape[1])
-            # all that tie with the n-th stay, so that the order of ties is decided by the keys
-            least = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
-            i, j = np.nonzero((s >= least[:, None]) & np.isfinite(s))
-            got = pd.DataFrame({"query_id": ids[i], "chunk_id": pdf.chunk_id.to_numpy()[j], "kind": pdf.kind.to_numpy()[j], "source": pdf.source.to_numpy()[j], "score": s[i, j]})
-            best.append(got.sort_values(["query_id", "score", "kind", "chunk_id"], ascending=[True, False, False, True], kind="stable").groupby("query_id").head(k))
+            for source, every in asked.items():
+                here = np.flatnonzero(pdf.source.to_numpy() == source) if by_source else np.arange(len(pdf))
+                for i in range(0, len(every) if len(here) else 0, QUERY_BLOCK):
+                    best.append(top(pdf.iloc[here], m[here], every[i : i + QUERY_BLOCK]))
             if len(best) > 8:
                 best = [trimmed(best, k)]
         if best:

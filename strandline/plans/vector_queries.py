@@ -11,8 +11,8 @@ from strandline import constants as K
 from strandline.functions.lineage import work_path
 from strandline.operators import chunking, clusters, extraction, replies, search, similarity, upsert, views
 from strandline.plans.catalog_queries import RESOLVED, q
-from strandline.plans.inputs import load
-from strandline.plans.registry import QUERIES, query
+from strandline.plans.inputs import load, oracle
+from strandline.plans.registry import query
 from strandline.plans.text_queries import CHUNKS
 from strandline.sources import objects
 from strandline.streaming.status import discover_batches, discovered as discovered_state, index_batches, latest_status
@@ -271,8 +271,7 @@ def streamed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(index).select("chunk_id", "source", "text", "overlap_text", F.size("embedding").alias("dim"))
 
 
-q("R2_incremental_index", f"SELECT chunk_id, regexp_replace(chunk_id, '_chunk_[0-9]+$', '') AS source, text, overlap_text, 16 AS dim FROM ({CHUNKS})", "segments")(None)
-QUERIES["R2_incremental_index"] = streamed_index
+query("R2_incremental_index", oracle(f"SELECT chunk_id, regexp_replace(chunk_id, '_chunk_[0-9]+$', '') AS source, text, overlap_text, 16 AS dim FROM ({CHUNKS})", "segments"))(streamed_index)
 
 
 def streamed_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,11 +179,24 @@ def test_search_ties_and_blocks(spark, monkeypatch):
     key = lambda s, i: (-round(s, 12), "document" if i % 2 == 0 else "podcast", str(i))  # noqa: E731  podcasts come first
     s = cosines(v)
     want = {(i, r + 1): str(j) for i in range(9) for r, j in enumerate(sorted(range(80), key=lambda j: key(s[i, j], j))[:4])}
-    for block in (4096, 2):
+    for block in (512, 2):
         monkeypatch.setattr(search, "QUERY_BLOCK", block)
         assert {(r.query_id, r.rank): r.chunk_id for r in search.search_many(q, df, 4).collect()} == want
 
 
+def test_search_by_source(spark, monkeypatch):
+    """Each query sees the chunks of its own source alone; blocks of queries and passes make no difference."""
+    v = vectors(8, 70)
+    df = frame(spark, v).select("id", "embedding", F.col("id").cast("string").alias("chunk_id"), F.lit("podcast").alias("kind"), (F.col("id") % 4).cast("string").alias("source"))
+    q = df.filter("id < 12").select(F.col("id").alias("query_id"), "embedding", F.when(F.col("id") == 5, "none").otherwise(F.col("source")).alias("source"))
+    s = cosines(v)
+    want = {(i, r + 1): str(j) for i in range(12) if i != 5 for r, j in enumerate(sorted((j for j in range(70) if j % 4 == i % 4), key=lambda j: (-round(s[i, j], 12), str(j)))[:3])}
+    for block, held in ((512, 64 << 20), (2, 300)):
+        monkeypatch.setattr(search, "QUERY_BLOCK", block)
+        monkeypatch.setattr(search, "SMALL_SIDE_BYTES", held)
+        assert {(r.query_id, r.rank): r.chunk_id for r in search.search_many(q, df, 3, True).collect()} == want
+
+
 def test_drop_overlaps(spark):
     rng = random.Random(3)
     rows = [(g, [(" ".join(rng.choice("abc") for _ in range(rng.randint(0, 4))),) for _ in range(rng.randint(0, 7))]) for g in range(40)]
