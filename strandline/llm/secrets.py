@@ -95,7 +95,7 @@ def tokens(texts: list[str]) -> dict[str, np.ndarray]:
     total = np.bincount(doc, minlength=len(texts)).astype(float)
     marks = np.bincount(doc, np.isin(c[start], [58, 61, 34, 123]), len(texts)) / total
     file = np.searchsorted([0.001, 0.01, 0.05], marks) * 4 + np.searchsorted([50, 300, 2000], total)
-    blank = lambda x, by, none: np.concatenate([np.full(by, none, x.dtype), x[:-by]])
+    blank = lambda x, by, none: np.concatenate([np.full(by, none, x.dtype), x])[: len(x)]
     cols = [shape, spelled, blank(shape, 1, 769), np.append(shape[1:], 769), blank(spelled, 1, 0), blank(spelled, 2, 0), file[doc]]
     bounds = np.cumsum([0, *(len(x) + 3 for x in texts)])
     return {"doc": doc, "start": start - bounds[doc], "end": end - bounds[doc], "stop": stop, "features": np.stack([x.astype(np.int32) + o for x, o in zip(cols, OFFSETS, strict=False)])}
