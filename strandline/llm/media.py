@@ -11,10 +11,12 @@ so that each has eight magnitude bits. Blocks fill MCUs of 4:2:0 images (four of
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -140,9 +142,14 @@ class Picture:
     comment: bytes
     scans: list[Scan] = field(default_factory=list)
 
-    def mcus(self) -> tuple[int, int]:
+    @cached_property
+    def layout(self) -> tuple[tuple[int, int], list[tuple[int, int]]]:
+        """Columns and rows of MCUs, and of the blocks that a scan of each component alone holds."""
         h, v = max(s[0] for s in self.sampling), max(s[1] for s in self.sampling)
-        return -(-self.width // (8 * h)), -(-self.height // (8 * v))
+        return (-(-self.width // (8 * h)), -(-self.height // (8 * v))), [(-(-(-(-self.width * a // h)) // 8), -(-(-(-self.height * b // v)) // 8)) for a, b in self.sampling]
+
+    def mcus(self) -> tuple[int, int]:
+        return self.layout[0]
 
     def grid(self, c: int) -> tuple[int, int]:
         """Columns and rows of blocks of a component, in whole MCUs."""
@@ -151,9 +158,7 @@ class Picture:
 
     def shown(self, c: int) -> tuple[int, int]:
         """Columns and rows of blocks that a scan of this component alone holds."""
-        h, v = max(s[0] for s in self.sampling), max(s[1] for s in self.sampling)
-        a, b = self.sampling[c]
-        return -(-(-(-self.width * a // h)) // 8), -(-(-(-self.height * b // v)) // 8)
+        return self.layout[1][c]
 
 
 def parse(raw: bytes, base: int, stops: np.ndarray) -> Picture:
@@ -408,9 +413,9 @@ def coefficients(files: list[bytes]) -> tuple[list[Picture], list[list[np.ndarra
             at = [f[members] for f in firsts]
             lanes = Lanes(data, restarts, np.array([p.scans[j].start for p in own]), np.array([p.scans[j].end for p in own]))
             if len(s.comps) == 1:
-                counts = np.array([np.prod(p.shown(s.comps[0])) for p in own])
+                counts = np.array([math.prod(p.shown(s.comps[0])) for p in own])
             else:
-                counts = np.array([np.prod(p.mcus()) for p in own])
+                counts = np.array([math.prod(p.mcus()) for p in own])
             (dc_scan if s.first == 0 else ac_refine if s.before else ac_first)(s, own, lanes, coef, at, counts)
     return pics, [[coef[c][firsts[c][i] : firsts[c][i] + sizes[c][i]] for c in range(len(p.sampling))] for i, p in enumerate(pics)]
 
