@@ -109,6 +109,7 @@ def parse_uri(uri: Name, scheme: str = "gs") -> Column:
     return F.when(u.rlike(pattern), F.struct(F.regexp_extract(u, pattern, 1).alias("bucket"), F.regexp_extract(u, pattern, 2).alias("key")))
 
 
+# The forms of a heading.
 HEADINGS = [r"^#+\s+.+$", r"^[A-Z][A-Z\s]{3,50}$", r"^\d+\.\s+[A-Z].+$", r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,5}:", r"^(?:Chapter|Section|Part)\s+\d+"]
 
 
