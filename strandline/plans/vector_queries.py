@@ -89,7 +89,7 @@ q("M5_apply_updates", f"WITH {MATCHED} SELECT v.id, m.macro_id FROM vectors v LE
 def greedy_sql(rows: str, threshold: float, name: str) -> str:
     """CTEs of ordered greedy clusters of a table (id, embedding): {name} has node and leader. led holds the leader's place of each place, and each step decides one."""
     return f"""{name}_v AS (SELECT id, embedding, row_number() OVER (ORDER BY id) AS p FROM {rows}),
-    {name}_e AS (SELECT a.p, list(b.p) AS near FROM {name}_v a JOIN {name}_v b ON a.p <> b.p WHERE {COS} >= {threshold} GROUP BY 1),
+    {name}_e AS MATERIALIZED (SELECT a.p, list(b.p) AS near FROM {name}_v a JOIN {name}_v b ON a.p <> b.p WHERE {COS} >= {threshold} GROUP BY 1),
     {name}_g AS (SELECT 0::BIGINT AS p, [0::BIGINT FOR x IN range((SELECT count(*) FROM {name}_v))] AS led UNION ALL
         SELECT g.p + 1, CASE WHEN led[g.p + 1] = 0 AND len([x FOR x IN near IF led[x] = 0]) > 0 THEN [CASE WHEN led[x] = 0 AND (x = g.p + 1 OR list_contains(near, x)) THEN g.p + 1 ELSE led[x] END FOR x IN range(1, len(led) + 1)] ELSE led END
         FROM {name}_g g LEFT JOIN {name}_e e ON e.p = g.p + 1 WHERE g.p < len(led)),
@@ -131,7 +131,7 @@ q("D1_dedup_within", f"""WITH RECURSIVE e AS (SELECT id // 25 AS g, id, embeddin
     k AS (SELECT g, r, n, [id] AS kept, [embedding] AS held FROM e WHERE r = 1 UNION ALL SELECT k.g, b.r, k.n, CASE WHEN near THEN kept ELSE list_append(kept, b.id) END, CASE WHEN near THEN held ELSE list_append(held, b.embedding) END
     FROM (SELECT k.*, len([h FOR h IN held IF list_cosine_similarity(CAST(h AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.25]) > 0 AS near FROM k JOIN e b ON b.g = k.g AND b.r = k.r + 1) k JOIN e b ON b.g = k.g AND b.r = k.r + 1)
     SELECT g, unnest(kept) AS id FROM k WHERE r = n""", "vectors")(lambda v: similarity.dedup_within(v.withColumn("g", F.floor(F.col("id") / 25)), "g", "id", threshold=0.25).select("g", "id"))
-q("D2_dedup_across", f"""WITH RECURSIVE v AS (SELECT id, embedding, row_number() OVER (ORDER BY id) AS p FROM vectors), n AS (SELECT b.p, list(a.id ORDER BY {COS} DESC, a.id // 20, a.id) AS near FROM v a JOIN v b ON a.id // 20 < b.id // 20 WHERE {COS} >= 0.3 GROUP BY 1),
+q("D2_dedup_across", f"""WITH RECURSIVE v AS (SELECT id, embedding, row_number() OVER (ORDER BY id) AS p FROM vectors), n AS MATERIALIZED (SELECT b.p, list(a.id ORDER BY {COS} DESC, a.id // 20, a.id) AS near FROM v a JOIN v b ON a.id // 20 < b.id // 20 WHERE {COS} >= 0.3 GROUP BY 1),
     k AS (SELECT 0::BIGINT AS p, []::BIGINT[] AS kept, NULL::BIGINT AS node, NULL::BIGINT AS target UNION ALL
         SELECT v.p, CASE WHEN best IS NULL THEN list_append(kept, v.id) ELSE kept END, v.id, coalesce(best, v.id)
         FROM (SELECT k.p, k.kept, [x FOR x IN coalesce(n.near, []) IF list_contains(k.kept, x)][1] AS best FROM k LEFT JOIN n ON n.p = k.p + 1) k JOIN v ON v.p = k.p + 1)
