@@ -14,6 +14,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -69,6 +70,14 @@ def unpack_container(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.frombuffer(docs, "<i8", n_docs), np.frombuffer(docs, "<u4", n_docs, 8 * n_docs), out.view("<u4").ravel()
 
 
+@lru_cache(maxsize=1)
+def loaded(path: str):
+    """The library's tokenizer; a Python worker reads the file once. What it encodes isn't kept."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 LATIN_END = 0x180
 
@@ -82,10 +91,8 @@ class PlaneEncoder:
     special token's string.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
+    def __init__(self, path: str, most: int = 1_000_000):
+        self.model = loaded(path)
         vocab = self.model.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)
         for k, v in vocab.items():
@@ -152,8 +159,8 @@ class PlaneEncoder:
         joined = [i for i, p in enumerate(pieces) if p[0] == " " and p[1:].isalpha()]
         other = sorted(set(range(len(pieces))) - set(joined))
         ids: list = [None] * len(pieces)
-        for k in range(0, len(joined), 200_000):
-            part = joined[k : k + 200_000]
+        for k in range(0, len(joined), 40_000):  # an encoding takes far more memory than its ids
+            part = joined[k : k + 40_000]
             lines = [part[i : i + 200] for i in range(0, len(part), 200)]
             coded = self.model.encode_batch_fast(["".join(pieces[i] for i in line) for line in lines], add_special_tokens=False)
             for line, e in zip(lines, coded, strict=True):
@@ -161,8 +168,10 @@ class PlaneEncoder:
                 ends = np.searchsorted(np.cumsum(self.width[x]), np.cumsum([len(pieces[i].encode()) for i in line])) + 1
                 for i, s, t in zip(line, np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
                     ids[i] = x[s:t]
-        for i, e in zip(other, self.model.encode_batch_fast([pieces[i] for i in other], add_special_tokens=False), strict=True):
-            ids[i] = np.array(e.ids, np.uint32)
+        for k in range(0, len(other), 20_000):
+            part = other[k : k + 20_000]
+            for i, e in zip(part, self.model.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False), strict=True):
+                ids[i] = np.array(e.ids, np.uint32)
         if len(self.known) + len(keys) > self.most:
             self.forget()
         size = np.fromiter(map(len, ids), np.int32, len(ids))
@@ -218,7 +227,7 @@ class PlaneEncoder:
         """All ids of the texts, and how many each text has. Null is an empty text."""
         ids, counts = [], []
         texts = [t or "" for t in texts]
-        for a, b in batches_of(texts, 1_500_000):
+        for a, b in batches_of(texts, 1_000_000):
             part = texts[a:b]
             ok = [self.is_plain(t) for t in part]
             if all(ok):
@@ -267,7 +276,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
 
         for pdf in it:
             texts = pdf.t.tolist()
-            for a, b in batches_of([t or "" for t in texts], 1_500_000):
+            for a, b in batches_of([t or "" for t in texts], 1_000_000):
                 ids, counts = coder.encode(texts[a:b])
                 ids = np.insert(ids, np.cumsum(counts), end_id)
                 held.append((pdf.d.to_numpy(np.int64)[a:b], counts + 1, ids))
