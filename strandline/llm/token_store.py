@@ -12,6 +12,7 @@ Containers never cross a shard; shards follow one another in doc_id order. conte
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -251,6 +252,17 @@ class PlaneEncoder:
         return ord(max(text)) < LATIN_END and not any(c in text for c in "\x1c\x1d\x1e\x1f\x85")
 
 
+_held: dict[str, PlaneEncoder] = {}
+
+
+def encoder(path: str, write: str) -> PlaneEncoder:
+    """The encoder of one write in this worker; that of another write is dropped, with all that it met."""
+    if write not in _held:
+        _held.clear()
+        _held[write] = PlaneEncoder(path)
+    return _held[write]
+
+
 STORE = "shard int, file int, first long, n_docs int, n_ids long, content binary"
 
 
@@ -261,8 +273,10 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
     are the end id alone. Rows without an id are left out. An empty table gives an empty store. Other columns are not read.
     """
 
+    write = uuid.uuid4().hex
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, shard = PlaneEncoder(tokenizer), TaskContext.get().partitionId()
+        coder, shard = encoder(tokenizer, write), TaskContext.get().partitionId()
         state = {"file": 0, "first": 0}
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
