@@ -119,7 +119,7 @@ class Index:
     total: int
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_docs: int = SEGMENT_DOCS) -> Index:
     """Indexes all rows and writes the segments into the shared folder.
 
     Null texts have no terms; documents without terms and rows without an id are in no list and no count. Rows of one id are documents of
@@ -137,8 +137,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         def close() -> Iterator[pd.DataFrame]:
             every = np.concatenate(ids)
             for a, b in batches_of([t or "" for t in texts], SEGMENT_CHARS):
-                for i in range(a, b, SEGMENT_DOCS):
-                    row = segment(every[i : min(b, i + SEGMENT_DOCS)], texts[i : min(b, i + SEGMENT_DOCS)], known, total)
+                for i in range(a, b, segment_docs):
+                    end = min(b, i + segment_docs)
+                    row = segment(every[i:end], texts[i:end], known, total)
                     if row:
                         yield pd.DataFrame([row])
             ids.clear()
@@ -147,7 +148,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for pdf in it:
             ids.append(pdf.d.to_numpy(np.int64))
             texts += pdf.t.tolist()
-            if len(texts) >= SEGMENT_DOCS or sum(map(len, filter(None, texts))) >= SEGMENT_CHARS:
+            if len(texts) >= segment_docs or sum(map(len, filter(None, texts))) >= SEGMENT_CHARS:
                 yield from close()
         if texts:
             yield from close()
