@@ -86,17 +86,19 @@ q("M5_apply_updates", f"WITH {MATCHED} SELECT v.id, m.macro_id FROM vectors v LE
     lambda v: upsert.assign_back(v.select("id", F.lit(None).cast("long").alias("macro_id")), similarity.match_to_macros(ROWS(v), MACROS(v), 0.25).select("id", F.col("macro_id").alias("value")), "macro_id"))
 
 
-def greedy_sql(rows: str, threshold: float, name: str) -> str:
+def greedy_sql(rows: str, threshold: float, name: str, least: int = 2) -> str:
     """CTEs of ordered greedy clusters of a table (id, embedding): {name} has node and leader. led holds the leader's place of each place, and each step decides one."""
     return f"""{name}_v AS (SELECT id, embedding, row_number() OVER (ORDER BY id) AS p FROM {rows}),
     {name}_e AS MATERIALIZED (SELECT a.p, list(b.p) AS near FROM {name}_v a JOIN {name}_v b ON a.p <> b.p WHERE {COS} >= {threshold} GROUP BY 1),
     {name}_g AS (SELECT 0::BIGINT AS p, [0::BIGINT FOR x IN range((SELECT count(*) FROM {name}_v))] AS led UNION ALL
-        SELECT g.p + 1, CASE WHEN led[g.p + 1] = 0 AND len([x FOR x IN near IF led[x] = 0]) > 0 THEN [CASE WHEN led[x] = 0 AND (x = g.p + 1 OR list_contains(near, x)) THEN g.p + 1 ELSE led[x] END FOR x IN range(1, len(led) + 1)] ELSE led END
+        SELECT g.p + 1, CASE WHEN led[g.p + 1] = 0 AND len([x FOR x IN near IF led[x] = 0]) >= {least - 1} THEN [CASE WHEN led[x] = 0 AND (x = g.p + 1 OR list_contains(near, x)) THEN g.p + 1 ELSE led[x] END FOR x IN range(1, len(led) + 1)] ELSE led END
         FROM {name}_g g LEFT JOIN {name}_e e ON e.p = g.p + 1 WHERE g.p < len(led)),
     {name} AS (SELECT v.id AS node, w.id AS leader FROM (SELECT unnest(led) AS l, generate_subscripts(led, 1) AS p FROM {name}_g WHERE p = len(led)) x JOIN {name}_v v ON v.p = x.p LEFT JOIN {name}_v w ON w.p = x.l)"""
 
 
 q("M2_greedy_clusters", f"WITH RECURSIVE {greedy_sql('vectors', 0.3, 'c')} SELECT node, leader FROM c", "vectors")(lambda v: similarity.greedy_clusters(v, 0.3))
+q("M2_min_size", f"""WITH RECURSIVE {greedy_sql('vectors', 0.3, 'c', 3)}, {greedy_sql('vectors', 0.3, 'd', 5)} SELECT 3 AS least, node, leader FROM c UNION ALL SELECT 5, node, leader FROM d""", "vectors")(
+    lambda v: similarity.greedy_clusters(v, 0.3, least=3).select(F.lit(3).alias("least"), "node", "leader").unionByName(similarity.greedy_clusters(v, 0.3, least=5).select(F.lit(5).alias("least"), "node", "leader")))
 
 
 def discovery(v: DataFrame):

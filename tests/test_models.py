@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline import constants as K
 from strandline.functions import text as T
-from strandline.operators import chunking, clusters, search, similarity, transcripts, views
+from strandline.operators import chunking, clusters, greedy, search, similarity, transcripts, views
 
 
 def vectors(seed, n, dim=3):
@@ -31,23 +31,77 @@ def cosines(v):
     return x @ x.T
 
 
-@pytest.mark.parametrize("seed,n,few", [(0, 1, 0), (1, 12, 0), (2, 40, 0), (3, 60, 50_000), (3, 60, 20)])
-def test_greedy_clusters(spark, monkeypatch, seed, n, few):
-    monkeypatch.setattr(similarity, "FEW", few)  # rounds, one task, and both
-    v = vectors(seed, n)
-    s, free, want = cosines(v), set(range(n)), {i: None for i in range(n)}
+def plain_greedy(n, near, least, weight=None):
+    """Leader of each node; near: sets of neighbours."""
+    weight = weight or [1] * n
+    free, leader = set(range(n)), {i: None for i in range(n)}
     for base in range(n):
         if base in free:
-            members = [base] + [j for j in range(n) if j != base and j in free and s[base, j] >= 0.8]
-            if len(members) >= K.MIN_CLUSTER:
+            members = [base] + [j for j in near[base] if j in free]
+            if sum(weight[j] for j in members) >= least:
                 free -= set(members)
-                want |= dict.fromkeys(members, base)
-    assert {r.node: r.leader for r in similarity.greedy_clusters(frame(spark, v), 0.8).collect()} == want
+                leader |= dict.fromkeys(members, base)
+    return leader
+
+
+@pytest.mark.parametrize("seed,n,most,least", [(0, 1, 1, 2), (1, 12, 1, 2), (2, 40, 9, 3), (3, 60, 50_000, 5), (3, 60, 20, 2), (4, 60, 30, 5)])
+def test_greedy_clusters(spark, monkeypatch, seed, n, most, least):
+    monkeypatch.setattr(greedy, "MOST", most)  # rounds, one task, and both
+    v = vectors(seed, n)
+    s = cosines(v)
+    near = [[j for j in range(n) if j != i and s[i, j] >= 0.8] for i in range(n)]
+    assert {r.node: r.leader for r in similarity.greedy_clusters(frame(spark, v), 0.8, least=least).collect()} == plain_greedy(n, near, least)
+
+
+@pytest.mark.parametrize("seed,most,least", [(0, 10, 1), (1, 30, 2), (2, 15, 3), (3, 40, 5), (4, 10_000, 4)])
+def test_ordered_greedy_of_weighted_nodes(spark, seed, most, least):
+    rng = random.Random(seed)
+    n = 50
+    edges = {(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(60)) if a < b}
+    near = [[j for j in range(n) if (i, j) in edges or (j, i) in edges] for i in range(n)]
+    weight = [rng.choice([1, 1, 1, 2, 3]) for _ in range(n)]
+    nodes = spark.createDataFrame(list(enumerate(weight)), "node long, weight long")
+    got = {r.node: r.leader for r in greedy.ordered_greedy(spark.createDataFrame(sorted(edges) + [(b, a) for a, b in sorted(edges)[:9]], "a long, b long"), nodes, least, most).collect()}
+    want = plain_greedy(n, near, least, weight)
+    assert got == {i: x for i, x in want.items() if x is not None and (near[i] and (x != i or any(want[j] == i for j in near[i]) or i in got))}
+    assert all(want[i] == i for i in range(n) if i not in got and weight[i] >= least), "what is not taken and weighs enough leads itself"
+
+
+@pytest.mark.parametrize("least,most", [(1, 60_000), (2, 60_000), (3, 60_000)])
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch, least, most):
+    n, rounds = 100_000, []
+    monkeypatch.setattr(greedy, "one_task", lambda *a, f=greedy.one_task: (rounds.append(1), f(*a))[1])
+    got = greedy.ordered_greedy(spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), least=least, most=most).toPandas().set_index("node").leader
+    want = plain_greedy(n + 1, [[j for j in (i - 1, i + 1) if 0 <= j <= n] for i in range(n + 1)], least)
+    assert all(got.get(i) == x or (x == i and i not in got.index) for i, x in want.items() if x is not None) and len(got) <= sum(x is not None for x in want.values())
+    assert len(rounds) <= 5
+
+
+def test_copies_of_one_vector_have_few_edges(spark):
+    v = vectors(5, 30)
+    v = np.concatenate([v, np.repeat(v[7:8], 3000, 0), np.zeros((4, 3), np.float32)])
+    df = frame(spark, v).withColumn("source_order", F.col("id") % 40)
+    members, classes = similarity.classes_of(df)
+    assert members.count() == 3030 and classes.count() <= 31 and similarity.similarity_edges(classes, 0.8, "rep").count() < 31 * 31
+    s = cosines(np.where(v == 0, 1e-9 * np.arange(1, 4, dtype=np.float32), v)[:3030])
+    near = [np.flatnonzero(s[i] >= 0.8).tolist() for i in range(3030)]
+    want = plain_greedy(3034, [[j for j in x if j != i] for i, x in enumerate(near)] + [[]] * 4, 2)
+    assert {r.node: r.leader for r in similarity.greedy_clusters(df, 0.8).collect()} == want
+    kept, target = [], {}
+    for g in range(40):
+        fresh = []
+        for i in range(g, 3034, 40):
+            found = [(round(s[i, j], 9), -(j % 40), -j) for j in kept if s[i, j] >= 0.9] if i < 3030 else []
+            target[i] = -max(found)[2] if found else i
+            if not found and i < 3030:
+                fresh.append(i)
+        kept += fresh
+    assert {r.node: r.target for r in similarity.dedup_across(df, threshold=0.9).collect()} == target
 
 
-@pytest.mark.parametrize("seed,few", [(0, 0), (1, 50_000), (2, 5)])
-def test_dedup_across(spark, monkeypatch, seed, few):
-    monkeypatch.setattr(similarity, "FEW", few)
+@pytest.mark.parametrize("seed,most", [(0, 1), (1, 50_000), (2, 9)])
+def test_dedup_across(spark, monkeypatch, seed, most):
+    monkeypatch.setattr(greedy, "MOST", most)
     v, n = vectors(seed, 40), 40
     s, source, kept, want = cosines(v), [i // 4 for i in range(n)], [], {}
     for g in range(n // 4):
