@@ -33,11 +33,11 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def places(df: DataFrame, *order: str, after: int = 0) -> DataFrame:
-    """Adds place: after + 1 and on, in the order given. Places are counted within ranges; only the ranges' sizes are summed up together."""
+def places(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
+    """Adds a place, from 1, in the order given. Places are counted within ranges; only the ranges' sizes are summed up together."""
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     # read twice below, so the ranges must not be dealt anew
     within = settled(spread.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*order))))
     sizes = within.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return within.join(F.broadcast(before), "_part").withColumn("place", F.lit(after) + F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+    return within.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")

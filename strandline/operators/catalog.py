@@ -16,17 +16,23 @@ def page_of(df: DataFrame, order: Sequence, offset: int = 0, limit: int | None =
     return out if limit is None else out.limit(limit)
 
 
-def list_unit_insights(units: DataFrame, source_type: str | None = None, insight_type: str | None = None, has_macro: bool | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """Filters that are given hold; another source_type than podcast or document is no filter. Rows come by id."""
+def filtered_insights(units: DataFrame, source_type: str | None = None, insight_type: str | None = None, has_macro: bool | None = None) -> DataFrame:
+    """Filters that are given hold; another source_type than podcast or document, and an empty type, is no filter."""
     if source_type == "podcast":
         units = units.filter("episode_id is not null")
     elif source_type == "document":
         units = units.filter("document_id is not null")
-    if insight_type is not None:
+    if insight_type:
         units = units.filter(F.col("type") == insight_type)
     if has_macro is not None:
         units = units.filter(F.col("macro_insight_id").isNotNull() == has_macro)
-    return page_of(units, ["id"], offset, limit)
+    return units
+
+
+def list_unit_insights(units: DataFrame, source_type: str | None = None, insight_type: str | None = None, has_macro: bool | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """A page, by id, of the insights that the filters leave, and in total how many they leave before paging. A page past the end has no rows."""
+    kept = filtered_insights(units, source_type, insight_type, has_macro)
+    return page_of(kept, ["id"], offset, limit).crossJoin(F.broadcast(kept.agg(F.count("*").alias("total"))))
 
 
 def list_macro_insights(macros: DataFrame, units: DataFrame, cluster_id: int | None = None, has_cluster: bool | None = None) -> DataFrame:

@@ -111,3 +111,47 @@ def ordered_greedy(edges: DataFrame, weights: DataFrame | None = None, least: in
         alone = not alone
     put(settled(one_task(links, least)))
     return out
+
+
+def first_of_either(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """place of the rows (place, x, y), in order of place, that share neither x nor y with one chosen before; nulls share nothing.
+
+    Rounds choose each row that comes first among the open ones of its x and of its y; every other round the first open rows in order, a
+    bounded number, go through one task. Rows of one key are never paired.
+    """
+    most = most or MOST
+    open_, out = settled(rows.select("place", "x", "y")), None
+
+    def lone(df: DataFrame) -> DataFrame:
+        """Null keys as keys of their own."""
+        return df.withColumns({c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.concat(F.lit("row "), F.col("place").cast("string"))) for c in ("x", "y")})
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(it)
+        if parts:
+            every = pd.concat(parts).sort_values("place")
+            met: tuple[set, set] = (set(), set())
+            chosen = []
+            for p, x, y in zip(every.place.tolist(), every.x.tolist(), every.y.tolist(), strict=True):
+                if x not in met[0] and y not in met[1]:
+                    chosen.append(p)
+                    met[0].add(x)
+                    met[1].add(y)
+            yield every[every.place.isin(chosen)]
+
+    open_, alone = lone(open_), True
+    kind = "place long, x string, y string"
+    while open_.count() > most:
+        if alone:
+            least = [open_.groupBy(c).agg(F.min("place").alias(f"m{c}")) for c in ("x", "y")]
+            chosen = settled(open_.join(least[0], "x").join(least[1], "y").filter("place = mx and place = my").select("place", "x", "y"))
+            rest = open_
+        else:
+            border = open_.select("place").orderBy("place").limit(most).agg(F.max("place").alias("p")).head().p
+            chosen = settled(open_.filter(F.col("place") <= border).coalesce(1).mapInPandas(run, kind))
+            rest = open_.filter(F.col("place") > border)
+        open_ = settled(rest.join(chosen.select("x"), "x", "left_anti").join(chosen.select("y"), "y", "left_anti").select("place", "x", "y"))
+        out = chosen if out is None else settled(out.unionByName(chosen))
+        alone = not alone
+    last = settled(open_.coalesce(1).mapInPandas(run, kind))
+    return (last if out is None else out.unionByName(last)).select("place")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.lineage import settled
+from strandline import constants as K
+from strandline.functions.lineage import places, settled
+from strandline.operators.greedy import first_of_either
 
 
 def match_episodes(batch: DataFrame, episodes: DataFrame) -> DataFrame:
@@ -19,32 +21,43 @@ def match_episodes(batch: DataFrame, episodes: DataFrame) -> DataFrame:
 
 
 def numbered_after(df: DataFrame, table: DataFrame, order: str) -> DataFrame:
-    """Ids that go on after the table's largest, in the order given: places within ranges, then the ranges' offsets."""
-    spread = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    # read twice below, so the ranges must not be dealt anew
-    placed = settled(spread.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(order))))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    """Ids that go on after the table's largest, in the order given."""
     top = table.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_top"))
-    return placed.join(F.broadcast(before), "_part").crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_before") + F.col("_place")).drop("_part", "_place", "_before", "_top")
+    return places(df, order, name="_at").crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_at")).drop("_at", "_top")
 
 
 def upsert_episodes(batch: DataFrame, episodes: DataFrame, order: str) -> DataFrame:
-    """Rows of a batch with id and created: rows known by URL or name get the known id; of new rows of one URL the first in order is made."""
-    found = match_episodes(batch, episodes)
-    first = F.row_number().over(Window.partitionBy("audio_url").orderBy(order))
-    fresh = numbered_after(found.filter("existing_id is null").withColumn("_first", first).filter("_first = 1").drop("_first", "existing_id"), episodes, order).withColumn("created", F.lit(True))
-    old = found.filter("existing_id is not null").withColumnRenamed("existing_id", "id").withColumn("created", F.lit(False))
-    return fresh.select(*batch.columns, "id", "created").unionByName(old.select(*batch.columns, F.col("id").cast("long").alias("id"), "created"))
+    """Every row of a batch with id and created, as if they came one by one, in order: a row is made if neither the table nor a row made before it has
+    its audio URL, nor its podcast and title; else it gets the id of the one found, by URL first.
+
+    A null URL, and a name with a null in it, are found by nothing. order must tell the rows apart.
+    """
+    name = F.concat(F.length("podcast_name").cast("string"), F.lit(":"), "podcast_name", "episode_title")
+    found = settled(places(match_episodes(batch, episodes).withColumn("_name", name), order, name="_at"))
+    keys = found.filter("existing_id is null").select(F.col("_at").alias("place"), F.col("audio_url").alias("x"), F.col("_name").alias("y"))
+    new = settled(numbered_after(keys.join(first_of_either(keys), "place"), episodes, "place"))
+    by = lambda c: new.filter(F.col(c).isNotNull()).select(F.col(c).alias(f"_{c}"), F.col("place").alias(f"_p{c}"), F.col("id").alias(f"_i{c}"))
+    own = new.select(F.col("place").alias("_po"), F.col("id").alias("_io"))
+    out = found.join(own, F.col("_at") == F.col("_po"), "left")
+    # what the table has by URL, then a row made before by URL, then by name in the same way
+    url = episodes.select(F.col("audio_url").alias("_u")).distinct()
+    out = out.join(url, F.col("audio_url") == F.col("_u"), "left").join(by("x"), (F.col("audio_url") == F.col("_x")) & (F.col("_px") < F.col("_at")), "left").join(by("y"), (F.col("_name") == F.col("_y")) & (F.col("_py") < F.col("_at")), "left")
+    stored = F.col("existing_id").cast("long")
+    id_ = F.coalesce("_io", F.when(F.col("_u").isNotNull(), stored), "_ix", stored, "_iy")
+    return out.select(*batch.columns, id_.alias("id"), F.col("_io").isNotNull().alias("created"))
 
 
 def upsert_documents(batch: DataFrame, documents: DataFrame, order: str) -> DataFrame:
-    """Rows of a batch with id and outcome: skipped with the known id if the URI is there, else processed with a new id; the type defaults to the format."""
-    known = documents.groupBy(F.col("gcs_document_uri").alias("_u")).agg(F.min("id").alias("_id"))
-    found = batch.join(known, F.col("gcs_document_uri") == F.col("_u"), "left").withColumn("source_type", F.coalesce("source_type", "format"))
-    fresh = numbered_after(found.filter("_id is null").drop("_u", "_id"), documents, order).withColumn("outcome", F.lit("processed"))
-    old = found.filter("_id is not null").withColumn("id", F.col("_id").cast("long")).withColumn("outcome", F.lit("skipped"))
-    return fresh.select(*batch.columns, "id", "outcome").unionByName(old.select(*batch.columns, "id", "outcome"))
+    """Every row of a batch with id and outcome, as if they came one by one, in order: skipped with the known id if the table or a row before it has the
+    URI, else processed with a new id; the type defaults to the format. A null URI is found by nothing. order must tell the rows apart."""
+    known = documents.filter("gcs_document_uri is not null").groupBy(F.col("gcs_document_uri").alias("_u")).agg(F.min("id").cast("long").alias("_id"))
+    found = settled(places(batch.join(known, F.col("gcs_document_uri") == F.col("_u"), "left").withColumn("source_type", F.coalesce("source_type", "format")), order, name="_p"))
+    unknown = found.filter("_id is null")
+    first = unknown.filter("gcs_document_uri is not null").groupBy("gcs_document_uri").agg(F.min("_p").alias("_p")).select("_p")
+    new = settled(numbered_after(first.unionByName(unknown.filter("gcs_document_uri is null").select("_p")), documents, "_p").select(F.col("_p").alias("_pn"), F.col("id").alias("_new")))
+    named = new.join(unknown.select(F.col("_p").alias("_pn"), F.col("gcs_document_uri").alias("_un")), "_pn").filter("_un is not null").select("_un", F.col("_new").alias("_first"))
+    out = found.join(new, F.col("_p") == F.col("_pn"), "left").join(named, F.col("gcs_document_uri") == F.col("_un"), "left")
+    return out.select(*batch.columns, F.coalesce("_id", "_new", "_first").alias("id"), F.when(F.col("_new").isNotNull(), "processed").otherwise("skipped").alias("outcome"))
 
 
 def select_episodes(feed: DataFrame, chosen: DataFrame, episodes: DataFrame) -> DataFrame:
@@ -70,9 +83,17 @@ def reindex_source(chunks: DataFrame, new: DataFrame, dim: int | None = None, ve
 
 
 def get_or_create_clusters(clusters: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Clusters with the missing names of wanted (name, ...) added, ids after the largest in the order of names."""
-    missing = wanted.select("name").distinct().join(clusters.select("name"), "name", "left_anti")
-    return clusters.select("id", "name").unionByName(numbered_after(missing, clusters, "name").select("id", "name"))
+    """Clusters (id, name, description) with the missing names of wanted (name, and description if there is one) added, ids after the largest in the order of names.
+
+    A new cluster's description is the one that is given, the smallest of several, else the known one of its name. Null names are left out.
+    """
+    described = lambda df: df if "description" in df.columns else df.withColumn("description", F.lit(None).cast("string"))
+    known = F.create_map(*(F.lit(x) for kv in K.PROTOTYPES.items() for x in kv))
+    given = F.min(F.when(F.col("description") != "", F.col("description")))
+    names = described(wanted).filter("name is not null").groupBy("name").agg(given.alias("_given"))
+    missing = names.join(clusters.select("name"), "name", "left_anti").select("name", F.coalesce("_given", known[F.col("name")]).alias("description"))
+    columns = ["id", "name", "description"]
+    return described(clusters).select(columns).unionByName(numbered_after(missing, clusters, "name").select(columns))
 
 
 def assign_back(table: DataFrame, assignments: DataFrame, column: str, only_changed: bool = False) -> DataFrame:

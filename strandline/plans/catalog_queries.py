@@ -30,9 +30,9 @@ q("P2_source_kind", """SELECT id, CASE WHEN episode_id <> 0 THEN 'podcast' WHEN
     CASE WHEN episode_id <> 0 THEN episode_id WHEN document_id <> 0 THEN document_id END AS source_id FROM units""", "units")(
     lambda u: u.withColumn("k", T.source_kind()).select("id", F.col("k.kind").alias("source_kind"), F.col("k.id").alias("source_id")))
 
-q("P3_list_unit_insights", "SELECT id, name, type FROM units WHERE episode_id IS NOT NULL AND type = 'health_stake' AND macro_insight_id IS NOT NULL ORDER BY id LIMIT 20 OFFSET 5", "units")(
-    lambda u: catalog.list_unit_insights(u, "podcast", "health_stake", True, 5, 20).select("id", "name", "type"))
-
+P3 = "episode_id IS NOT NULL AND type = 'health_stake' AND macro_insight_id IS NOT NULL"
+q("P3_list_unit_insights", f"SELECT id, name, type, (SELECT count(*) FROM units WHERE {P3}) AS total FROM units WHERE {P3} ORDER BY id LIMIT 20 OFFSET 5", "units")(
+    lambda u: catalog.list_unit_insights(u, "podcast", "health_stake", True, 5, 20).select("id", "name", "type", "total"))
 q("P4_list_macro_insights", """SELECT id, name, cluster_id, (SELECT count(*) FROM units WHERE macro_insight_id = m.id) AS unit_count FROM macros m WHERE cluster_id IS NOT NULL""", "macros", "units")(
     lambda m, u: catalog.list_macro_insights(m, u, has_cluster=True))
 
@@ -169,21 +169,39 @@ q("U2_new_ids", "SELECT DISTINCT id FROM units WHERE id NOT IN (SELECT id FROM u
 q("U3_distinct_sources", "SELECT dimension_id, array_to_string(list_sort(list(DISTINCT trim(source_ref))), '|') AS sources FROM evidence GROUP BY 1", "evidence")(
     lambda v: v.groupBy("dimension_id").agg(F.array_join(F.array_sort(F.collect_set(F.trim("source_ref"))), "|").alias("sources")))
 
-q("G1_upsert_episodes", """WITH b AS (SELECT id AS place, audio_url, 'Show ' || CAST(id % 40 AS STRING) AS podcast_name, 'Episode ' || CAST(id AS STRING) AS episode_title FROM feed),
-    f AS (SELECT b.*, coalesce((SELECT min(id) FROM episodes e WHERE e.audio_url = b.audio_url), (SELECT min(id) FROM episodes e WHERE e.podcast_name = b.podcast_name AND e.episode_title = b.episode_title)) AS old FROM b)
-    SELECT place, CAST((SELECT max(id) FROM episodes) + row_number() OVER (ORDER BY place) AS BIGINT) AS id, true AS created FROM f WHERE old IS NULL AND place = (SELECT min(place) FROM f g WHERE g.audio_url = f.audio_url AND g.old IS NULL) UNION ALL SELECT place, old, false FROM f WHERE old IS NOT NULL""", "feed", "episodes")(
-    lambda f, e: upsert.upsert_episodes(f.select(F.col("id").alias("place"), "audio_url", F.concat(F.lit("Show "), (F.col("id") % 40).cast("string")).alias("podcast_name"), F.concat(F.lit("Episode "), F.col("id").cast("string")).alias("episode_title")), e, "place").select("place", "id", "created"))
-q("G1d_upsert_documents", """WITH b AS (SELECT id AS place, 'gs://docs/' || CAST(id % 400 AS STRING) || '.pdf' AS uri FROM feed), f AS (SELECT b.*, (SELECT min(id) FROM sources s WHERE s.gcs_document_uri = b.uri) AS old FROM b)
-    SELECT place, (SELECT max(id) FROM sources) + row_number() OVER (ORDER BY place) AS id, 'processed' AS outcome, 'pdf' AS source_type FROM f WHERE old IS NULL UNION ALL SELECT place, old, 'skipped', 'pdf' FROM f WHERE old IS NOT NULL""", "feed", "sources")(
-    lambda f, d: upsert.upsert_documents(f.select(F.col("id").alias("place"), F.concat(F.lit("gs://docs/"), (F.col("id") % 400).cast("string"), F.lit(".pdf")).alias("gcs_document_uri"), F.lit(None).cast("string").alias("source_type"), F.lit("pdf").alias("format")), d, "place").select("place", "id", "outcome", "source_type"))
+def arriving(f: DataFrame) -> DataFrame:
+    """A batch of episodes: rows that repeat by URL, by name, by both, and without either."""
+    n = F.col("id")
+    return f.select(n.alias("place"), F.when(n % 17 != 0, F.when(n % 4 == 0, F.concat(F.lit("https://cdn.example/"), (n * 7 % 1100).cast("string"))).otherwise(F.concat(F.lit("https://new.example/"), (n * n % 2503).cast("string")))).alias("audio_url"),
+        F.concat(F.lit("Show "), (n % 40).cast("string")).alias("podcast_name"), F.when(n % 13 != 0, F.concat(F.lit("Episode "), (n * 31 % 1709).cast("string"))).alias("episode_title"))
+
+
+# rounds over the rows that nothing stored matches: 1 made, 2 found, 0 open; a row is made once it comes first among the open ones of its URL and of its name
+q("G1_upsert_episodes", """WITH RECURSIVE b AS (SELECT id AS place, CASE WHEN id % 17 <> 0 THEN CASE WHEN id % 4 = 0 THEN 'https://cdn.example/' || CAST(id * 7 % 1100 AS STRING) ELSE 'https://new.example/' || CAST(id * id % 2503 AS STRING) END END AS url,
+        'Show ' || CAST(id % 40 AS STRING) || '|' || CASE WHEN id % 13 <> 0 THEN 'Episode ' || CAST(id * 31 % 1709 AS STRING) END AS name FROM feed),
+    su AS (SELECT audio_url, min(id) AS id FROM episodes GROUP BY 1), sn AS (SELECT podcast_name || '|' || episode_title AS name, min(id) AS id FROM episodes GROUP BY 1),
+    f AS (SELECT b.*, su.id AS by_url, sn.id AS by_name FROM b LEFT JOIN su ON su.audio_url = b.url LEFT JOIN sn ON sn.name = b.name),
+    r AS (SELECT place, coalesce(url, 'row ' || place) AS u, coalesce(name, 'row ' || place) AS n, 0 AS made, 0 AS step FROM f WHERE by_url IS NULL AND by_name IS NULL UNION ALL
+        SELECT place, u, n, CASE WHEN made > 0 THEN made WHEN gu OR gn THEN 2 WHEN place = mu AND place = mn THEN 1 ELSE 0 END, step + 1
+        FROM (SELECT *, min(CASE WHEN made = 0 THEN place END) OVER (PARTITION BY u) AS mu, min(CASE WHEN made = 0 THEN place END) OVER (PARTITION BY n) AS mn, bool_or(made = 1) OVER (PARTITION BY u) AS gu, bool_or(made = 1) OVER (PARTITION BY n) AS gn, sum(CASE WHEN made = 0 THEN 1 ELSE 0 END) OVER () AS left_ FROM r) WHERE left_ > 0),
+    new AS (SELECT place, u, n, (SELECT max(id) FROM episodes) + row_number() OVER (ORDER BY place) AS id FROM r WHERE made = 1 AND step = (SELECT max(step) FROM r))
+    SELECT f.place, CAST(coalesce(own.id, by_url, x.id, by_name, y.id) AS BIGINT) AS id, own.id IS NOT NULL AS created FROM f LEFT JOIN new own ON own.place = f.place LEFT JOIN new x ON x.u = f.url AND x.place < f.place LEFT JOIN new y ON y.n = f.name AND y.place < f.place""", "feed", "episodes")(
+    lambda f, e: upsert.upsert_episodes(arriving(f), e, "place").select("place", "id", "created"))
+q("G1d_upsert_documents", """WITH b AS (SELECT id AS place, CASE WHEN id % 19 <> 0 THEN 'gs://docs/' || CAST(id % 400 AS STRING) || '.pdf' END AS uri FROM feed), f AS (SELECT b.*, (SELECT min(id) FROM sources s WHERE s.gcs_document_uri = b.uri) AS old FROM b),
+    n AS (SELECT place, uri, (SELECT max(id) FROM sources) + row_number() OVER (ORDER BY place) AS id FROM f WHERE old IS NULL AND (uri IS NULL OR place = (SELECT min(place) FROM b WHERE b.uri = f.uri)))
+    SELECT f.place, CAST(coalesce(f.old, n.id, m.id) AS BIGINT) AS id, CASE WHEN n.id IS NULL THEN 'skipped' ELSE 'processed' END AS outcome, 'pdf' AS source_type FROM f LEFT JOIN n ON n.place = f.place LEFT JOIN n m ON m.uri = f.uri""", "feed", "sources")(
+    lambda f, d: upsert.upsert_documents(f.select(F.col("id").alias("place"), F.when(F.col("id") % 19 != 0, F.concat(F.lit("gs://docs/"), (F.col("id") % 400).cast("string"), F.lit(".pdf"))).alias("gcs_document_uri"), F.lit(None).cast("string").alias("source_type"), F.lit("pdf").alias("format")), d, "place").select("place", "id", "outcome", "source_type"))
 q("G1s_select_episodes", """SELECT f.id, e.id AS existing_id, CASE WHEN e.id IS NULL THEN 'needs_processing' ELSE e.status END AS status, CASE WHEN e.id IS NULL THEN '' ELSE e.gcs_audio_uri END AS gcs_audio_uri FROM feed f LEFT JOIN (SELECT * FROM episodes WHERE id IN (SELECT min(id) FROM episodes GROUP BY audio_url)) e ON e.audio_url = f.audio_url WHERE f.id % 4 = 1""", "feed", "episodes")(
     lambda f, e: upsert.select_episodes(f, f.filter("id % 4 = 1").select("id", (-F.col("id")).alias("place")), e).select("id", "existing_id", "status", "gcs_audio_uri"))
 q("G2_update_given", "SELECT e.id, coalesce(CASE WHEN e.id % 2 = 0 THEN 'indexing' END, status) AS status, coalesce(CASE WHEN e.id % 5 = 0 THEN 77 END, audio_file_size) AS audio_file_size FROM episodes e", "episodes")(
     lambda e: upsert.update_given(e, e.select("id", F.expr("CASE WHEN id % 2 = 0 THEN 'indexing' END").alias("status"), F.expr("CASE WHEN id % 5 = 0 THEN 77L END").alias("audio_file_size")), ["status", "audio_file_size"]).select("id", "status", "audio_file_size"))
 q("G3_reindex_source", """SELECT id, source, chunk_text FROM podcast_chunks WHERE source NOT IN (SELECT source FROM podcast_chunks WHERE id % 50 = 1) UNION ALL SELECT -id, source, 'again' FROM podcast_chunks WHERE id % 50 = 1""", "podcast_chunks")(
     lambda c: upsert.reindex_source(c, c.filter("id % 50 = 1").select((-F.col("id")).alias("id"), "source", F.lit("again").alias("chunk_text")))[0])
-q("G4_get_or_create_clusters", "SELECT id, name FROM clusters UNION ALL SELECT (SELECT max(id) FROM clusters) + row_number() OVER (ORDER BY podcast_name), podcast_name FROM (SELECT DISTINCT podcast_name FROM episodes)", "clusters", "episodes")(
-    lambda c, e: upsert.get_or_create_clusters(c, e.select(F.col("podcast_name").alias("name")).union(c.select("name"))))
+KNOWN = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in kv)) for kv in K.PROTOTYPES.items())
+q("G4_get_or_create_clusters", f"""WITH w AS (SELECT DISTINCT podcast_name AS name, CASE WHEN podcast_name LIKE '%1' THEN 'All of ' || podcast_name END AS description FROM episodes UNION ALL SELECT * FROM (VALUES {KNOWN}, ('Other', NULL)) v(name, description))
+    SELECT id, name, NULL AS description FROM clusters UNION ALL SELECT (SELECT max(id) FROM clusters) + row_number() OVER (ORDER BY name), name, description FROM w""", "clusters", "episodes")(
+    lambda c, e: upsert.get_or_create_clusters(c, e.select(F.col("podcast_name").alias("name"), F.when(F.col("podcast_name").endswith("1"), F.concat(F.lit("All of "), "podcast_name")).alias("description")).union(c.select("name", F.lit("")))
+    .union(c.sparkSession.createDataFrame([(n, None) for n in (*K.PROTOTYPES, K.OTHER)], "name string, description string"))))
 q("G5_assign_back", "SELECT id, CASE WHEN id % 3 = 0 THEN id % 4 ELSE cluster_id END AS cluster_id FROM units", "units")(
     lambda u: upsert.assign_back(u, u.filter("id % 3 = 0").select("id", (F.col("id") % 4).alias("value")), "cluster_id").select("id", "cluster_id"))
 def resets(*tables):

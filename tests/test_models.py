@@ -361,3 +361,40 @@ def test_extraction_notes(spark):
     insights, notes = extract_insights(df, model, search.hashing_embedder(8))
     assert [r.name for r in insights.collect()] == ["abc"]
     assert {r.source: r.notes for r in notes.collect()} == {"one": "[Chunk 1] fine", "two": "[Chunk 1] ValueError: no"}
+
+
+@pytest.mark.parametrize("seed,most", [(0, 10_000), (1, 20), (2, 7)])
+def test_upserts_in_order_of_arrival(spark, monkeypatch, seed, most):
+    from strandline.operators import upsert
+
+    monkeypatch.setattr(greedy, "MOST", most)
+    rng = random.Random(seed)
+    some = lambda kind, n: rng.choice([None] + [f"{kind}{i}" for i in range(n)])
+    stored = [(i, some("u", 9), some("p", 3), some("t", 5)) for i in range(1, 12)]
+    batch = [(k * 3 + 1, some("u", 25), some("p", 3), some("t", 9)) for k in range(80)]
+    table, want, top = list(stored), {}, 11
+    for place, u, p, t in batch:
+        found = [r[0] for r in table if u is not None and r[1] == u] or [r[0] for r in table if None not in (p, t) and r[2:] == (p, t)]
+        if found:
+            want[place] = (min(found), False)
+        else:
+            top += 1
+            table.append((top, u, p, t))
+            want[place] = (top, True)
+    schema = "long, audio_url string, podcast_name string, episode_title string"
+    got = upsert.upsert_episodes(spark.createDataFrame(batch, f"place {schema}"), spark.createDataFrame(stored, f"id {schema}"), "place").collect()
+    assert len(got) == len(batch) and {r.place: (r.id, r.created) for r in got} == want
+    uris, ids, expected = {r[1]: r[0] for r in reversed(stored) if r[1]}, 11, {}
+    for place, u, *_ in batch:
+        if u is not None and u in uris:
+            expected[place] = (uris[u], "skipped")
+        else:
+            ids += 1
+            expected[place] = (ids, "processed")
+            if u is not None:
+                uris[u] = ids
+    docs = spark.createDataFrame([(p, u, None, "pdf") for p, u, *_ in batch], "place long, gcs_document_uri string, source_type string, format string")
+    out = upsert.upsert_documents(docs, spark.createDataFrame([(r[0], r[1]) for r in stored], "id long, gcs_document_uri string"), "place").collect()
+    assert {r.place: (r.id, r.outcome) for r in out} == expected and len(out) == len(batch)
+    empty = upsert.upsert_episodes(spark.createDataFrame([], f"place {schema}"), spark.createDataFrame(stored, f"id {schema}"), "place")
+    assert empty.count() == 0
