@@ -24,8 +24,8 @@ from strandline.llm.common import batches_of, table, written
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 LOWER_SPACED = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-SEGMENT_CHARS = 8_000_000
-SEGMENT_DOCS = 4096
+SEGMENT_CHARS = 3_000_000
+SEGMENT_DOCS = 2048
 CLUSTER_DOCS = 32
 DIMENSIONS = 128
 BLOCK_BYTES, BLOCK_ITEMS = 4 << 20, 4096
@@ -35,6 +35,18 @@ def terms_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(LOWER_SPACED).split() if text else []
 
 
+def term_counts(texts: list[str | None]) -> np.ndarray:
+    """Terms of each text: where one begins, over many texts at a time."""
+    out = []
+    for a, b in batches_of([t or "" for t in texts], SEGMENT_CHARS):
+        raw = [(t or "").encode("utf-8", "replace") for t in texts[a:b]]
+        part = np.frombuffer(b" ".join(raw).translate(LOWER_SPACED), np.uint8) != 32
+        begins = np.append(0, np.cumsum(part & ~np.append(False, part[:-1])))
+        ends = np.cumsum([len(x) + 1 for x in raw]) - 1
+        out.append(np.diff(begins[ends], prepend=0))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def length_factor(n: np.ndarray, docs: int, total: int) -> np.ndarray:
     """m of documents of n terms, in a corpus of so many documents and terms."""
     return 25 + 75 * n.astype(np.int64) * docs // total
@@ -126,8 +138,13 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their own. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).filter("d is not null")
-    n = F.regexp_count("t", F.lit(TERM))
-    sums = rows.select(n.alias("n")).filter("n > 0").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).head()
+
+    def sizes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            n = term_counts(pdf.t.tolist())
+            yield pd.DataFrame({"docs": [int((n > 0).sum())], "total": [int(n.sum())]})
+
+    sums = rows.select("t").mapInPandas(sizes, "docs long, total long").agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).head()
     known, total = sums.docs, sums.total
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
