@@ -53,6 +53,68 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def slices(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of slices of so many elements, one slice after the other."""
+    upto = np.cumsum(size)
+    return np.repeat(start - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)
+
+
+class Memo:
+    """Values of any length, of several kinds, under 64-bit keys; what is held is bounded in bytes by its user, who asks for full().
+
+    Keys lie in two sorted runs, a long and a short one, so that adding a few doesn't sort all anew.
+    """
+
+    def __init__(self, *kinds: type, most: int):
+        self.kinds, self.most = kinds, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.runs = [(np.empty(0, np.uint64), np.empty(0, np.int64))] * 2
+        self.n = 0
+        self.pool = [np.empty(0, k) for k in self.kinds]
+        self.used = [0] * len(self.kinds)
+        self.start = [np.empty(0, np.int64) for _ in self.kinds]
+
+    def full(self) -> bool:
+        return sum(u * p.itemsize for u, p in zip(self.used, self.pool, strict=True)) + self.n * (16 + 8 * len(self.kinds)) > self.most
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Where the values of each key are, or -1."""
+        out = np.full(len(keys), -1)
+        for known, at in self.runs:
+            if len(known):
+                i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                out = np.where(known[i] == keys, at[i], out)
+        return out
+
+    def add(self, keys: np.ndarray, *values: tuple[np.ndarray, np.ndarray]) -> None:
+        """Keys that are not there yet, each once; for each kind all values and how many each key has."""
+        at = np.arange(self.n, self.n + len(keys))
+        for k, (flat, size) in enumerate(values):
+            end = self.used[k] + len(flat)
+            if end > len(self.pool[k]):
+                self.pool[k] = np.concatenate([self.pool[k][: self.used[k]], np.empty(max(end, 1 << 16), self.kinds[k])])
+            self.pool[k][self.used[k] : end] = flat
+            self.start[k] = np.concatenate([self.start[k][:-1], self.used[k] + np.append(0, np.cumsum(size))])
+            self.used[k] = end
+        self.n += len(keys)
+        (long, long_at), (short, short_at) = self.runs
+        short, short_at = np.concatenate([short, keys]), np.concatenate([short_at, at])
+        if 4 * len(short) > len(long):
+            long, long_at, short, short_at = np.concatenate([long, short]), np.concatenate([long_at, short_at]), short[:0], short_at[:0]
+            order = np.argsort(long, kind="stable")
+            long, long_at = long[order], long_at[order]
+        order = np.argsort(short, kind="stable")
+        self.runs = [(long, long_at), (short[order], short_at[order])]
+
+    def get(self, kind: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All values of one kind, and how many each place has."""
+        start = self.start[kind]
+        size = start[at + 1] - start[at] if len(at) else np.empty(0, np.int64)
+        return self.pool[kind][slices(start[at] if len(at) else size, size)], size
+
+
 def batches_of(texts: list, size: int):
     """(from, to) ranges of about so many characters, one text at least."""
     start, total = 0, 0

@@ -19,8 +19,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import batches_of, mix, table, written
-from strandline.llm.token_store import PlaneEncoder
+from strandline.llm.common import Memo, batches_of, mix, slices, table, written
+from strandline.llm.token_store import PIECE_BYTES, PlaneEncoder
 
 MEMO_BYTES = 64 << 20  # of id tuples and alignments that a task keeps
 HELD_PAIRS = 4_000_000  # distinct pairs whose counts may go to every task, 12 bytes each
@@ -45,9 +45,7 @@ class Vocabulary:
 
     def spelled(self, ids: np.ndarray) -> np.ndarray:
         """The ids' bytes, one after the other."""
-        size = self.length[ids]
-        upto = np.cumsum(size)
-        return self.pool[np.repeat(self.start[ids] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
+        return self.pool[slices(self.start[ids], self.length[ids])]
 
 
 @lru_cache(maxsize=1)
@@ -78,18 +76,69 @@ def pieces(path: str):
     return model, Vocabulary(tokens)
 
 
-def aligned(a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray) -> tuple[str, int, np.ndarray]:
-    """Groups as text, their number, and the linked pairs of one window, whose ids on either side have the same bytes."""
+class PieceCoder(PlaneEncoder):
+    """The piece tokenizer, with a text's words encoded once each.
+
+    No piece has a space mark behind another character (which is checked), so no merge crosses from a word into the spaces before the next,
+    and spaces with the word behind them are encoded alike wherever they are. Texts with other characters than Latin go to the library whole.
+    """
+
+    def __init__(self, model, most: int):
+        if any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(model.get_piece_size())):
+            raise ValueError("pieces of this model cross words")
+        self.model, self.special = model, ["▁"]
+        self.tables(most)
+
+    def cuts(self, cp: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+        n = len(cp)
+        space = cp == 0x20
+        run = first[:n].copy()
+        run[1:] |= space[1:] & ~space[:-1]
+        # spaces that end a text belong to the word before
+        at = np.flatnonzero(run & space & ~first[:n])
+        other = np.append(np.flatnonzero(~space | first[:n]), n)
+        stop = other[np.searchsorted(other, at + 1)]
+        run[at[first[stop]]] = False
+        return np.flatnonzero(run)
+
+    def pieces_ids(self, pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(x, np.uint32) for x in self.model.encode([p[1:] for p in pieces], num_threads=1)]
+
+    def whole_ids(self, texts: list[str]) -> list[np.ndarray]:
+        return self.pieces_ids(texts)
+
+
+DIGITS = [str(i).encode() for i in range(1 << 16)]
+DIGIT_POOL = np.frombuffer(b"".join(DIGITS), np.uint8)
+DIGIT_SIZE = np.fromiter(map(len, DIGITS), np.int64, len(DIGITS))
+DIGIT_START = np.cumsum(DIGIT_SIZE) - DIGIT_SIZE
+
+
+def aligned(a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray, a_n: np.ndarray, b_n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Alignments of windows, one after the other: text of the groups, each closed by ';', as bytes and how many of each window; linked pairs and how
+    many of each; groups of each. a, b: ids, whose sizes in bytes agree window by window; a_n, b_n: ids of each window."""
     a_end, b_end = np.cumsum(a_size), np.cumsum(b_size)
     ends = np.union1d(a_end, b_end)
     i, j = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
-    shared = np.flatnonzero((a_end[i] == ends) & (b_end[j] == ends))
-    x, y = a.tolist(), b.tolist()
-    text, p, q = [], 0, 0
-    for m, n in zip((i[shared] + 1).tolist(), (j[shared] + 1).tolist(), strict=True):
-        text.append(f"{','.join(map(str, x[p:m]))}|{','.join(map(str, y[q:n]))}")
-        p, q = m, n
-    return ";".join(text), len(shared), a[i].astype(np.int64) << B_BITS | b[j]
+    pairs = a[i].astype(np.int64) << B_BITS | b[j]
+    shared = ends[(a_end[i] == ends) & (b_end[j] == ends)]
+    # where a window ends, so does a group
+    last = np.append(0, a_end)[np.cumsum(a_n)]
+    links, groups = np.diff(np.searchsorted(ends, last, "right"), prepend=0), np.diff(np.searchsorted(shared, last, "right"), prepend=0)
+    group = np.concatenate([np.searchsorted(shared, a_end), np.searchsorted(shared, b_end)])
+    side = np.repeat([0, 1], [len(a), len(b)])
+    order = np.argsort(2 * group + side, kind="stable")
+    ids, group, side = np.concatenate([a, b]).astype(np.int64)[order], group[order], side[order]
+    size = DIGIT_SIZE[ids] + 1
+    upto = np.cumsum(size)
+    text = np.empty(upto[-1] if len(upto) else 0, np.uint8)
+    stop = np.append((group[1:] != group[:-1]) | (side[1:] != side[:-1]), True)[: len(ids)]
+    closing = np.where(stop, np.where(side == 0, ord("|"), ord(";")), ord(","))
+    mark = np.zeros(len(text), bool)
+    mark[upto - 1] = True
+    text[mark] = closing
+    text[~mark] = DIGIT_POOL[slices(DIGIT_START[ids], size - 1)]
+    return text, np.diff(np.append(0, upto)[np.cumsum(a_n + b_n)], prepend=0), pairs, links, groups
 
 
 class Windows:
@@ -98,22 +147,18 @@ class Windows:
     def __init__(self, a_path: str, b_path: str, memo_bytes: int = MEMO_BYTES):
         self.a_model, self.a = byte_level(a_path)
         self.b_model, self.b = pieces(b_path)
-        self.coder = PlaneEncoder(a_path)
+        if max(len(self.a.length), len(self.b.length)) > len(DIGITS):
+            raise ValueError("ids of 16 bits at most")
+        self.coder, self.piece_coder = PlaneEncoder(a_path), PieceCoder(self.b_model, PIECE_BYTES)
         self.coder.model, self.coder.special = self.a_model, []
         rng = np.random.default_rng(11)
-        noise = rng.integers(1, 2**63, (2, 1 << 17), dtype=np.uint64) | np.uint64(1)
-        self.a_noise, self.b_noise = noise[0][: len(self.a.length)], noise[1][: len(self.b.length)]
+        noise = rng.integers(1, 2**63, (2, len(DIGITS)), dtype=np.uint64) | np.uint64(1)
+        self.a_noise, self.b_noise = noise
         self.base = 0x9E3779B97F4A7C15
         self.power = self.unpower = np.empty(0, np.uint64)
-        self.most = memo_bytes
-        self.forget()
-
-    def forget(self) -> None:
-        self.memo: dict[tuple[bytes, bytes], int] = {}
-        self.text: list[str] = []
-        self.groups: list[int] = []
-        self.links: list[np.ndarray] = []
-        self.held = 0
+        #: ids of either side, groups as text, linked pairs, number of groups
+        self.memo = Memo(np.uint16, np.uint16, np.uint8, np.int64, np.int32, most=memo_bytes)
+        self.worked = 0  # windows whose alignment was worked out
 
     def rolled(self, noise: np.ndarray, ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A hash of each slice of ids."""
@@ -125,87 +170,71 @@ class Windows:
         np.cumsum(noise[ids] * self.power[:n], out=upto[1:])
         return mix((upto[end] - upto[start]) * self.unpower[start] + (end - start).astype(np.uint64))
 
-    def slot(self, x: np.ndarray, y: np.ndarray) -> int:
-        """The place of a window's alignment in the memo."""
-        key = (x.tobytes(), y.tobytes())
-        at = self.memo.get(key)
-        if at is None:
-            text, groups, links = aligned(x, y, self.a.length[x], self.b.length[y])
-            at = self.memo[key] = len(self.text)
-            self.text.append(text)
-            self.groups.append(groups)
-            self.links.append(links)
-            self.held += len(key[0]) + len(key[1]) + len(text) + links.nbytes + 500
-        return at
+    def worked_out(self, a: np.ndarray, b: np.ndarray, a_n: np.ndarray, b_n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Values and numbers, as the memo has them, of windows whose ids stand one after the other."""
+        self.worked += len(a_n)
+        text, text_n, pairs, links, groups = aligned(a, b, self.a.length[a], self.b.length[b], a_n, b_n)
+        return [(a, a_n), (b, b_n), (text, text_n), (pairs, links), (groups, np.ones(len(groups), np.int64))]
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of both sides and their numbers of each text, and which texts both sides spell out; the others have none."""
-        a, a_n = self.coder.encode([" " + t for t in texts])
-        a = a.astype(np.int64)
-        coded = self.b_model.encode(texts, num_threads=1)
-        b_n = np.fromiter(map(len, coded), np.int64, len(coded))
-        b = np.fromiter((i for ids in coded for i in ids), np.int64, int(b_n.sum()))
-        raw = [b" " + t.encode("utf-8", "replace") if t else b"" for t in texts]
+        whole = [" " + t for t in texts]
+        a, a_n = self.coder.encode(whole)
+        b, b_n = self.piece_coder.encode(whole)
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        raw = [t.encode("utf-8", "replace") if len(t) > 1 else b"" for t in whole]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
-        whole, ok = np.frombuffer(b"".join(raw), np.uint8), size > 0
+        said, ok = np.frombuffer(b"".join(raw), np.uint8), size > 0
         for ids, n, vocabulary in ((a, a_n, self.a), (b, b_n, self.b)):
             spelled = vocabulary.spelled(ids)
-            upto = np.append(0, np.cumsum(vocabulary.length[ids]))
-            got = np.diff(upto[np.append(0, np.cumsum(n))])
-            if np.array_equal(got, size) and np.array_equal(spelled, whole):
+            got = np.diff(np.append(0, np.cumsum(vocabulary.length[ids]))[np.cumsum(n)], prepend=0)
+            if np.array_equal(got, size) and np.array_equal(spelled, said):
                 continue
             at, mine = np.cumsum(size) - size, np.cumsum(got) - got
             for i in range(len(texts)):
-                ok[i] &= got[i] == size[i] and np.array_equal(spelled[mine[i] : mine[i] + got[i]], whole[at[i] : at[i] + size[i]])
+                ok[i] &= got[i] == size[i] and np.array_equal(spelled[mine[i] : mine[i] + got[i]], said[at[i] : at[i] + size[i]])
         if not ok.all():
             a, b = a[np.repeat(ok, a_n)], b[np.repeat(ok, b_n)]
             a_n, b_n = np.where(ok, a_n, 0), np.where(ok, b_n, 0)
         return a, a_n, b, b_n, ok
 
-    def align(self, texts: list[str]) -> dict:
-        """For each text: n_a, n_b, n_groups, n_links, groups; and doc, pair, times: the distinct pairs of each text and how often each links."""
-        if self.held > self.most:
-            self.forget()
-        a, a_n, b, b_n, ok = self.tokens(texts)
+    def windows(self, a: np.ndarray, a_n: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows end on either side: at shared ends before space-marked tokens of both, and at the ends of texts."""
         a_end, b_end = np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b])
-        shared, i, j = np.intersect1d(a_end, b_end, assume_unique=True, return_indices=True)
-        # a text's last end is shared; the next token is the next text's, or none
+        _, i, j = np.intersect1d(a_end, b_end, assume_unique=True, return_indices=True)
         last = np.zeros(len(a) + 1, bool)
         last[np.cumsum(a_n)] = True
-        inner = np.minimum(i + 1, max(len(a) - 1, 0)), np.minimum(j + 1, max(len(b) - 1, 0))
-        cut = last[i + 1] | (self.a.spaced[a[inner[0]]] & self.b.spaced[b[inner[1]]])
-        a_to, b_to = i[cut] + 1, j[cut] + 1
-        a_from, b_from = np.append(0, a_to[:-1])[: len(a_to)], np.append(0, b_to[:-1])[: len(b_to)]
+        x, y = np.append(self.a.spaced[a], False), np.append(self.b.spaced[b], False)
+        cut = last[i + 1] | (x[i + 1] & y[j + 1])
+        return i[cut] + 1, j[cut] + 1
+
+    def align(self, texts: list[str]) -> dict:
+        """For each text: n_a, n_b, n_groups, n_links, groups; and doc, pair, times: the distinct pairs of each text and how often each links."""
+        if self.memo.full():
+            self.memo.forget()
+        a, a_n, b, b_n, ok = self.tokens(texts)
+        a_to, b_to = self.windows(a, a_n, b)
+        a_from, b_from = np.append(0, a_to)[: len(a_to)], np.append(0, b_to)[: len(b_to)]
         key = mix(self.rolled(self.a_noise, a, a_from, a_to) + np.uint64(0x632BE59BD9B4E019) * self.rolled(self.b_noise, b, b_from, b_to))
-        _, where, back = np.unique(key, return_index=True, return_inverse=True)
-        if self.same(a, a_from, a_to, where[back]) and self.same(b, b_from, b_to, where[back]):
-            slots = np.fromiter((self.slot(a[a_from[w] : a_to[w]], b[b_from[w] : b_to[w]]) for w in where.tolist()), np.int64, len(where))[back]
-        else:  # two windows share a hash
-            slots = np.fromiter((self.slot(a[s:t], b[u:v]) for s, t, u, v in zip(a_from.tolist(), a_to.tolist(), b_from.tolist(), b_to.tolist(), strict=True)), np.int64, len(a_to))
+        distinct, where, back = np.unique(key, return_index=True, return_inverse=True)
+        new = self.memo.find(distinct) < 0
+        if new.any():
+            w = where[new]
+            x, y = a_to[w] - a_from[w], b_to[w] - b_from[w]
+            self.memo.add(distinct[new], *self.worked_out(a[slices(a_from[w], x)], b[slices(b_from[w], y)], x, y))
+        at = self.memo.find(distinct)[back]
+        kinds = [self.memo.get(k, at) for k in range(5)]
+        if not all(np.array_equal(n, to - start) and np.array_equal(ids, own) for (ids, n), own, start, to in ((kinds[0], a, a_from, a_to), (kinds[1], b, b_from, b_to))):
+            kinds = self.worked_out(a, b, a_to - a_from, b_to - b_from)  # two windows share a hash
         bounds = np.searchsorted(a_to, np.append(0, np.cumsum(a_n)), "right")  # windows before each text
-        groups = np.append(0, np.cumsum(np.array(self.groups, np.int64)[slots] if len(slots) else slots))
-        n_groups = groups[bounds[1:]] - groups[bounds[:-1]]
-        fragment = [self.text[s] for s in slots.tolist()]
-        text = [";".join(fragment[s:t]) for s, t in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        used, at = np.unique(slots, return_inverse=True)
-        links = [self.links[s] for s in used.tolist()]
-        size = np.fromiter(map(len, links), np.int64, len(links))
-        pool, start, n = np.concatenate(links) if links else np.empty(0, np.int64), np.cumsum(size) - size, size[at]
-        upto = np.cumsum(n)
-        pair = pool[np.repeat(start[at] - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
-        all_links = np.append(0, upto)
-        n_links = all_links[bounds[1:]] - all_links[bounds[:-1]]
-        doc = np.repeat(np.arange(len(texts)), n_links)
-        both, times = np.unique(doc << 2 * B_BITS | pair, return_counts=True)
-        return {"ok": ok, "n_a": a_n, "n_b": b_n, "n_groups": n_groups, "n_links": n_links, "groups": text, "doc": both >> 2 * B_BITS, "pair": both & (1 << 2 * B_BITS) - 1, "times": times}
-
-    @staticmethod
-    def same(ids: np.ndarray, start: np.ndarray, end: np.ndarray, of: np.ndarray) -> bool:
-        """Whether each slice equals that of the window it is taken for."""
-        size = end - start
-        if not np.array_equal(size, size[of]):
-            return False
-        return np.array_equal(ids[np.repeat(start[of] - start, size) + np.arange(len(ids))], ids) if len(ids) else True
+        per = lambda n: np.append(0, np.cumsum(n))[bounds]
+        (text, text_n), (pair, links), (groups, _) = kinds[2:]
+        text_at, n_links, said = per(text_n), np.diff(per(links)), text.tobytes()
+        both, times = np.unique(np.repeat(np.arange(len(texts)), n_links) << 2 * B_BITS | pair, return_counts=True)
+        return {
+            "ok": ok, "n_a": a_n, "n_b": b_n, "n_groups": np.diff(per(groups)), "n_links": n_links, "groups": [said[s : max(s, e - 1)] for s, e in zip(text_at[:-1].tolist(), text_at[1:].tolist(), strict=True)],
+            "doc": both >> 2 * B_BITS, "pair": both & (1 << 2 * B_BITS) - 1, "times": times,
+        }
 
 
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
@@ -228,10 +257,10 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
                 upto = np.searchsorted(x["doc"], np.arange(e - s + 1))
                 pair, times = x["pair"].astype("<i8"), x["times"].astype("<u4")
                 parts = list(zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True))
-                out = {k: x[k] for k in ("n_a", "n_b", "n_groups", "n_links")} | {"groups_sha256": [hashlib.sha256(g.encode()).hexdigest() if ok else "" for g, ok in zip(x["groups"], x["ok"].tolist(), strict=True)]}
+                out = {k: x[k] for k in ("n_a", "n_b", "n_groups", "n_links")} | {"groups_sha256": [hashlib.sha256(g).hexdigest() if ok else "" for g, ok in zip(x["groups"], x["ok"].tolist(), strict=True)]}
                 out |= {"pairs": [pair[p:q].tobytes() for p, q in parts], "times": [times[p:q].tobytes() for p, q in parts]}
                 if with_groups:
-                    out["groups"] = x["groups"]
+                    out["groups"] = [g.decode() for g in x["groups"]]
                 yield pd.DataFrame({"doc_id": pdf.d.iloc[s:e].astype("Int64").to_numpy(), **out})
 
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))

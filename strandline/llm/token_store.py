@@ -25,9 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import batches_of, mix, table, written
+from strandline.llm.common import Memo, batches_of, mix, table, written
 
 MAGIC = b"BPL1"
+PIECE_BYTES = 48 << 20  # of pieces and their ids that an encoder keeps
 
 
 def planes(ids: np.ndarray) -> list[bytes]:
@@ -92,14 +93,18 @@ class PlaneEncoder:
     special token's string.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = PIECE_BYTES):
         self.model = loaded(path)
         vocab = self.model.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)
         for k, v in vocab.items():
             self.width[v] = len(k)
         self.special = [str(t.content) for t in self.model.get_added_tokens_decoder().values()]
-        self.most = most
+        self.tables(most)
+
+    def tables(self, most: int) -> None:
+        """What all batches share: kinds and hashes of characters, and the pieces met (ids; characters)."""
+        self.memo = Memo(np.uint32, np.uint16, most=most)
         self.kind = np.full(LATIN_END, 255, np.uint8)
         for i in range(LATIN_END):
             c = chr(i)
@@ -116,16 +121,6 @@ class PlaneEncoder:
         self.base = np.uint64(0x9E3779B97F4A7C15)
         self.inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
         self.power = self.unpower = np.empty(0, np.uint64)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known = np.empty(0, np.uint64)
-        self.start = np.empty(0, np.int64)
-        self.size = np.empty(0, np.int32)
-        self.pool = np.empty(0, np.uint32)
-        self.first = np.empty(0, np.int64)  # where the piece's own characters are, and how many
-        self.length = np.empty(0, np.int32)
-        self.spelled = np.empty(0, np.uint16)
 
     def cuts(self, cp: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Where pieces start: the library's pattern, on all texts at once. first: marks where a text starts, one longer than cp."""
@@ -156,7 +151,8 @@ class PlaneEncoder:
             cut[x] = True
         return np.flatnonzero(cut)
 
-    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def pieces_ids(self, pieces: list[str]) -> list[np.ndarray]:
+        """The ids of pieces, each encoded for itself."""
         joined = [i for i, p in enumerate(pieces) if p[0] == " " and p[1:].isalpha()]
         other = sorted(set(range(len(pieces))) - set(joined))
         ids: list = [None] * len(pieces)
@@ -173,17 +169,17 @@ class PlaneEncoder:
             part = other[k : k + 20_000]
             for i, e in zip(part, self.model.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False), strict=True):
                 ids[i] = np.array(e.ids, np.uint32)
-        if len(self.known) + len(keys) > self.most:
-            self.forget()
-        size = np.fromiter(map(len, ids), np.int32, len(ids))
-        start = len(self.pool) + np.cumsum(size, dtype=np.int64) - size
-        self.pool = np.concatenate([self.pool, *ids])
-        length = np.fromiter(map(len, pieces), np.int32, len(pieces))
-        first = len(self.spelled) + np.cumsum(length, dtype=np.int64) - length
-        self.spelled = np.concatenate([self.spelled, np.frombuffer("".join(pieces).encode("utf-16-le"), np.uint16)])
-        order = np.argsort(known := np.concatenate([self.known, keys]), kind="stable")
-        self.known, self.start, self.size = known[order], np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
-        self.first, self.length = np.concatenate([self.first, first])[order], np.concatenate([self.length, length])[order]
+        return ids
+
+    def whole_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts that aren't cut."""
+        return [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        ids = self.pieces_ids(pieces)
+        spelled = np.frombuffer("".join(pieces).encode("utf-16-le"), np.uint16)
+        sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in (ids, pieces)]
+        self.memo.add(keys, (np.concatenate(ids), sizes[0]), (spelled, sizes[1]))
 
     def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of plain texts, and how many each text has."""
@@ -204,24 +200,19 @@ class PlaneEncoder:
         end = np.append(at[1:], n)
         key = mix((rolled[end] - rolled[at]) * self.unpower[at])
         distinct, where, back = np.unique(key, return_index=True, return_inverse=True)
-        new = np.ones(len(distinct), bool)
-        if len(self.known):
-            i = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
-            new = self.known[i] != distinct
+        if self.memo.full():
+            self.memo.forget()
+        new = self.memo.find(distinct) < 0
         if new.any():
-            if len(self.known) + int(new.sum()) > self.most:
-                self.forget()
-                new[:] = True
             w = where[new]
             self.learn(distinct[new], [text[s:e] for s, e in zip(at[w].tolist(), end[w].tolist(), strict=True)])
-        i = np.searchsorted(self.known, distinct)
-        length = self.length[i][back].astype(np.int64)
-        if not (np.array_equal(length, end - at) and np.array_equal(self.spelled[np.repeat(self.first[i][back] - at, length) + np.arange(n)], cp)):
-            whole = [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        found = self.memo.find(distinct)[back]
+        spelled, length = self.memo.get(1, found)
+        if not (np.array_equal(length, end - at) and np.array_equal(spelled, cp)):
+            whole = self.whole_ids(texts)
             return np.concatenate(whole), np.array([len(x) for x in whole], np.int64)
-        start, size = self.start[i][back], self.size[i][back].astype(np.int64)
+        ids, size = self.memo.get(0, found)
         upto = np.append(0, np.cumsum(size))
-        ids = self.pool[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
         return ids, np.diff(upto[np.searchsorted(at, bounds)])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -236,9 +227,9 @@ class PlaneEncoder:
             else:
                 x, c = self.plain([t for t, p in zip(part, ok, strict=True) if p])
                 pieces, c = np.split(x, np.cumsum(c)[:-1]) if len(c) else [], list(c)
-                whole = iter(self.model.encode_batch_fast([t for t, p in zip(part, ok, strict=True) if not p], add_special_tokens=False))
+                whole = iter(self.whole_ids([t for t, p in zip(part, ok, strict=True) if not p]))
                 easy = iter(pieces)
-                all_ids = [next(easy) if p else np.array(next(whole).ids, np.uint32) for p in ok]
+                all_ids = [next(easy) if p else next(whole) for p in ok]
                 x, c = np.concatenate(all_ids), np.array([len(i) for i in all_ids])
             ids.append(x)
             counts.append(c)
