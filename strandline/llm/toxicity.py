@@ -50,12 +50,13 @@ class Machine:
         return self.w0 + by_doc(self.w[term]) + 0.5 * (by_doc(v) ** 2 - by_doc(v * v)).sum(1)
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = 8, least_docs: int = 5, epochs: int = 15, batch: int = 400, rate: float = 0.03, z_weight: float = 3.0, z_factor: float = 4.0, rounds: int = 200, l2: float = 3e-5, seed: int = 11) -> Machine:
+def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = 8, least_docs: int = 5, epochs: int = 15, batch: int = 400, rate: float = 0.03, z_weight: float = 3.0, z_factor: float = 4.0, rounds: int = 200, l2: float = 3e-5, bands: tuple[int, ...] = (256, 512, 1024), seed: int = 11) -> Machine:
     """Fits by Adam on the logistic loss, in batches of documents. docs: distinct buckets of each document.
 
     Every term of least_docs documents or more starts with factors, whether its share differs between the labels or not: pairs may tell
-    what single terms don't. A weight, or the factors of a term as a group, shrink by so many standard errors of their gradient, so that
-    terms which tell nothing, alone and in pairs, end at zero and leave the machine. The others are then fitted without shrinking, in
+    what single terms don't. Each pair of synonyms is rare, so the factors start from what many pairs say together (see paired). A weight, or
+    the factors of a term as a group, shrink by so many standard errors of their gradient, so that terms which tell nothing, alone and in
+    pairs, end at zero and leave the machine. The others are then fitted without shrinking, in
     rounds over all documents. Without both labels the machine says 0.5.
     """
     y = np.asarray(y, float)
@@ -70,7 +71,11 @@ def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = 8, least_docs: int =
     term, bounds = placed(every, np.append(0, np.cumsum(sizes)), buckets, 1 << BITS)
     m = len(buckets)
     rng = np.random.default_rng(seed)
-    theta = np.hstack([np.zeros((m, 1)), rng.normal(0, 0.05, (m, rank))])  # a weight and the factors of each term
+    theta = np.hstack([np.zeros((m, 1)), rng.normal(0, 0.01, (m, rank))])  # a weight and the factors of each term
+    width = rank // len(bands)
+    for k, most in enumerate(bands):
+        own, factors = paired(term, bounds, y, m, most, width)
+        theta[own, 1 + k * width : 1 + k * width + factors.shape[1]] += factors
     w0 = float(np.log(y.sum() / (1 - y).sum()))
     first, second, turn = np.zeros_like(theta), np.zeros_like(theta), 0
     for epoch in range(epochs):
@@ -79,12 +84,14 @@ def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = 8, least_docs: int =
             turn += 1
             err, grad, total = slope(theta, w0, y, term, bounds, part)
             first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
-            step = rate / (np.sqrt(second / (1 - 0.99**turn)) + 1e-6)
+            scale = second / (1 - 0.99**turn)
+            scale[:, 1:] = scale[:, 1:].mean(1, keepdims=True)  # the factors of a term move as one
+            step = np.where(scale > 0, rate / (np.sqrt(scale) + 1e-6), 0)  # a term that no batch had yet stays as it is
             theta = theta + step * (first / (1 - 0.9**turn))
             off = spread * np.sqrt((err**2).mean())
             theta[:, 0] = np.sign(theta[:, 0]) * np.maximum(np.abs(theta[:, 0]) - step[:, 0] * z_weight * off, 0)
             length = np.sqrt((theta[:, 1:] ** 2).sum(1))
-            less = step[:, 1:].mean(1) * z_factor * off * np.sqrt((total[:, 1:] ** 2).sum(1).mean())
+            less = step[:, 1] * z_factor * off * np.sqrt((total[:, 1:] ** 2).sum(1).mean())
             theta[:, 1:] *= np.maximum(1 - less / np.maximum(length, 1e-12), 0)[:, None]
             w0 += rate * float(err.mean())
         if epoch >= 3 or epoch == epochs - 1:  # what is at zero by then stays there
@@ -102,6 +109,43 @@ def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = 8, least_docs: int =
     return Machine(buckets, w0, theta[:, 0].copy(), theta[:, 1:].copy())
 
 
+def paired(term: np.ndarray, bounds: np.ndarray, y: np.ndarray, m: int, most: int, rank: int, scale: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent terms, so many at most, and factors that start them: the leading directions of how far their pairs, beyond the terms
+    alone, go with the label.
+
+    Synonyms share a direction though each pair of them is rare, so that what many words say together is found at once.
+    """
+    docs = len(y)
+    held = np.bincount(term, minlength=m)
+    own = np.flatnonzero((held > 0) & (held < docs))
+    own = np.sort(own[np.lexsort((own, -held[own]))[:most]])
+    place = np.full(m, -1)
+    place[own] = np.arange(len(own))
+    doc = np.repeat(np.arange(docs), np.diff(bounds))
+    at = place[term]
+    x = np.zeros((docs, len(own)), np.float32)
+    x[doc[at >= 0], at[at >= 0]] = 1
+    p = x.mean(0)
+    x = (x - p) / np.sqrt(p * (1 - p))
+    rest = (y - y.mean()).astype(np.float32)
+    pairs = (x * rest[:, None]).T @ x / np.sqrt(docs)
+    np.fill_diagonal(pairs, 0)
+    value, vector = np.linalg.eigh(pairs)
+    chance = 2 * rest.std() * np.sqrt(len(own)) * (1 + len(own) / (3 * docs))  # the largest that labels dealt at random reach
+    lead = np.argsort(-value)[:rank]
+    lead = lead[value[lead] > 1.12 * chance]
+    v = np.zeros((len(own), len(lead)))
+    for k, w in enumerate(vector[:, lead].T):
+        # chance leaves a little on every term: those that stand out are taken, and make the direction anew
+        clear = np.flatnonzero(np.abs(w) > 4.5 * np.median(np.abs(w)))
+        if len(clear) > 1:
+            again = np.linalg.eigh(pairs[np.ix_(clear, clear)])[1]
+            v[clear, k] = again[:, np.abs(w[clear] @ again).argmax()]
+    v /= np.sqrt(p * (1 - p))[:, None]
+    size = np.abs(v).max(0)
+    return own, scale * v / np.where(size > 0, size, 1)
+
+
 def placed(term: np.ndarray, bounds: np.ndarray, kept: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Terms of documents, one after the other, as their places in kept, others left out; and where documents start then, and the end."""
     place = np.full(width, -1, np.int32)
