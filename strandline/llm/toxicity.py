@@ -119,6 +119,8 @@ def paired(term: np.ndarray, bounds: np.ndarray, y: np.ndarray, m: int, most: in
     held = np.bincount(term, minlength=m)
     own = np.flatnonzero((held > 0) & (held < docs))
     own = np.sort(own[np.lexsort((own, -held[own]))[:most]])
+    if len(own) < 2:
+        return own, np.zeros((len(own), 0))
     place = np.full(m, -1)
     place[own] = np.arange(len(own))
     doc = np.repeat(np.arange(docs), np.diff(bounds))

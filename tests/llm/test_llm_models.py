@@ -232,31 +232,123 @@ def test_probabilities_sum_to_one():
         six = np.array([256 * k + k % 3 for k in range(6)])
         unknown = hall.pair(six, np.zeros(6), np.zeros(6), byte[six & 255])
         assert np.allclose(tree.predict(hall).reshape(40, 6).sum(0) + unknown, 1)
-        tree = lm.Tree(own, ctx, count, tree.held())  # rooms are made anew
-        tree.move(hall, rng)
+        tree = lm.Tree(own, ctx, count, tree.held())
+        tree.sweep(hall, rng)
         for level, total in ((tree.pairs, tree.count), (tree.groups, np.bincount(tree.group, tree.pairs.t)), (tree.words, np.bincount(tree.group_own, tree.groups.t))):
-            at, start = level.places(np.arange(len(level.t)))
-            assert (level.c == total).all() and (level.sizes[at] > 0).all() and (np.bincount(np.repeat(np.arange(len(level.t)), level.t), level.sizes[at], len(level.t)) == level.c).all()
-
-
-def test_moves_follow_the_posterior():
-    """Taking out and seating anew, at fixed weights: the number of tables has the distribution of the restaurant, by generalized Stirling numbers."""
-    rng, d = np.random.default_rng(4), 0.5
-    for c, a in ((3, 0.7), (8, 2.0), (12, 0.3)):
-        stirling = np.zeros((c + 1, c + 1))
-        stirling[0, 0] = 1
-        for n in range(1, c + 1):
-            for t in range(1, n + 1):
-                stirling[n, t] = stirling[n - 1, t - 1] + (n - 1 - t * d) * stirling[n - 1, t]
-        want = stirling[c] * a ** np.arange(c + 1)
-        want /= want.sum()
-        chains = 4000
-        r = lm.Restaurants(np.full(chains, c), np.ones(chains, int), np.full(chains, c), 400)
-        every = np.arange(chains)
-        for _ in range(12 * c):
-            r.leave(every, rng)
-            r.seat(every, np.full(chains, a), d, rng)
-        assert np.abs(np.bincount(r.t, minlength=c + 1) / chains - want).max() < 0.03
+            assert (level.c == total).all() and (level.t <= level.c).all() and ((level.t > 0) == (level.c > 0)).all()
+
+
+@pytest.mark.parametrize("few,sweeps", [(32, 1), (4, 25)])
+@pytest.mark.parametrize("c,a,b,s", [(3, 0.7, 1, 0), (8, 2, 1, 0), (12, 0.3, 0.9, 0.02), (32, 5, 0.2, 0.01), (60, 500, 0.002, 0.0001)])
+def test_seating_anew_follows_the_posterior(monkeypatch, few, sweeps, c, a, b, s):
+    """Tables have the distribution of the restaurant at given weights of opening, by generalized Stirling numbers; from the table of them, and by proposals."""
+    if few == 32 and c > 32:
+        sweeps = 25
+    monkeypatch.setattr(lm, "FEW", few)
+    lm.log_stirling.cache_clear()
+    rng, d, chains = np.random.default_rng(4), 0.5, 5000
+    stirling = np.zeros((c + 1, c + 1))
+    stirling[0, 0] = 1
+    for n in range(1, c + 1):
+        for t in range(1, n + 1):
+            stirling[n, t] = stirling[n - 1, t - 1] + (n - 1 - t * d) * stirling[n - 1, t]
+    want = np.array([0] + [stirling[c, t] * np.prod([(a + d * j) * (b + s * j) * 50 / (50 + j) for j in range(t)]) for t in range(1, c + 1)])
+    want /= want.sum()
+    r, opening = lm.Restaurants(np.full(chains, c)), lm.Opening(*(np.full(chains, float(x)) for x in (a, 50 * b, 50 * s, 50)))
+    for _ in range(sweeps):
+        r.reseat(opening, d, rng)
+    assert np.abs(np.bincount(r.t, minlength=c + 1) / chains - want).max() < 0.03
+    lm.log_stirling.cache_clear()
+
+
+class PlainSampler:
+    """The same model, a customer at a time: every table is a list entry, every customer is taken out and seated anew in a sweep."""
+
+    def __init__(self, count, types, discounts):
+        self.d, self.types, self.rng = discounts, types, random.Random(2)
+        self.total = [Counter(), Counter(), Counter()]  # customers of each restaurant, by level
+        self.many = [Counter(), Counter(), Counter()]  # tables
+        self.at = {}
+        self.customers = [(w, x) for (w, x), n in count.items() for _ in range(n)]
+        for w, x in self.customers:
+            self.seat(w, x, 0)
+
+    def room(self, w, x, level):
+        return (x, x & 255, 0)[level]
+
+    def p(self, w, x, level):
+        if level == 3:
+            return 1 / (self.types + 1)
+        k = self.room(w, x, level)
+        sizes = self.at.get((level, k, w), [])
+        return (sum(sizes) - self.d[level] * len(sizes) + (1 + self.d[level] * self.many[level][k]) * self.p(w, x, level + 1)) / (1 + self.total[level][k])
+
+    def seat(self, w, x, level):
+        if level == 3:
+            return
+        k = self.room(w, x, level)
+        sizes = self.at.setdefault((level, k, w), [])
+        d = self.d[level]
+        new = (1 + d * self.many[level][k]) * self.p(w, x, level + 1)
+        i = self.rng.choices(range(len(sizes) + 1), [n - d for n in sizes] + [new])[0]
+        self.total[level][k] += 1
+        if i == len(sizes):
+            sizes.append(1)
+            self.many[level][k] += 1
+            self.seat(w, x, level + 1)
+        else:
+            sizes[i] += 1
+
+    def leave(self, w, x, level):
+        if level == 3:
+            return
+        k = self.room(w, x, level)
+        sizes = self.at[level, k, w]
+        i = self.rng.choices(range(len(sizes)), sizes)[0]
+        sizes[i] -= 1
+        self.total[level][k] -= 1
+        if not sizes[i]:
+            sizes.pop(i)
+            self.many[level][k] -= 1
+            self.leave(w, x, level + 1)
+
+    def sweep(self):
+        for w, x in self.customers:
+            self.leave(w, x, 0)
+            self.seat(w, x, 0)
+
+
+def test_sweeps_against_a_plain_sampler_with_hundreds_of_customers():
+    """Probabilities and tables, averaged over sweeps, of words with up to a thousand customers."""
+    rng = np.random.default_rng(6)
+    words, discounts = 8, (0.6, 0.5, 0.4)
+    contexts = np.array([256 * k + k % 2 for k in range(6)])
+    count = (rng.pareto(0.7, (words, 6)) * 4).astype(int).clip(0, 400)
+    count[0] += 150
+    plain = PlainSampler({(w, int(contexts[k])): int(count[w, k]) for w in range(words) for k in range(6) if count[w, k]}, words, discounts)
+    want, tables, n = np.zeros((words, 6)), np.zeros(3), 0
+    for k in range(40):
+        plain.sweep()
+        if k >= 8:
+            want += [[plain.p(w, int(x), 0) for x in contexts] for w in range(words)]
+            tables += [sum(m.values()) for m in plain.many]
+            n += 1
+    own, ctx = np.repeat(np.arange(words), 6), np.tile(contexts, words)
+    tree = lm.Tree(own, ctx, count.ravel())
+    got, mine, m = np.zeros(words * 6), np.zeros(3), 0
+    for k in range(300):
+        hall = hall_of(tree, words, discounts)
+        if k >= 30:
+            got += tree.predict(hall)
+            mine += [x.t.sum() for x in (tree.pairs, tree.groups, tree.words)]
+            m += 1
+        tree = lm.Tree(own, ctx, count.ravel(), tree.held())
+        tree.sweep(hall, rng)
+    got, want = got.reshape(words, 6) / m, want / n
+    off = np.log10(got / want)
+    assert abs(mine[0] / m / (tables[0] / n) - 1) < 0.15, "tables of all pairs"
+    assert abs((count * off).sum()) / count.sum() < 0.002 and (count * np.abs(off)).sum() / count.sum() < 0.01, "log10 probability of a training token"
+    assert np.abs(off[count >= 20]).max() < 0.03 and abs(off.mean()) < 0.03, "frequent pairs, and all alike"
 
 
 def test_scores_of_a_tiny_corpus(spark):
@@ -285,8 +377,7 @@ def test_scores_of_a_tiny_corpus(spark):
                 p += tree.predict(hall)
                 n += 1
             tree = lm.Tree(own, ctx, count, tree.held())
-            for _ in range(lm.MOVES):
-                tree.move(hall, r)
+            tree.sweep(hall, r)
         at = {x: k for k, x in enumerate(known)}
         means.append([sum(math.log10(p[at[vocabulary.index(w), c]] / n) for c, w in doc) for doc in flat])
     mean, spread = np.mean(means, 0), np.std(means, 0)
