@@ -15,7 +15,7 @@ from strandline.plans.inputs import load, oracle
 from strandline.plans.registry import query
 from strandline.plans.text_queries import CHUNKS
 from strandline.sources import objects
-from strandline.streaming.status import discover_batches, discovered as discovered_state, index_batches, latest_status
+from strandline.streaming.status import current_states, discover_batches, discovered as discovered_state, index_batches, latest_status, status_batches
 
 COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 UNIT = "[x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) FOR x IN CAST(embedding AS DOUBLE[])]"
@@ -276,15 +276,53 @@ def streamed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("R2_incremental_index", oracle(f"SELECT chunk_id, regexp_replace(chunk_id, '_chunk_[0-9]+$', '') AS source, text, overlap_text, 16 AS dim FROM ({CHUNKS})", "segments"))(streamed_index)
 
 
+STEP = 0.32
+
+
 def streamed_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors arrive in three batches; the macros found so far match the units of the next."""
     inbox, state, marks = (work_path(spark, n) for n in ("inbox", "state", "marks"))
     rows = load(spark, sf_dir, "vectors").select("id", F.concat(F.lit("Insight "), F.col("id").cast("string")).alias("name"), F.col("embedding").cast("array<float>").alias("embedding"))
     for k in range(3):
         arriving(spark, rows.filter(f"id % 3 = {k}"), inbox, 2, "id")
-        discover_batches(spark.readStream.schema(rows.schema).parquet(inbox), state, marks, 0.32).awaitTermination()
-    units, macros = discovered_state(spark, state, 3)
-    return units.join(macros.select(F.col("id").alias("macro_id"), F.col("name").alias("macro_name")), "macro_id", "left").select("id", "macro_id", "macro_name")
+        discover_batches(spark.readStream.schema(rows.schema).parquet(inbox), state, marks, STEP).awaitTermination()
+    units, macros = discovered_state(spark, state)
+    return units.join(macros.select(F.col("id").alias("macro_id"), F.col("name").alias("macro_name"), "n"), "macro_id", "left").select("id", "macro_id", "macro_name", F.col("n").alias("members"))
+
+
+def discovery_step(k: int, before: str) -> str:
+    """CTEs of one batch: units f, matches m, clusters c, and the macros and free units after it."""
+    near = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), b.total)"
+    summed = lambda rows: f"SELECT g, list(x ORDER BY i) AS total, any_value(n) AS n FROM (SELECT g, i, sum(x) AS x, count(*) AS n FROM (SELECT g, unnest({UNIT}) AS x, generate_subscripts(embedding, 1) AS i FROM {rows}) GROUP BY g, i) GROUP BY g"
+    return f"""f{k} AS (SELECT id, embedding FROM vectors WHERE id % 3 = {k} UNION ALL SELECT id, embedding FROM vectors WHERE id IN (SELECT id FROM free{before})),
+    m{k} AS (SELECT id, macro_id FROM (SELECT a.id, b.id AS macro_id, row_number() OVER (PARTITION BY a.id ORDER BY {near} DESC, b.id) AS r FROM f{k} a JOIN macros{before} b ON {near} >= {STEP}) WHERE r = 1),
+    rest{k} AS (SELECT * FROM f{k} WHERE id NOT IN (SELECT id FROM m{k})), {greedy_sql(f'rest{k}', STEP, f'c{k}')},
+    gain{k} AS ({summed(f'(SELECT m.macro_id AS g, embedding FROM m{k} m JOIN f{k} USING (id))')}), group{k} AS ({summed(f'(SELECT leader AS g, embedding FROM c{k} JOIN f{k} ON id = node WHERE leader IS NOT NULL)')}),
+    made{k} AS (SELECT (SELECT coalesce(max(id), 0) FROM macros{before}) + row_number() OVER (ORDER BY g) AS id, (SELECT min(node) FROM c{k} WHERE leader = g) AS first, g AS leader, total, n FROM group{k}),
+    macros{k} AS MATERIALIZED (SELECT o.id, o.first, CASE WHEN g.g IS NULL THEN o.total ELSE [o.total[i] + g.total[i] FOR i IN range(1, len(o.total) + 1)] END AS total, o.n + coalesce(g.n, 0) AS n FROM macros{before} o LEFT JOIN gain{k} g ON g.g = o.id UNION ALL SELECT id, first, total, n FROM made{k}),
+    link{k} AS MATERIALIZED (SELECT id, macro_id FROM m{k} UNION ALL SELECT node, made{k}.id FROM c{k} JOIN made{k} USING (leader)), free{k} AS MATERIALIZED (SELECT node AS id FROM c{k} WHERE leader IS NULL)"""
+
+
+query("R3_incremental_matching", oracle(f"""WITH RECURSIVE free_none AS (SELECT id FROM vectors WHERE id < -1), macros_none AS (SELECT id, id AS first, CAST([] AS DOUBLE[]) AS total, CAST(0 AS BIGINT) AS n FROM vectors WHERE id < -1), {discovery_step(0, '_none')}, {discovery_step(1, '0')}, {discovery_step(2, '1')}
+    SELECT u.id, u.macro_id, 'Insight ' || CAST(m.first AS VARCHAR) AS macro_name, m.n AS members FROM (SELECT * FROM link0 UNION ALL SELECT * FROM link1 UNION ALL SELECT * FROM link2 UNION ALL SELECT id, NULL FROM free2) u LEFT JOIN macros2 m ON m.id = u.macro_id""", "vectors"))(streamed_discovery)
+
+
+def status_events(f: DataFrame) -> DataFrame:
+    """Status events of the feed, one in eleven without a time of its own, which the receiver stamps."""
+    return f.select(F.lit("episode").alias("type"), F.col("feed_id").cast("string").alias("entity_id"), F.col("audio_url").alias("status"), F.when(F.col("id") % 7 == 0, "late").alias("error"),
+        F.when(F.col("id") % 11 != 0, F.col("published_at")).alias("timestamp"), (F.col("published_at") + F.expr("INTERVAL 1 HOUR")).alias("received"), "id")
+
+
+def streamed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status events arrive in files, out of order and in several triggers, the second run from where the first stopped; some come twice."""
+    inbox, state, marks = (work_path(spark, n) for n in ("inbox", "states", "marks"))
+    rows = status_events(load(spark, sf_dir, "feed"))
+    for part in (rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0 or id % 5 = 0")):
+        arriving(spark, part, inbox, 3, "id")
+        status_batches(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(inbox), state, marks, F.col("received")).awaitTermination()
+    return current_states(spark, state).select("entity_id", "status", "error", "timestamp")
 
 
-query("R3_incremental_matching")(streamed_discovery)
+query("R1_stream", oracle("""SELECT entity_id, max_by(status, (seen, status)) AS status, max_by(coalesce(error, 'none'), (seen, status)) AS error, max(seen) AS "timestamp"
+    FROM (SELECT CAST(feed_id AS STRING) AS entity_id, audio_url AS status, CASE WHEN id % 7 = 0 THEN 'late' END AS error, CASE WHEN id % 11 <> 0 THEN published_at ELSE published_at + INTERVAL 1 HOUR END AS seen FROM feed) GROUP BY 1""", "feed"))(
+    lambda spark, d: streamed_status(spark, d).withColumn("error", F.coalesce("error", F.lit("none"))))

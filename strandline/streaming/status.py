@@ -4,23 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline import constants as K
 from strandline.functions.lineage import settled
-from strandline.operators.similarity import discover_macros
-from strandline.operators.upsert import apply_discovery, reindex_source
+from strandline.functions.vectors import normalize
+from strandline.operators.similarity import matched_and_led, vector_sums
+from strandline.operators.upsert import numbered_after, reindex_source
 from strandline.sources.objects import write_table
+from strandline.streaming.changes import gather, latest, put
 
 
-def latest_status(events: DataFrame) -> DataFrame:
-    """Current status of each (type, entity_id) of status events, batch or stream; events without a timestamp count as now. Update mode keeps one row for each entity."""
-    at = F.coalesce("timestamp", F.current_timestamp())
+def latest_status(events: DataFrame, stamp: Column | None = None) -> DataFrame:
+    """Current status of each (type, entity_id) of status events, batch or stream: that of the latest timestamp, whatever the order of arrival.
+
+    Events without a timestamp get the stamp, now by default. Update mode keeps one row for each entity.
+    """
+    at = F.coalesce("timestamp", F.current_timestamp() if stamp is None else stamp)
     last = F.max_by(F.struct("status", "error"), F.struct(at, "status")).alias("s")
     return events.groupBy("type", "entity_id").agg(last, F.max(at).alias("timestamp")).select("type", "entity_id", "s.status", "s.error", "timestamp")
 
 
+STATES = "type string, entity_id string, status string, error string, timestamp timestamp"
+ENTITY = ["type", "entity_id"]
+
+
+def status_batches(stream: DataFrame, path: str, checkpoint: str, stamp: Column | None = None):
+    """Keeps the table of current states at path while status events arrive.
+
+    The state store holds the latest event of each entity; a trigger hands on the entities that changed, and they alone are written (see
+    current_states). Events that come late or again change nothing that is newer; a restart goes on from the checkpoint.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        gather(batch.sparkSession, path, STATES, ENTITY, number)
+        put(batch, path, number)
+
+    return latest_status(stream, stamp).writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_states(spark: SparkSession, path: str) -> DataFrame:
+    """type, entity_id, status, error, timestamp as the stream has left them."""
+    return latest(spark, path, STATES, ENTITY)
+
+
 INDEX_BUCKETS = 64
 
 
@@ -55,35 +83,44 @@ def stored(spark, path: str, schema=None) -> DataFrame | None:
         raise
 
 
-UNITS = "id long, name string, embedding array<float>, macro_id long"
-MACROS = "id long, name string, centroid_embedding array<double>"
+VECTOR = "id long, name string, embedding array<float>"
+ASSIGNED = "id long, macro_id long"
+FREE = f"{VECTOR}, open boolean"
+MACROS = "id long, name string, total array<double>, n long"
 
 
 def discover_batches(stream: DataFrame, path: str, checkpoint: str, threshold: float = K.MACRO_THRESHOLD):
-    """Macro discovery over a stream of units (id, name, embedding): each batch is matched to the centroids so far, the rest and earlier units that stayed alone are clustered.
+    """Macro discovery over a stream of units (id, name, embedding): each batch, and earlier units that stayed alone, are matched to the centroids so far; the rest is clustered.
 
-    The tables at path hold the state, a version of each for every batch (see discovered); a batch that comes again after a failure starts
-    from the version before it and changes nothing more. Units that are known already are left as they are.
+    State is algebraic: of a macro the sum and number of its members' unit vectors, so that members are never read again, and the units that are
+    free. A batch writes the macros and units that it touches (see changes); a batch that comes again after a failure changes nothing more.
+    A unit whose id came before is left out by the stream's own state.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        units, macros = discovered(batch.sparkSession, path, number)
-        fresh = batch.select("id", "name", F.col("embedding").cast("array<float>").alias("embedding"), F.lit(None).cast("long").alias("macro_id"))
-        fresh = fresh.dropDuplicates(["id"]).join(units.select("id"), "id", "left_anti")
-        units = settled(units.unionByName(fresh))
-        free = units.filter("macro_id is null").drop("macro_id")
-        assigned, moved, new = discover_macros(free, macros, units.filter("macro_id is not null"), threshold)
-        units, macros = apply_discovery(units, macros, assigned, moved, new)
-        write_table(macros, f"{path}/macros/{number}")
-        write_table(units, f"{path}/units/{number}")
-
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def discovered(spark, path: str, before: int) -> tuple[DataFrame, DataFrame]:
-    """units and macros as the last batch before this number left them; empty ones if there is none."""
-    for number in range(before - 1, -1, -1):
-        units = stored(spark, f"{path}/units/{number}", UNITS)
-        if units is not None:
-            return units, spark.read.schema(MACROS).parquet(f"{path}/macros/{number}")
-    return spark.createDataFrame([], UNITS), spark.createDataFrame([], MACROS)
+        spark = batch.sparkSession
+        for name, schema in (("free", FREE), ("macros", MACROS)):
+            gather(spark, f"{path}/{name}", schema, ["id"], number)
+        macros = settled(latest(spark, f"{path}/macros", MACROS, ["id"], number))
+        free = latest(spark, f"{path}/free", FREE, ["id"], number).filter("open").drop("open")
+        units = settled(free.unionByName(batch.select("id", "name", F.col("embedding").cast("array<float>").alias("embedding"))))
+        matched, rest, led = matched_and_led(units, macros.select("id", F.col("total").alias("centroid_embedding")), threshold)
+        grouped = rest.join(led.filter("leader is not null"), F.col("id") == F.col("node"))
+        names = grouped.groupBy("leader").agg(F.min_by("name", "id").alias("name"))
+        made = settled(numbered_after(names.join(vector_sums(grouped, "leader"), "leader"), macros, "leader"))
+        gained = vector_sums(units.join(matched, "id"), "macro_id").select(F.col("macro_id").alias("id"), F.col("total").alias("_t"), F.col("n").alias("_n"))
+        moved = macros.join(gained, "id").select("id", "name", F.zip_with("total", "_t", lambda x, y: x + y).alias("total"), (F.col("n") + F.col("_n")).alias("n"))
+        linked = matched.select("id", "macro_id").unionByName(grouped.select("id", "leader").join(made.select("leader", F.col("id").alias("macro_id")), "leader").select("id", "macro_id"))
+        linked = settled(linked)
+        put(moved.unionByName(made.select("id", "name", "total", "n")), f"{path}/macros", number)
+        put(linked, f"{path}/assigned", number)
+        put(units.join(linked.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("id", "name", "embedding", F.col("_id").isNull().alias("open")), f"{path}/free", number)
+
+    return stream.dropDuplicates(["id"]).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def discovered(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """units (id, macro_id; null if free) and macros (id, name, centroid, n) as the stream has left them."""
+    free = latest(spark, f"{path}/free", FREE, ["id"]).filter("open").select("id", F.lit(None).cast("long").alias("macro_id"))
+    macros = latest(spark, f"{path}/macros", MACROS, ["id"])
+    return latest(spark, f"{path}/assigned", ASSIGNED, ["id"]).unionByName(free), macros.select("id", "name", normalize("total").alias("centroid"), "n")

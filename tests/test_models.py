@@ -398,3 +398,54 @@ def test_upserts_in_order_of_arrival(spark, monkeypatch, seed, most):
     assert {r.place: (r.id, r.outcome) for r in out} == expected and len(out) == len(batch)
     empty = upsert.upsert_episodes(spark.createDataFrame([], f"place {schema}"), spark.createDataFrame(stored, f"id {schema}"), "place")
     assert empty.count() == 0
+
+
+def test_changes_by_batch(spark, tmp_path):
+    """Batches again, late readers, gathering, and a state before a batch."""
+    from strandline.streaming import changes
+
+    path, schema = str(tmp_path / "t"), "id long, v string"
+    rows = lambda *x: spark.createDataFrame(list(x), schema)
+    read = lambda before=None: {r.id: r.v for r in changes.latest(spark, path, schema, ["id"], before).collect()}
+    assert read() == {}
+    want = {}
+    for n in range(8):
+        before = dict(want)
+        changes.gather(spark, path, schema, ["id"], n, at_most=3)
+        changes.put(rows((n % 3, f"v{n}"), (100 + n, None)), path, n)
+        changes.put(rows((n % 3, "again")), path, n)
+        want |= {n % 3: f"v{n}", 100 + n: None}
+        assert read() == want and read(n) == before
+    bases, batches = changes.written(spark, path)
+    assert len(bases) == 1 and len(batches) <= 4
+
+
+def test_discovery_stream_starts_again(spark, tmp_path):
+    """A batch whose tables were only partly written, and units that come twice."""
+    from strandline.streaming import status
+
+    v = vectors(9, 40)
+    df = frame(spark, v, name=[f"n{i}" for i in range(40)]).select("id", "name", F.col("embedding").cast("array<float>").alias("embedding"))
+    inbox, state, marks = (str(tmp_path / x) for x in ("in", "state", "marks"))
+
+    def go():
+        status.discover_batches(spark.readStream.schema(df.schema).parquet(inbox), state, marks, 0.8).awaitTermination()
+
+    df.filter("id < 20").write.mode("append").parquet(inbox)
+    go()
+    df.filter("id >= 15").coalesce(1).write.mode("append").parquet(inbox)
+    go()
+    first = [sorted(map(str, x.collect())) for x in status.discovered(spark, state)]
+    import os
+    import shutil
+
+    shutil.rmtree(f"{state}/free/batch-1")
+    for name in os.listdir(f"{marks}/commits"):
+        if name.strip(".").split(".")[0] == "1":
+            os.remove(f"{marks}/commits/{name}")
+    go()
+    units, macros = status.discovered(spark, state)
+    assert [sorted(map(str, x.collect())) for x in (units, macros)] == first and units.count() == 40
+    held = df.join(units, "id").filter("macro_id is not null")
+    want = {r.macro_id: r.centroid for r in similarity.centroids(held, "macro_id").collect()}
+    assert all(np.allclose(want[r.id], r.centroid, atol=1e-9) for r in macros.collect()) and len(want) == macros.count()
