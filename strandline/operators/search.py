@@ -130,9 +130,9 @@ def partial_top(queries: list, chunks: DataFrame, k: int, by_source: bool) -> Da
                 continue
             pdf = pdf.sort_values(["kind", "chunk_id"], ascending=[False, True], kind="stable", ignore_index=True)
             m = stacked(pdf.embedding)
-            for source, every in asked.items():
-                here = np.flatnonzero(pdf.source.to_numpy() == source) if by_source else np.arange(len(pdf))
-                for i in range(0, len(every) if len(here) else 0, QUERY_BLOCK):
+            for source, here in pdf.groupby("source", sort=False).indices.items() if by_source else [(None, np.arange(len(pdf)))]:
+                every = asked.get(source, ())
+                for i in range(0, len(every), QUERY_BLOCK):
                     best.append(top(pdf.iloc[here], m[here], every[i : i + QUERY_BLOCK]))
             if len(best) > 8:
                 best = [trimmed(best, k)]
@@ -188,19 +188,33 @@ def evidence_rows(assessed: DataFrame, chunks: str = "chunks") -> DataFrame:
     return rows.select("dimension_id", "place", c["text"].alias("chunk_text"), c["score"].alias("similarity_score"), c["source"].alias("source_ref"), evidence_metadata(c["speaker"], c["page"], c["start"], c["end"], c["section"]).alias("chunk_metadata"))
 
 
-def complete(df: DataFrame, loader: Callable[[], Callable[[list[str]], Iterable[str]]], prompt: str = "prompt", out: str = "reply") -> DataFrame:
-    """Adds replies of a caller's model and an error column; a failed prompt doesn't stop the others."""
+def answers(model: Callable[[list[str]], Iterable[str]], prompts: list[str]) -> list[tuple[str | None, str | None]]:
+    """Reply and error of each prompt; a batch that fails is halved, so that a bad prompt costs its own row alone."""
+    try:
+        got = list(model(prompts))
+        if len(got) != len(prompts):
+            raise ValueError(f"{len(got)} replies to {len(prompts)} prompts")
+        return [(r, None) for r in got]
+    except Exception as e:  # kept with its row
+        if len(prompts) == 1:
+            return [(None, f"{type(e).__name__}: {e}")]
+        half = len(prompts) // 2
+        return answers(model, prompts[:half]) + answers(model, prompts[half:])
+
+
+def complete(df: DataFrame, loader: Callable[[], Callable[[list[str]], Iterable[str]]], prompt: str = "prompt", out: str = "reply", batch: int = 16) -> DataFrame:
+    """Adds replies of a caller's model, asked in batches, and an error column; null prompts have neither."""
 
     @F.pandas_udf("struct<reply:string,error:string>")
     def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = loader()
         for s in it:
-            rows = []
-            for p in s:
-                try:
-                    rows.append((next(iter(model([p]))), None))
-                except Exception as e:  # kept with its row
-                    rows.append((None, f"{type(e).__name__}: {e}"))
+            rows: list[tuple[str | None, str | None]] = [(None, None)] * len(s)
+            there = [i for i, p in enumerate(s) if p is not None]
+            for k in range(0, len(there), batch):
+                part = there[k : k + batch]
+                for i, r in zip(part, answers(model, [s.iloc[i] for i in part]), strict=True):
+                    rows[i] = r
             yield pd.DataFrame(rows, columns=["reply", "error"])
 
     got = df.withColumn("_r", run(F.col(prompt)))

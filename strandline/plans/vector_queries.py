@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline import constants as K
 from strandline.functions.lineage import work_path
-from strandline.operators import chunking, clusters, extraction, replies, search, similarity, upsert, views
+from strandline.operators import assessment, chunking, clusters, extraction, replies, search, similarity, upsert, views
 from strandline.plans.catalog_queries import RESOLVED, q
 from strandline.plans.inputs import load, oracle
 from strandline.plans.registry import query
@@ -226,6 +226,82 @@ def assessed(v: DataFrame) -> DataFrame:
 q("V9_assess_dimensions", f"SELECT query_id, 'progress' AS dimension, 'Low' AS value, CAST(0.5 AS DOUBLE) AS confidence, 'About ' || chunk_id AS evidence FROM ({TOP % ('', '')}) WHERE rank = 1", "vectors")(assessed)
 
 
+LETTERS = "abcdefghilmnoprstuy"
+
+
+def letter_embedder():
+    """Counts of letters, which SQL can write too."""
+    return lambda texts: [[float(t.count(c)) for c in LETTERS] for t in texts]
+
+
+def letter_sql(text: str) -> str:
+    return f"[CAST(length({text}) - length(replace({text}, c, '')) AS DOUBLE) FOR c IN {list(LETTERS)}]"
+
+
+def assessor():
+    """Answers with the source of the first chunk of the context; fails where a batch holds a name that ends in 7."""
+
+    def run(prompts):
+        if any("7\n" in p for p in prompts):
+            raise RuntimeError("no answer")
+        for p in prompts:
+            yield json.dumps({"dimension": p.split("\n")[0].split(": ")[1].upper(), "value": p.split("[", 1)[1].split("]")[0], "confidence": 0.5, "evidence": [{"text": "said"}]})
+
+    return run
+
+
+def assessed_dimensions(s: DataFrame, u: DataFrame, d: DataFrame) -> DataFrame:
+    chunks = s.filter("trim(text) <> ''").groupBy("text").agg(F.min(F.concat("source", F.lit(" / "), F.format_string("%05d", "idx"))).alias("chunk_id")).select("chunk_id", F.lit("podcast").alias("kind"), F.col("chunk_id").alias("source"), "text")
+    chunks = search.embed(chunks, letter_embedder).drop("error")
+    got = assessment.assess_dimensions(u.withColumn("embedding", F.lit(None).cast("array<float>")), d.filter("id % 3 <> 0"), chunks, letter_embedder, assessor, least=0.94)
+    return got.select("insight_id", "dimension_type", "value", "confidence", F.size("evidence").alias("n_evidence"), F.col("error").isNotNull().alias("failed"))
+
+
+WANTED = "CASE WHEN type = 'health_stake' THEN ['criticality', 'urgency', 'actionability'] ELSE ['adoption', 'expectation', 'progress'] END"
+ALL_HINTS = " ".join(f"WHEN '{d}' THEN '{h}'" for d, h in K.DIMENSION_HINTS.items())
+q("V9_dimensions", f"""WITH c AS (SELECT min(source || ' / ' || printf('%05d', idx)) AS chunk_id, text FROM segments WHERE trim(text) <> '' GROUP BY text), cv AS (SELECT chunk_id, {letter_sql('text')} AS v FROM c),
+    t AS (SELECT id, name, description, unnest({WANTED}) AS dim FROM units), p AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM dimensions d WHERE d.id % 3 <> 0 AND d.unit_insight_id = t.id AND d.dimension_type = t.dim)),
+    q AS (SELECT id, name, dim, {letter_sql('s')} AS v FROM (SELECT *, CASE WHEN coalesce(description, '') <> '' THEN name || '. ' || description ELSE name END || ' ' || CASE dim {ALL_HINTS} END AS s FROM p)),
+    r AS (SELECT q.id, q.dim, arg_max(chunk_id, (list_cosine_similarity(q.v, cv.v), '')) AS chunk_id, max(list_cosine_similarity(q.v, cv.v)) AS score FROM q, cv GROUP BY 1, 2)
+    SELECT q.id AS insight_id, q.dim AS dimension_type, CASE WHEN score >= 0.94 THEN CASE WHEN name NOT LIKE '%7' THEN chunk_id END ELSE 'Unknown' END AS value, CASE WHEN score >= 0.94 THEN CASE WHEN name NOT LIKE '%7' THEN 0.5 END ELSE 0.0 END AS confidence,
+        CAST(CASE WHEN score >= 0.94 THEN CASE WHEN name NOT LIKE '%7' THEN 1 END ELSE 0 END AS INT) AS n_evidence, score >= 0.94 AND name LIKE '%7' AS failed FROM q JOIN r USING (id, dim)""", "segments", "units", "dimensions")(assessed_dimensions)
+
+
+def labeller():
+    """Labels by the number of the first member: none for every fourth, whose batch fails; in JSON, at length, in quotes for the others."""
+
+    def run(prompts):
+        first = [int(p.split("- Insight ")[1].split(":")[0].split("\n")[0]) for p in prompts]
+        if any(n % 4 == 0 for n in first):
+            raise RuntimeError("no label")
+        for n, p in zip(first, prompts):
+            yield (json.dumps({"label": f" Theme {n} of {p.count('- Insight ')} "}), "so much to say " * 20, f'"Short {n}"')[n % 4 - 1]
+
+    return run
+
+
+def describer():
+    def run(prompts):
+        for p in prompts:
+            if p.count("\n- ") > 3:
+                raise RuntimeError("too long")
+            yield f" On {p.split('Label: ')[1].split(chr(10))[0]}. "
+
+    return run
+
+
+def labelled(v: DataFrame) -> DataFrame:
+    led = similarity.greedy_clusters(v, 0.3).filter("leader is not null").select(F.col("node").alias("id"), "leader")
+    grouped = led.select("id", "leader", F.concat(F.lit("Insight "), F.col("id").cast("string")).alias("name"), F.lit("about it").alias("description"))
+    got = assessment.label_macros(grouped, labeller, describer, most=4)
+    return got.select("leader", "name", "description", F.col("label_error").isNotNull().alias("no_label"), F.col("description_error").isNotNull().alias("no_description"))
+
+
+q("M4_labels", f"""WITH RECURSIVE {greedy_sql('vectors', 0.3, 'c')}, g AS (SELECT leader, min(node) AS first, count(*) AS n FROM c WHERE leader IS NOT NULL GROUP BY 1),
+    l AS (SELECT leader, n, first % 4 = 0 AS no_label, CASE first % 4 WHEN 1 THEN 'Theme ' || CAST(first AS VARCHAR) || ' of ' || CAST(least(n, 4) AS VARCHAR) WHEN 3 THEN 'Short ' || CAST(first AS VARCHAR) ELSE 'Insight ' || CAST(first AS VARCHAR) END AS name FROM g)
+    SELECT leader, name, CASE WHEN n <= 3 THEN 'On ' || name || '.' END AS description, no_label, n > 3 AS no_description FROM l""", "vectors")(labelled)
+
+
 def stored(spark: SparkSession, name: str, write, read) -> DataFrame:
     path = work_path(spark, name)
     write(path)
