@@ -148,9 +148,9 @@ def test_block_join_equals_broadcast(spark, monkeypatch):
     both = sorted((r.a, r.b) for r in similarity.cosine_join(df, df, 0.6).collect())
     assert both == sorted(want + [(b, a) for a, b in want] + [(i, i) for i in range(60)])
     monkeypatch.setattr(similarity, "SMALL_SIDE_BYTES", 1)
-    for blocks in (1, 4, 7):
-        assert sorted((r.a, r.b) for r in similarity.similarity_edges(df, 0.6, blocks=blocks).collect()) == want and want
-        assert sorted((r.a, r.b) for r in similarity.cosine_join(df, df, 0.6, blocks=blocks).collect()) == both
+    for rows in (1000, 20, 7):
+        assert sorted((r.a, r.b) for r in similarity.similarity_edges(df, 0.6, block_rows=rows).collect()) == want and want
+        assert sorted((r.a, r.b) for r in similarity.cosine_join(df, df, 0.6, block_rows=rows).collect()) == both
 
 
 def test_vectors_that_are_missing(spark):
@@ -449,3 +449,27 @@ def test_discovery_stream_starts_again(spark, tmp_path):
     held = df.join(units, "id").filter("macro_id is not null")
     want = {r.macro_id: r.centroid for r in similarity.centroids(held, "macro_id").collect()}
     assert all(np.allclose(want[r.id], r.centroid, atol=1e-9) for r in macros.collect()) and len(want) == macros.count()
+
+
+@pytest.mark.parametrize("threshold,share", [(0.72, 0.6), (0.9, 0.35)])
+def test_blocks_that_angles_rule_out_never_meet(spark, monkeypatch, caplog, threshold, share):
+    """Rows in bunches: the same edges as by brute force, from a part of the pairs of blocks."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(30, 12))
+    v = (centre[rng.integers(0, 30, 900)] + 0.25 * rng.normal(size=(900, 12))).astype(np.float32)
+    v[:5] = 0
+    df, other = frame(spark, v), frame(spark, v[::3])
+    s = cosines(np.where(v == 0, np.float32(1e-12), v))
+    s[:5] = s[:, :5] = 0
+    want = {(i, j) for i, j in zip(*np.nonzero(s >= threshold), strict=True) if i < j}
+    assert len(want) > 1000
+    monkeypatch.setattr(similarity, "SMALL_SIDE_BYTES", 1)
+    got = similarity.similarity_edges(df, threshold, block_rows=25)
+    assert {(r.a, r.b) for r in got.collect()} == want and got.count() == len(want)
+    both = similarity.cosine_join(df, other, threshold, block_rows=25)
+    assert {(r.a, r.b) for r in both.collect()} == {(i, j // 3) for i, j in zip(*np.nonzero(s >= threshold), strict=True) if j % 3 == 0}
+    dealt = similarity.celled([similarity.usable(df, "id", "embedding")], threshold, 25)[0]
+    blocks = dealt.select("_c").distinct().count()
+    met = dealt.select("_c", F.explode(F.sequence("_from", "_to")).alias("o")).distinct().count()
+    print(threshold, met / blocks**2)
+    assert met / blocks**2 < share
