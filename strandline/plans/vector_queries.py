@@ -56,8 +56,35 @@ q("O3_top_k_similarity", f"SELECT b.id, round({COS}, 6) AS score FROM (SELECT *
 HINTED = "CASE type " + " ".join(f"WHEN '{t}' THEN ' ' || '{K.DIMENSION_HINTS[d]}'" for t, d in (("trend", "adoption"), ("health_stake", "urgency"))) + " ELSE '' END"
 q("V5_query_text", f"SELECT id, CASE WHEN coalesce(description, '') <> '' THEN name || '. ' || description ELSE name END || {HINTED} AS query_text FROM units", "units")(
     lambda u: u.select("id", search.query_text(dimension=F.when(F.col("type") == "trend", "adoption").when(F.col("type") == "health_stake", "urgency").otherwise("none")).alias("query_text")))
-q("V0_embed", r"SELECT doc_id, CASE WHEN regexp_matches(text, '\S') THEN 64 END AS dim, CASE WHEN NOT regexp_matches(text, '\S') OR text IS NULL THEN 'blank text' END AS error FROM texts", "texts")(
-    lambda d: search.embed(d.select("doc_id", "text"), search.hashing_embedder()).select("doc_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dim"), "error"))
+LETTERS = "abcdefghilmnoprstuy"
+
+
+def letter_embedder():
+    """Counts of letters, which SQL can write too."""
+    return lambda texts: [[float(t.count(c)) for c in LETTERS] for t in texts]
+
+
+def letter_sql(text: str) -> str:
+    return f"[CAST(length({text}) - length(replace({text}, c, '')) AS DOUBLE) FOR c IN {list(LETTERS)}]"
+
+
+UNIT_LETTERS = "[CAST(x / greatest(sqrt(list_dot_product(v, v)), 1e-300) AS FLOAT) FOR x IN v]"
+
+
+def embedded(named: DataFrame) -> DataFrame:
+    """name and error of each text, and its vector's values by place; one row for a text that has none."""
+    got = search.embed(named, letter_embedder)
+    return got.select("name", "error", F.posexplode_outer("embedding").alias("place", "x")).select("name", "error", F.col("place").cast("long").alias("place"), F.round(F.col("x").cast("double"), 4).alias("x"))
+
+
+def embedded_sql(named: str) -> str:
+    """Values are kept in four decimals, as vectors are stored in single precision."""
+    blank = r"(NOT regexp_matches(t, '\S') OR t IS NULL)"
+    return f"""WITH n AS ({named}), v AS (SELECT name, {blank} AS blank, CASE WHEN {blank} THEN [NULL] ELSE {letter_sql('t')} END AS v FROM n)
+    SELECT name, CASE WHEN blank THEN 'blank text' END AS error, CASE WHEN NOT blank THEN CAST(i - 1 AS BIGINT) END AS place, round(CAST(x AS DOUBLE), 4) AS x FROM (SELECT name, blank, unnest(CASE WHEN blank THEN [NULL] ELSE {UNIT_LETTERS} END) AS x, unnest(range(1, len(v) + 1)) AS i FROM v)"""
+
+
+q("V0_embed", embedded_sql("SELECT doc_id AS name, text AS t FROM texts"), "texts")(lambda d: embedded(d.select(F.col("doc_id").alias("name"), "text")))
 q("V6_jaccard_dedup", f"""WITH RECURSIVE e AS (SELECT dimension_id // 10 AS g, id, list_distinct([x FOR x IN regexp_split_to_array(lower(trim(chunk_text)), '\\s+') IF x <> '']) AS ws, row_number() OVER (PARTITION BY dimension_id // 10 ORDER BY id) AS r, count(*) OVER (PARTITION BY dimension_id // 10) AS n FROM evidence),
     k AS (SELECT g, r, n, [id] AS kept, [ws] AS sets FROM e WHERE r = 1 UNION ALL SELECT g, r2, n, CASE WHEN near THEN kept ELSE list_append(kept, id) END, CASE WHEN near THEN sets ELSE list_append(sets, ws) END
     FROM (SELECT k.*, e.id, e.ws, e.r AS r2, len([s FOR s IN sets IF len(list_intersect(s, e.ws)) >= {K.CHUNK_OVERLAP_LIMIT} * (len(s) + len(e.ws) - len(list_intersect(s, e.ws)))]) > 0 AS near FROM k JOIN e ON e.g = k.g AND e.r = k.r + 1) k)
@@ -166,8 +193,7 @@ q("K3_change_tracking", "WITH " + K1.replace("%s", "0.2") + """, o AS (SELECT id
 q("K4_reassign_other", "WITH " + K1.replace("%s", "0.1") + " SELECT id, cluster_name FROM k WHERE id % 3 <> 0 AND id % 11 = 10", "vectors")(lambda v: clusters.reassign_other(*old_clusters(v), prototypes(v), 0.1).select("id", "cluster_name"))
 q("K5_assign_orphans", "WITH " + K1.replace("%s", "0.25") + " SELECT id, cluster_name FROM k WHERE id % 4 <> 1", "vectors")(
     lambda v: clusters.assign_orphans(v.withColumn("macro_insight_id", F.when(F.col("id") % 4 == 1, F.col("id"))), prototypes(v), 0.25).select("id", "cluster_name"))
-q("K6_prototype_vectors", r"SELECT lang AS name, CASE WHEN regexp_matches(t, '\S') THEN 64 END AS dim, CASE WHEN NOT regexp_matches(t, '\S') OR t IS NULL THEN 'blank text' END AS error FROM (SELECT lang, arg_min(text, doc_id) AS t FROM texts GROUP BY 1)", "texts")(
-    lambda d: search.embed(d.groupBy("lang").agg(F.min_by("text", "doc_id").alias("text")).select(F.col("lang").alias("name"), "text"), search.hashing_embedder()).select("name", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dim"), "error"))
+q("K6_prototype_vectors", embedded_sql("SELECT lang AS name, arg_min(text, doc_id) AS t FROM texts GROUP BY 1"), "texts")(lambda d: embedded(d.groupBy(F.col("lang").alias("name")).agg(F.min_by("text", "doc_id").alias("text"))))
 q("K1_A2_cluster_sizes", "WITH " + K1.replace("%s", "0.35") + ", n AS (SELECT name FROM p UNION ALL SELECT 'Other') SELECT name, (SELECT count(*) FROM k WHERE cluster_name = n.name) AS insights FROM n", "vectors")(
     lambda v: (lambda p: v.sparkSession.createDataFrame([(n,) for n, _ in p] + [(K.OTHER,)], "name string").join(clusters.assign_clusters(v, p, 0.35).groupBy("cluster_name").agg(F.count("*").alias("n")), F.col("name") == F.col("cluster_name"), "left").select("name", F.coalesce("n", F.lit(0)).alias("insights")))(prototypes(v)))
 
@@ -226,18 +252,6 @@ def assessed(v: DataFrame) -> DataFrame:
 q("V9_assess_dimensions", f"SELECT query_id, 'progress' AS dimension, 'Low' AS value, CAST(0.5 AS DOUBLE) AS confidence, 'About ' || chunk_id AS evidence FROM ({TOP % ('', '')}) WHERE rank = 1", "vectors")(assessed)
 
 
-LETTERS = "abcdefghilmnoprstuy"
-
-
-def letter_embedder():
-    """Counts of letters, which SQL can write too."""
-    return lambda texts: [[float(t.count(c)) for c in LETTERS] for t in texts]
-
-
-def letter_sql(text: str) -> str:
-    return f"[CAST(length({text}) - length(replace({text}, c, '')) AS DOUBLE) FOR c IN {list(LETTERS)}]"
-
-
 def assessor():
     """Answers with the source of the first chunk of the context; fails where a batch holds a name that ends in 7."""
 
