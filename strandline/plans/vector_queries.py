@@ -15,7 +15,7 @@ from strandline.plans.inputs import load, oracle
 from strandline.plans.registry import query
 from strandline.plans.text_queries import CHUNKS
 from strandline.sources import objects
-from strandline.streaming.status import current_states, discover_batches, discovered as discovered_state, index_batches, latest_status, status_batches
+from strandline.streaming.status import current_states, discover_batches, discovered as discovered_state, index_batches, indexed, latest_status, status_batches
 
 COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 UNIT = "[x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) FOR x IN CAST(embedding AS DOUBLE[])]"
@@ -360,7 +360,7 @@ def streamed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in (rows.filter("idx < 3"), rows):
         arriving(spark, part, inbox, 4, "source")
         index_batches(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(inbox), as_podcast, index, marks).awaitTermination()
-    return spark.read.parquet(index).select("chunk_id", "source", "text", "overlap_text", F.size("embedding").alias("dim"))
+    return indexed(spark, index, "chunk_id string, source string, text string, overlap_text string, embedding array<float>").select("chunk_id", "source", "text", "overlap_text", F.size("embedding").alias("dim"))
 
 
 query("R2_incremental_index", oracle(f"SELECT chunk_id, regexp_replace(chunk_id, '_chunk_[0-9]+$', '') AS source, text, overlap_text, 16 AS dim FROM ({CHUNKS})", "segments"))(streamed_index)

@@ -11,8 +11,7 @@ from strandline import constants as K
 from strandline.functions.lineage import settled
 from strandline.functions.vectors import normalize
 from strandline.operators.similarity import matched_and_led, vector_sums
-from strandline.operators.upsert import numbered_after, reindex_source
-from strandline.sources.objects import write_table
+from strandline.operators.upsert import numbered_after
 from strandline.streaming.changes import gather, latest, put
 
 
@@ -49,38 +48,28 @@ def current_states(spark: SparkSession, path: str) -> DataFrame:
     return latest(spark, path, STATES, ENTITY)
 
 
-INDEX_BUCKETS = 64
+def index_batches(stream: DataFrame, chunk: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
+    """Indexes arriving transcripts into the table at path (see indexed): each batch's chunks replace those of its sources.
 
-
-def index_batches(stream: DataFrame, chunk: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, buckets: int = INDEX_BUCKETS):
-    """Indexes arriving transcripts into the table at path: each batch's chunks replace those of its sources.
-
-    chunk makes chunks (source, embedding, ...) of a batch. The table is partitioned by a hash of the source, and a batch reads and writes only the
-    partitions of its sources. A batch that comes twice changes nothing more. Sources whose transcript has no chunk any more keep what they had.
+    chunk makes chunks (source, embedding, ...) of a batch, and they alone are written, whatever the index holds. A batch that comes twice
+    changes nothing more. Sources whose transcript has no chunk any more keep what they had.
     """
 
-    def each(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = settled(chunk(batch).withColumn("bucket", F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int")))
-        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # buckets at most
-        if touched:
-            old = stored(spark, path, new.schema)
-            if old is not None:
-                new = settled(reindex_source(old.filter(F.col("bucket").isin(touched)), new)[0])  # read before its partitions are replaced
-            write_table(new, path, partition_by=("bucket",))
+    def each(batch: DataFrame, number: int) -> None:
+        new = chunk(batch)
+        gather(batch.sparkSession, path, schema_of(new), ["source"], number, many=True)
+        put(new, path, number)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stored(spark, path: str, schema=None) -> DataFrame | None:
-    """The table at a path, or none if nothing was written yet."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    try:
-        return reader.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
+def schema_of(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def indexed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The chunks as the stream has left them: of each source those of its latest batch."""
+    return latest(spark, path, schema, ["source"], many=True)
 
 
 VECTOR = "id long, name string, embedding array<float>"

@@ -401,23 +401,27 @@ def test_upserts_in_order_of_arrival(spark, monkeypatch, seed, most):
 
 
 def test_changes_by_batch(spark, tmp_path):
-    """Batches again, late readers, gathering, and a state before a batch."""
+    """Batches again, a state before a batch, gathering into bases and full tables; several rows of a key."""
     from strandline.streaming import changes
 
-    path, schema = str(tmp_path / "t"), "id long, v string"
+    schema = "id long, v string"
     rows = lambda *x: spark.createDataFrame(list(x), schema)
-    read = lambda before=None: {r.id: r.v for r in changes.latest(spark, path, schema, ["id"], before).collect()}
-    assert read() == {}
-    want = {}
-    for n in range(8):
-        before = dict(want)
-        changes.gather(spark, path, schema, ["id"], n, at_most=3)
-        changes.put(rows((n % 3, f"v{n}"), (100 + n, None)), path, n)
-        changes.put(rows((n % 3, "again")), path, n)
-        want |= {n % 3: f"v{n}", 100 + n: None}
-        assert read() == want and read(n) == before
-    bases, batches = changes.written(spark, path)
-    assert len(bases) == 1 and len(batches) <= 4
+    for many in (False, True):
+        path, want = str(tmp_path / f"t{many}"), {}
+        read = lambda before=None: sorted(map(tuple, changes.latest(spark, path, schema, ["id"], before, many).collect()), key=str)  # noqa: E731, B023
+        said = lambda: sorted(((k, v) for k, vs in want.items() for v in vs), key=str)  # noqa: E731, B023
+        assert read() == []
+        for n in range(13):
+            before = said()
+            changes.gather(spark, path, schema, ["id"], n, 2, many)
+            assert read() == before
+            own = [f"v{n}", f"w{n}"] if many else [f"v{n}"]
+            changes.put(rows(*((n % 3, v) for v in own), (100 + n, None)), path, n)
+            changes.put(rows((n % 3, "again")), path, n)
+            want |= {n % 3: own, 100 + n: [None]}
+            assert read() == said() and read(n) == before
+        found = changes.written(spark, path)
+        assert len(found["full"]) == 1 and len(found["base"]) <= 3 and len(found["batch"]) <= 3
 
 
 def test_discovery_stream_starts_again(spark, tmp_path):
