@@ -41,3 +41,14 @@ def places(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
     sizes = within.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return within.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+
+
+def places_within(df: DataFrame, key: str, *order: str, name: str = "place") -> DataFrame:
+    """Adds a place, from 1, within each key, in the order given. A key that fills several ranges is counted in each, so that none goes through one task."""
+    spread = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).withColumn("_part", F.spark_partition_id())
+    # read twice below, so the ranges must not be dealt anew
+    within = settled(spread.withColumn("_place", F.row_number().over(Window.partitionBy("_part", key).orderBy(*order))))
+    sizes = within.groupBy("_part", key).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_part", key, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return within.join(before, ["_part", key]).withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline import constants as K
+from strandline.functions.lineage import places_within
 from strandline.functions.text import strip_overlap
 from strandline.operators.catalog import resolve_source_ref
 
@@ -50,6 +51,29 @@ def hierarchy(clusters: DataFrame, macros: DataFrame, units: DataFrame) -> DataF
     return rows.unionByName(loose_macros).unionByName(loose_units)
 
 
+PART_ROWS = 10_000
+
+
+def hierarchy_parts(clusters: DataFrame, macros: DataFrame, units: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """id, name, part, parts, total, members: the members of each cluster in parts of bounded size, for clusters too large for one row.
+
+    Members are, in order, the units of its macros (macro_id, macro_name, unit_id, unit_name; a macro without units has one row without a unit), then its
+    units without a macro. total counts the rows of all parts; a cluster without members has one empty part. Macros and units without a
+    cluster are rows of their own already: see hierarchy.
+    """
+    named = macros.filter("cluster_id is not null").select("cluster_id", F.col("id").alias("macro_id"), F.col("name").alias("macro_name"))
+    held = units.filter("macro_insight_id is not null").select(F.col("macro_insight_id").alias("macro_id"), F.col("id").alias("unit_id"), F.col("name").alias("unit_name"))
+    alone = units.filter("cluster_id is not null and macro_insight_id is null").select("cluster_id", F.col("id").alias("unit_id"), F.col("name").alias("unit_name"))
+    fields = ["macro_id", "macro_name", "unit_id", "unit_name"]
+    rows = named.join(held, "macro_id", "left").unionByName(alone, allowMissingColumns=True).select("cluster_id", F.col("macro_id").isNull().alias("_alone"), *fields)
+    placed = places_within(rows, "cluster_id", "_alone", "macro_id", "unit_id").withColumn("part", F.floor((F.col("place") - 1) / part_rows))
+    parts = placed.groupBy("cluster_id", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", *fields))), lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias("members"))
+    totals = placed.groupBy("cluster_id").agg(F.count("*").alias("total"))
+    full = clusters.select("id", "name").join(totals.join(parts, "cluster_id"), F.col("id") == F.col("cluster_id"), "left")
+    total = F.coalesce("total", F.lit(0))
+    return full.select("id", "name", F.coalesce("part", F.lit(0)).cast("long").alias("part"), F.greatest(F.lit(1), F.ceil(total / part_rows)).cast("long").alias("parts"), total.alias("total"), F.coalesce("members", F.array().cast(parts.schema["members"].dataType)).alias("members"))
+
+
 def dimension_pivot(units: DataFrame, dimensions: DataFrame, types: Sequence[str], new_ids: DataFrame | None = None) -> DataFrame:
     """A column for each dimension type with the insight's last value, its source type, and whether it is new."""
     wide = dimensions.filter(F.col("dimension_type").isin(list(types))).groupBy(F.col("unit_insight_id").alias("_u")).pivot("dimension_type", list(types)).agg(F.max_by("value", "id"))

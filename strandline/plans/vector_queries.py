@@ -204,6 +204,12 @@ q("J6_unit_insight_detail", f"""SELECT u.id, count(DISTINCT d.id) AS n_dimension
 q("J7_hierarchy", """SELECT 'cluster' AS level, c.id, c.name, (SELECT count(*) FROM macros WHERE cluster_id = c.id) AS n_macros, (SELECT count(*) FROM units u JOIN macros m ON u.macro_insight_id = m.id WHERE m.cluster_id = c.id) AS n_units, (SELECT count(*) FROM units WHERE cluster_id = c.id AND macro_insight_id IS NULL) AS n_orphans FROM clusters c
     UNION ALL SELECT 'unassigned_macro', id, name, 1, (SELECT count(*) FROM units WHERE macro_insight_id = m.id), 0 FROM macros m WHERE cluster_id IS NULL UNION ALL SELECT 'unassigned_unit', id, name, 0, 0, 1 FROM units WHERE cluster_id IS NULL AND macro_insight_id IS NULL""", "clusters", "macros", "units")(
     lambda *t: views.hierarchy(*t).select("level", "id", "name", F.size("macros").cast("long").alias("n_macros"), F.aggregate("macros", F.lit(0).cast("long"), lambda s, m: s + F.size(m["units"])).alias("n_units"), F.size("orphans").cast("long").alias("n_orphans")))
+q("J7_parts", """WITH m AS (SELECT c.id, c.name, x.macro_id, x.unit_id, row_number() OVER (PARTITION BY c.id ORDER BY x.macro_id IS NULL, x.macro_id, x.unit_id NULLS FIRST) AS place FROM clusters c JOIN
+        (SELECT m.cluster_id, m.id AS macro_id, u.id AS unit_id FROM macros m LEFT JOIN units u ON u.macro_insight_id = m.id UNION ALL SELECT cluster_id, NULL, id FROM units WHERE macro_insight_id IS NULL) x ON x.cluster_id = c.id),
+    t AS (SELECT id, count(*) AS total FROM m GROUP BY 1)
+    SELECT c.id, c.name, CAST(coalesce((place - 1) // 7, 0) AS BIGINT) AS part, CAST(greatest(1, ceil(coalesce(total, 0) / 7.0)) AS BIGINT) AS parts, coalesce(any_value(total), 0) AS total, coalesce(string_agg(coalesce(CAST(macro_id AS VARCHAR), '') || ':' || coalesce(CAST(unit_id AS VARCHAR), ''), ',' ORDER BY place), '') AS members
+    FROM clusters c LEFT JOIN m ON m.id = c.id LEFT JOIN t ON t.id = c.id GROUP BY ALL""", "clusters", "macros", "units")(
+    lambda *t: views.hierarchy_parts(*t, part_rows=7).withColumn("members", F.array_join(F.transform("members", lambda x: F.concat(F.coalesce(x["macro_id"].cast("string"), F.lit("")), F.lit(":"), F.coalesce(x["unit_id"].cast("string"), F.lit("")))), ",")))
 PIVOT = ", ".join(f"(SELECT arg_max(value, id) FROM dimensions d WHERE d.unit_insight_id = u.id AND dimension_type = '{t}') AS {t}" for t in views.TREND)
 q("A11_dimension_pivot", f"SELECT u.id, {PIVOT}, CASE WHEN episode_id IS NOT NULL THEN 'podcast' WHEN document_id IS NOT NULL THEN 'document' ELSE 'unknown' END AS source_type, id % 3 = 0 AS is_new FROM units u WHERE type = 'trend'", "units", "dimensions")(
     lambda u, d: views.dimension_pivot(u.filter("type = 'trend'"), d, views.TREND, u.filter("id % 3 = 0")).select("id", *views.TREND, "source_type", "is_new"))
