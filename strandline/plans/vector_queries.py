@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline import constants as K
 from strandline.functions.lineage import work_path
-from strandline.operators import assessment, chunking, clusters, extraction, replies, search, similarity, upsert, views
+from strandline.operators import assessment, chunking, clusters, extraction, lists, replies, search, similarity, upsert, views
 from strandline.plans.catalog_queries import RESOLVED, q
 from strandline.plans.inputs import load, oracle
 from strandline.plans.registry import query
@@ -47,6 +47,17 @@ def retrieved(v: DataFrame, by_source: bool = False) -> DataFrame:
 q("V1_search_chunks", f"WITH {CHUNK_SQL} SELECT b.chunk_id, round({COS}, 6) AS score FROM (SELECT * FROM c WHERE id = 3) a, c b WHERE b.source = 's4' ORDER BY {COS} DESC, b.kind DESC, b.chunk_id LIMIT 3", "vectors")(
     lambda v: search.search_one(as_chunks(v), v.filter("id = 3").head().embedding, 3, "s4").select("chunk_id", r6("score").alias("score")))
 q("V2_search_all", TOP % ("", ""), "vectors")(retrieved)
+
+
+def from_lists(v: DataFrame) -> DataFrame:
+    """A stored index of lists, to which the last third of the chunks is added later."""
+    c = as_chunks(v)
+    index = lists.add_chunks(lists.build_lists(c.filter("n % 3 < 2"), work_path(v.sparkSession, "lists")), c.filter("n % 3 = 2"))
+    found = lists.search_lists(c.filter("n % 25 = 0").select(F.col("n").alias("query_id"), "embedding"), index, 3)
+    return found.select("query_id", "chunk_id", "kind", "source", r6("score").alias("score"), "rank")
+
+
+q("V2_lists", TOP % ("", ""), "vectors")(from_lists)
 q("V3_batch_retrieve", TOP % ("AND a.source = b.source", ""), "vectors")(lambda v: retrieved(v, True))
 q("V4_min_similarity", TOP % ("", "AND score >= 0.3"), "vectors")(lambda v: search.near_enough(retrieved(v), 0.3))
 q("W2_top_k_per_query", TOP % ("AND b.kind = 'podcast'", ""), "vectors")(lambda v: search.search_many(as_chunks(v).filter("n % 25 = 0").select(F.col("n").alias("query_id"), "embedding"), as_chunks(v).filter("kind = 'podcast'")).select("query_id", "chunk_id", "kind", "source", r6("score").alias("score"), "rank"))

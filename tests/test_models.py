@@ -477,3 +477,23 @@ def test_blocks_that_angles_rule_out_never_meet(spark, monkeypatch, caplog, thre
     met = dealt.select("_c", F.explode(F.sequence("_from", "_to")).alias("o")).distinct().count()
     print(threshold, met / blocks**2)
     assert met / blocks**2 < share
+
+
+def test_lists_that_cannot_reach_are_not_read(spark, tmp_path):
+    """Chunks in bunches: the rows of a search of all, from a few lists; vectors that are null or zero, and more queries than a list has rows."""
+    from strandline.operators import lists
+
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(20, 10))
+    v = (centre[rng.integers(0, 20, 600)] + 0.15 * rng.normal(size=(600, 10))).astype(np.float32)
+    v[:3] = 0
+    chunks = frame(spark, v, kind=["podcast", "document"] * 300).select(F.col("id").cast("string").alias("chunk_id"), "kind", F.col("kind").alias("source"), F.when(F.col("id") != 5, F.col("embedding")).alias("embedding"), "id")
+    queries = chunks.filter("id % 50 = 7").select(F.col("id").alias("query_id"), "embedding")
+    index = lists.build_lists(chunks, str(tmp_path / "lists"))
+    for k in (3, 70):
+        key = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, r.kind, r.source, round(r.score, 9)) for r in df.collect())
+        assert key(lists.search_lists(queries, index, k)) == key(search.search_many(queries, chunks, k))
+    asked = lists.search_lists(queries.limit(1), index, 3)
+    assert asked.count() == 3
+    plan = index.chunks(spark, np.array([1, 2]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(list" in plan or "PartitionFilters: [list" in plan
