@@ -108,8 +108,8 @@ def discover_batches(stream: DataFrame, path: str, checkpoint: str, threshold: f
     return stream.dropDuplicates(["id"]).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def discovered(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """units (id, macro_id; null if free) and macros (id, name, centroid, n) as the stream has left them."""
-    free = latest(spark, f"{path}/free", FREE, ["id"]).filter("open").select("id", F.lit(None).cast("long").alias("macro_id"))
-    macros = latest(spark, f"{path}/macros", MACROS, ["id"])
-    return latest(spark, f"{path}/assigned", ASSIGNED, ["id"]).unionByName(free), macros.select("id", "name", normalize("total").alias("centroid"), "n")
+def discovered(spark: SparkSession, path: str, before: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """units (id, macro_id; null if free) and macros (id, name, centroid_embedding, n) as the last batch, or the last before a number, left them."""
+    free = latest(spark, f"{path}/free", FREE, ["id"], before).filter("open").select("id", F.lit(None).cast("long").alias("macro_id"))
+    macros = latest(spark, f"{path}/macros", MACROS, ["id"], before)
+    return latest(spark, f"{path}/assigned", ASSIGNED, ["id"], before).unionByName(free), macros.select("id", "name", normalize("total").alias("centroid_embedding"), "n")

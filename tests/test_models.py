@@ -452,7 +452,7 @@ def test_discovery_stream_starts_again(spark, tmp_path):
     assert [sorted(map(str, x.collect())) for x in (units, macros)] == first and units.count() == 40
     held = df.join(units, "id").filter("macro_id is not null")
     want = {r.macro_id: r.centroid for r in similarity.centroids(held, "macro_id").collect()}
-    assert all(np.allclose(want[r.id], r.centroid, atol=1e-9) for r in macros.collect()) and len(want) == macros.count()
+    assert all(np.allclose(want[r.id], r.centroid_embedding, atol=1e-9) for r in macros.collect()) and len(want) == macros.count()
 
 
 @pytest.mark.parametrize("threshold,share", [(0.72, 0.6), (0.9, 0.35)])
