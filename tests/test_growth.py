@@ -4,7 +4,13 @@ import json
 
 from pyspark.sql import functions as F
 
-from strandline.operators import assessment
+from strandline.operators import assessment, catalog
+
+
+def test_recent_by_parts_of_a_second(spark):
+    feed = spark.sql("SELECT id, CAST(t AS timestamp_ntz) AS published_at FROM VALUES (1, '2024-01-15 00:00:00'), (2, '2024-01-15 00:00:00.000001'), (3, '2024-01-14 23:59:59.9'), (4, NULL), (5, '2024-01-15 00:00:01') v(id, t)")
+    assert sorted(r.id for r in catalog.recent_episodes(feed, 1705276800).collect()) == [2, 5]
+    assert catalog.recent_episodes(feed, None).count() == 5
 
 
 def test_one_search_for_queries_of_one_vector(spark, monkeypatch):
