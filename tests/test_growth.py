@@ -13,6 +13,24 @@ def test_recent_by_parts_of_a_second(spark):
     assert catalog.recent_episodes(feed, None).count() == 5
 
 
+def test_references_without_a_key_do_not_meet(spark):
+    episodes = spark.createDataFrame([(7, "Show", "One - two"), (5, "Show", "One - two"), (9, "", "x")], "id long, podcast_name string, episode_title string")
+    documents = spark.createDataFrame([(3, "Paper"), (2, "Paper"), (4, "Show - None"), (6, "")], "id long, title string")
+    refs = spark.createDataFrame([(0, " Show - One - two "), (1, "Paper "), (2, "Show - None"), (3, "Nothing"), (4, "No - thing"), (5, None), (6, " "), (7, " - x")], "id long, source_ref string")
+    got = {r.id: (r.source_kind, r.source_id) for r in catalog.resolve_source_ref(refs, episodes, documents).collect()}
+    assert got == {0: ("podcast", 5), 1: ("document", 2), 2: ("document", 4), 3: (None, None), 4: (None, None), 5: (None, None), 6: ("document", 6), 7: ("podcast", 9)}
+    for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+        spark.conf.set(c, "false" if c.endswith("enabled") else "-1")
+    try:
+        many = spark.range(4000, numPartitions=4).select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("Report "), "id")).alias("source_ref"))
+        out = catalog.resolve_source_ref(many, episodes, documents)
+        most = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).agg(F.max("n")).head()[0]
+        assert out.count() == 4000 and most < 1200
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_one_search_for_queries_of_one_vector(spark, monkeypatch):
     asked = []
     whole = assessment.search_many
