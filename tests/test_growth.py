@@ -2,9 +2,12 @@
 
 import json
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
+from test_models import cosines, frame, plain_greedy
 
-from strandline.operators import assessment, catalog
+from strandline.operators import assessment, catalog, greedy, similarity
 
 
 def test_recent_by_parts_of_a_second(spark):
@@ -44,3 +47,30 @@ def test_one_search_for_queries_of_one_vector(spark, monkeypatch):
     assert len({(r.insight_id, r.dimension_type) for r in rows}) == len(rows) == 180
     assert all(r.value == f"Unit {r.insight_id % 3}one" and r.error is None for r in rows if r.dimension_type in assessment.K.DIMENSION_HINTS)
     assert asked[0] <= 2
+
+
+@pytest.mark.parametrize("least,most,bases", [(2, 40, 16), (3, 40, 16), (5, 300, 3), (5, 1, 16)])
+def test_many_links_are_not_made_all_at_once(spark, monkeypatch, least, most, bases):
+    rng = np.random.default_rng(least + most)
+    v = rng.normal(size=(90, 4)).astype(np.float32)
+    v[rng.random(90) < 0.1] = v[0]
+    s, rows = cosines(v), []
+    near = [[j for j in range(90) if j != i and s[i, j] >= 0.7] for i in range(90)]
+    for name, value in (("DENSE", 0), ("BASES", bases), ("DEGREE_SAMPLE", 8)):
+        monkeypatch.setattr(similarity, name, value)
+    monkeypatch.setattr(greedy, "MOST", most)
+    whole = similarity.similarity_edges
+    monkeypatch.setattr(similarity, "similarity_edges", lambda df, *a: (rows.append(df.count()), whole(df, *a))[1])
+    assert {r.node: r.leader for r in similarity.greedy_clusters(frame(spark, v), 0.7, least=least).collect()} == plain_greedy(90, near, least)
+    assert rows[0] < 60
+
+    source, kept, want = [i // 6 for i in range(90)], [], {}
+    for g in range(15):
+        fresh = []
+        for i in range(6 * g, 6 * g + 6):
+            found = [(round(s[i, j], 9), -j) for j in kept if s[i, j] >= 0.7]
+            want[i] = -max(found)[1] if found else i
+            fresh += [] if found else [i]
+        kept += fresh
+    assert {r.node: r.target for r in similarity.dedup_across(frame(spark, v, source_order=source), threshold=0.7).collect()} == want
+    assert rows[1] < 60
