@@ -12,12 +12,13 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import batches_of, table, written
@@ -91,13 +92,14 @@ def segment(doc_ids: np.ndarray, texts: list[str | None], docs: int, total: int)
     document's place in the segment (by cluster) and its count.
     """
     number: defaultdict[bytes, int] = defaultdict(count().__next__)
-    lists = [terms_of(t) for t in texts]
+    lists = [np.fromiter(map(number.__getitem__, terms_of(t)), np.int64) for t in texts]
     n = np.fromiter(map(len, lists), np.int64, len(lists))
     keep = np.flatnonzero(n)
     if not len(keep):
         return None
     n, doc_ids = n[keep], doc_ids[keep]
-    flat = np.fromiter((number[w] for i in keep.tolist() for w in lists[i]), np.int64, int(n.sum()))
+    flat = np.concatenate(lists)
+    del lists
     names = sorted(number)
     place = np.empty(len(names), np.int64)
     place[[number[w] for w in names]] = np.arange(len(names))
@@ -254,6 +256,20 @@ def found(segments: DataFrame, asked: list[bytes], queries: list[Query], k: int,
     return segments.mapInPandas(run, FOUND)
 
 
+@contextmanager
+def one_segment_at_a_time(spark: SparkSession) -> Iterator[None]:
+    """Rows of segments are megabytes each: what runs meanwhile reads them, and hands them to Python, one by one and not by thousands."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {c: spark.conf.get(c) for c in names}
+    try:
+        for c in names:
+            spark.conf.set(c, "1")
+        yield
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
 def ranked(rows: DataFrame, k: int) -> DataFrame:
     """The k best rows of each query, with their rank; each task sends k of its own at most."""
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc_id"))
@@ -279,7 +295,12 @@ def document_frequencies(segments: DataFrame, asked: list[bytes]) -> np.ndarray:
 
 
 def search_block(index: Index, texts: list[str | None], k: int) -> DataFrame:
-    """q (place in texts), doc_id, score and rank of the k best documents for each text."""
+    """q (place in texts), doc_id, score and rank of the k best documents for each text, written."""
+    with one_segment_at_a_time(index.segments.sparkSession):
+        return written(block_results(index, texts, k), "ranked")
+
+
+def block_results(index: Index, texts: list[str | None], k: int) -> DataFrame:
     counted = [np.unique(np.array(terms_of(t), object), return_counts=True) if t else (np.empty(0, object), np.empty(0, np.int64)) for t in texts]
     asked = sorted({w for words, _ in counted for w in words})
     df = document_frequencies(index.segments, asked)
@@ -312,7 +333,6 @@ def search(index: Index, items: DataFrame, k: int = 10, id_col: str = "item_id",
         block = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).toPandas()
         names = spark.createDataFrame([(q, None if pd.isna(x) else int(x)) for q, x in enumerate(block.item_id)], "q int, item_id long")
         got = search_block(index, block.text.tolist(), k).join(F.broadcast(names), "q").select("item_id", "rank", "doc_id", "score")
-        got = written(got, "ranked") if n > 1 else got
         out = got if out is None else out.unionByName(got)
     return out
 

@@ -8,6 +8,7 @@ import zlib
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from compare import by_spark, by_sql
@@ -242,3 +243,16 @@ def plain_alignment_counts(rows):
         shared = len(set(np.cumsum(a.length[x]).tolist()) & set(np.cumsum(b.length[y]).tolist()))
         out[r.doc_id] = (len(x), len(y), shared, len(x) + len(y) - shared)
     return out
+
+
+def test_segments_are_read_one_at_a_time(spark, tmp_path, monkeypatch):
+    sizes = lambda it: (pd.DataFrame({"n": [len(pdf)]}) for pdf in it)
+    spark.range(300).write.parquet(str(tmp_path / "rows"))
+    most = lambda: max(r.n for r in spark.read.parquet(str(tmp_path / "rows")).mapInPandas(sizes, "n long").collect())
+    before = most()
+    seen, whole = [], lexical.found
+    monkeypatch.setattr(lexical, "found", lambda *a: (seen.append(most()), whole(*a))[1])
+    docs = spark.createDataFrame([(i, f"one w{i}") for i in range(40)], "doc_id long, text string")
+    got = lexical.search(lexical.build_index(docs, segment_docs=4), spark.createDataFrame([(1, "one w7")], "item_id long, text string"))
+    assert seen == [1, 1] and before == most() > 1
+    assert got.filter("rank = 1").head().doc_id == 7 and got.count() == 10
