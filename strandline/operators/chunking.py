@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline import constants as K
+from strandline.functions.pieces import pieces
 from strandline.functions.text import HEADINGS, Name, col
 from strandline.operators.transcripts import stripped
 
@@ -163,13 +164,14 @@ CHUNK = "array<struct<number:int,text:string,page:int,section:string,overlap_tex
 BLOCK = "array<struct<text:string,type:string,page:int,section:string>>"
 
 
-def per_text(f, kind: str):
-    """A vectorized function of one column; null gives an empty array."""
+def per_text(f, kind: str, size: Callable = len):
+    """A vectorized function of one column; null gives an empty array. What it makes leaves it in pieces, so that none holds the rows of many texts."""
 
     @F.pandas_udf(kind)
     def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in it:
-            yield pd.Series([[] if x is None else f(x) for x in s], dtype=object)
+            for part in pieces(s, size):
+                yield pd.Series([[] if x is None else f(x) for x in part], dtype=object)
 
     return run
 
@@ -199,12 +201,7 @@ def document_chunks(docs: DataFrame, source: str = "source", text: str = "text")
 
 def segment_chunks(docs: DataFrame, source: str = "source", segments: str = "segments") -> DataFrame:
     """The same from segments array<struct<text, page>>, whose page numbers hold."""
-
-    @F.pandas_udf(CHUNK)
-    def cut(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in it:
-            yield pd.Series([chunk_rows(blocks_of(segment_pages(x))) if x is not None else [] for x in s], dtype=object)
-
+    cut = per_text(lambda x: chunk_rows(blocks_of(segment_pages(x))), CHUNK, lambda x: sum(len(s["text"] or "") for s in x))
     return chunk_table(docs.select(F.col(source).alias("source"), F.explode(cut(F.col(segments))).alias("c")))
 
 

@@ -11,6 +11,7 @@ from strandline import constants as K
 from strandline.operators.chunking import chunk_windows
 from strandline.operators.replies import INSIGHTS, parse_insights
 from strandline.operators.search import complete, embed
+from strandline.functions.lineage import settled
 from strandline.functions.text import embedding_text
 from strandline.operators.similarity import dedup_within
 
@@ -19,11 +20,12 @@ def extract_insights(sources: DataFrame, model: Callable, embedder: Callable, pr
     """Insights (source, window, place, name, description, type, embedding) of sources (source, text), and notes (source, notes).
 
     The model sees each window; a failed one becomes a note. Where a text had more windows than one, insights that are close to an
-    earlier one of the text drop out. Notes are joined in order of windows, each marked with its number.
+    earlier one of the text drop out. Notes are joined in order of windows, each marked with its number. Replies and vectors are stored: each window is
+    asked and each insight embedded once, and no task runs all the models.
     """
-    asked = complete(chunk_windows(sources, "source", "text", size, overlap, search).withColumn("prompt", prompt(F.col("text"))).drop("text"), model)
+    asked = settled(complete(chunk_windows(sources, "source", "text", size, overlap, search).withColumn("prompt", prompt(F.col("text"))).drop("text"), model).drop("prompt"))
     found = parse_insights(asked.filter("error is null").select("source", "window", "reply"))
-    found = embed(found.withColumn("_t", embedding_text()), embedder, "_t").drop("_t").filter("error is null").drop("error")
+    found = settled(embed(found.withColumn("_t", embedding_text()), embedder, "_t").drop("_t").filter("error is null").drop("error"))
     several = asked.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_s")
     long = found.join(several, F.col("source") == F.col("_s"), "left_semi")
     short = found.join(several, F.col("source") == F.col("_s"), "left_anti")

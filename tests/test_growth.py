@@ -3,11 +3,12 @@
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_models import cosines, frame, plain_greedy
 
-from strandline.operators import assessment, catalog, greedy, similarity
+from strandline.operators import assessment, catalog, chunking, extraction, greedy, search, similarity
 
 
 def test_recent_by_parts_of_a_second(spark):
@@ -74,3 +75,35 @@ def test_many_links_are_not_made_all_at_once(spark, monkeypatch, least, most, ba
         kept += fresh
     assert {r.node: r.target for r in similarity.dedup_across(frame(spark, v, source_order=source), threshold=0.7).collect()} == want
     assert rows[1] < 60
+
+
+def test_pieces_of_a_column(spark, monkeypatch):
+    from strandline.functions import pieces as P
+
+    monkeypatch.setattr(P, "PIECE_SIZE", 1000)
+    s = pd.Series(["a" * 400, None, "", "b" * 3000, "c"] * 9, dtype=object)
+    for step in (1, 4):
+        parts = list(P.pieces(s, step=step))
+        assert pd.concat(parts).tolist() == s.tolist() and len(parts) > 5 and all(len(x) % step == 0 for x in parts[:-1])
+        assert max(sum(map(len, filter(None, x))) for x in parts) <= 1000 + 3400 * step
+    assert list(P.pieces(s[:0])) == []
+    # what leaves the function is no batch of the input, but a piece of it
+    out = list(chunking.per_text(lambda t: [t], "array<string>").func(iter([s])))
+    assert len(out) > 5 and pd.concat(out).tolist() == [[] if x is None else [x] for x in s]
+
+
+def test_windows_are_asked_once(spark, tmp_path):
+    def model():
+        def run(prompts):
+            for p in prompts:
+                with open(tmp_path / "asked", "a") as f:
+                    f.write("x")
+                yield json.dumps({"insights": [{"name": p[:4], "description": p[:9], "type": "trend", "evidence": ""}], "extraction_notes": "n"})
+
+        return run
+
+    docs = spark.createDataFrame([("a", "one. " * 60), ("b", "two. "), ("c", "six. " * 30)], "source string, text string")
+    insights, notes = extraction.extract_insights(docs, model, search.hashing_embedder(), size=100, overlap=10, search=20)
+    assert {r.source for r in insights.collect()} == {"a", "b", "c"} == {r.source for r in notes.collect()}
+    windows = sum(len(chunking.windows_of(r.text, 100, 10, 20)) for r in docs.collect())
+    assert len((tmp_path / "asked").read_text()) == windows > 3
