@@ -107,3 +107,31 @@ def test_windows_are_asked_once(spark, tmp_path):
     assert {r.source for r in insights.collect()} == {"a", "b", "c"} == {r.source for r in notes.collect()}
     windows = sum(len(chunking.windows_of(r.text, 100, 10, 20)) for r in docs.collect())
     assert len((tmp_path / "asked").read_text()) == windows > 3
+
+
+def test_lists_send_each_query_once(spark, tmp_path, monkeypatch):
+    from strandline.operators import lists
+
+    rng = np.random.default_rng(6)
+    chunks = frame(spark, rng.normal(size=(300, 5)).astype(np.float32), kind=["podcast"] * 300).select(F.col("id").cast("string").alias("chunk_id"), "kind", F.col("kind").alias("source"), "embedding", "id")
+    queries = chunks.filter("id % 10 = 0").select(F.col("id").alias("query_id"), "embedding")
+    index = lists.build_lists(chunks, str(tmp_path / "lists"))
+    key = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in df.collect())
+    want, sent, whole = key(search.search_many(queries, chunks, 9)), [], lists.partial_top
+    monkeypatch.setattr(lists, "partial_top", lambda ids, *a: (sent.append((len(ids), sum(map(len, a[1].values())))), whole(ids, *a))[1])
+    assert key(lists.search_lists(queries, index, 9)) == want
+    assert sent[1][0] == 30 < sent[1][1]
+    monkeypatch.setattr(lists, "SMALL_SIDE_BYTES", 8 * 104)
+    assert key(lists.search_lists(queries, index, 9)) == want and max(n for n, _ in sent[2:]) == 8
+
+
+def test_every_transcript_is_a_file_of_one_folder(spark, sf_dir, monkeypatch):
+    import os
+
+    from strandline.plans import vector_queries
+    from strandline.plans.queries import QUERIES
+
+    seen, whole = [], vector_queries.objects.read_transcripts
+    monkeypatch.setattr(vector_queries.objects, "read_transcripts", lambda s, p: (seen.append([x for x in os.listdir(p) if x.startswith(("part-", "file="))]), whole(s, p))[1])
+    n = QUERIES["S1_read_transcripts"](spark, sf_dir).count()
+    assert len(seen[0]) == n > 1 and all(x.endswith(".txt") for x in seen[0])
