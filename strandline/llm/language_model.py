@@ -1,21 +1,25 @@
 """Language-model scoring: a hierarchical Pitman-Yor model with Chinese-restaurant seating, sampled by Gibbs.
 
-Restaurants stand in a chain of three levels: those of the ending of the word before (its last two bytes), of its last byte, which they
-share as parents, and one for all contexts, whose base is even over the vocabulary and one unknown word. A table of a restaurant is a
-customer of its parent. At first each dish has one table everywhere. A sweep takes all customers of every dish out of their restaurant and
-seats them anew, given all other dishes: what it costs goes with dishes and tables, not with tokens. Predictive probabilities are
-averaged over the sweeps after the first few.
-
-Tokens are gathered in blocks of documents. A block sends the counts of its distinct (context, word) pairs to buckets of words, so that
-a frequent word weighs as much there as a rare one, and gets the pairs' probabilities back. All restaurants of a word are in its bucket;
-what words share, the totals of contexts, is of the sweep before. Only those totals, 65,536 and 512 numbers at most, go through the driver.
+Restaurants stand in a chain of three levels: those of the whole word before, of its last byte, which they share as parents, and one for
+all contexts, whose base is even over the vocabulary and one unknown word. A table of a restaurant is a customer of its parent. At first
+each dish has one table everywhere. A sweep takes all customers of every dish out of their restaurant and seats them anew, given all
+other dishes: what it costs goes with dishes and tables, not with tokens. Predictive probabilities are averaged over the sweeps after the
+first few.
+
+Tokens are gathered in blocks of documents. A block sends each bucket of words its tokens there: their context and document. All
+restaurants of a word are in its bucket. What words share, the customers and tables of contexts, lies in parts by context: after a sweep
+a bucket tells each part the tables of its contexts, and gets the sums back before the next one; all are of the sweep before. Only the
+totals of last bytes and the most frequent words, CONTEXTS at most, go through the driver; those words are sent by rank, others by hash.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -24,24 +28,29 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import fold, mix, table, word_hashes, words, written
+from strandline.llm.common import fold, mix, table, word_hashes, words, written, written_by
 
-BLOCK_TOKENS = 800_000
-BUCKET_DOCS = 8192
-CONTEXTS, START = 65536, 65535  # no word ends in bytes 255
+BLOCK_TOKENS = 1_600_000
+BUCKET_DOCS = 4096
+BUCKETS_A_PART = 8
+COUNTED = 400_000  # distinct words that a task counts together
+CONTEXTS = 1 << 19  # words at most that are sent by rank
+START = 65535  # the context of a first word; no word ends in byte 255
 END = np.uint64(0x2545F4914F6CDD1D)
 BYTES = 256
 BURN_IN, SAMPLES = 2, 3
 FEW = 32  # customers up to which the distribution of tables is tabulated
 TRIES = 4
+ONE_BY_ONE = 8192  # customers up to which a proposal seats each in turn
 FAR = 1e12  # customers of a base that own tables don't change
 STRENGTH = 1.0
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays behind each other, compressed; sizes and types come first."""
+    """Arrays behind each other, byte by byte of their numbers, compressed; sizes and types come first."""
     head = ",".join(f"{a.dtype.str}:{len(a)}" for a in arrays).encode()
-    return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "little") + head + b"".join(a.tobytes() for a in arrays))
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "little") + head + b"".join(planes))
 
 
 def expand(raw: bytes) -> list[np.ndarray]:
@@ -50,53 +59,175 @@ def expand(raw: bytes) -> list[np.ndarray]:
     at, out = 4 + n, []
     for part in raw[4:at].decode().split(","):
         kind, size = part.split(":")
-        out.append(np.frombuffer(raw, kind, int(size), at))
-        at += out[-1].nbytes
+        kind, size = np.dtype(kind), int(size)
+        planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += planes.nbytes
     return out
 
 
-def block_rows(block: int, ids: list[int], train: list[bool], texts: list[list[bytes]], buckets: int) -> pd.DataFrame:
-    """A block's own row (bucket -1: ids, flags, sizes and each token's pair) and its pairs by bucket (words, pairs of each, contexts, counts in training)."""
-    sizes = np.array([len(t) + 1 for t in texts])
-    last = np.cumsum(sizes) - 1
-    n = int(sizes.sum())
-    flat = [w for t in texts for w in t]
-    here = np.ones(n, bool)
-    here[last] = False
-    word = np.full(n, END)
-    word[here] = word_hashes(flat)
-    context = np.full(n, START, np.int64)
-    if flat:
-        # "  " before the first word, so that every word has two bytes before its end
-        raw = np.frombuffer(b"  " + b" ".join(flat), np.uint8).astype(np.int64)
-        ends = 2 + np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) + 1) - 1
-        at = np.flatnonzero(here)
-        context[at + 1] = raw[ends - 2] << 8 | raw[ends - 1]
-    distinct, back = np.unique(word, return_inverse=True)
+def steps(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Runs of so many ascending numbers as the first and the steps from each to the next."""
+    out = np.diff(x, prepend=0)
+    at = (np.cumsum(size) - size)[size > 0]
+    out[at] = x[at]
+    return out.astype(np.uint32)
+
+
+def unstepped(step: np.ndarray, size: np.ndarray) -> np.ndarray:
+    upto, size = np.cumsum(step, dtype=np.int64), size.astype(np.int64)
+    at = (np.cumsum(size) - size)[size > 0]
+    return upto - np.repeat(upto[at] - step[at], size[size > 0])
+
+
+def word_keys(parts: list[bytes]) -> np.ndarray:
+    """A hash of each word in 56 bits, then its last byte."""
+    last = np.fromiter(map(itemgetter(-1), parts), np.uint64, len(parts))
+    return word_hashes(parts) >> np.uint64(8) << np.uint64(8) | last
+
+
+def block_tokens(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each text, keys of the distinct words (the end is the last), and the number of each token's word among them."""
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    here = np.ones(int(sizes.sum()), bool)
+    here[np.cumsum(sizes) - 1] = False
+    number = defaultdict()
+    number.default_factory = number.__len__
+    own = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, int(here.sum()))
+    token = np.full(len(here), len(number))
+    token[here] = own
+    return sizes, np.append(word_keys(list(number)), END), token
+
+
+def packed_order(*keys: np.ndarray) -> np.ndarray:
+    """The order by keys, none below 0, the first above all, equal ones as they lie."""
+    bits = [int(k.max()).bit_length() if len(k) else 0 for k in keys]
+    if sum(bits) > 63:
+        return np.lexsort(keys[::-1])
+    code = np.zeros(len(keys[0]), np.int64)
+    for k, b in zip(keys, bits, strict=True):
+        code = code << b | k
+    return np.argsort(code, kind="stable")
+
+
+@dataclass
+class Frequent:
+    """The most frequent words of the training texts: keys in ascending order and counts; tokens and words of all these texts."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+    tokens: int
+    types: int
+
+    def base(self, counts: np.ndarray) -> np.ndarray:
+        """Base log10 probability of words of these counts."""
+        return np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+
+class Coder:
+    """Contexts as small numbers: frequent words by rank, the most frequent first, then START, then words that a message names."""
+
+    def __init__(self, frequent: Frequent):
+        order = np.argsort(-frequent.counts, kind="stable")
+        self.frequent, self.ranked = frequent, np.append(frequent.keys[order], np.uint64(START))
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[order] = np.arange(len(order))
+
+    def codes(self, keys: np.ndarray) -> np.ndarray:
+        """-1: to be named."""
+        place = self.frequent.place(keys)
+        out = np.full(len(keys), -1)
+        out[place >= 0] = self.rank[place[place >= 0]]
+        return out
+
+
+def block_rows(block: int, ids: list[int], train: list[bool], texts: list[list[bytes]], buckets: int, coder: Coder) -> pd.DataFrame:
+    """A block's tokens by bucket: words, tokens of each, contexts and documents of these, and contexts by name. Documents of training come first, the first
+    so many. One row carries what the block knows of its documents: ids, flags, sizes, and the number and base score of their frequent words."""
+    order = sorted(range(len(ids)), key=lambda i: not train[i])
+    ids, train, texts = ([x[i] for i in order] for x in (ids, train, texts))
+    sizes, distinct, back = block_tokens(texts)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    place = coder.frequent.place(distinct)
+    logs = np.zeros(len(distinct))
+    logs[place >= 0] = coder.frequent.base(coder.frequent.counts[place[place >= 0]])
+    own = squeeze(np.array(ids, np.int64), np.array(train, np.uint8), sizes, np.bincount(doc, (place >= 0)[back], len(sizes)).astype(np.int64), np.bincount(doc, logs[back], len(sizes)))
     bucket = (mix(distinct) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    pairs, token = np.unique(rank[back] * CONTEXTS + context, return_inverse=True)
-    learned = np.bincount(token, np.repeat(np.array(train, float), sizes), len(pairs)).astype(np.uint32)
-    own, ctx = pairs // CONTEXTS, (pairs % CONTEXTS).astype(np.uint16)
-    each = np.bincount(own, minlength=len(order)).astype(np.uint32)
-    out = [(block, -1, squeeze(np.array(ids, np.int64), np.array(train, np.uint8), sizes.astype(np.int64), token.astype(np.uint32)))]
+    code = coder.codes(distinct)
+    base = len(coder.ranked)
+    rare = distinct[code < 0]
+    code[code < 0] = base + np.arange(len(rare))
+    before = np.append(base - 1, code[back[:-1]])
+    before[(np.cumsum(sizes) - sizes)] = base - 1
+    place = rank[back]
+    order_of = packed_order(place, before)
+    code, doc = before[order_of], doc[order_of]
+    each = np.bincount(place, minlength=len(distinct))
     at = np.searchsorted(bucket[order], np.arange(buckets + 1))
     upto = np.append(0, np.cumsum(each))
-    for b in range(buckets):
+    present = np.flatnonzero(np.diff(at))
+    home, out = present[block % len(present)], []
+    for b in present.tolist():
         i, j = int(at[b]), int(at[b + 1])
-        if i < j:
-            p, q = int(upto[i]), int(upto[j])
-            out.append((block, b, squeeze(distinct[order[i:j]], each[i:j], ctx[p:q], learned[p:q])))
-    return pd.DataFrame(out, columns=["block", "bucket", "payload"])
+        c = code[upto[i] : upto[j]]
+        some, c_rare = np.unique(c[c >= base], return_inverse=True)
+        c[c >= base] = base + c_rare
+        payload = squeeze(distinct[order[i:j]], each[i:j].astype(np.uint32), steps(c, each[i:j]), doc[upto[i] : upto[j]].astype(np.uint32), rare[some - base])
+        out.append((block, b, sum(train), payload, own if b == home else None))
+    return pd.DataFrame(out, columns=["block", "bucket", "known", "payload", "own"])
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """Words of the training texts among documents d, t, train: key (as signed number) and count."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count, ends = Counter(), 0
+        for pdf in it:
+            for t in pdf.t:
+                count.update(words(t))
+                ends += 1
+            if len(count) > COUNTED:
+                yield keyed(count)
+                count = Counter()
+        yield keyed(count)
+        yield pd.DataFrame({"key": END.reshape(1).view(np.int64), "n": [ends]}).head(min(ends, 1))
+
+    return docs.filter("train").select("t").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def keyed(count: Counter) -> pd.DataFrame:
+    return pd.DataFrame({"key": word_keys(list(count)).view(np.int64), "n": np.fromiter(count.values(), np.int64, len(count))})
+
+
+def frequent_words(counts: DataFrame, tokens: int, types: int) -> Frequent:
+    """All words that occur at least so often that there are no more than CONTEXTS of them."""
+    least, upto = 1, 0
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).collect():
+        upto += r["count"]
+        if upto > CONTEXTS:
+            least = r.n + 1
+            break
+    got = counts.filter(F.col("n") >= least).select("key", "n").toArrow()
+    key, n = got["key"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    order = np.argsort(key)
+    return Frequent(key[order], n[order].astype(np.int64), tokens, types)
 
 
-def blocks(docs: DataFrame, buckets: int) -> DataFrame:
+def blocks(docs: DataFrame, buckets: int, frequent: Frequent) -> DataFrame:
     """Rows of all blocks of documents d, t, train."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = TaskContext.get().partitionId() << 24
+        number, coder = TaskContext.get().partitionId() << 24, Coder(frequent)
         ids, train, texts, total = [], [], [], 0
         for pdf in it:
             for i, t, known in zip(pdf.d, pdf.t, pdf.train, strict=True):
@@ -106,34 +237,121 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 texts.append(w)
                 total += len(w) + 1
                 if total >= BLOCK_TOKENS:
-                    yield block_rows(number, ids, train, texts, buckets)
+                    yield block_rows(number, ids, train, texts, buckets, coder)
                     number += 1
                     ids, train, texts, total = [], [], [], 0
         if ids:
-            yield block_rows(number, ids, train, texts, buckets)
+            yield block_rows(number, ids, train, texts, buckets, coder)
+
+    return docs.mapInPandas(run, "block long, bucket int, known int, payload binary, own binary")
+
+
+def bucket_model(key: tuple, pdf: pd.DataFrame, coder: Coder) -> pd.DataFrame:
+    """A bucket: pairs of each word, their contexts and counts in training; contexts, by last byte; the pair and document of each block's tokens; counts of all words
+    that are not frequent; and the rows of blocks that came along."""
+    found = [expand(p) for p in pdf.payload]
+    vocabulary, back = np.unique(np.concatenate([p[0] for p in found]), return_inverse=True)
+    own = np.repeat(back, np.concatenate([p[1] for p in found]))
+    base = len(coder.ranked)
+    codes = [unstepped(p[2], p[1]) for p in found]
+    here = np.zeros(base, bool)
+    for c in codes:
+        here[c[c < base]] = True
+    rare, named = np.unique(np.concatenate([p[4] for p in found]), return_inverse=True)
+    contexts = np.concatenate([coder.ranked[here], rare])
+    order = np.argsort(turned(contexts))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    number, ends = np.cumsum(here) - 1, np.cumsum([len(p[4]) for p in found])
+    for k, (p, c) in enumerate(zip(found, codes, strict=True)):
+        among = np.append(number, int(here.sum()) + named[ends[k] - len(p[4]) : ends[k]])
+        codes[k] = rank[among[c]]
+    pairs, place = np.unique(own * len(contexts) + np.concatenate(codes), return_inverse=True)
+    sizes = np.array([len(p[3]) for p in found])
+    message = np.repeat(np.arange(len(found)), sizes)
+    doc = np.concatenate([p[3] for p in found])
+    count = np.bincount(place, doc < np.repeat(pdf.known.to_numpy(np.int64), sizes), len(pairs)).astype(np.int64)
+    order_of = packed_order(message, place)
+    own, ctx = pairs // len(contexts), pairs % len(contexts)
+    each = np.bincount(own, minlength=len(vocabulary))
+    home = pdf[pdf.own.notna()]
+    return pd.DataFrame({
+        "bucket": [key[0]],
+        "model": [squeeze(each.astype(np.uint32), steps(ctx, each), count.astype(np.uint32), contexts[order])],
+        "asked": [squeeze(pdf.block.to_numpy(np.int64), sizes.astype(np.int64), steps(place[order_of], sizes), doc[order_of], (coder.frequent.place(vocabulary) < 0).astype(np.uint8))],
+        "homes": [home.block.tolist()], "owns": [home.own.tolist()], "once": [int((count == 1).sum())], "twice": [int((count == 2).sum())],
+    })
+
+
+MODEL = "bucket int, model binary, asked binary, homes array<long>, owns array<binary>, once long, twice long"
+
+
+def turned(contexts: np.ndarray) -> np.ndarray:
+    """The last byte first: as numbers ascend, so do last bytes. Buckets and parts keep contexts in this order."""
+    return contexts << np.uint64(56) | contexts >> np.uint64(8)
+
+
+def part_of(contexts: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(contexts ^ END) % np.uint64(parts)).astype(np.int64)
 
-    return docs.mapInPandas(run, "block long, bucket int, payload binary")
 
+def opened(model: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word, context and count of each pair, and the contexts."""
+    each, step, count, contexts = expand(model)
+    return np.repeat(np.arange(len(each)), each), unstepped(step, each), count.astype(np.int64), contexts
 
-def merged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket: its words, each pair's word, context and count in training, and where the pairs of each block are among them."""
-    parts = [expand(p) for p in pdf.payload]
-    vocabulary, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    each = np.concatenate([p[1] for p in parts])
-    code = np.repeat(back, each) * CONTEXTS + np.concatenate([p[2] for p in parts])
-    pairs, place = np.unique(code, return_inverse=True)
-    count = np.bincount(place, np.concatenate([p[3] for p in parts]), len(pairs)).astype(np.int64)
-    sizes = np.array([len(p[2]) for p in parts])
-    steps = np.diff(place, prepend=0)
-    own, ctx = (pairs // CONTEXTS).astype(np.uint32), (pairs % CONTEXTS).astype(np.uint16)
-    c_word = np.bincount(own, count, len(vocabulary))
-    totals = np.bincount(ctx, count, CONTEXTS).astype(np.int64)
-    some = np.flatnonzero(totals)
-    once, twice = int((count == 1).sum()), int((count == 2).sum())
-    return pd.DataFrame({"bucket": [key[0]], "model": [squeeze(own, ctx, count)], "asked": [squeeze(pdf.block.to_numpy(np.int64), sizes.astype(np.int64), steps.astype(np.int32))], "types": [int((c_word > 0).sum())], "tokens": [int(count.sum())], "once": [once], "twice": [twice], "contexts": [squeeze(some.astype(np.uint16), totals[some])]})
 
+def by_part(contexts: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Parts that have any of these contexts, and which."""
+    part = part_of(contexts, parts)
+    order = np.argsort(part, kind="stable")
+    at = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+    return ((p, order[i:j]) for p, (i, j) in enumerate(zip(at, at[1:], strict=False)) if i < j)
 
-MERGED = "bucket int, model binary, asked binary, types long, tokens long, once long, twice long, contexts binary"
+
+def context_parts(model: DataFrame, parts: int) -> DataFrame:
+    """A row for each part: buckets that have contexts there, how many and which of the part's, and the customers of these contexts."""
+
+    def names(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for r in pdf.to_dict("records"):
+                _, ctx, count, contexts = opened(r["model"])
+                customers = np.bincount(ctx, count, len(contexts)).astype(np.int64)
+                rows = [(p, r["bucket"], squeeze(contexts[i], customers[i])) for p, i in by_part(contexts, parts)]
+                yield pd.DataFrame(rows, columns=["part", "bucket", "names"])
+
+    def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bucket")
+        names, n = zip(*(expand(x) for x in pdf.names), strict=True)
+        distinct, place = np.unique(turned(np.concatenate(names)), return_inverse=True)
+        customers = np.bincount(place, np.concatenate(n), len(distinct)).astype(np.int64)
+        sizes = np.array([len(x) for x in names])
+        return pd.DataFrame({"part": [key[0]], "places": [squeeze(pdf.bucket.to_numpy(np.int64), sizes, steps(place, sizes), customers)]})
+
+    return model.select("bucket", "model").mapInPandas(names, "part int, bucket int, names binary").groupBy("part").applyInPandas(gather, "part int, places binary")
+
+
+def context_totals(state: DataFrame, places: DataFrame, number: int) -> DataFrame:
+    """What buckets need of their contexts after a sweep: customers and tables; a row for each bucket and part."""
+
+    def run(key: tuple, known: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        buckets, sizes, step, customers = expand(known.places[0])
+        place = unstepped(step, sizes)
+        sent = sent.sort_values("bucket")
+        tables = np.bincount(place, np.concatenate([expand(x)[0] for x in sent.payload]), len(customers)).astype(np.int64)
+        ends = np.cumsum(sizes)
+        rows = [(b, key[0], number, squeeze(narrow(customers[place[i:j]]), narrow(tables[place[i:j]]))) for b, i, j in zip(buckets.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True)]
+        return pd.DataFrame(rows, columns=["bucket", "part", "number", "payload"])
+
+    sent = state.filter("part >= 0").select("bucket", "part", "payload")
+    return places.groupBy("part").cogroup(sent.groupBy("part")).applyInPandas(run, TOLD)
+
+
+TOLD = "bucket int, part int, number int, payload binary"
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -188,13 +406,22 @@ class Restaurants:
         self.c = c.astype(np.int64)
         self.t = np.clip(self.t, np.minimum(self.c, 1), self.c)
 
-    def reseat(self, opening: Opening, d: float, rng: np.random.Generator) -> None:
-        """Takes out all customers of every dish and seats them anew.
+    def open(self) -> np.ndarray:
+        """Dishes of two customers and more; others have as many tables as customers."""
+        return np.flatnonzero(self.c > 1)
+
+    def reseat(self, opening: Opening, d: float, rng: np.random.Generator, dishes: np.ndarray | None = None) -> None:
+        """Takes out all customers of every dish, or of these (the opening is theirs), and seats them anew.
 
         For a few customers the number of tables is drawn from its distribution. More are seated one after the other as a restaurant of like
-        strength would, from one opening to the next, TRIES times, and one of these seatings and the present one is taken by what they weigh over
+        strength would, many from one opening to the next, TRIES times, and one of these seatings and the present one is taken by what they weigh over
         what they were proposed with. Work goes with tables, not with customers.
         """
+        if dishes is not None:
+            part = Restaurants(self.c[dishes], self.t[dishes])
+            part.reseat(opening, d, rng)
+            self.t[dishes] = part.t
+            return
         few, many = np.flatnonzero((self.c > 0) & (self.c <= FEW)), np.flatnonzero(self.c > FEW)
         self.t[few] = tables_of_few(self.c[few], opening.of(few), d, rng)
         if len(many):
@@ -216,11 +443,24 @@ def like_strength(c: np.ndarray, opening: Opening, d: float) -> np.ndarray:
     return strength
 
 
+def one_by_one(c: np.ndarray, strength: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of restaurants after c customers; the next customer of all of them is seated at once."""
+    order = np.argsort(-c, kind="stable")
+    n, w, t = c[order], strength[order], np.ones(len(c))
+    for k, m in enumerate(np.searchsorted(-n, -np.arange(1, n.max(initial=1))).tolist(), 1):
+        t[:m] += rng.random(m) * (w[:m] + k) < w[:m] + d * t[:m]
+    out = np.empty(len(c), np.int64)
+    out[order] = t
+    return out
+
+
 def seated(c: np.ndarray, strength: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of restaurants after c customers. With t tables customer k opens one by strength + d t against k - d t: that nobody up to one does has a
+    """Tables of restaurants after c customers, of many by leaps. With t tables customer k opens one by strength + d t against k - d t: that nobody up to one does has a
     chance of gamma functions, so the next opening is found from there, all dishes at once, by Newton steps in the logarithm and by halving."""
     tables = np.ones(len(c), np.int64)
-    own = np.flatnonzero(c > 1)
+    some = np.flatnonzero(c <= ONE_BY_ONE)
+    tables[some] = one_by_one(c[some], strength[some], d, rng)
+    own = np.flatnonzero(c > max(ONE_BY_ONE, 1))
     at, t, n, w = np.ones(len(own)), np.ones(len(own)), c[own].astype(np.float64), strength[own]
     while len(own):
         base = d * t
@@ -277,7 +517,8 @@ def tables_of_few(c: np.ndarray, opening: Opening, d: float, rng: np.random.Gene
 
 @dataclass
 class Hall:
-    """What all restaurants share in a sweep: customers and tables of contexts, of their last bytes, and of the root, and the discounts of the three levels."""
+    """What all restaurants share in a sweep: customers and tables of contexts (those of a bucket), of their last bytes, and of the root, and the discounts of
+    the three levels."""
 
     customers: np.ndarray
     tables: np.ndarray
@@ -310,12 +551,18 @@ class Hall:
 class Tree:
     """All restaurants of the words of a bucket: pairs (word, context), groups (word, last byte) and words.
 
-    own, ctx, count: of each pair, by word; seats: what held() gave after the sweep before, none before the first.
+    own, ctx, count: of each pair, by word; seats: what held() gave after the sweep before, none before the first; last: the last byte of each
+    context, where contexts' numbers don't end in it.
     """
 
-    def __init__(self, own: np.ndarray, ctx: np.ndarray, count: np.ndarray, seats: list[np.ndarray] | None = None):
+    def __init__(self, own: np.ndarray, ctx: np.ndarray, count: np.ndarray, seats: list[np.ndarray] | None = None, last: np.ndarray | None = None):
         self.own, self.ctx, self.count = own.astype(np.int64), ctx.astype(np.int64), count.astype(np.int64)
-        groups, self.group = np.unique(self.own * BYTES + (self.ctx & 255), return_inverse=True)
+        code = self.own * BYTES + (self.ctx & 255 if last is None else last[self.ctx])
+        new = np.diff(code, prepend=-1)
+        if len(code) and new.min() >= 0:  # pairs lie by group
+            groups, self.group = code[new > 0], np.cumsum(new > 0) - 1
+        else:
+            groups, self.group = np.unique(code, return_inverse=True)
         self.group_own, self.byte = groups // BYTES, groups % BYTES
         n = int(self.own[-1]) + 1 if len(own) else 0
         known = seats or [None] * 3
@@ -340,14 +587,18 @@ class Tree:
         """Seats all customers anew, level by level from below; a level's tables are the customers of the next."""
         d = hall.discounts
         root, room = hall.root(self.words.c, self.words.t), hall.byte_room(self.byte)
-        grand = (room * root[self.group_own])[self.group]
-        rest, each = without_own(self.group, self.pairs.t, self.groups, d[1])
-        customers = STRENGTH + hall.byte_customers[self.byte][self.group] - self.pairs.t
-        self.pairs.reseat(Opening(hall.room(self.ctx) - d[0] * self.pairs.t, rest + grand, each, customers), d[0], rng)
+        i = self.pairs.open()
+        group, own = self.group[i], self.pairs.t[i]
+        rest, each = without_own(group, own, self.groups, d[1])
+        grand = (room * root[self.group_own])[group]
+        customers = STRENGTH + hall.byte_customers[self.byte][group] - own
+        self.pairs.reseat(Opening(hall.room(self.ctx[i]) - d[0] * own, rest + grand, each, customers), d[0], rng, i)
         self.groups.recount(self.tables_by_group(len(self.group_own)))
-        rest, each = without_own(self.group_own, self.groups.t, self.words, d[2])
-        customers = STRENGTH + hall.root_customers - self.groups.t
-        self.groups.reseat(Opening(room - d[1] * self.groups.t, rest + hall.root_room() / (hall.types + 1), each, customers), d[1], rng)
+        i = self.groups.open()
+        own = self.groups.t[i]
+        rest, each = without_own(self.group_own[i], own, self.words, d[2])
+        customers = STRENGTH + hall.root_customers - own
+        self.groups.reseat(Opening(room[i] - d[1] * own, rest + hall.root_room() / (hall.types + 1), each, customers), d[1], rng, i)
         n = len(self.words.c)
         self.words.recount(np.bincount(self.group_own, self.groups.t, n))
         even, never = np.full(n, FAR / (hall.types + 1)), np.zeros(n)
@@ -361,50 +612,60 @@ def without_own(parent: np.ndarray, own: np.ndarray, above: Restaurants, d: floa
     return (c - own) * (1 - d * share), 1 - d * share
 
 
-def report(tree: Tree) -> dict[str, list]:
-    """Seats of a bucket, and what it adds to the totals: tables of contexts, customers and tables of last bytes behind them, those of the root."""
-    total = np.concatenate([np.bincount(tree.ctx, tree.pairs.t, CONTEXTS), np.bincount(tree.byte, tree.groups.c, BYTES), np.bincount(tree.byte, tree.groups.t, BYTES)]).astype(np.int64)
-    some = np.flatnonzero(total)
-    ones = lambda c, k: [int((c == k).sum())]
-    g, w = tree.groups.c, tree.words.c
-    return {"seats": [squeeze(*tree.held())], "customers": [int(w.sum())], "tables": [int(tree.words.t.sum())], "group_once": ones(g, 1), "group_twice": ones(g, 2), "once": ones(w, 1), "twice": ones(w, 2), "contexts": [squeeze(some.astype(np.uint32), total[some])]}
+SWEPT = "bucket int, part int, payload binary, customers long, tables long, group_once long, group_twice long, once long, twice long, bytes array<long>"
 
 
-SWEPT = "bucket int, seats binary, customers long, tables long, group_once long, group_twice long, once long, twice long, contexts binary"
+def report(bucket: int, tree: Tree, contexts: np.ndarray, parts: int) -> pd.DataFrame:
+    """Rows of a bucket after a sweep: its seats, what it adds to the totals of last bytes and of the root, in part -1, and tables of contexts for each part."""
+    total = np.concatenate([np.bincount(tree.byte, x, BYTES) for x in (tree.groups.c, tree.groups.t)]).astype(np.int64)
+    g, w = tree.groups.c, tree.words.c
+    own = (bucket, -1, squeeze(*tree.held()), int(w.sum()), int(tree.words.t.sum()), *(int((x == k).sum()) for x in (g, w) for k in (1, 2)), total)
+    tables = np.bincount(tree.ctx, tree.pairs.t, len(contexts)).astype(np.int64)
+    return pd.DataFrame([own, *((bucket, p, squeeze(narrow(tables[i])), *[0] * 6, None) for p, i in by_part(contexts, parts))], columns=[x.split()[0] for x in SWEPT.split(", ")])
 
 
-def sweep(model: DataFrame, hall: Hall | None, number: int) -> DataFrame:
-    """The state of every bucket after a sweep; without a hall, the first state."""
-    held = [hall]
+def first_state(model: DataFrame, parts: int) -> DataFrame:
+    """Every dish at one table."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for r in pdf.to_dict("records"):
-                rng = np.random.default_rng([r["bucket"], number])
-                tree = Tree(*expand(r["model"]), expand(r["seats"]) if held[0] else None)
-                if held[0]:
-                    tree.sweep(held[0], rng)
-                yield pd.DataFrame({"bucket": [r["bucket"]], **report(tree)})
+                *pairs, contexts = opened(r["model"])
+                yield report(r["bucket"], Tree(*pairs, last=last_bytes(contexts)), contexts, parts)
 
-    return model.mapInPandas(run, SWEPT)
+    return model.select("bucket", "model").mapInPandas(run, SWEPT)
 
 
-def context_totals(df: DataFrame) -> np.ndarray:
-    """Sums of the buckets' totals by context; first within partitions, so that the driver gets a row of each."""
+def last_bytes(contexts: np.ndarray) -> np.ndarray:
+    return (contexts & np.uint64(255)).astype(np.int64)
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(CONTEXTS + 2 * BYTES)
-        for pdf in it:
-            for raw in pdf.contexts:
-                at, n = expand(raw)
-                total[at] += n
-        some = np.flatnonzero(total)
-        yield pd.DataFrame({"c": some, "n": total[some].astype(np.int64)})
-
-    out = np.zeros(CONTEXTS + 2 * BYTES)
-    for r in df.select("contexts").mapInPandas(run, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():
-        out[r.c] = r.n
-    return out
+
+def seats_of(state: DataFrame, places: DataFrame, number: int) -> DataFrame:
+    """What a bucket starts its next sweep from: its seats (part -1) and the totals of its contexts."""
+    own = state.filter("part < 0").select("bucket", "part", F.lit(number).cast("int").alias("number"), "payload")
+    return own.unionByName(context_totals(state, places, number))
+
+
+def started(told: pd.DataFrame, hall: Hall, contexts: np.ndarray, parts: int) -> tuple[list[np.ndarray], Hall]:
+    """Seats of a bucket, and the hall with the totals of its contexts."""
+    raw = dict(zip(told.part, told.payload, strict=True))
+    customers, tables = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
+    for p, i in by_part(contexts, parts):
+        customers[i], tables[i] = expand(raw[p])
+    return expand(raw[-1]), replace(hall, customers=customers, tables=tables)
+
+
+def sweep(model: DataFrame, told: DataFrame, hall: Hall, number: int, parts: int) -> DataFrame:
+    """The state of every bucket after a sweep."""
+
+    def run(key: tuple, known: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        *pairs, contexts = opened(known.model[0])
+        seats, own = started(told, hall, contexts, parts)
+        tree = Tree(*pairs, seats, last_bytes(contexts))
+        tree.sweep(own, np.random.default_rng([key[0], number]))
+        return report(key[0], tree, contexts, parts)
+
+    return model.select("bucket", "model").groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(run, SWEPT)
 
 
 def discount_of(once: int, twice: int) -> float:
@@ -422,63 +683,74 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     rows without an id are left out. Without a training text every token has the even base probability.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"), F.coalesce(train, F.lit(False)).alias("train")).filter("d is not null")
-    buckets = max(8, -(-docs.count() // BUCKET_DOCS))
-    gathered = written(blocks(rows, buckets).withColumn("kind", (F.col("bucket") >= 0).cast("int")), "blocks", "kind")
-    model = written(gathered.filter("kind = 1").select("block", "bucket", "payload").groupBy("bucket").applyInPandas(merged, MERGED), "model")
-    sums = model.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "tokens", "once", "twice"))).first()
-    customers, first = context_totals(model)[:CONTEXTS], discount_of(sums.once, sums.twice)
+    buckets = max(4, -(-docs.count() // BUCKET_DOCS))
+    parts = max(4, buckets // BUCKETS_A_PART)
+    counts = written(word_counts(rows), "counts")
+    n_train, n_types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    coder = Coder(frequent_words(counts, n_train, n_types))
+    gathered = blocks(rows, buckets, coder.frequent)
+    model = written_by(gathered.groupBy("bucket").applyInPandas(lambda key, pdf: bucket_model(key, pdf, coder), MODEL), "model", "bucket", 2 * buckets)
+    places = written_by(context_parts(model, parts), "places", "part", 2 * parts)
+    first = discount_of(*model.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("once", "twice"))).first())
 
     def hall_of(done: DataFrame) -> Hall:
-        total = context_totals(done)
-        now = done.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("customers", "tables", "group_once", "group_twice", "once", "twice"))).first()
+        own = done.filter("part < 0")
+        now = own.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("customers", "tables", "group_once", "group_twice", "once", "twice"))).first()
+        total = np.zeros(2 * BYTES)
+        for r in own.select(F.posexplode("bytes").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():
+            total[r["at"]] = r["n"]
         discounts = first, discount_of(now.group_once, now.group_twice), discount_of(now.once, now.twice)
-        return Hall(customers, total[:CONTEXTS], total[CONTEXTS : CONTEXTS + BYTES], total[CONTEXTS + BYTES :], now.customers, now.tables, sums.types, discounts)
+        none = np.zeros(0)
+        return Hall(none, none, total[:BYTES], total[BYTES:], now.customers, now.tables, n_types, discounts)
 
-    state = written(sweep(model.select("bucket", "model"), None, 0), "sweep")
-    hall, kept = hall_of(state), []
+    state = written(first_state(model, parts), "sweep")
+    hall, halls, kept = hall_of(state), {}, None
     for number in range(1, BURN_IN + SAMPLES + 1):
-        state = written(sweep(model.select("bucket", "model").join(state.select("bucket", "seats"), "bucket"), hall, number), "sweep")
+        state = written(sweep(model, seats_of(state, places, number - 1), hall, number, parts), "sweep")
         hall = hall_of(state)
         if number > BURN_IN:
-            kept.append((hall, state))
-    seats = model.select("bucket", "model", "asked")
-    for k, (_, s) in enumerate(kept):
-        seats = seats.join(s.select("bucket", F.col("seats").alias(f"s{k}")), "bucket")
-    halls = [h for h, _ in kept]
-    n_train, n_types = sums.tokens, sums.types
-
-    def answer(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for r in pdf.to_dict("records"):
-                own, ctx, count = expand(r["model"])
-                total = np.bincount(own, count).astype(np.int64)
-                p = np.zeros(len(own))
-                for k, h in enumerate(halls):
-                    p += Tree(own, ctx, count, expand(r[f"s{k}"])).predict(h)
-                logs = np.log10(p / len(halls)).astype(np.float32)
-                block, sizes, steps = expand(r["asked"])
-                place = np.cumsum(steps, dtype=np.int64)
-                ends = np.cumsum(sizes)
-                for b, s, e in zip(block.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
-                    at = place[s:e]
-                    yield pd.DataFrame({"block": [b], "bucket": [r["bucket"]], "answers": [squeeze(logs[at], total[own[at]])]})
-
-    answers = seats.mapInPandas(answer, "block long, bucket int, answers binary")
-
-    def total(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        got = got.sort_values("bucket")
-        logs, counts = (np.concatenate(x) for x in zip(*(expand(a) for a in got.answers), strict=True))
-        base = np.log10((counts + 0.5) / (n_train + 0.5 * (n_types + 1)))
-        out = []
-        for payload in own.payload:
-            ids, known, sizes, token = expand(payload)
-            at = np.cumsum(sizes) - sizes
-            each = lambda x: np.add.reduceat(x[token].astype(np.float64), at)  # noqa: E731, B023
-            out.append(pd.DataFrame({"doc_id": ids, "held_out": known == 0, "n_tokens": sizes, "n_known": each(counts > 0).astype(np.int64), "train_tokens": n_train, "base_score": each(base), "score": each(logs)}))
-        return pd.concat(out)
-
-    mine = gathered.filter("kind = 0").select("block", "payload")
-    return mine.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(total, SCORES)
+            told = seats_of(state, places, number)
+            halls[number], kept = hall, told if kept is None else kept.unionByName(told)
+
+    def answer(key: tuple, known: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        r = known.iloc[0]
+        *pairs, contexts = opened(r.model)
+        p = np.zeros(len(pairs[0]))
+        for number, h in halls.items():
+            seats, own = started(told[told.number == number], h, contexts, parts)
+            p += Tree(*pairs, seats, last_bytes(contexts)).predict(own)
+        logs = np.log10(p / len(halls))
+        block, sizes, step, doc, rare = expand(r.asked)
+        place, ends = unstepped(step, sizes), np.cumsum(sizes)
+        c_word = np.bincount(pairs[0], pairs[2], len(rare))
+        homes, out = dict(zip(r.homes, r.owns, strict=True)), []
+        for b, i, j in zip(block.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+            at, docs = place[i:j], doc[i:j]
+            some = np.flatnonzero(np.bincount(docs))
+            score = np.bincount(docs, logs[at])[some].astype(np.float32)
+            w = pairs[0][at]
+            left, theirs = np.unique(docs[rare[w] > 0], return_inverse=True)
+            c = c_word[w[rare[w] > 0]]
+            every = np.array([len(some)])
+            both = steps(some.astype(np.int64), every), score, steps(left.astype(np.int64), np.array([len(left)])), np.bincount(theirs, c > 0, len(left)).astype(np.uint32), np.bincount(theirs, coder.frequent.base(c), len(left))
+            out.append((b, squeeze(*both), homes.get(b)))
+        return pd.DataFrame(out, columns=["block", "answers", "own"])
+
+    asked = model.select("bucket", "model", "asked", "homes", "owns")
+    answers = asked.groupBy("bucket").cogroup(kept.groupBy("bucket")).applyInPandas(answer, "block long, answers binary, own binary")
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, known, sizes, n_known, base = (x.copy() for x in expand(pdf.own.dropna().iloc[0]))
+        score = np.zeros(len(ids))
+        for raw in pdf.answers.sort_values():
+            some, logs, left, n, c = expand(raw)
+            score[np.cumsum(some, dtype=np.int64)] += logs
+            at = np.cumsum(left, dtype=np.int64)
+            n_known[at] += n
+            base[at] += c
+        return pd.DataFrame({"doc_id": ids, "held_out": known == 0, "n_tokens": sizes, "n_known": n_known, "train_tokens": n_train, "base_score": base, "score": score})
+
+    return answers.groupBy("block").applyInPandas(total, SCORES)
 
 
 def op8_pitman_yor(spark, sf_dir: str) -> DataFrame:

@@ -382,3 +382,27 @@ def test_scores_of_a_tiny_corpus(spark):
         means.append([sum(math.log10(p[at[vocabulary.index(w), c]] / n) for c, w in doc) for doc in flat])
     mean, spread = np.mean(means, 0), np.std(means, 0)
     assert all(abs(got[i] - mean[i]) < 4 * spread[i] + 0.15 for i in range(12)), (got, mean.tolist(), spread.tolist())
+
+
+@pytest.mark.parametrize("ranked", [lm.CONTEXTS, 1])
+def test_contexts_are_whole_words(spark, monkeypatch, ranked):
+    """Words of one ending are contexts of their own, whether sent by rank or by name; base scores are the same."""
+    monkeypatch.setattr(lm, "CONTEXTS", ranked)
+    texts = ["xxab p"] * 40 + ["yyab q"] * 40 + ["xxab p", "xxab q", "yyab p", "yyab q", "never xxab p"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score_documents(df, F.col("doc_id") < 80).collect()}
+    assert got[80].score > got[81].score + 0.7 and got[83].score > got[82].score + 0.7
+    c = Counter(w for t in texts[:80] for w in [*t.split(), "end"])
+    n, v = sum(c.values()), len(c)
+    for i, t in enumerate(texts):
+        tokens = [*t.split(), "end"]
+        assert got[i].n_known == sum(c[w] > 0 for w in tokens) and abs(got[i].base_score - sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens)) < 1e-6
+
+
+def test_proposals_one_by_one_and_by_leaps(monkeypatch):
+    """Both ways of seating give the same distribution of tables."""
+    c, strength = np.full(4000, 300), np.full(4000, 2.0)
+    one = lm.seated(c, strength, 0.5, np.random.default_rng(1))
+    monkeypatch.setattr(lm, "ONE_BY_ONE", 0)
+    leaps = lm.seated(c, strength, 0.5, np.random.default_rng(2))
+    assert abs(one.mean() / leaps.mean() - 1) < 0.02 and abs(one.std() / leaps.std() - 1) < 0.06
