@@ -42,6 +42,7 @@ BURN_IN, SAMPLES = 2, 3
 FEW = 32  # customers up to which the distribution of tables is tabulated
 TRIES = 4
 ONE_BY_ONE = 8192  # customers up to which a proposal seats each in turn
+DRAWN = 1 << 18  # numbers that a proposal draws at once
 FAR = 1e12  # customers of a base that own tables don't change
 STRENGTH = 1.0
 
@@ -414,7 +415,7 @@ class Restaurants:
         """Takes out all customers of every dish, or of these (the opening is theirs), and seats them anew.
 
         For a few customers the number of tables is drawn from its distribution. More are seated one after the other as a restaurant of like
-        strength would, many from one opening to the next, TRIES times, and one of these seatings and the present one is taken by what they weigh over
+        strength would, very many by leaps, TRIES times, and one of these seatings and the present one is taken by what they weigh over
         what they were proposed with. Work goes with tables, not with customers.
         """
         if dishes is not None:
@@ -447,42 +448,52 @@ def one_by_one(c: np.ndarray, strength: np.ndarray, d: float, rng: np.random.Gen
     """Tables of restaurants after c customers; the next customer of all of them is seated at once."""
     order = np.argsort(-c, kind="stable")
     n, w, t = c[order], strength[order], np.ones(len(c))
-    for k, m in enumerate(np.searchsorted(-n, -np.arange(1, n.max(initial=1))).tolist(), 1):
-        t[:m] += rng.random(m) * (w[:m] + k) < w[:m] + d * t[:m]
+    left = np.searchsorted(-n, -np.arange(1, n.max(initial=1))).tolist()
+    k = 0
+    while k < len(left):
+        m = left[k]
+        some = left[k : k + max(1, DRAWN // m)]
+        least = needed(np.arange(k + 1, k + 1 + len(some))[:, None], w[:m], d, rng.random((len(some), m)))
+        for m, x in zip(some, least, strict=True):
+            t[:m] += x[:m] < t[:m]
+        k += len(some)
     out = np.empty(len(c), np.int64)
     out[order] = t
     return out
 
 
+def needed(k: np.ndarray, strength: np.ndarray | float, d: float, chance: np.ndarray) -> np.ndarray:
+    """Tables that there must be more of for customer k to open one, which has the chance (strength + d tables) / (strength + k)."""
+    return (chance * (strength + k) - strength) / d
+
+
+def by_leaps(n: int, strength: float, d: float, rng: np.random.Generator) -> int:
+    """Tables of a restaurant after n customers, of whom only some are looked at. While there are no more tables than most, nobody from k on opens one by more
+    than chance p: whoever draws less than p is a candidate, and candidates draw again for what they have of it. Beyond most, a quarter more customers, or the last candidate drawn, p is set anew."""
+    k, t = 1, 1
+    while k < n:
+        most = t + int(0.3 * (strength / d + t)) + 32
+        end = min(n, k + max(256, k // 4))
+        p = min(1.0, (strength + d * most) / (strength + k))
+        at = np.arange(k, min(end, k + DRAWN)) if p == 1 else k - 1 + np.cumsum(rng.geometric(p, min(int(1.1 * p * (end - k)) + 32, DRAWN)))
+        k = min(end, int(at[-1]) + 1)
+        at = at[at < end]
+        for i, x in enumerate(needed(at, strength, d, p * rng.random(len(at))).tolist()):
+            if x < t:
+                t += 1
+                if t > most:
+                    k = int(at[i]) + 1
+                    break
+    return t
+
+
 def seated(c: np.ndarray, strength: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of restaurants after c customers, of many by leaps. With t tables customer k opens one by strength + d t against k - d t: that nobody up to one does has a
-    chance of gamma functions, so the next opening is found from there, all dishes at once, by Newton steps in the logarithm and by halving."""
+    """Tables of restaurants after c customers. Customer k opens one by strength + d tables against k - d tables."""
     tables = np.ones(len(c), np.int64)
     some = np.flatnonzero(c <= ONE_BY_ONE)
     tables[some] = one_by_one(c[some], strength[some], d, rng)
-    own = np.flatnonzero(c > max(ONE_BY_ONE, 1))
-    at, t, n, w = np.ones(len(own)), np.ones(len(own)), c[own].astype(np.float64), strength[own]
-    while len(own):
-        base = d * t
-        chance = np.log(rng.random(len(own)))
-        aim = chance + log_gamma(at - base) - log_gamma(w + at)
-        hit = log_gamma(n - base) - log_gamma(w + n) < aim
-        own, low, t, n, w, base, aim = own[hit], at[hit], t[hit], n[hit], w[hit], base[hit], aim[hit]
-        high, power, step = n - 1, w + base, 0
-        guess = low * np.exp(np.minimum(-chance[hit] / power, 60))
-        open_ = np.flatnonzero(low < high)
-        while len(open_):
-            step += 1
-            lo, hi = low[open_], high[open_]
-            middle = np.floor(np.clip(guess[open_], lo, hi - 1) if step % 4 else (lo + hi) / 2)
-            closed = log_gamma(middle + 1 - base[open_]) - log_gamma(w[open_] + middle + 1)
-            below = closed < aim[open_]
-            low[open_], high[open_] = np.where(below, lo, middle + 1), np.where(below, middle, hi)
-            guess[open_] = (middle + 1) * np.exp(np.clip((closed - aim[open_]) / power[open_], -60, 60))
-            open_ = open_[low[open_] < high[open_]]
-        tables[own] += 1
-        left = low + 1 < n
-        own, at, t, n, w = own[left], low[left] + 1, t[left] + 1, n[left], w[left]
+    for i in np.flatnonzero(c > ONE_BY_ONE).tolist():
+        tables[i] = by_leaps(int(c[i]), float(strength[i]), d, rng)
     return tables
 
 

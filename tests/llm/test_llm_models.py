@@ -406,3 +406,32 @@ def test_proposals_one_by_one_and_by_leaps(monkeypatch):
     monkeypatch.setattr(lm, "ONE_BY_ONE", 0)
     leaps = lm.seated(c, strength, 0.5, np.random.default_rng(2))
     assert abs(one.mean() / leaps.mean() - 1) < 0.02 and abs(one.std() / leaps.std() - 1) < 0.06
+
+
+class CountedDraws:
+    """A generator that counts what it is asked for."""
+
+    def __init__(self, seed):
+        self.rng, self.calls = np.random.default_rng(seed), 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return getattr(self.rng, name)
+
+
+def test_leaps_over_many_tables():
+    """Restaurants of very many tables take few steps; tables of others have their exact distribution, one opening after the other."""
+    rng = CountedDraws(5)
+    t = lm.seated(np.array([2_000_000]), np.array([1000.0]), 0.75, rng)[0]
+    assert 50_000 < t < 2_000_000 and rng.calls < 1000
+    n, w, d, chains = 900, 12.0, 0.7, 20_000
+    at = np.arange(n + 1)
+    p = (at == 1) * 1.0
+    for k in range(1, n):
+        opens = p * np.clip((w + d * at) / (w + k), 0, 1)
+        p = p - opens + np.roll(opens, 1)
+    mean = (p * at).sum()
+    spread, fourth = (p * (at - mean) ** 2).sum(), (p * (at - mean) ** 4).sum()
+    rng = np.random.default_rng(7)
+    got = np.array([lm.by_leaps(n, w, d, rng) for _ in range(chains)])
+    assert abs(got.mean() - mean) < 4 * np.sqrt(spread / chains) and abs(((got - mean) ** 2).mean() - spread) < 4 * np.sqrt((fourth - spread**2) / chains)
