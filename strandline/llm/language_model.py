@@ -87,17 +87,21 @@ def word_keys(parts: list[bytes]) -> np.ndarray:
     return word_hashes(parts) >> np.uint64(8) << np.uint64(8) | last
 
 
-def block_tokens(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of each text, keys of the distinct words (the end is the last), and the number of each token's word among them."""
+def numbering() -> defaultdict:
+    """Gives each new key the next number."""
+    number = defaultdict()
+    number.default_factory = number.__len__
+    return number
+
+
+def block_tokens(texts: list[np.ndarray], distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each text, keys of the distinct words (the end is the last), and the number of each token's word among them. Texts are numbers of words."""
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     here = np.ones(int(sizes.sum()), bool)
     here[np.cumsum(sizes) - 1] = False
-    number = defaultdict()
-    number.default_factory = number.__len__
-    own = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, int(here.sum()))
-    token = np.full(len(here), len(number))
-    token[here] = own
-    return sizes, np.append(word_keys(list(number)), END), token
+    token = np.full(len(here), len(distinct), np.int32)
+    token[here] = np.concatenate(texts)
+    return sizes, np.append(word_keys(distinct), END), token
 
 
 def packed_order(*keys: np.ndarray) -> np.ndarray:
@@ -149,31 +153,33 @@ class Coder:
         return out
 
 
-def block_rows(block: int, ids: list[int], train: list[bool], texts: list[list[bytes]], buckets: int, coder: Coder) -> pd.DataFrame:
+def block_rows(block: int, ids: list[int], train: list[bool], texts: list[np.ndarray], distinct: list[bytes], buckets: int, coder: Coder) -> pd.DataFrame:
     """A block's tokens by bucket: words, tokens of each, contexts and documents of these, and contexts by name. Documents of training come first, the first
     so many. One row carries what the block knows of its documents: ids, flags, sizes, and the number and base score of their frequent words."""
     order = sorted(range(len(ids)), key=lambda i: not train[i])
     ids, train, texts = ([x[i] for i in order] for x in (ids, train, texts))
-    sizes, distinct, back = block_tokens(texts)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
+    sizes, distinct, back = block_tokens(texts, distinct)
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     place = coder.frequent.place(distinct)
     logs = np.zeros(len(distinct))
     logs[place >= 0] = coder.frequent.base(coder.frequent.counts[place[place >= 0]])
     own = squeeze(np.array(ids, np.int64), np.array(train, np.uint8), sizes, np.bincount(doc, (place >= 0)[back], len(sizes)).astype(np.int64), np.bincount(doc, logs[back], len(sizes)))
     bucket = (mix(distinct) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    rank = np.empty(len(order), np.int64)
+    rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order))
-    code = coder.codes(distinct)
+    code = coder.codes(distinct).astype(np.int32)
     base = len(coder.ranked)
     rare = distinct[code < 0]
     code[code < 0] = base + np.arange(len(rare))
-    before = np.append(base - 1, code[back[:-1]])
+    before = np.full(len(back), base - 1, np.int32)
+    before[1:] = code[back[:-1]]
     before[(np.cumsum(sizes) - sizes)] = base - 1
     place = rank[back]
     order_of = packed_order(place, before)
-    code, doc = before[order_of], doc[order_of]
     each = np.bincount(place, minlength=len(distinct))
+    code, doc = before[order_of], doc[order_of]
+    del back, place, before, order_of
     at = np.searchsorted(bucket[order], np.arange(buckets + 1))
     upto = np.append(0, np.cumsum(each))
     present = np.flatnonzero(np.diff(at))
@@ -229,20 +235,20 @@ def blocks(docs: DataFrame, buckets: int, frequent: Frequent) -> DataFrame:
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, coder = TaskContext.get().partitionId() << 24, Coder(frequent)
-        ids, train, texts, total = [], [], [], 0
+        ids, train, texts, total, words_of = [], [], [], 0, numbering()
         for pdf in it:
             for i, t, known in zip(pdf.d, pdf.t, pdf.train, strict=True):
                 w = words(t)
                 ids.append(i)
                 train.append(known)
-                texts.append(w)
+                texts.append(np.fromiter(map(words_of.__getitem__, w), np.int32, len(w)))
                 total += len(w) + 1
                 if total >= BLOCK_TOKENS:
-                    yield block_rows(number, ids, train, texts, buckets, coder)
+                    yield block_rows(number, ids, train, texts, list(words_of), buckets, coder)
                     number += 1
-                    ids, train, texts, total = [], [], [], 0
+                    ids, train, texts, total, words_of = [], [], [], 0, numbering()
         if ids:
-            yield block_rows(number, ids, train, texts, buckets, coder)
+            yield block_rows(number, ids, train, texts, list(words_of), buckets, coder)
 
     return docs.mapInPandas(run, "block long, bucket int, known int, payload binary, own binary")
 
